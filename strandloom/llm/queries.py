@@ -8,7 +8,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe
+from strandloom.llm import bpe, imatch, langid, mixing, pii, quality, urls
+from strandloom.llm.common import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,44 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(n, ("email", "ip", "card", "phone")), F.sha2(pii.listed(F.col("spans"), True), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+#: The contract's rules: a site rule for each verdict, host and path.
+SITES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), [urls.site(*s) for s in SITES] + urls.PATTERNS)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = stored(mixing.sized(table(spark, sf_dir, "documents")), "sizes")
+    mixed = mixing.mix(sizes, stored(mixing.targets(sizes), "targets"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    said = langid.predict(docs, model)
+    return said.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measure(table(spark, sf_dir, "documents"))
+
+
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    df, n = imatch.document_frequency(docs)
+    out = imatch.fingerprints(imatch.with_successor(docs), imatch.band(df, n))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
