@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -100,3 +101,65 @@ def split_by_ids(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame,
 
     at = maybe(F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS)))
     return df.filter(at), df.filter(~at)
+
+
+def classes_of(hashes: np.ndarray, classes: int) -> np.ndarray:
+    """The class of each hash; classes is a power of two."""
+    return (hashes & np.uint64(classes - 1)).astype(np.int64)
+
+
+def class_frequency(texts: DataFrame, hashes: Callable[[bytes], np.ndarray], classes: int, chunks: int = 64) -> tuple[np.ndarray, int]:
+    """For each class of hashes the number of texts (of the one column) that have one in it, and the number of texts.
+
+    Each task sums its own and ships compressed chunks, which are added up by chunk: what tasks and driver hold depends
+    on `classes` alone.
+    """
+    width = classes // chunks
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(classes, np.int64), 0
+        for b in pieces(batches, 500):
+            found = [np.unique(classes_of(hashes(raw), classes)) for raw in as_bytes(b.column(0))]
+            df += np.bincount(np.concatenate(found), minlength=classes)
+            n += b.num_rows
+        if n:
+            blobs = [zlib.compress(df[k * width : (k + 1) * width].tobytes(), 1) for k in range(chunks)]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(chunks), pa.int32()), "n": pa.array([n] * chunks, pa.int64()), "df": pa.array(blobs, pa.binary())})
+
+    def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(width, np.int64), 0
+        for b in batches:
+            for x, m in zip(b.column("df").to_pylist(), b.column("n").to_pylist()):
+                df += np.frombuffer(zlib.decompress(x), np.int64)
+                n += m
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "df": pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())})
+
+    schema = "chunk int, n bigint, df binary"
+    rows = texts.mapInArrow(count, schema).groupBy("chunk").applyInArrow(added, schema).collect()  # `chunks` rows at most
+    df, n = np.zeros(classes, np.int64), 0
+    for r in rows:
+        df[r.chunk * width : (r.chunk + 1) * width], n = np.frombuffer(zlib.decompress(r.df), np.int64), r.n
+    return df, n
+
+
+def components(links: DataFrame) -> DataFrame:
+    """`(node, component)` of every node in `links` (columns a, b): component is the smallest node that links lead to.
+
+    Rounds of large-star and small-star: each node points its neighbours to the smallest of them, larger and smaller ones
+    in turn, until nothing changes. Minima combine before the shuffle, so a node with many links does no harm.
+    """
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        small = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        edges = stored(small, "edges")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -18,7 +18,6 @@ ordered by text; one row alone is its own successor; an empty table gives an emp
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import as_bytes, parts, pick, pieces
+from strandloom.llm.common import class_frequency, classes_of, parts, pick, pieces
 
-CLASSES, CHUNKS = 1 << 20, 64
+CLASSES = 1 << 20
 RATES, EACH, EIGHTHS = (3, 5, 7, 9, 11), 16, 8
 _MIN = -(2**63)
 
@@ -50,39 +49,10 @@ def terms(text: bytes, memo: _Hashes) -> np.ndarray:
     return np.unique(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
 
 
-def _class_of(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(CLASSES - 1)).astype(np.int64)
-
-
 def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
     """Documents in each class of terms, and documents in all."""
-    src = pick(docs, text=text_col)
-    width = CLASSES // CHUNKS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, memo = np.zeros(CLASSES, np.int64), 0, _Hashes()
-        for b in batches:
-            for raw in as_bytes(b.column(0)):
-                df[np.unique(_class_of(terms(raw, memo)))] += 1
-            n += b.num_rows
-        if n:
-            blobs = [zlib.compress(df[k * width : (k + 1) * width].tobytes(), 1) for k in range(CHUNKS)]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "n": pa.array([n] * CHUNKS, pa.int64()), "df": pa.array(blobs, pa.binary())})
-
-    def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(width, np.int64), 0
-        for b in batches:
-            for x, m in zip(b.column("df").to_pylist(), b.column("n").to_pylist()):
-                df += np.frombuffer(zlib.decompress(x), np.int64)
-                n += m
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "df": pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())})
-
-    schema = "chunk int, n bigint, df binary"
-    rows = src.mapInArrow(count, schema).groupBy("chunk").applyInArrow(added, schema).collect()  # CHUNKS rows at most
-    df, n = np.zeros(CLASSES, np.int64), 0
-    for r in rows:
-        df[r.chunk * width : (r.chunk + 1) * width], n = np.frombuffer(zlib.decompress(r.df), np.int64), r.n
-    return df, n
+    memo = _Hashes()
+    return class_frequency(pick(docs, text=text_col), lambda raw: terms(raw, memo), CLASSES)
 
 
 def band(df: np.ndarray, n: int, least: int = 2, most: float = 0.05) -> np.ndarray:
@@ -98,7 +68,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def parts_of(text: bytes, in_band: np.ndarray, memo: _Hashes) -> np.ndarray:
     """The parts of a fingerprint as integers; 0 marks a lexicon of which the text has no term."""
     every = terms(text, memo)
-    h = every[in_band[_class_of(every)]]
+    h = every[in_band[classes_of(every, CLASSES)]]
     if not len(h):
         h = every if len(every) else np.array([xxhash.xxh3_64_intdigest(text)], np.uint64)
     z = _mixed(h)
