@@ -143,3 +143,11 @@ def mix(sizes: DataFrame, goal: DataFrame, block: int = 5000, seed: int = 11) ->
         n = 2 * (n // block + 1)
         rows = left.withColumn("n_docs", F.ceil(F.col("n_docs") / block) * 2).withColumn("block", _block(F.col("n_docs"), block, level))
     return done.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p")).cast("int").alias("times"))
+
+
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """`docs` with each row as often as the mix takes it, columns as they were. Rows equal in id and text pool their share."""
+    row = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    sizes = stored(sized(row, "__key", text_col, source_col), "sizes")
+    times = mix(sizes, stored(targets(sizes), "targets")).groupBy(F.col("doc_id").alias("__key")).agg(F.sum("times").cast("int").alias("__times")).filter("__times > 0")
+    return row.join(times, "__key").dropDuplicates(["__key"]).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*docs.columns)
