@@ -51,8 +51,8 @@ def max_repeat_k(s: Column | str, k_min: int = 20, k_max: int = 180, step: int =
 
 def shared_kmers(a: Column | str, b: Column | str, k: int = 10) -> Column:
     """How many k-mer occurrences of a are also in b."""
-    other = F.array_distinct(kmers(b, k, False))
-    return F.size(F.filter(kmers(a, k, False), lambda x: F.array_contains(other, x)))
+    once = F.array(F.array_distinct(kmers(b, k, False)))  # bound in a lambda, so that it isn't computed for each k-mer
+    return F.get(F.transform(once, lambda other: F.size(F.filter(kmers(a, k, False), lambda x: F.array_contains(other, x)))), F.lit(0))
 
 
 def base_count(s: Column | str, base: str) -> Column:

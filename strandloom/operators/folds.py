@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from strandloom.operators.intervals import merge, with_island
 
@@ -32,15 +33,28 @@ def absorb(rows: pd.DataFrame, joins: Callable[[dict, dict], bool]) -> list[dict
     return out
 
 
+def bundled(rows: DataFrame, keys: tuple[str, ...], run: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
+    """`run` on each island of `rows` (columns keys and island), many small islands to a pandas group."""
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([run(part) for _, part in pdf.groupby("island", sort=False)])
+
+    return rows.withColumn("_bundle", F.floor(F.col("island") / 256)).groupBy(*keys, "_bundle").applyInPandas(each, schema)
+
+
 def fold(df: DataFrame, gap: int, joins: Callable[[dict, dict], bool], least: int = 1) -> DataFrame:
-    """`absorb` within each island of chrom and kind; keeps anchors with at least `least` support."""
-    rows = with_island(df.select(*FIELDS), gap, ("chrom", "kind"), ("st", "ed", "id"))
+    """`absorb` within each island of chrom and kind; keeps anchors with at least `least` support. Islands of one row need
+    no fold and stay in the JVM."""
+    keys = ("chrom", "kind")
+    rows = with_island(df.select(*FIELDS), gap, keys, ("st", "ed", "id"))
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "island")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = pd.DataFrame(absorb(pdf, joins), columns=[*FIELDS, "island"])[FIELDS]
+        got = pd.DataFrame(absorb(pdf[[*FIELDS]], joins), columns=FIELDS)
         return got[got["support"] >= least]
 
-    return rows.groupBy("chrom", "kind", "island").applyInPandas(run, df.select(*FIELDS).schema)
+    alone = rows.filter((F.col("_n") == 1) & (F.col("support") >= least)).select(*FIELDS)
+    return alone.unionByName(bundled(rows.filter("_n > 1").drop("_n"), keys, run, df.select(*FIELDS).schema))
 
 
 def merge_small(signals: DataFrame, depth: float, near: int = 20) -> DataFrame:
@@ -87,5 +101,6 @@ def drop_close(calls: DataFrame, near: int = 300, low: float = 0.9, high: float
                 kept.append(a["id"])
         return pd.DataFrame({"id": kept}, dtype=pdf["id"].dtype)
 
-    kept = rows.groupBy("chrom", "island").applyInPandas(run, f"id {calls.schema['id'].dataType.simpleString()}")
-    return calls.join(kept, "id", "left_semi")
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("chrom", "island")))
+    kept = bundled(rows.filter("_n > 1"), ("chrom",), run, f"id {calls.schema['id'].dataType.simpleString()}")
+    return calls.join(kept.unionByName(rows.filter("_n = 1").select("id")), "id", "left_semi")

@@ -173,7 +173,7 @@ def drop_near(query: DataFrame, target: DataFrame, dist: int, width: int = 10_00
 
 def repeats_in(regions: DataFrame, index: DataFrame, step: int, key: str = "id") -> DataFrame:
     """Index rows at the multiples of `step` from the one at a region's start to one behind that at its end."""
-    r = regions.withColumn("_p", F.explode(F.sequence(div(F.col("st"), step), div(F.col("ed"), step) + 1)) * step)
+    r = regions.withColumn("_p", F.explode(F.transform(F.sequence(div(F.col("st"), step), div(F.col("ed"), step) + 1), lambda i: i * step)))
     i = index.select(F.col("chrom").alias("_c"), F.col("pos").alias("_q"), "k")
     return r.join(i, (r["chrom"] == i["_c"]) & (r["_p"] == i["_q"])).select(*regions.columns, F.col("_p").alias("pos"), "k")
 

@@ -1,11 +1,370 @@
-"""Registered queries of the variant operators."""
+"""Registered queries of the variant operators, each with DuckDB SQL that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom import views
+from strandloom.functions import intervals as iv
+from strandloom.functions import sequence as sq
+from strandloom.operators import cohort, folds, genotype
+from strandloom.operators import intervals as ops
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+IV, RG, SV, SEQ = (views.sql(n) for n in ("iv", "rg", "sv", "seq"))
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
+    """Registers `f(read)`, where read(view) is a view's DataFrame, with its SQL."""
+
+    def add(f: Callable) -> Callable:
+        _QUERIES[name] = lambda spark, sf_dir: f(lambda n: views.view(spark, sf_dir, n) if n in views.SELECTS else spark.read.parquet(f"{sf_dir}/{n}.parquet"))
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Intervals
+
+OVERLAP = "a.chrom = b.chrom AND a.st <= b.ed AND b.st <= a.ed"
+
+
+@query("interval_algebra", f"""SELECT a.id AS id, b.id AS other, least(a.ed, b.ed) - greatest(a.st, b.st) + 1 AS overlap, (a.st >= b.st AND a.ed <= b.ed) AS within,
+    least(a.st, b.st) AS union_st, greatest(a.ed, b.ed) AS union_ed, round((least(a.ed, b.ed) - greatest(a.st, b.st) + 1) / greatest(a.ed - a.st + 1, b.ed - b.st + 1)::DOUBLE, 6) AS share
+    FROM {IV} a JOIN {RG} b ON {OVERLAP}""")
+def _(read):
+    j = ops.overlap_join(read("iv"), read("rg"), 1000)
+    a = [F.col(c) for c in ("st", "ed", "r_st", "r_ed")]
+    both = iv.union(*a)
+    return j.select("id", F.col("r_id").alias("other"), iv.overlap_length(*a).alias("overlap"), iv.within(*a).alias("within"), both["st"].alias("union_st"), both["ed"].alias("union_ed"), F.round(iv.overlap_share(*a), 6).alias("share"))
+
+
+@query("containment_first", f"""SELECT a.id AS id, min(b.id) AS bed FROM {IV} a LEFT JOIN {RG} b ON a.chrom = b.chrom AND b.st <= a.st AND a.ed <= b.ed GROUP BY a.id""")
+def _(read):
+    return ops.containment_join(read("iv"), read("rg").withColumn("bed_order", F.col("id"))).select("id", F.col("r_id").alias("bed"))
+
+
+@query("feature_overlap", f"""WITH p AS (SELECT DISTINCT a.name, b.type FROM {IV} a JOIN {RG} b ON {OVERLAP}), t AS (SELECT count(*) AS total FROM {IV} x),
+    u AS (SELECT type, count(*) AS n FROM p GROUP BY type UNION ALL SELECT 'No overlap', (SELECT total FROM t) - (SELECT count(DISTINCT name) FROM p))
+    SELECT type, n, round(100.0 * n / total, 2) AS percent FROM u, t""")
+def _(read):
+    return ops.feature_overlap(read("iv"), read("rg"), 1000)
+
+
+_ENDS = " OR ".join(f"abs(a.{x} - b.{y}) <= 500" for x in ("st", "ed") for y in ("st", "ed"))
+
+
+@query("near_variants", f"""SELECT DISTINCT a.id FROM {IV} a JOIN {IV} b ON a.sample = b.sample AND a.hap = b.hap AND a.chrom = b.chrom AND a.id <> b.id AND ({_ENDS})""")
+def _(read):
+    return ops.flag_near(read("iv")).select("id")
+
+
+@query("variant_bins", f"""SELECT id, unnest(generate_series(greatest(st - 1, 0) // 500, (ed + 1) // 500)) * 500 AS bin FROM {IV} x""")
+def _(read):
+    return ops.sv_bins(read("iv")).select("id", "bin")
+
+
+def _frequency_sql(source: str, least: int) -> str:
+    return f"""WITH b AS (SELECT chrom, sample, hap, unnest(generate_series(greatest(st - 1, 0) // 500, (ed + 1) // 500)) * 500 AS bin FROM {source} x),
+    c AS (SELECT chrom, bin, count(*) AS ac FROM (SELECT DISTINCT chrom, bin, sample, hap FROM b) GROUP BY chrom, bin HAVING count(*) >= {least}),
+    m AS (SELECT *, CASE WHEN bin <= lag(bin) OVER w + 500 THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY chrom ORDER BY bin)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY bin) AS island FROM m)
+    SELECT chrom, min(bin) AS st, max(bin) + 500 AS ed, max(ac) AS max_ac, count(*) AS n_bins FROM g GROUP BY chrom, island"""
+
+
+@query("bin_frequency", _frequency_sql(IV, 2))
+def _(read):
+    return ops.bin_frequency(ops.sv_bins(read("iv")), 2)
+
+
+@query("csv_regions", _frequency_sql(f"(SELECT * FROM {IV} a WHERE EXISTS (SELECT 1 FROM {IV} b WHERE a.sample = b.sample AND a.hap = b.hap AND a.chrom = b.chrom AND a.id <> b.id AND ({_ENDS})))", 1))
+def _(read):
+    """The flagship: variants near each other, their bins, counted over haplotypes, merged to regions."""
+    return ops.bin_frequency(ops.sv_bins(ops.flag_near(read("iv"))), 1)
+
+
+@query("bed_depth_runs", f"""WITH w AS (SELECT chrom, unnest(generate_series(st // 20, ed // 20)) AS w FROM {IV} x WHERE ed - st >= 100),
+    d AS (SELECT chrom, w, count(*) AS n, CASE WHEN count(*) * 20 <= 40 THEN 1 ELSE 2 END AS level FROM w GROUP BY chrom, w),
+    r AS (SELECT *, CASE WHEN w - lag(w) OVER o = 1 AND level = lag(level) OVER o THEN 0 ELSE 1 END AS new FROM d WINDOW o AS (PARTITION BY chrom ORDER BY w)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY w) AS run FROM r)
+    SELECT chrom, level, min(w) * 20 AS st, (max(w) + 1) * 20 AS ed, count(*) AS windows, sum(n)::BIGINT AS total, round(sum(n) / count(*), 6) AS mean FROM g GROUP BY chrom, run, level HAVING (max(w) + 1) * 20 - min(w) * 20 >= 500""")
+def _(read):
+    return ops.merge_beds(read("iv"), 40).withColumn("mean", F.round("mean", 6))
+
+
+def _island_sql(source: str, gap: int, keys: str = "chrom", extra: str = "") -> str:
+    return f"""WITH f AS (SELECT *, max(ed) OVER (PARTITION BY {keys} ORDER BY st, ed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM {source} x),
+    g AS (SELECT *, sum(CASE WHEN st - far <= {gap} THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY st, ed ROWS UNBOUNDED PRECEDING) AS island FROM f)
+    SELECT {keys}, min(st) AS st, max(ed) AS ed, count(*) AS n{extra} FROM g GROUP BY {keys}, island"""
+
+
+@query("merge_regions", _island_sql(IV, 0))
+def _(read):
+    return ops.merge(read("iv"))
+
+
+@query("merge_final", _island_sql(f"(SELECT *, 1 AS support FROM {IV} y)", 1200, "chrom", ", sum(support)::BIGINT AS support"))
+def _(read):
+    return folds.merge_final(read("iv").withColumn("support", F.lit(1)))
+
+
+@query("gap_clusters", _island_sql(f"(SELECT chrom, pos AS st, pos AS ed FROM {SV} y)", 20))
+def _(read):
+    return ops.gap_clusters(read("sv"))
+
+
+@query("coverage", f"""WITH c AS (SELECT a.id, greatest(a.st, b.st) AS st, least(a.ed, b.ed) AS ed FROM {RG} a JOIN {IV} b ON {OVERLAP}),
+    f AS (SELECT *, max(ed) OVER (PARTITION BY id ORDER BY st, ed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM c),
+    p AS (SELECT id, sum(greatest(0, ed - greatest(st, coalesce(far + 1, st)) + 1))::BIGINT AS covered, count(*) AS n FROM f GROUP BY id)
+    SELECT a.id, coalesce(covered, 0) AS covered, coalesce(n, 0) AS n, round(100.0 * coalesce(covered, 0) / (ed - st + 1), 6) AS percent FROM {RG} a LEFT JOIN p USING (id)""")
+def _(read):
+    return ops.coverage(read("rg"), read("iv"), "id", 1000).select("id", "covered", "n", F.round("percent", 6).alias("percent"))
+
+
+@query("best_annotation", f"""SELECT id, annotation, overlap FROM (SELECT a.id AS id, b.id AS annotation, least(a.ed, b.ed) - greatest(a.st, b.st) AS overlap,
+    row_number() OVER (PARTITION BY a.id ORDER BY least(a.ed, b.ed) - greatest(a.st, b.st) DESC, b.id) AS k FROM {RG} a JOIN {IV} b ON {OVERLAP} AND least(a.ed, b.ed) > greatest(a.st, b.st)) WHERE k = 1""")
+def _(read):
+    return ops.best_annotation(read("rg"), read("iv").withColumn("ann_order", F.col("id")), "id", "ann_order", 1000).select("id", F.col("r_id").alias("annotation"), "overlap")
+
+
+@query("nearest_region", f"""SELECT id, target, distance FROM (SELECT p.id, t.id AS target, greatest(0, t.st - p.pos, p.pos - t.ed) AS distance,
+    row_number() OVER (PARTITION BY p.id ORDER BY greatest(0, t.st - p.pos, p.pos - t.ed), t.id) AS k FROM (SELECT o_orderkey AS id, o_custkey % 8 AS chrom, (o_orderkey * 7919) % 20000000 AS pos FROM orders WHERE o_orderkey % 16 = 0) p JOIN {RG} t ON p.chrom = t.chrom) WHERE k = 1""")
+def _(read):
+    points = read("orders").filter("o_orderkey % 16 = 0").selectExpr("o_orderkey AS id", "o_custkey % 8 AS chrom", "(o_orderkey * 7919) % 20000000 AS pos")
+    return ops.nearest(points, read("rg")).select("id", "target", "distance")
+
+
+@query("drop_near", f"""SELECT a.id FROM {RG} a WHERE NOT EXISTS (SELECT 1 FROM {IV} b WHERE a.chrom = b.chrom AND a.st - 300 <= b.ed AND b.st <= a.ed + 300)""")
+def _(read):
+    return ops.drop_near(read("rg"), read("iv"), 300).select("id")
+
+
+@query("drop_overlapping_inversions", f"""SELECT a.id FROM {RG} a WHERE NOT EXISTS (SELECT 1 FROM {IV} b WHERE b.ed - b.st >= 50 AND a.chrom = b.chrom AND a.st - 50 <= b.ed AND b.st <= a.ed + 50)""")
+def _(read):
+    return ops.drop_near(read("rg"), read("iv").filter("ed - st >= 50"), 50).select("id")
+
+
+@query("repeats_in", f"""SELECT r.id AS id, i.pos AS pos, i.k AS k FROM {RG} r JOIN (SELECT DISTINCT chrom, st // 100 * 100 AS pos, chrom * 20 AS k FROM {IV} x) i ON r.chrom = i.chrom AND i.pos BETWEEN r.st // 100 * 100 AND r.ed // 100 * 100 + 100""")
+def _(read):
+    index = read("iv").select("chrom", (ops.div(F.col("st"), 100) * 100).alias("pos"), (F.col("chrom") * 20).alias("k")).distinct()
+    return ops.repeats_in(read("rg"), index, 100).select("id", "pos", "k")
+
+
+@query("breakpoint_windows", f"""SELECT a.id AS id, (b.pos - a.st) // 10 AS "window", count(*) AS n FROM {RG} a JOIN {SV} b ON a.chrom = b.chrom AND b.pos BETWEEN a.st AND a.ed GROUP BY 1, 2""")
+def _(read):
+    return ops.breakpoint_windows(read("rg"), read("sv")).groupBy("id", "window").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("high_confidence_blocks", f"""WITH m AS (SELECT DISTINCT chrom, unnest(generate_series(st, ed - 1, 100)) // 100 AS block FROM {RG} x), b AS (SELECT DISTINCT chrom, st // 100 AS block FROM {IV} y)
+    SELECT b.chrom, b.block, m.block IS NOT NULL AS high FROM b LEFT JOIN m ON b.chrom = m.chrom AND b.block = m.block""")
+def _(read):
+    return ops.high_confidence_blocks(read("rg"), read("iv").select("chrom", ops.div(F.col("st"), 100).alias("block")).distinct())
+
+
+@query("compare_calls", f"""WITH s AS (SELECT a.id, max((least(a.ed, b.ed) - greatest(a.st, b.st) + 1) / greatest(a.ed - a.st + 1, b.ed - b.st + 1)::DOUBLE) AS share FROM {IV} a JOIN {IV} b ON {OVERLAP} AND a.sample = b.sample AND a.type = b.type AND a.hap = 0 AND b.hap = 1 GROUP BY a.id)
+    SELECT sample, type, chrom, count(*) AS n, count(*) FILTER (share > 0.9) AS over_90, count(*) FILTER (share > 0.5) AS over_50 FROM {IV} a LEFT JOIN s USING (id) WHERE hap = 0 GROUP BY sample, type, chrom""")
+def _(read):
+    return ops.compare_calls(read("iv").filter("hap = 0"), read("iv").filter("hap = 1"), width=1000)
+
+
+@query("lift_over", f"""SELECT p.id AS id, b.chrom + 1 AS to_chrom, CASE WHEN b.id % 2 = 0 THEN b.st * 2 + b.ed - p.pos ELSE b.st * 2 + p.pos - b.st END AS to_pos FROM {SV} p JOIN {RG} b ON p.chrom = b.chrom AND p.pos BETWEEN b.st AND b.ed""")
+def _(read):
+    blocks = read("rg").selectExpr("chrom", "st", "ed", "chrom + 1 AS to_chrom", "st * 2 AS to_st", "CASE WHEN id % 2 = 0 THEN '-' ELSE '+' END AS strand")
+    return ops.lift(read("sv"), blocks, 1000).select("id", "to_chrom", "to_pos")
+
+
+# Sequences
+
+KMERS = "list_transform(generate_series(1, length(s) - {k} + 1), lambda i: substring(s, i, {k}))"
+
+
+@query("sequence_functions", f"""SELECT id, reverse(translate(s, 'ACGT', 'TGCA')) AS revcomp, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g')) AS collapsed,
+    length(s) - length(replace(s, 'G', '')) AS g, greatest(length(s) - length(replace(s, 'A', '')), length(s) - length(replace(s, 'C', '')), length(s) - length(replace(s, 'G', '')), length(s) - length(replace(s, 'T', ''))) > 0.8 * length(s) + 1 AS low FROM {SEQ} x""")
+def _(read):
+    return read("seq").select("id", sq.revcomp("s").alias("revcomp"), sq.collapsed_length("s").cast("long").alias("collapsed"), sq.base_count("s", "G").cast("long").alias("g"), sq.low_complexity("s").alias("low"))
+
+
+_GRID = [20, 60, 100]
+
+
+@query("max_repeat_k", f"""SELECT id, greatest({", ".join(f"CASE WHEN length(s) >= {k} AND len(list_distinct({KMERS.format(k=k)})) < len({KMERS.format(k=k)}) THEN {k} ELSE 0 END" for k in _GRID)}) AS k FROM {SEQ} x""")
+def _(read):
+    return read("seq").select("id", sq.max_repeat_k("s", 20, 100, 40).alias("k"))
+
+
+@query("shared_kmers", f"""WITH t AS (SELECT a.id, {KMERS.format(k=6).replace("s,", "a.s,").replace("(s)", "(a.s)")} AS x, {KMERS.format(k=6).replace("s,", "b.s,").replace("(s)", "(b.s)")} AS y FROM {SEQ} a JOIN {SEQ} b ON b.id = a.id + 1 WHERE length(a.s) >= 6 AND length(b.s) >= 6)
+    SELECT id, len(list_filter(x, lambda v: list_contains(y, v))) AS n FROM t""")
+def _(read):
+    a = read("seq").filter("length(s) >= 6")
+    b = a.select((F.col("id") - 1).alias("id"), F.col("s").alias("t"))
+    return a.join(b, "id").select("id", sq.shared_kmers("s", "t", 6).cast("long").alias("n"))
+
+
+@query("motif_support", f"""WITH s AS (SELECT id, s, substring(s, 1, 2) AS motif FROM {SEQ} x WHERE length(s) >= 2), h AS (SELECT *, list_filter(generate_series(1, length(s) - 1), lambda i: substring(s, i, 2) = motif) AS h FROM s),
+    g AS (SELECT *, list_transform(generate_series(1, len(h) + 1), lambda i: CASE WHEN i <= len(h) THEN h[i] ELSE length(s) + 1 END - CASE WHEN i = 1 THEN -1 ELSE h[i - 1] END - 2) AS gaps FROM h),
+    r AS (SELECT *, length(s) - coalesce(list_sum(list_filter(gaps, lambda x: x > 10)), 0)::BIGINT AS rest FROM g) SELECT id, len(h) AS n_hits, rest AS repeat_bases, (len(h) > 0 AND rest >= 30 AND 2 * rest > length(s)) AS supported FROM r""")
+def _(read):
+    return cohort.motif_support(read("seq").filter("length(s) >= 2").select("id", F.col("s").alias("seq"), F.substring("s", 1, 2).alias("motif"))).select("id", F.col("n_hits").cast("long").alias("n_hits"), F.col("repeat_bases").cast("long").alias("repeat_bases"), "supported")
+
+
+# Genotypes
+
+_GT = "CASE WHEN ref_n > 6 * alt_n THEN '0/0' WHEN 6 * ref_n < alt_n THEN CASE WHEN alt_n = 1 THEN '0/1' ELSE '1/1' END ELSE '0/1' END"
+_SGT = "CASE WHEN alt_n < 2 OR unknown_n > 3 * (alt_n + ref_n) OR 3 * alt_n < ref_n THEN '0/0' WHEN alt_n > 4 * ref_n THEN '1/1' ELSE '0/1' END"
+
+
+@query("genotypes", f"""SELECT id, {_GT} AS gt_long, {_SGT} AS gt_short, CASE WHEN alt_n > 4 * ref_n THEN '1/1' WHEN ref_n > 4 * alt_n THEN '0/0' ELSE '0/1' END AS gt_inversion,
+    CASE WHEN alt_n = 1 AND ref_n >= 1 AND unknown_n >= 20 * alt_n THEN '0/0' WHEN ref_n = 0 AND alt_n < 4 THEN {_SGT} ELSE {_GT} END AS gt_hybrid FROM {SV} x""")
+def _(read):
+    r, a, u = F.col("ref_n"), F.col("alt_n"), F.col("unknown_n")
+    long, short = genotype.long_read_genotype(r, a), genotype.short_read_genotype(r, a, u)
+    return read("sv").select("id", long.alias("gt_long"), short.alias("gt_short"), genotype.inversion_genotype(r, a).alias("gt_inversion"), genotype.hybrid(long, r, a, short, u, a).alias("gt_hybrid"))
+
+
+@query("qualities", f"""WITH g AS (SELECT *, {_GT} AS gt, -5.0::DOUBLE * alt_n - 5.3::DOUBLE AS rr, -5.0::DOUBLE * ref_n AS aa, -0.3::DOUBLE * (ref_n + alt_n) - 5.0::DOUBLE AS ra FROM {SV} x),
+    q AS (SELECT *, greatest((greatest(ra, aa) - rr) * 10, 20) AS q0 FROM g)
+    SELECT id, floor(least(CASE WHEN unknown_n > 0.1::DOUBLE * alt_n AND q0 > 100 THEN q0 / 10 ELSE q0 END, 500))::INT AS qual, floor(CASE gt WHEN '0/0' THEN rr - greatest(ra, aa) WHEN '0/1' THEN ra - greatest(rr, aa) ELSE aa - greatest(rr, ra) END * 10)::INT AS gq FROM q""")
+def _(read):
+    sv = read("sv").withColumn("gt", genotype.long_read_genotype(F.col("ref_n"), F.col("alt_n")))
+    return sv.select("id", genotype.qualities(F.col("ref_n"), F.col("alt_n"), F.col("unknown_n"), F.col("gt")).alias("q")).select("id", "q.*")
+
+
+@query("filter_labels", f"""SELECT id, CASE WHEN abs(svlen) < 50 THEN 'PASS' WHEN hap = 1 AND sample = 3 THEN 'DUPLICATE' WHEN {_GT} = '0/0' THEN 'LOW_DEPTH' WHEN unknown_n = 6 THEN 'DR_not_support' WHEN a1 = 1 AND ref_n <= 5 THEN 'LOW_QUAL' ELSE 'PASS' END AS filter,
+    CASE WHEN svlen < 0 THEN pos - svlen ELSE pos END AS ed FROM {SV} x""")
+def _(read):
+    sv = read("sv")
+    gt = genotype.long_read_genotype(F.col("ref_n"), F.col("alt_n"))
+    label = genotype.filter_label(F.col("svlen"), (F.col("hap") == 1) & (F.col("sample") == 3), gt, F.col("unknown_n") == 6, F.col("a1") == 1, F.col("ref_n"))
+    return sv.select("id", label.alias("filter"), genotype.end_of(F.col("pos"), F.col("svlen")).alias("ed"))
+
+
+@query("long_deletions", f"""WITH d AS (SELECT id, svlen * 20 AS len, {_GT} AS gt, {_SGT} AS pair_gt, ref_n / 7.0::DOUBLE AS ratio FROM {SV} x)
+    SELECT id, CASE WHEN len < -50000 OR (len < -1000 AND ratio > 0.9) THEN '0/0' WHEN len < -400 AND pair_gt = '0/0' THEN '0/0' WHEN len < -700 AND gt = '0/0' THEN pair_gt ELSE gt END AS gt FROM d""")
+def _(read):
+    r, a, u = F.col("ref_n"), F.col("alt_n"), F.col("unknown_n")
+    gt = genotype.long_deletion(genotype.long_read_genotype(r, a), F.col("svlen") * 20, genotype.short_read_genotype(r, a, u), r / 7.0)
+    return read("sv").select("id", gt.alias("gt"))
+
+
+@query("tidy_calls", f"""SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos, svlen ORDER BY alt_n DESC, id) AS k FROM {SV} x WHERE NOT (svtype = 'DEL' AND svlen > 0) AND NOT (svtype = 'INS' AND svlen < 0)) WHERE k = 1""")
+def _(read):
+    return genotype.tidy(read("sv")).select("id")
+
+
+@query("spanning_genotype", f"""WITH e AS (SELECT id, chrom, pos AS p FROM {SV} x UNION ALL SELECT id, chrom, pos - svlen FROM {SV} y WHERE svlen < 0),
+    n AS (SELECT e.id, count(*) AS n FROM e JOIN {IV} r ON e.chrom = r.chrom AND r.st <= e.p - 50 AND r.ed >= e.p + 50 GROUP BY e.id),
+    m AS (SELECT s.id, CASE WHEN svlen < 0 THEN coalesce(n, 0) // 2 ELSE coalesce(n, 0) END AS n FROM {SV} s LEFT JOIN n USING (id))
+    SELECT id, n AS n_spanning, CASE WHEN n > 3 THEN '0/0' WHEN n >= 1 THEN '0/1' ELSE '1/1' END AS gt FROM m""")
+def _(read):
+    return genotype.spanning_reads(read("sv").withColumn("gt", F.lit("1/1")), read("iv"), 50).select("id", "n_spanning", F.col("gt_long").alias("gt"))
+
+
+@query("usable_variants", f"""SELECT id FROM {SV} x WHERE a1 = 0 AND abs(svlen) >= 50""")
+def _(read):
+    sv = read("sv").withColumn("filter", F.when(F.col("a1") == 0, "PASS").otherwise("LOW")).withColumn("alt", F.lit("A"))
+    return genotype.usable_variants(sv).select("id")
+
+
+# Cohort
+
+@query("merge_cohort", f"""SELECT chrom, pos, svlen, count(*) AS n, min(sample) AS first FROM {SV} x GROUP BY chrom, pos, svlen""")
+def _(read):
+    sv = read("sv").withColumn("ref", F.lit("N")).withColumn("alt", F.lit("A")).withColumn("qual", F.col("alt_n"))
+    out = cohort.merge_cohort(sv)
+    return out.select("chrom", "pos", "svlen", F.size("support").cast("long").alias("n"), F.expr("support[0].sample").alias("first"))
+
+
+@query("population_counts", f"""SELECT chrom, pos, svlen, sample % 3 AS population, count(*) FILTER (a1 + a2 > 0) AS carriers, sum(a1 + a2)::BIGINT AS ac, 2 * count(*) AS an FROM {SV} x GROUP BY 1, 2, 3, 4""")
+def _(read):
+    sv = read("sv").withColumn("ref", F.lit("N")).withColumn("alt", F.lit("A")).withColumn("qual", F.col("alt_n"))
+    population = sv.select("sample").distinct().withColumn("population", F.col("sample") % 3)
+    return cohort.population_counts(cohort.merge_cohort(sv), population)
+
+
+@query("locus_range", f"""WITH p AS (SELECT l.id, min(svlen) AS least, max(svlen) AS most, count(*) AS n FROM {RG} l JOIN {SV} s ON l.chrom = s.chrom AND s.pos BETWEEN l.st AND l.ed GROUP BY l.id),
+    r AS (SELECT l.id, chrom, st, n, coalesce((most - least) // 3, -1) AS "range" FROM {RG} l LEFT JOIN p USING (id)) SELECT id, n, "range", row_number() OVER (PARTITION BY chrom ORDER BY "range", st, id) AS "rank" FROM r""")
+def _(read):
+    return cohort.locus_range(read("sv"), read("rg").withColumn("unit", F.lit(3))).select("id", "n", "range", F.col("rank").cast("long").alias("rank"))
+
+
+@query("one_allele_per_region", f"""SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY chrom, pos, svlen ORDER BY alt_n DESC, sample, id) AS k FROM {SV} x) WHERE k = 1""")
+def _(read):
+    return cohort.one_allele_per_region(read("sv").withColumn("ref", F.lit("N")).withColumn("alt", F.col("svlen").cast("string")).withColumn("region", F.col("sample"))).select("id")
+
+
+@query("merge_homozygous", f"""SELECT chrom, pos, svlen, sample AS region, min(id) AS id, sum(alt_n)::BIGINT AS alt_n, greatest(0, min(ref_n) - CASE WHEN count(DISTINCT hap) > 1 THEN sum(alt_n) - max(alt_n) ELSE 0 END)::BIGINT AS ref_n FROM {SV} x GROUP BY chrom, pos, svlen, sample""")
+def _(read):
+    return cohort.merge_homozygous(read("sv").withColumn("region", F.col("sample"))).select("chrom", "pos", "svlen", "region", "id", "alt_n", "ref_n")
+
+
+@query("force_groups", f"""WITH f AS (SELECT id, chrom, pos, CASE WHEN svlen > 150 THEN 1 ELSE 0 END AS big, CASE WHEN pos - max(pos) OVER (PARTITION BY chrom ORDER BY pos, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 30 THEN 0 ELSE 1 END AS new FROM {SV} x)
+    SELECT id, sum(new) OVER (PARTITION BY chrom ORDER BY pos, id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM f""")
+def _(read):
+    return cohort.force_groups(read("sv").withColumn("ref", F.lit("N")).withColumn("alt", F.lit("A"))).select("id", "island")
+
+
+_SCORES = "(SELECT c_nationkey AS region, c_custkey % 50 AS read, c_custkey % 3 AS hap, max(CAST(floor(c_acctbal) AS BIGINT)) AS score FROM customer GROUP BY 1, 2, 3)"
+
+
+def _scores(read):
+    return read("customer").selectExpr("c_nationkey AS region", "c_custkey % 50 AS read", "c_custkey % 3 AS hap", "CAST(floor(c_acctbal) AS BIGINT) AS score").groupBy("region", "read", "hap").agg(F.max("score").alias("score"))
+
+
+@query("best_haplotype_reads", f"""WITH m AS (SELECT *, max(score) OVER (PARTITION BY region, read) AS m FROM {_SCORES} x), t AS (SELECT *, count(*) OVER (PARTITION BY region, read) AS n FROM m WHERE score = m)
+    SELECT region, hap, count(*) AS n_reads, count(*) >= 5 AS evidence FROM t WHERE n = 1 GROUP BY region, hap""")
+def _(read):
+    return cohort.best_haplotype_reads(_scores(read))
+
+
+@query("pair_alleles", f"""WITH p AS (SELECT a.region, a.hap AS hap1, b.hap AS hap2, sum(greatest(a.score, b.score))::BIGINT AS total, count(*) FILTER (a.score - b.score > 10) AS n1, count(*) FILTER (b.score - a.score > 10) AS n2 FROM {_SCORES} a JOIN {_SCORES} b ON a.region = b.region AND a.read = b.read AND a.hap <= b.hap GROUP BY 1, 2, 3)
+    SELECT region, hap1, hap2, total, n1, n2 FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY total DESC, hap1 DESC, hap2 DESC) AS k FROM p) WHERE k = 1""")
+def _(read):
+    return cohort.pair_alleles(_scores(read))
+
+
+@query("recover_alleles", f"""WITH c AS (SELECT chrom, pos // 1000 AS id, svlen, count(*) AS n, min(sample) AS sample FROM {SV} x GROUP BY 1, 2, 3), m AS (SELECT *, row_number() OVER (PARTITION BY chrom, id ORDER BY n DESC, svlen) AS k FROM c),
+    h AS (SELECT m.chrom, m.id, m.svlen, m.sample, s.pos, row_number() OVER (PARTITION BY m.chrom, m.id ORDER BY abs(s.pos - m.id * 1000), s.pos) AS j FROM m LEFT JOIN {SV} s ON m.sample = s.sample AND m.chrom = s.chrom AND abs(m.svlen) = abs(s.svlen) AND s.pos BETWEEN m.id * 1000 - 1000 AND m.id * 1000 + 1000 WHERE k = 1)
+    SELECT chrom, id * 1000 AS pos, svlen, sample, pos AS allele_pos FROM h WHERE j = 1""")
+def _(read):
+    sv = read("sv").withColumn("ref", F.lit("N")).withColumn("alt", F.lit("A"))
+    rows = sv.groupBy("chrom", ops.div(F.col("pos"), 1000).alias("place")).agg(F.collect_list(F.struct("sample", "svlen")).alias("lengths"))
+    rows = rows.select((F.col("place") * 10 + F.col("chrom")).alias("id"), "chrom", (F.col("place") * 1000).alias("pos"), "lengths")
+    return cohort.recover_alleles(rows, sv).select("chrom", "pos", "svlen", "sample", "allele_pos")
+
+
+# Greedy folds have no SQL; tests compare them with a plain transcription of the rule.
+
+
+@query("merge_small_signals")
+def _(read):
+    return folds.merge_small(_signals(read), 10)
+
+
+@query("merge_normal_signals")
+def _(read):
+    return folds.merge_normal(_signals(read), 10)
+
+
+@query("drop_close_calls")
+def _(read):
+    return folds.drop_close(read("sv").withColumn("st", F.col("pos"))).select("id", "chrom", "st", "svlen")
+
+
+def _signals(read):
+    return read("iv").select("chrom", F.col("type").alias("kind"), "st", "ed", F.lit(1).alias("support"), "id")
