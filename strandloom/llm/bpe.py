@@ -127,6 +127,14 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Numbers(dict):
+    """The number of each key, in order of first sight."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Tokenizer:
     """A vocabulary of byte strings by rank, and the pattern that cuts text into pre-tokens."""
 
@@ -163,12 +171,12 @@ class Tokenizer:
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """int32 ids of each text."""
-        number: dict[str, int] = {}
+        number = _Numbers()
         codes = []
         for text in texts:
             text = text or ""
             found = (m.group() for m in self.pattern.finditer(text)) if len(text) > self.LONG else self.pattern.findall(text)
-            codes.append(np.fromiter((number.setdefault(t, len(number)) for t in found), np.int64))
+            codes.append(np.fromiter(map(number.__getitem__, found), np.int64))
         new = [t for t in number if t not in self.known]
         if len(self.known) + len(new) > self.KEPT:
             self.known, new = {}, list(number)
@@ -219,7 +227,8 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tok.value
         for b in pieces(batches, 500):
-            raw = [t.decode(x or ()) for x in b.column(1).to_pylist()]
+            flat, ends = b.column(1).flatten().to_numpy(), np.cumsum(b.column(1).value_lengths().to_numpy())
+            raw = [t.decode(x.tolist()) for x in np.split(flat, ends[:-1])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
