@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom import views
 from strandloom.functions import intervals as iv
 from strandloom.functions import sequence as sq
-from strandloom.operators import cohort, folds, genotype
+from strandloom.operators import cohort, folds, genotype, reads
 from strandloom.operators import intervals as ops
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,3 +368,96 @@ def _(read):
 
 def _signals(read):
     return read("iv").select("chrom", F.col("type").alias("kind"), "st", "ed", F.lit(1).alias("support"), "id")
+
+
+# Reads: intervals play alignments
+
+
+@query("block_depth", f"""SELECT chrom, st // 32 AS block, count(*) AS n FROM {IV} x GROUP BY 1, 2""")
+def _(read):
+    return reads.block_depth(read("iv"))
+
+
+@query("region_depth", f"""WITH d AS (SELECT chrom, st // 32 AS block, count(*) AS n FROM {IV} x GROUP BY 1, 2), r AS (SELECT id, chrom, unnest(generate_series(st // 32, ed // 32)) AS block FROM {RG} y)
+    SELECT id, round(avg(coalesce(n, 0) / 0.5::DOUBLE), 6) AS mean_ratio, round(max(coalesce(n, 0) / 0.5::DOUBLE), 6) AS max_ratio, avg(coalesce(n, 0) / 0.5::DOUBLE) > 2 AS high FROM r LEFT JOIN d USING (chrom, block) GROUP BY id""")
+def _(read):
+    out = reads.region_depth(read("rg"), reads.block_depth(read("iv")), 0.5)
+    return out.select("id", F.round("mean_ratio", 6).alias("mean_ratio"), F.round("max_ratio", 6).alias("max_ratio"), "high")
+
+
+@query("mean_depth", f"""SELECT round(sum(ed - st) / (avg(ed - st) + 1000000), 6) AS depth FROM {IV} x""")
+def _(read):
+    return reads.mean_depth(read("iv"), 1_000_000).select(F.round("depth", 6).alias("depth"))
+
+
+@query("read_length_stats", f"""WITH p AS (SELECT ed - st AS length, count(*) AS n FROM {IV} x GROUP BY 1) SELECT round(sum(length * n) / sum(n)::DOUBLE, 6) AS mean, (SELECT length FROM p ORDER BY n DESC, length LIMIT 1) AS commonest, round(max(n) / sum(n)::DOUBLE, 6) AS share FROM p""")
+def _(read):
+    out = reads.read_length_stats(read("iv").select((F.col("ed") - F.col("st")).alias("length")))
+    return out.select(F.round("mean", 6).alias("mean"), "commonest", F.round("share", 6).alias("share"))
+
+
+@query("isize_stats", f"""SELECT quantile_cont(ed - st, 0.01) AS least, quantile_cont(ed - st, 0.5) AS median, quantile_cont(ed - st, 0.99) AS most, count(*) AS pairs FROM {RG} x""")
+def _(read):
+    return reads.isize_stats(read("rg").select((F.col("ed") - F.col("st")).alias("isize")))
+
+
+@query("isize_histogram", f"""WITH p AS (SELECT ed - st AS isize, count(*) AS n FROM {RG} x GROUP BY 1) SELECT isize, n, round(100.0 * n / sum(n) OVER (), 6) AS percent, round(100.0 * sum(n) OVER (ORDER BY isize) / sum(n) OVER (), 6) AS cumulative FROM p""")
+def _(read):
+    out = reads.isize_histogram(read("rg").select((F.col("ed") - F.col("st")).alias("isize")))
+    return out.select("isize", "n", F.round("percent", 6).alias("percent"), F.round("cumulative", 6).alias("cumulative"))
+
+
+@query("breakpoint_distribution", f"""WITH p AS (SELECT ed - st - 300 AS n, count(*)::DOUBLE / (ed - st - 300) AS w FROM {RG} x WHERE ed - st > 300 GROUP BY ed - st), i AS (SELECT unnest(generate_series(0, (SELECT max(n) FROM p) - 1)) AS i),
+    s AS (SELECT i, sum(w) AS p FROM i JOIN p ON i.i < p.n GROUP BY i) SELECT i, round(p / sum(p) OVER (), 8) AS p FROM s""")
+def _(read):
+    density = read("rg").groupBy((F.col("ed") - F.col("st")).alias("isize")).agg(F.count(F.lit(1)).cast("double").alias("d"))
+    return reads.breakpoint_distribution(density, 150).select(F.col("i").cast("long").alias("i"), F.round("p", 8).alias("p"))
+
+
+@query("pair_support", f"""WITH v AS (SELECT id, chrom, pos, pos - svlen AS ed FROM {SV} x WHERE svlen < 0), j AS (SELECT v.id, r.ed AS me, r.ed - r.st AS isize, v.pos, v.ed FROM v JOIN {IV} r ON v.chrom = r.chrom AND r.st BETWEEN v.pos - 849 AND v.pos - 1),
+    p AS (SELECT id, count(*) FILTER (me > ed AND me < ed + 850) AS n_sv, avg(isize) FILTER (me > ed AND me < ed + 850) AS isize_sv, count(*) FILTER (me > pos AND me < pos + 850) AS n_ref, avg(isize) FILTER (me > pos AND me < pos + 850) AS isize_ref FROM j GROUP BY id)
+    SELECT v.id, coalesce(n_sv, 0) AS n_sv, round(isize_sv, 6) AS isize_sv, coalesce(n_ref, 0) AS n_ref, round(isize_ref, 6) AS isize_ref FROM v LEFT JOIN p USING (id)""")
+def _(read):
+    sv = read("sv").filter("svlen < 0").select("id", "chrom", "pos", (F.col("pos") - F.col("svlen")).alias("ed"))
+    out = reads.pair_support(sv, read("iv"), 150, 1000)
+    return out.select("id", "n_sv", F.round("isize_sv", 6).alias("isize_sv"), "n_ref", F.round("isize_ref", 6).alias("isize_ref"))
+
+
+@query("breakpoint_reads", f"""WITH s AS (SELECT v.id, r.id AS read, 1 AS side FROM {SV} v JOIN {IV} r ON v.chrom = r.chrom AND v.pos BETWEEN r.st AND r.ed AND v.pos - r.st > 0.3::DOUBLE * (r.ed - r.st)
+    UNION ALL SELECT v.id, r.id, 2 FROM {SV} v JOIN {IV} r ON v.chrom = r.chrom AND v.pos + abs(svlen) BETWEEN r.st AND r.ed AND r.ed - v.pos - abs(svlen) > 0.3::DOUBLE * (r.ed - r.st)) SELECT id, read, sum(side)::BIGINT AS mode FROM s GROUP BY id, read""")
+def _(read):
+    sv = read("sv").withColumn("end", F.col("pos") + F.abs("svlen"))
+    return reads.breakpoint_reads(sv, read("iv").withColumn("read", F.col("id")))
+
+
+@query("kmer_census", f"""WITH b AS (SELECT id, s FROM {SEQ} x UNION ALL SELECT id, reverse(translate(s, 'ACGT', 'TGCA')) FROM {SEQ} y), k AS (SELECT id, unnest(list_transform(generate_series(1, length(s) - 19), lambda i: substring(s, i, 20))) AS kmer FROM b WHERE length(s) >= 20),
+    p AS (SELECT id, kmer, count(*) AS n FROM k GROUP BY id, kmer HAVING count(*) >= 3) SELECT kmer, sum(n)::BIGINT AS n FROM p GROUP BY kmer""")
+def _(read):
+    return reads.kmer_census(read("seq"))
+
+
+@query("composition_histogram", f"""SELECT {", ".join(f"(length(s) - length(replace(s, '{b}', ''))) // 16 AS {b}" for b in "ACGT")}, count(*) AS n FROM {SEQ} x GROUP BY 1, 2, 3, 4""")
+def _(read):
+    return reads.composition_histogram(read("seq"))
+
+
+@query("mapped_by_chromosome", f"""WITH p AS (SELECT name AS read, chrom, sum(ed - st)::BIGINT AS mapped FROM {IV} x GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY read ORDER BY mapped DESC, chrom) = 1 AS main FROM p""")
+def _(read):
+    return reads.mapped_by_chromosome(read("iv").withColumn("read", F.col("name")))
+
+
+@query("mapping_gaps", f"""SELECT id, st - lag(ed) OVER (PARTITION BY name ORDER BY st, ed, id) AS read_gap FROM {IV} x""")
+def _(read):
+    rows = read("iv").select("id", F.col("name").alias("read"), F.col("st").alias("read_st"), F.col("ed").alias("read_ed"), F.col("id").alias("st"), F.col("id").alias("ed"))
+    return reads.mapping_gaps(rows).select("id", "read_gap")
+
+
+@query("piecewise_depth", f"""WITH e AS (SELECT name AS read, st AS p, 1 AS d FROM {IV} x UNION ALL SELECT name, ed, -1 FROM {IV} y), p AS (SELECT read, p, sum(d) AS d FROM e GROUP BY read, p),
+    w AS (SELECT read, p AS "from", lead(p) OVER (PARTITION BY read ORDER BY p) AS "to", sum(d) OVER (PARTITION BY read ORDER BY p)::BIGINT AS n FROM p) SELECT * FROM w WHERE "to" IS NOT NULL""")
+def _(read):
+    return reads.piecewise_depth(read("iv").select(F.col("name").alias("read"), F.col("st").alias("read_st"), F.col("ed").alias("read_ed")))
+
+
+@query("likeliest_place", f"""WITH s AS (SELECT chrom AS id, st AS pos, sum(ed - st) OVER (PARTITION BY chrom ORDER BY st RANGE BETWEEN CURRENT ROW AND 999 FOLLOWING) AS p FROM {IV} x) SELECT id, min(pos) AS pos, max(p)::BIGINT AS p FROM s a WHERE p = (SELECT max(p) FROM s b WHERE b.id = a.id) GROUP BY id""")
+def _(read):
+    return reads.likeliest_place(read("iv").select(F.col("chrom").alias("id"), F.col("st").alias("pos"), (F.col("ed") - F.col("st")).alias("p")), 1000)
