@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom import views
 from strandloom.functions import intervals as iv
 from strandloom.functions import sequence as sq
-from strandloom.operators import cohort, folds, genotype, reads
+from strandloom.operators import cohort, context, contigs, folds, genotype, mei, reads
 from strandloom.operators import intervals as ops
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -461,3 +461,78 @@ def _(read):
 @query("likeliest_place", f"""WITH s AS (SELECT chrom AS id, st AS pos, sum(ed - st) OVER (PARTITION BY chrom ORDER BY st RANGE BETWEEN CURRENT ROW AND 999 FOLLOWING) AS p FROM {IV} x) SELECT id, min(pos) AS pos, max(p)::BIGINT AS p FROM s a WHERE p = (SELECT max(p) FROM s b WHERE b.id = a.id) GROUP BY id""")
 def _(read):
     return reads.likeliest_place(read("iv").select(F.col("chrom").alias("id"), F.col("st").alias("pos"), (F.col("ed") - F.col("st")).alias("p")), 1000)
+
+
+# Context
+
+
+@query("breakpoint_divergence", f"""WITH w AS (SELECT id, chrom, st, unnest(generate_series(0, (ed - st) // 100)) AS w FROM {RG} x), v AS (SELECT id, chrom, w, st + w * 100 AS st, st + w * 100 + 99 AS ed FROM w),
+    d AS (SELECT v.id, w, count(*) AS depth FROM v JOIN {IV} r ON v.chrom = r.chrom AND r.st < v.st AND r.ed > v.ed GROUP BY 1, 2), b AS (SELECT v.id, w, count(DISTINCT p.sample) AS breaks FROM v JOIN {SV} p ON v.chrom = p.chrom AND p.pos BETWEEN v.st AND v.ed GROUP BY 1, 2),
+    j AS (SELECT v.id, coalesce(depth, 0) AS depth, coalesce(breaks, 0) AS breaks FROM v LEFT JOIN d USING (id, w) LEFT JOIN b USING (id, w)), s AS (SELECT *, CASE WHEN depth > 0 THEN least(1, breaks / depth::DOUBLE) ELSE 1 END + 0.01::DOUBLE AS o FROM j)
+    SELECT id, round(sum(o * ln(o / 0.51::DOUBLE)), 6) AS kld, sum(breaks)::BIGINT AS breaks, sum(depth)::BIGINT AS depth FROM s GROUP BY id""")
+def _(read):
+    out = context.breakpoint_divergence(read("rg"), read("iv"), read("sv").select("chrom", "pos", F.col("sample").alias("read")), 100, F.lit(0.5))
+    return out.select("id", F.round("kld", 6).alias("kld"), "breaks", "depth")
+
+
+@query("short_read_context", f"""SELECT a.id, count(b.id) AS reads, count(*) FILTER (b.name % 60 BETWEEN 1 AND 10) AS clip_1_10, count(*) FILTER (b.sample % 40 < 30 AND b.id IS NOT NULL) AS mapq_under_30, count(*) FILTER (b.ed - b.st > 2) AS nm_over_2
+    FROM {RG} a LEFT JOIN {IV} b ON a.chrom = b.chrom AND a.st - 50 <= b.ed AND b.st <= a.ed + 50 GROUP BY a.id""")
+def _(read):
+    rows = read("iv").selectExpr("chrom", "st", "ed", "name % 60 AS clip", "'FR' AS orientation", "ed - st AS isize", "false AS mate_unmapped", "false AS mate_elsewhere", "ed - st AS nm", "0 AS events", "sample AS mapq")
+    return context.short_read_context(read("rg"), rows).select("id", "reads", "clip_1_10", "mapq_under_30", "nm_over_2")
+
+
+@query("long_read_context", f"""SELECT chrom, block, svtype AS type, count(*) AS n FROM (SELECT chrom, svtype, unnest(generate_series(greatest(0, (pos - 200) // 100), pos // 100)) AS block FROM {SV} x) GROUP BY 1, 2, 3""")
+def _(read):
+    return context.long_read_context(read("sv").withColumn("type", F.col("svtype")), 100, 300)
+
+
+@query("heat_map", f"""WITH b AS (SELECT chrom, st // 1000 AS block, count(*) AS n, max(name % 400) AS k, max(sample) AS s FROM {IV} x GROUP BY 1, 2)
+    SELECT y, x, n_sv, n_blank, round(n_sv / (n_sv + n_blank)::DOUBLE, 6) AS p, round(CASE WHEN n_sv > 0 THEN abs(-10 * log10(n_sv / (n_sv + n_blank)::DOUBLE)) END, 6) AS score FROM (SELECT least(99, n) AS y, least(299, k) AS x, count(*) FILTER (s % 2 = 0) AS n_sv, count(*) FILTER (s % 2 = 1) AS n_blank FROM b GROUP BY 1, 2)""")
+def _(read):
+    blocks = read("iv").groupBy("chrom", ops.div(F.col("st"), 1000).alias("block")).agg(F.count(F.lit(1)).alias("signals"), F.max(F.col("name") % 400).alias("k"), F.max("sample").alias("s"))
+    blocks = blocks.withColumn("reads", F.lit(100)).withColumn("label", F.when(F.col("s") % 2 == 0, "INS").otherwise("BLANK"))
+    return context.heat_map(blocks).select("y", "x", "n_sv", "n_blank", F.round("p", 6).alias("p"), F.round("score", 6).alias("score"))
+
+
+@query("roc", """WITH d AS (SELECT n_chars AS score, quality = 1 AS positive FROM labels JOIN documents USING (doc_id)), p AS (SELECT score, count(*) FILTER (positive) AS tp, count(*) FILTER (NOT positive) AS fp FROM d GROUP BY score),
+    c AS (SELECT score, sum(tp) OVER (ORDER BY score DESC)::BIGINT AS tp, sum(fp) OVER (ORDER BY score DESC)::BIGINT AS fp FROM p) SELECT score, tp, fp, round(tp / max(tp) OVER ()::DOUBLE, 6) AS recall, round(tp / (tp + fp)::DOUBLE, 6) AS "precision" FROM c""")
+def _(read):
+    scored = read("labels").join(read("documents").select("doc_id", "n_chars"), "doc_id").select(F.col("n_chars").alias("score"), (F.col("quality") == 1).alias("positive"))
+    return context.roc(scored).select("score", "tp", "fp", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
+# Mobile elements and contigs
+
+
+@query("element_gaps", f"""SELECT sample, type, st, st - lag(st) OVER w - lag(ed - st) OVER w AS gap FROM {IV} x WINDOW w AS (PARTITION BY sample, type ORDER BY st, ed)""")
+def _(read):
+    return mei.element_gaps(read("iv").withColumn("length", F.col("ed") - F.col("st"))).select("sample", "type", "st", "gap")
+
+
+@query("main_annotation", f"""SELECT sample, chrom, n FROM (SELECT sample, chrom, count(*) AS n, row_number() OVER (PARTITION BY sample ORDER BY count(*) DESC, min(id)) AS k FROM {IV} x GROUP BY sample, chrom) WHERE k = 1""")
+def _(read):
+    return mei.most_frequent(read("iv"), "sample", "chrom", "id")
+
+
+@query("mei_arrays")
+def _(read):
+    return mei.mei_arrays(read("iv").select((F.col("name") % 400).alias("sample"), "type", "st", "ed", (F.col("ed") - F.col("st")).alias("length")))
+
+
+@query("vntr_runs", f"""WITH c AS (SELECT id AS name, 1000 + id % 3000 AS length FROM {RG} x), s AS (SELECT c.name, greatest(0, (l.o * 37) % 2000 - 10) AS st, least(length - 1, (l.o * 37) % 2000 + q + 10) AS ed FROM c JOIN (SELECT l_orderkey AS o, l_orderkey AS k, l_quantity::INT AS q FROM lineitem WHERE l_linenumber = 1) l ON l.k = c.name),
+    f AS (SELECT *, max(ed) OVER (PARTITION BY name ORDER BY st, ed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s WHERE st <= ed), g AS (SELECT *, sum(CASE WHEN st - far <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY name ORDER BY st, ed ROWS UNBOUNDED PRECEDING) AS i FROM f),
+    m AS (SELECT name, min(st) AS st, max(ed) AS ed FROM g GROUP BY name, i) SELECT name, sum(ed - st + 1)::BIGINT AS bases FROM m GROUP BY name""")
+def _(read):
+    tracts = read("rg").select(F.col("id").alias("name"), (1000 + F.col("id") % 3000).alias("length"))
+    rows = read("lineitem").filter("l_linenumber = 1").selectExpr("l_orderkey AS name", "(l_orderkey * 37) % 2000 AS st", "(l_orderkey * 37) % 2000 + CAST(l_quantity AS INT) AS ed")
+    none = rows.limit(0).withColumn("class", F.lit("x"))
+    return contigs.vntr_runs(tracts, none, rows).filter("vntr").groupBy("name").agg(F.sum(F.col("ed") - F.col("st") + 1).alias("bases"))
+
+
+@query("choose_contigs", f"""WITH c AS (SELECT id, id % 50 AS region, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g')) AS n, length(s) % 7 AS support FROM {SEQ} x),
+    g AS (SELECT *, CASE WHEN lag(n) OVER w - n < 10 THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY region ORDER BY n DESC, id)), h AS (SELECT *, sum(new) OVER (PARTITION BY region ORDER BY n DESC, id) AS g FROM g),
+    b AS (SELECT *, row_number() OVER (PARTITION BY region, g ORDER BY support DESC, id) AS k FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY support DESC, id) AS r FROM b WHERE k = 1 OR support >= 3) SELECT region, id AS contig, support FROM r WHERE r <= 2""")
+def _(read):
+    rows = read("seq").select((F.col("id") % 50).alias("region"), F.col("id").alias("contig"), F.col("s").alias("seq"), (F.length("s") % 7).alias("support"))
+    return contigs.choose_contigs(rows).select("region", "contig", F.col("support").cast("long").alias("support"))
