@@ -123,8 +123,8 @@ def _block(n: Column, block: int, salt: int) -> Column:
 def mix(sizes: DataFrame, goal: DataFrame, block: int = 5000, seed: int = 11) -> DataFrame:
     """`(doc_id, source, size, source_size, target, times)`: how often each row of `sized` is taken."""
     fields = ["doc_id", "source", "size", "source_size", "target", "n_docs", "whole", "p", "toss"]
-    same = sizes["source"].eqNullSafe(goal["source"])
-    rows = sizes.join(goal, same, "left").select(sizes["doc_id"], sizes["source"], sizes["size"], goal["source_size"], goal["target"], goal["n_docs"])
+    goal = goal.select(F.col("source").alias("_source"), "source_size", "target", "n_docs")
+    rows = sizes.select("doc_id", "source", "size").join(goal, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(wanted + _EPS)).withColumn("p", F.greatest(F.lit(0.0), wanted - F.col("whole")))
     rows = rows.withColumn("toss", F.xxhash64("doc_id", "size", "source", F.lit(seed))).select(*fields)
