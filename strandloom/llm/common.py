@@ -117,24 +117,24 @@ def class_frequency(texts: DataFrame, hashes: Callable[[bytes], np.ndarray], cla
     width = classes // chunks
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(classes, np.int64), 0
+        df, n = np.zeros(classes, np.int32), 0
         for b in pieces(batches, 500):
-            found = [np.unique(classes_of(hashes(raw), classes)) for raw in as_bytes(b.column(0))]
-            df += np.bincount(np.concatenate(found), minlength=classes)
+            for raw in as_bytes(b.column(0)):
+                df[np.unique(classes_of(hashes(raw), classes))] += 1
             n += b.num_rows
         if n:
             blobs = [zlib.compress(df[k * width : (k + 1) * width].tobytes(), 1) for k in range(chunks)]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(chunks), pa.int32()), "n": pa.array([n] * chunks, pa.int64()), "df": pa.array(blobs, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(chunks), pa.int32()), "n": pa.array([n] * chunks, pa.int64()), "df": pa.array(blobs, pa.binary()), "kind": pa.array(["int32"] * chunks)})
 
     def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(width, np.int64), 0
         for b in batches:
-            for x, m in zip(b.column("df").to_pylist(), b.column("n").to_pylist()):
-                df += np.frombuffer(zlib.decompress(x), np.int64)
+            for x, m, kind in zip(b.column("df").to_pylist(), b.column("n").to_pylist(), b.column("kind").to_pylist()):
+                df += np.frombuffer(zlib.decompress(x), kind)
                 n += m
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "df": pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "df": pa.array([zlib.compress(df.tobytes(), 1)], pa.binary()), "kind": pa.array(["int64"])})
 
-    schema = "chunk int, n bigint, df binary"
+    schema = "chunk int, n bigint, df binary, kind string"
     rows = texts.mapInArrow(count, schema).groupBy("chunk").applyInArrow(added, schema).collect()  # `chunks` rows at most
     df, n = np.zeros(classes, np.int64), 0
     for r in rows:
