@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, imatch, jaccard, langid, mixing, pii, quality, suffix, urls, windows
+from strandloom.llm import bpe, imatch, jaccard, langid, mixing, pii, quality, sql, suffix, urls, windows
 from strandloom.llm.common import stored
 
 
@@ -87,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_jaccard_join": sql.JACCARD, "op3_substring_dedup": sql.SUBSTRINGS, "op5_url_filter": sql.URLS}
