@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -138,3 +138,11 @@ def block_ids(pos: Column | str, step: int, length: int) -> Column:
     pos = _col(pos)
     div = lambda x: F.floor(x / step).cast("long")
     return F.struct(F.greatest(F.lit(0), div(pos - length + step)).cast("long").alias("first"), div(pos).alias("last"))
+
+
+def error_mask(rows: DataFrame, least: float = 0.5, reach: int = 25) -> DataFrame:
+    """Adds `mask` to the k-mers (read, i, kmer, prob) of reads: `P` for poly-A or poly-T k-mers and unlikely ones, `E` for
+    those within `reach` of one, else `N`."""
+    bad = _col("kmer").rlike("^(A+|T+)$") | (F.coalesce(_col("prob"), F.lit(0.0)) < least)
+    near = Window.partitionBy("read").orderBy("i").rangeBetween(-reach, reach)
+    return rows.withColumn("_b", bad.cast("int")).withColumn("mask", F.when(F.col("_b") == 1, "P").when(F.max("_b").over(near) == 1, "E").otherwise("N")).drop("_b")

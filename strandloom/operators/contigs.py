@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as cg
 from strandloom.functions.sequence import collapsed_length, is_mobile, is_simple, shared_kmers
-from strandloom.operators.intervals import merge
+from strandloom.operators.intervals import gap_clusters, merge
 
 
 def attach_annotations(contigs: DataFrame, annotation: DataFrame) -> DataFrame:
@@ -178,3 +178,88 @@ def replacement_pairs(sv: DataFrame) -> DataFrame:
         return F.when(F.col(f"{o}.type") != F.col("type"), F.struct(d.alias("distance"), (F.abs(F.col("length") - F.col(f"{o}.length")) / F.least("length", f"{o}.length")).alias("ratio")))
 
     return rows.withColumn("_b", F.least(apart("_p"), apart("_n"))).select(*sv.columns, "_b.distance", "_b.ratio")
+
+
+def reference_places(sv: DataFrame, alignments: DataFrame) -> DataFrame:
+    """Reference breakpoints of differences: the base contig's place and the inserted contig's two, through each contig's
+    alignment `(region, contig, ref_st, cigar)` to the reference; a contig that is the reference keeps its own place.
+    `base_is_insert` says that the base contig's place lies in an insertion."""
+    a = alignments.select("region", F.col("contig").alias("a_contig"), F.col("ref_st").alias("_as"), F.col("cigar").alias("_ac"))
+    b = alignments.select("region", F.col("contig").alias("b_contig"), F.col("ref_st").alias("_bs"), F.col("cigar").alias("_bc"))
+    rows = sv.join(a, ["region", "a_contig"], "left").join(b, ["region", "b_contig"], "left")
+    end = F.col("b_pos") + F.when(F.col("type") == "INS", F.col("length")).otherwise(0)
+    at = lambda c, s, q: F.when(F.col(c).isNull(), F.struct(q.cast("int").alias("ref"), F.lit(None).cast("string").alias("op"), F.lit(0).alias("len"))).otherwise(cg.query_to_ref(c, s, q))
+    rows = rows.withColumn("_x", at("_ac", "_as", F.col("a_pos"))).withColumn("_y", at("_bc", "_bs", F.col("b_pos"))).withColumn("_z", at("_bc", "_bs", end))
+    return rows.select(*sv.columns, F.col("_x.ref").alias("base_ref"), F.coalesce(F.col("_x.op") == "I", F.lit(False)).alias("base_is_insert"), F.col("_y.ref").alias("insert_ref"), F.col("_z.ref").alias("insert_ref_end"))
+
+
+def nested(sv: DataFrame) -> DataFrame:
+    """Differences whose base lies in an insertion against the reference."""
+    return sv.filter("base_is_insert")
+
+
+def mismatch_regions(alignments: DataFrame, points: DataFrame, clean: int = 50, span: int = 100, rate: float = 0.1) -> DataFrame:
+    """Around each point (region, contig, query) the stretch of its alignment up to `clean` matches in a row on both sides:
+    its length, differences and rate, and whether it is a nested difference (long with many). Rows per operation only."""
+    rows = alignments.withColumn("_z", F.lit(0))
+    ops = cg.exploded(rows, "cigar", "_z").select("region", "contig", "k", "op", "len", F.col("query").alias("q_st"), (F.col("query") + F.when(F.col("op") == "D", 0).otherwise(F.col("len"))).alias("q_ed"))
+    j = points.join(ops, ["region", "contig"])
+    wall = F.col("op").isin("=") & (F.col("len") >= clean)
+    key = ["region", "contig", "query"]
+    edge = j.groupBy(*key).agg(F.coalesce(F.max(F.when(wall & (F.col("q_ed") <= F.col("query")), F.col("q_ed"))), F.lit(0)).alias("lo"), F.coalesce(F.min(F.when(wall & (F.col("q_st") >= F.col("query")), F.col("q_st"))), F.max("q_ed")).alias("hi"))
+    inside = j.join(edge, key).filter((F.col("q_st") >= F.col("lo")) & (F.col("q_ed") <= F.col("hi")))
+    out = inside.groupBy(*key, "lo", "hi").agg(F.sum(F.when(F.col("op").isin("X", "I", "D"), F.col("len")).otherwise(0)).alias("differences"), F.sum("len").alias("total"))
+    return out.withColumn("rate", F.try_divide("differences", "total")).withColumn("many", (F.col("hi") - F.col("lo") > span) & (F.col("rate") > rate))
+
+
+def cluster_report(clusters: DataFrame, annotation: DataFrame) -> DataFrame:
+    """Per region and cluster the contigs, their number, and the annotation classes found on them."""
+    kinds = annotation.groupBy("region", "contig").agg(F.collect_set("class").alias("kinds"))
+    per = clusters.join(kinds, ["region", "contig"], "left").groupBy("region", "cluster")
+    return per.agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("contig")).alias("contigs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("kinds", F.array().cast("array<string>")))))).alias("classes"))
+
+
+def corrected_colours(rows: DataFrame, clusters: DataFrame, gap: int = 20) -> DataFrame:
+    """Cluster counts of sub-regions (region, run, size, only_purple) less the purple differences that fall together:
+    their places (region, run, pos) are clustered by gaps, and what exceeds the number of clusters is taken off."""
+    n = gap_clusters(clusters, gap, ("region", "run")).groupBy("region", "run").agg(F.count(F.lit(1)).alias("_n"))
+    out = rows.join(n, ["region", "run"], "left")
+    return out.withColumn("corrected", F.col("size") - F.greatest(F.lit(0), F.col("only_purple") - F.coalesce("_n", F.lit(0)))).drop("_n")
+
+
+def linked_read_scores(bases: DataFrame, least: int = 5) -> DataFrame:
+    """Scores of read pairs by the SNPs (region, pos, read, alt boolean) that they share: 3 for each alternative in common,
+    -4 for each difference, 1 for each reference base in common. SNPs need `least` reads of either kind."""
+    good = bases.groupBy("region", "pos").agg(F.count_if("alt").alias("a"), F.count_if(~F.col("alt")).alias("r")).filter((F.col("a") >= least) & (F.col("r") >= least)).select("region", "pos")
+    b = bases.join(good, ["region", "pos"], "left_semi")
+    x, y = b.select("region", "pos", F.col("read").alias("r1"), F.col("alt").alias("a1")), b.select("region", "pos", F.col("read").alias("r2"), F.col("alt").alias("a2"))
+    score = F.when(F.col("a1") != F.col("a2"), -4).when(F.col("a1"), 3).otherwise(1)
+    return x.join(y, ["region", "pos"]).filter("r1 < r2").groupBy("region", "r1", "r2").agg(F.sum(score).alias("score"))
+
+
+def group_linked_reads(scores: DataFrame, reads: DataFrame) -> DataFrame:
+    """Greedy groups of a region's reads, in order: a read joins the group with the best positive score; without one it
+    opens a group if some score is negative, else it goes to the first. A region is small (a few hundred reads)."""
+    pairs = scores.groupBy("region").agg(F.collect_list(F.struct("r1", "r2", "score")).alias("pairs"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = pdf["pairs"].iloc[0]
+        score = {} if found is None else {frozenset((p["r1"], p["r2"])): p["score"] for p in found}
+        groups: list[list] = []
+        out = []
+        for r in sorted(pdf["read"]):
+            to = [sum(score.get(frozenset((r, m)), 0) for m in g) for g in groups]
+            best = max(range(len(to)), key=lambda k: (to[k], -k), default=None)
+            if best is not None and to[best] > 0:
+                k = best
+            elif best is None or min(to) < 0:
+                k = len(groups)
+                groups.append([])
+            else:
+                k = 0
+            groups[k].append(r)
+            out.append((pdf["region"].iloc[0], r, k))
+        return pd.DataFrame(out, columns=["region", "read", "grp"])
+
+    kinds = {c: reads.schema[c].dataType.simpleString() for c in ("region", "read")}
+    return reads.select("region", "read").distinct().join(pairs, "region", "left").groupBy("region").applyInPandas(run, f"region {kinds['region']}, read {kinds['read']}, grp int")

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom import views
+from strandloom.functions import cigar as cg
 from strandloom.functions import intervals as iv
 from strandloom.functions import sequence as sq
-from strandloom.operators import cohort, context, contigs, folds, genotype, mei, reads
+from strandloom.operators import cohort, context, contigs, folds, genotype, mei, reads, short_signals
 from strandloom.operators import intervals as ops
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-IV, RG, SV, SEQ = (views.sql(n) for n in ("iv", "rg", "sv", "seq"))
+IV, RG, SV, SEQ, AL = (views.sql(n) for n in ("iv", "rg", "sv", "seq", "al"))
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
@@ -536,3 +537,108 @@ def _(read):
 def _(read):
     rows = read("seq").select((F.col("id") % 50).alias("region"), F.col("id").alias("contig"), F.col("s").alias("seq"), (F.length("s") % 7).alias("support"))
     return contigs.choose_contigs(rows).select("region", "contig", F.col("support").cast("long").alias("support"))
+
+
+# Alignments with flags and CIGARs
+
+@query("short_reads", f"""SELECT id FROM {AL} x WHERE (flag & {1024 + 256 + 2048}) = 0 AND ((flag & 4) <> 0 OR mapq >= 20 OR (nm * 10 >= 20 AND mate_chrom = chrom AND abs(isize) < 20000))""")
+def _(read):
+    return reads.short_reads(read("al").withColumn("mate_mapq", F.col("nm") * 10)).select("id")
+
+
+@query("long_reads", f"""SELECT id FROM {AL} x WHERE (flag & 256) = 0 AND mapq >= 1 AND ((flag & 2048) = 0 OR 10 + q + ln + 5 + q % 40 + 30 + 20 + ln * 300 >= 1200)""")
+def _(read):
+    return reads.long_reads(read("al").withColumn("cigar", cg.parse("cigar_text"))).select("id")
+
+
+@query("translocation_reads", f"""SELECT id, mate_chrom AS chrom, mate_pos AS pos, chrom AS mate_chrom, pos AS mate_pos FROM {AL} x WHERE (flag & {256 + 2048 + 1024 + 4 + 8}) = 0 AND pos <> mate_pos AND (isize = 0 OR abs(isize) > 5000)""")
+def _(read):
+    return reads.translocation_reads(read("al")).select("id", "chrom", "pos", "mate_chrom", "mate_pos")
+
+
+@query("discordant_pairs", f"""SELECT id FROM {AL} x WHERE (flag & 12) = 0 AND (chrom <> mate_chrom OR ((flag & 16) <> 0) = ((flag & 32) <> 0) OR abs(isize) <= 200 OR abs(isize) >= 4500 OR CASE WHEN (flag & 16) <> 0 THEN pos < mate_pos ELSE pos > mate_pos END)""")
+def _(read):
+    return read("al").filter(reads.discordant(200, 4500)).select("id")
+
+
+@query("pair_classes", f"""SELECT id, CASE WHEN chrom <> mate_chrom AND s THEN 'TRA_INV' WHEN chrom <> mate_chrom THEN 'TRA' WHEN s AND (flag & 16) = 0 THEN 'INV_1' WHEN s THEN 'INV_2' WHEN NOT f THEN 'DUP' WHEN abs(isize) > 4500 THEN 'DEL' END AS class
+    FROM (SELECT *, ((flag & 16) <> 0) = ((flag & 32) <> 0) AS s, CASE WHEN pos <= mate_pos THEN (flag & 16) = 0 ELSE (flag & 32) = 0 END AS f FROM {AL} x)""")
+def _(read):
+    return read("al").select("id", reads.pair_class(4500).alias("class"))
+
+
+@query("mate_groups", f"""WITH n AS (SELECT mate_chrom AS chrom, mate_pos AS st, mate_pos - lag(mate_pos) OVER (PARTITION BY mate_chrom ORDER BY mate_pos) AS d FROM {AL} x WHERE mapq = 7),
+    g AS (SELECT *, sum(CASE WHEN d <= 20000 THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY st ROWS UNBOUNDED PRECEDING) AS i FROM n) SELECT chrom, min(st) AS st, max(st) AS ed, count(*) AS n FROM g GROUP BY chrom, i HAVING count(*) > 3""")
+def _(read):
+    return reads.mate_groups(read("al").filter("mapq = 7"))
+
+
+_INS = "pos + 10 + q + ln"
+
+
+@query("long_read_signals", f"""SELECT id::VARCHAR AS read_name, 'INS' AS type, {_INS} AS pos, {_INS} AS "end", 5 + q % 40 AS length FROM {AL} x WHERE 5 + q % 40 >= 30
+    UNION ALL SELECT id::VARCHAR, 'DEL', {_INS} + 30, {_INS} + 30 + 1 + q * 3 % 60, 1 + q * 3 % 60 FROM {AL} y WHERE 1 + q * 3 % 60 >= 30
+    UNION ALL SELECT id::VARCHAR, 'CLIP_RIGHT', {_INS} + 50 + 1 + q * 3 % 60, {_INS} + 50 + 1 + q * 3 % 60, ln * 300 FROM {AL} z WHERE ln * 300 > 1000""")
+def _(read):
+    return reads.long_read_signals(read("al").withColumn("cigar", cg.parse("cigar_text"))).select("read_name", "type", "pos", "end", "length")
+
+
+@query("cigar_functions", f"""SELECT id, 10 + q + ln + 30 + 1 + q * 3 % 60 + 20 AS ref_length, 10 + q + ln + 5 + q % 40 + 50 + ln * 300 AS query_length, ln * 300 AS clip, greatest(5 + q % 40 + 1 + q * 3 % 60, nm) AS edits, {_INS} + 3 AS lifted FROM {AL} x""")
+def _(read):
+    al = read("al").withColumn("cigar", cg.parse("cigar_text"))
+    place = F.col("q") + 10 + F.col("ln") + 5 + F.col("q") % 40 + 3
+    return al.select("id", cg.reference_length("cigar").alias("ref_length"), cg.query_length("cigar").alias("query_length"), cg.clip_right("cigar").alias("clip"), cg.edits("cigar", "nm").alias("edits"), cg.query_to_ref("cigar", "pos", place)["ref"].alias("lifted"))
+
+
+@query("clip_signals", f"""SELECT id::VARCHAR AS read_name, {_INS} + 41 + q * 3 % 60 AS st, {_INS} + 61 + q * 3 % 60 AS ed, 'BEGIN' AS side, least(15, mapq) AS score FROM {AL} x""")
+def _(read):
+    return reads.clip_signals(read("al").withColumn("cigar", cg.parse("cigar_text"))).select("read_name", "st", "ed", "side", "score")
+
+
+@query("variant_density", f"""WITH o AS (SELECT id, chrom, pos AS st, pos + 9 + q AS ed, '=' AS op, 10 + q AS n FROM {AL} a UNION ALL SELECT id, chrom, pos + 10 + q, pos + 9 + q + ln, 'X', ln FROM {AL} b UNION ALL SELECT id, chrom, {_INS}, {_INS}, 'I', 5 + q % 40 FROM {AL} c
+    UNION ALL SELECT id, chrom, {_INS}, {_INS} + 29, '=', 30 FROM {AL} d UNION ALL SELECT id, chrom, {_INS} + 30, {_INS} + 30 + q * 3 % 60, 'D', 0 FROM {AL} e UNION ALL SELECT id, chrom, {_INS} + 31 + q * 3 % 60, {_INS} + 50 + q * 3 % 60, '=', 20 FROM {AL} f),
+    j AS (SELECT r.id, o.id AS read, op, n, greatest(0, least(r.ed - 1, o.ed) - greatest(r.st, o.st) + 1) AS k FROM {RG} r JOIN o ON r.chrom = o.chrom AND r.st <= o.ed AND o.st <= r.ed)
+    SELECT id, count(DISTINCT read) AS reads, (sum(k) FILTER (op = '='))::BIGINT AS matches, coalesce(sum(k) FILTER (op = 'X'), 0)::BIGINT AS mismatches, count(*) FILTER (op = 'I') AS insertions, coalesce(sum(n) FILTER (op = 'I'), 0)::BIGINT AS inserted, coalesce(sum(k) FILTER (op = 'D'), 0)::BIGINT AS deleted FROM j GROUP BY id HAVING count(*) FILTER (op = '=') > 0""")
+def _(read):
+    out = context.variant_density(read("al").withColumn("cigar", cg.parse("cigar_text")), read("rg"))
+    return out.filter("matches > 0 OR matches = 0").filter("matches IS NOT NULL").select("id", "reads", "matches", "mismatches", "insertions", "inserted", "deleted")
+
+
+@query("label_blocks", f"""WITH b AS (SELECT DISTINCT chrom, st // 1000 AS block FROM {IV} x), e AS (SELECT chrom, type, st AS pos FROM {RG} y WHERE ed - st >= 10 UNION ALL SELECT chrom, type, ed FROM {RG} z WHERE ed - st >= 10),
+    l AS (SELECT chrom, block, max(type) AS label FROM (SELECT chrom, type, unnest(generate_series(greatest(0, (pos - 2000) // 1000), pos // 1000)) AS block FROM e) GROUP BY 1, 2)
+    SELECT b.chrom, b.block, coalesce(label, 'BLANK') AS label, 0 AS k FROM b LEFT JOIN l ON b.chrom = l.chrom AND b.block = l.block""")
+def _(read):
+    index = read("rg").select("chrom", F.col("st").alias("pos"), F.lit(1).alias("k")).limit(0)
+    blocks = read("iv").select("chrom", ops.div(F.col("st"), 1000).alias("block")).distinct()
+    return context.label_blocks(blocks, read("rg"), index, 1000, 3000)
+
+
+def _two_regions(read):
+    return read("iv").selectExpr("chrom", "type", "CASE WHEN hap = 0 THEN 'BEGIN' ELSE 'END' END AS side", "st", "ed", "chrom AS chrom2", "st + 3000 AS st2", "ed + 3000 AS ed2", "CAST(10 AS DOUBLE) AS score", "1L AS reads", "id")
+
+
+@query("combined_short_signals")
+def _(read):
+    return short_signals.combine(_two_regions(read), 2, 16)
+
+
+@query("solid_short_signals", f"""WITH s AS (SELECT *, CASE WHEN hap = 0 THEN 'BEGIN' ELSE 'END' END AS side FROM {IV} x), n AS (SELECT b.id AS b, e.id AS e, b.st AS bs, row_number() OVER (PARTITION BY b.id ORDER BY e.st, e.id) AS k FROM s b JOIN s e ON b.side = 'BEGIN' AND e.side = 'END' AND b.chrom = e.chrom AND b.type = e.type AND b.st <= e.ed AND e.st <= b.ed),
+    f AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY bs, b) AS j FROM n WHERE k = 1) SELECT b AS id FROM f WHERE j = 1""")
+def _(read):
+    return short_signals.pair_sides(_two_regions(read)).filter("side = 'SOLID'").select("id")
+
+
+@query("linked_read_scores", """WITH b AS (SELECT c_nationkey AS region, c_custkey % 40 AS read, c_custkey % 7 AS pos, max(c_acctbal > 4500) AS alt FROM customer GROUP BY 1, 2, 3), g AS (SELECT region, pos FROM b GROUP BY 1, 2 HAVING count(*) FILTER (alt) >= 5 AND count(*) FILTER (NOT alt) >= 5)
+    SELECT x.region, x.read AS r1, y.read AS r2, sum(CASE WHEN x.alt <> y.alt THEN -4 WHEN x.alt THEN 3 ELSE 1 END)::BIGINT AS score FROM b x JOIN b y ON x.region = y.region AND x.pos = y.pos AND x.read < y.read JOIN g ON g.region = x.region AND g.pos = x.pos GROUP BY 1, 2, 3""")
+def _(read):
+    return contigs.linked_read_scores(_snps(read))
+
+
+@query("linked_read_groups")
+def _(read):
+    b = _snps(read)
+    return contigs.group_linked_reads(contigs.linked_read_scores(b), b)
+
+
+def _snps(read):
+    return read("customer").selectExpr("c_nationkey AS region", "c_custkey % 40 AS read", "c_custkey % 7 AS pos", "c_acctbal > 4500 AS alt").groupBy("region", "read", "pos").agg(F.max("alt").alias("alt"))
