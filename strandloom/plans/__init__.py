@@ -1 +1 @@
-
+"""Whole workflows as one lazy plan each."""

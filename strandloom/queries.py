@@ -13,6 +13,7 @@ from strandloom.functions import intervals as iv
 from strandloom.functions import sequence as sq
 from strandloom.operators import cohort, context, contigs, folds, genotype, mei, reads, short_signals
 from strandloom.operators import intervals as ops
+from strandloom.plans import cohort as plan
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -97,7 +98,7 @@ def _(read):
 @query("csv_regions", _frequency_sql(f"(SELECT * FROM {IV} a WHERE EXISTS (SELECT 1 FROM {IV} b WHERE a.sample = b.sample AND a.hap = b.hap AND a.chrom = b.chrom AND a.id <> b.id AND ({_ENDS})))", 1))
 def _(read):
     """The flagship: variants near each other, their bins, counted over haplotypes, merged to regions."""
-    return ops.bin_frequency(ops.sv_bins(ops.flag_near(read("iv"))), 1)
+    return plan.csv_regions(read("iv"), 1)
 
 
 @query("bed_depth_runs", f"""WITH w AS (SELECT chrom, unnest(generate_series(st // 20, ed // 20)) AS w FROM {IV} x WHERE ed - st >= 100),

@@ -1 +1 @@
-
+"""No stream source belongs to this domain: all inputs are finite files, so nothing is registered here."""

@@ -188,3 +188,39 @@ def test_contig_clusters_and_haplotypes(spark):
     assert (r.haplotype, r.insertions, r.deletions) == ("ACTTGTAGT", 1, 1)
     runs = contigs.vntr_runs(spark.createDataFrame([("c", 100)], "name string, length int"), spark.createDataFrame([], "name string, st int, ed int, class string"), spark.createDataFrame([("c", 30, 40)], "name string, st int, ed int"))
     assert [(x.st, x.ed, x.vntr) for x in runs.orderBy("st").collect()] == [(0, 19, False), (20, 50, True), (51, 99, False)]
+
+
+def test_cohort_plan_from_calls_to_regions(spark):
+    from strandloom.plans import cohort as plan
+
+    rows = [("s1", 1, "1", 1000, "N", "A", "PASS", 60, 1, 1), ("s1", 2, "1", 1300, "N", "A", "PASS", -80, 1, 0), ("s2", 3, "1", 1000, "N", "A", "PASS", 60, 0, 1), ("s1", 4, "1", 9000, "N", "A", "LOW", 60, 1, 1)]
+    calls = spark.createDataFrame(rows, "sample string, id int, chrom string, pos int, ref string, alt string, filter string, svlen int, a1 int, a2 int")
+    regions_ = plan.csv_regions(plan.haplotype_calls(calls), 1)
+    assert [(r.chrom, r.st, r.ed, r.max_ac) for r in regions_.collect()] == [("1", 500, 1500, 1)]
+    contig = spark.createDataFrame([("1", 900, 1100, "c", 3), ("1", 900, 1100, "d", 1)], "chrom string, st int, ed int, contig string, support int")
+    assert [r.r_contig for r in plan.region_contigs(regions_, contig).collect()] == ["c"]
+
+
+def test_short_read_signals_and_masks(spark):
+    from strandloom.operators import short_signals as ss
+
+    row = lambda i, side, st, kind="DEL": ("1", kind, side, st, st + 50, "1", st + 900, st + 950, 10.0, 1, i)
+    df = spark.createDataFrame([row(1, "BEGIN", 100), row(2, "BEGIN", 120), row(3, "END", 110), row(4, "END", 9000), row(5, "BEGIN", 140)], "chrom string, type string, side string, st int, ed int, chrom2 string, st2 int, ed2 int, score double, reads int, id int")
+    got = ss.combine(df, 1, 0)
+    assert sorted((r.side, r.st, r.ed, r.reads) for r in got.collect()) == [("BEGIN", 100, 190, 3), ("END", 110, 160, 1), ("END", 9000, 9050, 1)]
+    assert sorted((r.side, r.st, r.ed, r.reads) for r in ss.pair_sides(got).collect()) == [("END", 9000, 9050, 1), ("SOLID", 110, 160, 4)]
+    inv = spark.createDataFrame([row(1, "BEGIN", 100, "INV_1"), row(2, "END", 120, "INV_2")], df.schema)
+    assert [(r.type, r.reads) for r in ss.combine_inversions(inv).collect()] == [("INV", 2)]
+    k = spark.createDataFrame([("r", i, "AAAA" if i == 40 else "ACGT", 0.9) for i in range(80)], "read string, i int, kmer string, prob double")
+    mask = "".join(r["mask"] for r in sq.error_mask(k).orderBy("i").collect())
+    assert mask == "N" * 15 + "E" * 25 + "P" + "E" * 25 + "N" * 14
+
+
+def test_read_filters(spark):
+    df = spark.createDataFrame([("a", 0, 2500, [1, 5]), ("b", 1, 2500, list(range(250))), ("c", 2, 900, list(range(500)))], "read_name string, k int, length int, errors array<int>")
+    assert sorted(r.read_name for r in reads.accurate_reads(df).collect()) == ["a", "c"]
+    assert one(spark, n=reads.mismatch_events(F.array(*map(F.lit, [1, 2, 2, 7, 9])))).n == 3
+    q = spark.createDataFrame([("s", [10, 10]), ("s", [30, 30]), ("s", [30, 30])], "sample string, qual array<int>")
+    assert reads.good_quality_reads(q).count() == 2
+    g = spark.createDataFrame([("v", -1.0, -5.0)] * 6 + [("v", -5.0, -1.0)] * 6 + [("w", -1.0, -6.0)] * 9, "id string, ref_ll double, alt_ll double")
+    assert {r.id: r.gt for r in genotype.bayes_genotype(g, {"0/0": 0.0, "0/1": 0.5, "1/1": 1.0}).collect()} == {"v": "0/1", "w": "0/0"}
