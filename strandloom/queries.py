@@ -643,3 +643,75 @@ def _(read):
 
 def _snps(read):
     return read("customer").selectExpr("c_nationkey AS region", "c_custkey % 40 AS read", "c_custkey % 7 AS pos", "c_acctbal > 4500 AS alt").groupBy("region", "read", "pos").agg(F.max("alt").alias("alt"))
+
+
+# More rules
+
+
+@query("read_classes", f"""SELECT id, CASE WHEN alt_n * 3 > ref_n + 4 AND alt_n * 3 > 5 THEN 'alt' WHEN ref_n > alt_n * 3 + 4 AND ref_n > 5 THEN 'ref' ELSE 'unknown' END AS class FROM {SV} x""")
+def _(read):
+    return read("sv").select("id", genotype.read_class(F.col("ref_n"), F.col("alt_n") * 3, 5).alias("class"))
+
+
+@query("bayes_genotypes", f"""WITH r AS (SELECT name AS v, -(hap * 2.0 + 0.5)::DOUBLE AS rl, -((1 - hap) * 2.0 + 0.5)::DOUBLE AS al FROM {IV} x), g AS (SELECT unnest(['0/0', '0/1', '1/1']) AS gt, unnest([0.0, 0.5, 1.0])::DOUBLE AS s),
+    p AS (SELECT v, gt, sum(log10((1 - s) * pow(10, rl) + s * pow(10, al))) AS ll FROM r, g GROUP BY v, gt), k AS (SELECT *, row_number() OVER w AS k, lead(ll) OVER w AS n FROM p WINDOW w AS (PARTITION BY v ORDER BY round(ll, 9) DESC, gt)) SELECT v AS id, gt, round(ll, 6) AS ll FROM k WHERE k = 1""")
+def _(read):
+    rows = read("iv").selectExpr("name AS id", "-(hap * 2.0D + 0.5D) AS ref_ll", "-((1 - hap) * 2.0D + 0.5D) AS alt_ll")
+    return genotype.bayes_genotype(rows, {"0/0": 0.0, "0/1": 0.5, "1/1": 1.0}).select("id", "gt", F.round("ll", 6).alias("ll"))
+
+
+def _contig_pairs(read):
+    return read("al").select((F.col("id") % 100).alias("region"), F.col("id").alias("a_contig"), F.col("ln").alias("b_contig"), cg.parse("cigar_text").alias("cigar"), (F.col("q") + F.col("ln") + F.col("q") * 3 % 60 + 61).alias("a_length"), (F.col("q") + F.col("ln") + F.col("q") % 40 + 65).alias("b_length"))
+
+
+@query("contig_variants", f"""SELECT id AS a_contig, 10 + q + ln AS a_pos, 10 + q + ln AS b_pos, 'INS' AS type, 5 + q % 40 AS length FROM {AL} x WHERE 5 + q % 40 >= 30
+    UNION ALL SELECT id, 40 + q + ln, 45 + q + ln + q % 40, 'DEL', 1 + q * 3 % 60 FROM {AL} y WHERE 1 + q * 3 % 60 >= 30""")
+def _(read):
+    return contigs.contig_variants(_contig_pairs(read), 30).select("a_contig", "a_pos", "b_pos", "type", "length")
+
+
+@query("alignment_summary", f"""SELECT id AS a_contig, 61 + q + ln + q * 3 % 60 AS a_aligned, 65 + q + ln + q % 40 AS b_aligned, 60 + q AS matched, (5 + q % 40 >= 40)::INT + (1 + q * 3 % 60 >= 40)::INT AS gaps, true AS "right" FROM {AL} x""")
+def _(read):
+    return contigs.alignment_summary(_contig_pairs(read), 40).select("a_contig", "a_aligned", "b_aligned", "matched", "gaps", "right")
+
+
+@query("replacement_pairs", f"""SELECT id AS a_contig, 'INS' AS type, 30 AS distance, round(abs((5 + q % 40) - (1 + q * 3 % 60)) / least(5 + q % 40, 1 + q * 3 % 60)::DOUBLE, 6) AS ratio FROM {AL} x WHERE 5 + q % 40 >= 30 AND 1 + q * 3 % 60 >= 30
+    UNION ALL SELECT id, 'DEL', 30, round(abs((5 + q % 40) - (1 + q * 3 % 60)) / least(5 + q % 40, 1 + q * 3 % 60)::DOUBLE, 6) FROM {AL} y WHERE 5 + q % 40 >= 30 AND 1 + q * 3 % 60 >= 30""")
+def _(read):
+    out = contigs.replacement_pairs(contigs.contig_variants(_contig_pairs(read), 30)).filter("distance IS NOT NULL")
+    return out.select("a_contig", "type", "distance", F.round("ratio", 6).alias("ratio"))
+
+
+@query("core_mappings", f"""SELECT id FROM {IV} x WHERE ed - st >= 500 AND sample >= 5 AND chrom < 6""")
+def _(read):
+    rows = read("iv").selectExpr("id", "st AS read_st", "ed AS read_ed", "sample AS mapq", "chrom AS chrom_id")
+    return reads.core_mappings(rows, 500, 5, 6).select("id")
+
+
+@query("flanking_alignments", f"""WITH p AS (SELECT id, chrom, st AS pos, name % 40 AS sample FROM {RG} x), w AS (SELECT unnest([20000, 200000]) AS w),
+    j AS (SELECT p.id, w, a.st - pos AS f, pos - a.ed AS b, a.hap AS read FROM p, w JOIN {IV} a ON a.chrom = p.chrom AND a.sample = p.sample AND ((a.st - pos > 100 AND a.st - pos < w) OR (pos - a.ed > 100 AND pos - a.ed < w))),
+    f AS (SELECT id, w, min(f) AS d, arg_min(read, f * 10 + read) AS r FROM j WHERE f > 100 AND f < w GROUP BY 1, 2), b AS (SELECT id, w, min(b) AS d, arg_min(read, b * 10 + read) AS r FROM j WHERE b > 100 AND b < w GROUP BY 1, 2),
+    g AS (SELECT f.id, f.w, f.r AS read, b.d AS before, f.d AS behind, row_number() OVER (PARTITION BY f.id ORDER BY f.w) AS k FROM f JOIN b ON f.id = b.id AND f.w = b.w AND f.r = b.r WHERE f.d < 150000 AND b.d < 150000) SELECT id, w, read, before, behind FROM g WHERE k = 1""")
+def _(read):
+    points = read("rg").selectExpr("id", "chrom", "st AS pos", "name % 40 AS sample")
+    return reads.flanking_alignments(points, read("iv").withColumn("read", F.col("hap")), 100, (20_000, 200_000), 150_000)
+
+
+@query("strong_signals", f"""SELECT id FROM {SV} x WHERE CASE WHEN hap = 1 THEN (ref_n + alt_n) * 10 >= 50 AND least(ref_n, alt_n) * 10 >= 15 ELSE (ref_n + alt_n) * 10 >= 100 END""")
+def _(read):
+    rows = read("sv").selectExpr("id", "hap = 1 AS solid", "ref_n * 10 AS score_b", "alt_n * 10 AS score_e")
+    return reads.strong_signals(rows).select("id")
+
+
+@query("small_signals")
+def _(read):
+    ev = read("ev").groupBy("read").agg(F.sort_array(F.collect_list(F.struct((F.col("pos") % 10_000_000).cast("int").alias("pos"), F.lit(20).alias("len")))).alias("edits"))
+    return reads.small_signals(ev.select(F.col("read").alias("read_name"), F.lit(1).alias("chrom"), "edits"), 20_000, 10, 35)
+
+
+@query("clustered_contigs")
+def _(read):
+    rows = read("seq").selectExpr("CAST(id % 30 AS STRING) AS region", "CAST(id AS STRING) AS contig", "id AS ord", "length(s) AS n")
+    other = rows.selectExpr("region", "contig AS b_contig", "n AS m")
+    differ = rows.join(other, "region").filter("contig < b_contig AND abs(n - m) > 50").selectExpr("region", "contig AS a_contig", "b_contig")
+    return contigs.cluster_contigs(rows, differ)

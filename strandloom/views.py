@@ -35,6 +35,6 @@ def sql(name: str) -> str:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, select = SELECTS[name]
     if name == "ev":
-        return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr("event_id AS id", "user_id AS read", "event_type AS op", "value", "CAST(unix_micros(ts) DIV 1000000 AS BIGINT) AS pos")
+        return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr("event_id AS id", "user_id AS read", "event_type AS op", "value", "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) AS pos")
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return spark.sql(select.format(t="{t}").replace("''G", "''"), t=source)
