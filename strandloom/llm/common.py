@@ -44,9 +44,9 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parts(df: DataFrame, per_row_shuffles: int = 1) -> int:
-    """How many shuffle partitions the session asks for."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * per_row_shuffles
+def parts(df: DataFrame, times: int = 1) -> int:
+    """The number of shuffle partitions that the session asks for, times `times`."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * times
 
 
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
