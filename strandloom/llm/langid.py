@@ -115,9 +115,11 @@ class Hierarchy:
 def fit(labelled: DataFrame, per_language: int = 750) -> Hierarchy | None:
     """From the columns doc_id, text, lang. per_language bounds the rows of each language that are learnt from."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language).select("doc_id").distinct()
-    sample = rows.join(ids, "doc_id", "left_semi").select("lang", "text")
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):  # a common language is first cut down in many groups
+        first = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        ids = ids.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language).drop("k")
+    sample = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")  # per_language ids of each language at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
