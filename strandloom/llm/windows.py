@@ -24,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import as_bytes, packed, parts, pick, pieces, split_by_ids, stored, unpacked
+from strandloom.llm.common import WORD, as_bytes, packed, parts, pick, pieces, split_by_ids, stored, unpacked
 
 #: Windows that a task combines before it sends them on: bounds its memory.
-CHUNK = 2_000_000
+CHUNK = 1_500_000
 _BASE, _LAST = 0x9E3779B97F4A7C15, 2**63 - 1
 
 
@@ -35,7 +35,7 @@ class WordHashes(dict):
     """64-bit hash of a word, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -105,10 +105,27 @@ def _sent(ids: list[int], hashes: list[np.ndarray], ranges: int, groups: int) ->
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "data"])
 
 
+def _without_copies(src: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The documents that aren't whole copies of a smaller one, and the spans of those that are: all their words.
+
+    The smaller one holds every window of its copies, so these needn't send theirs; ids and hashes decide, and only texts
+    that may be copies travel.
+    """
+    marks = stored(src.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")), "marks")
+    least = marks.groupBy("h", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("most > least").select("h", "n", "least")
+    copies = stored(marks.join(least, ["h", "n"]).filter("doc_id > least").select("doc_id").distinct(), "copies")
+    some, rest = split_by_ids(src, "doc_id", copies)
+    words = F.regexp_count("text", F.lit(WORD))
+    whole = some.join(copies, "doc_id", "left_semi").select("doc_id", words.cast("int").alias("w")).filter(F.col("w") >= width).distinct()
+    spans = whole.select("doc_id", F.array(F.lit(0)).alias("starts"), F.array("w").alias("ends"))
+    return rest.unionByName(some.join(copies, "doc_id", "left_anti")), spans
+
+
 def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, starts, ends)`: the maximal runs of words covered by windows that a smaller document also holds."""
     src = pick(docs, **{"doc_id": id_col, "text": text_col}).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    ranges, groups = parts(docs, 8), parts(docs, 2)
+    src, whole = _without_copies(src, width)
+    ranges, groups = parts(docs, 8), max(1, parts(docs) // 2)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, ids, hashes, held = WordHashes(), [], [], 0
@@ -151,7 +168,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
 
     sent = src.mapInArrow(windows, "key int, data binary")
     hits = sent.groupBy("key").applyInArrow(counted, "g int, data binary")
-    return hits.groupBy("g").applyInArrow(merged, "doc_id bigint, starts array<int>, ends array<int>")
+    return hits.groupBy("g").applyInArrow(merged, "doc_id bigint, starts array<int>, ends array<int>").unionByName(whole)
 
 
 def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
