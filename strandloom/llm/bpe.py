@@ -139,7 +139,7 @@ class Tokenizer:
     """A vocabulary of byte strings by rank, and the pattern that cuts text into pre-tokens."""
 
     #: Distinct pre-tokens kept between documents; more empties the memory, which changes no result.
-    KEPT = 1_000_000
+    KEPT = 600_000
     #: From this many characters on, pre-tokens are taken one by one, not as one list.
     LONG = 1_000_000
 
