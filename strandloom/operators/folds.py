@@ -7,6 +7,7 @@ fold then runs per island in pandas, ordered by position, end and id, so results
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,9 +19,8 @@ from strandloom.operators.intervals import merge, with_island
 FIELDS = ["chrom", "kind", "st", "ed", "support", "id"]
 
 
-def absorb(rows: pd.DataFrame, joins: Callable[[dict, dict], bool]) -> list[dict]:
+def absorb(left: list[dict], joins: Callable[[dict, dict], bool]) -> list[dict]:
     """The first open row is an anchor that takes the rows behind it, growing, until the first that does not join."""
-    left = rows.sort_values(["st", "ed", "id"], kind="stable").to_dict("records")
     out = []
     while left:
         anchor, at = dict(left[0]), 1
@@ -33,13 +33,18 @@ def absorb(rows: pd.DataFrame, joins: Callable[[dict, dict], bool]) -> list[dict
     return out
 
 
+def in_bundles(rows: DataFrame) -> DataFrame:
+    """Adds the bundle of 256 islands that a pandas group holds."""
+    return rows.withColumn("_bundle", F.floor(F.col("island") / 256))
+
+
 def bundled(rows: DataFrame, keys: tuple[str, ...], run: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
     """`run` on each island of `rows` (columns keys and island), many small islands to a pandas group."""
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([run(part) for _, part in pdf.groupby("island", sort=False)])
 
-    return rows.withColumn("_bundle", F.floor(F.col("island") / 256)).groupBy(*keys, "_bundle").applyInPandas(each, schema)
+    return in_bundles(rows).groupBy(*keys, "_bundle").applyInPandas(each, schema)
 
 
 def fold(df: DataFrame, gap: int, joins: Callable[[dict, dict], bool], least: int = 1) -> DataFrame:
@@ -50,11 +55,13 @@ def fold(df: DataFrame, gap: int, joins: Callable[[dict, dict], bool], least: in
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "island")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = pd.DataFrame(absorb(pdf[[*FIELDS]], joins), columns=FIELDS)
+        in_order = pdf.sort_values(["island", "st", "ed", "id"], kind="stable").to_dict("records")
+        found = [r for _, part in groupby(in_order, lambda r: r["island"]) for r in absorb(list(part), joins)]
+        got = pd.DataFrame(found, columns=FIELDS)
         return got[got["support"] >= least]
 
     alone = rows.filter((F.col("_n") == 1) & (F.col("support") >= least)).select(*FIELDS)
-    return alone.unionByName(bundled(rows.filter("_n > 1").drop("_n"), keys, run, df.select(*FIELDS).schema))
+    return alone.unionByName(in_bundles(rows.filter("_n > 1").drop("_n")).groupBy(*keys, "_bundle").applyInPandas(run, df.select(*FIELDS).schema))
 
 
 def merge_small(signals: DataFrame, depth: float, near: int = 20) -> DataFrame:
