@@ -8,8 +8,9 @@ in their prefixes. Texts with equal sets become one class, and classes with iden
 2. Every group on a list is paired with the list's leader (where the shingle comes first in the prefix: in a family of
    near copies the one with the fewest words of its own), if sizes and places allow the similarity. Pairs are expanded to
    the classes of both groups and verified on whole sets. That joins families of any size by pairs linear in their size.
-3. Pairs on a list that are still in different components are filtered by size, place and a bitmap bound on the overlap,
-   expanded and verified likewise. Pairs within a component could add nothing to it, so no link between components is lost.
+3. Pairs on a list with classes that are still in different components are filtered by size, place and a bitmap bound on
+   the overlap of those classes, expanded and verified likewise. Classes of one component could add nothing to it, so no
+   link between components is lost.
 
 Sets are compared by 64-bit shingle hashes. Texts travel only for groups that have a candidate.
 
@@ -206,13 +207,14 @@ def _possible(na, nb, ia, ib, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most * (100 + percent) >= percent * (na + nb))
 
 
-def _across(lists: DataFrame, label: DataFrame, described: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of groups on one list that are in different components. label: `(grp, component)`."""
+def _across(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of groups on one list, some of whose classes are in different components and leave the similarity
+    open. members: `(grp, component, bits)` of every class."""
     ranges = parts(lists, 4)
-    rows = lists.select("token", "grp", "n", "at").join(label, "grp", "left").withColumn("component", F.coalesce("component", "grp"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("k")).filter("x <> y and k > 2").select("token")
-    bits = described.filter("n > 0").groupBy("grp").agg(F.first("bits").alias("bits"))
-    rows = rows.join(mixed, "token", "left_semi").join(bits, "grp").withColumn("k", F.pmod(F.xxhash64("token"), F.lit(ranges)).cast("int"))
+    rows = lists.select("token", "grp", "n", "at")
+    of_group = members.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = rows.join(of_group, "grp").groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y"), F.count(F.lit(1)).alias("k")).filter("x <> y and k > 2").select("token")
+    rows = rows.join(mixed, "token", "left_semi").join(members, "grp").withColumn("k", F.pmod(F.xxhash64("token"), F.lit(ranges)).cast("int"))
 
     def crossed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         token, grp, n, at, comp = (table.column(c).to_numpy() for c in ("token", "grp", "n", "at", "component"))
@@ -225,7 +227,7 @@ def _across(lists: DataFrame, label: DataFrame, described: DataFrame, percent: i
             far = np.searchsorted(m, m * 100 // percent, side="right")  # sizes ascend: partners end here
             for i in range(len(g) - 1):
                 j = np.arange(i + 1, far[i])
-                j = j[c[j] != c[i]]
+                j = j[(c[j] != c[i]) & (g[j] != g[i])]
                 total = m[j] + m[i]
                 most = np.minimum(p[j], p[i]) + 1 + np.minimum(m[j] - p[j] - 1, m[i] - p[i] - 1)
                 j = j[most * (100 + percent) >= percent * total]
@@ -250,9 +252,9 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "d
     within = several.select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
     first = _verified(src, described, star.unionByName(within), width, percent)
     label = stored(components(first), "components")
-    of_group = described.filter("n > 0").select("grp", F.col("cls").alias("node")).distinct().join(label, "node").groupBy("grp").agg(F.min("component").alias("component"), F.max("component").alias("other"))
-    of_group = of_group.filter("component = other").drop("other")  # groups whose classes differ are compared with all
-    across = stored(_across(lists, of_group, described, percent), "across").join(star, ["ga", "gb"], "left_anti")
+    members = described.filter("n > 0").groupBy("grp", F.col("cls").alias("node")).agg(F.first("bits").alias("bits")).join(label, "node", "left")
+    members = members.select("grp", F.coalesce("component", "node").alias("component"), "bits")  # a class without a link is its own component
+    across = stored(_across(lists, members, percent), "across").join(star, ["ga", "gb"], "left_anti")
     second = _verified(src, described, across, width, percent)
     label = stored(components(first.unionByName(second)), "components")
     nodes = described.select("key", "doc_id", "n", F.col("cls").alias("node")).join(label, "node", "left").withColumn("component", F.coalesce("component", F.when(F.col("n") > 0, F.col("node"))))

@@ -120,6 +120,21 @@ def test_jaccard_join_of_many_near_copies(spark):
     assert kept == {int(c) for _, _, c in got}
 
 
+def test_jaccard_join_of_groups_with_several_classes(spark):
+    def w(name, n, start=1):
+        return [f"{name}{k}" for k in range(start, start + n)]
+
+    # two classes of one prefix, each linked to a text of its own, with another text leading all shared lists
+    p, x, y, z = w("pa", 11), w("xa", 9), w("ya", 9), w("za", 15)
+    one = [p + x, p + y, w("ba", 6) + p[:5] + x, w("ca", 6) + p[:5] + y, p[:5] + z] + [x + y + z] * 10
+    # two classes of one prefix, one without a link as yet, the other in the component of the text that it links to
+    p, x, y, e = w("pb", 11), w("xb", 9), w("yb", 9), w("eb", 6)
+    two = [p + x, p + y, e + p[:5] + y, x + p[:5], e + p[:5], p[:5] + x[:4] + e[:3]] + [x + y] * 10
+    rows = [(i, " ".join(t)) for i, t in enumerate(one + two)]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 1, 50).collect())
+    assert got == brute_components(rows, 1, 50)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 1), (7, 8)], "a long, b long")
     assert {(r.node, r.component) for r in components(links).collect()} == {(1, 1), (2, 1), (3, 1), (9, 7), (8, 7), (7, 7)}
