@@ -188,6 +188,14 @@ def test_pii_base_spans_equal_plain_patterns(docs, none):
         pii.find(bad)
 
 
+def test_pii_masks_long_secrets_whole():
+    value = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789_-", k=200))
+    assert pii.masked(f"use token={value} now") == "use <secret> now"
+    for inside in ("10.0.0.1", "a@b.example.com", "4111111111111111"):
+        assert pii.masked(f"use api_key: {value[:90]}/{inside}/{value[90:]} now") == "use <secret> now"
+    pii.find("token=" * 50_000 + " " + "token= " * 50_000)
+
+
 def test_url_filter(spark):
     pages = [(1, "http://WWW.Example.com/en/x?y"), (2, "https://example.com/en/"), (3, "https://notexample.com/en/"), (4, None), (5, "no scheme"), (6, "http://a.b.net/es/q#f"), (7, "ftp://net/fr"), (8, "http://com"), (9, "http://x.org/login"), (9, "http://x.org/login"), (10, "http://com?x"), (None, "http://m.example.com/en/z")]
     df = spark.createDataFrame(pages, "page_id long, url string")
