@@ -146,9 +146,9 @@ def _(read):
 
 
 @query("nearest_region", f"""SELECT id, target, distance FROM (SELECT p.id, t.id AS target, greatest(0, t.st - p.pos, p.pos - t.ed) AS distance,
-    row_number() OVER (PARTITION BY p.id ORDER BY greatest(0, t.st - p.pos, p.pos - t.ed), t.id) AS k FROM (SELECT o_orderkey AS id, o_custkey % 8 AS chrom, (o_orderkey * 7919) % 20000000 AS pos FROM orders WHERE o_orderkey % 16 = 0) p JOIN {RG} t ON p.chrom = t.chrom) WHERE k = 1""")
+    row_number() OVER (PARTITION BY p.id ORDER BY greatest(0, t.st - p.pos, p.pos - t.ed), t.id) AS k FROM (SELECT o_orderkey AS id, o_custkey % 8 AS chrom, (o_orderkey * 7919) % 20000000 AS pos FROM orders) p JOIN {RG} t ON p.chrom = t.chrom) WHERE k = 1""")
 def _(read):
-    points = read("orders").filter("o_orderkey % 16 = 0").selectExpr("o_orderkey AS id", "o_custkey % 8 AS chrom", "(o_orderkey * 7919) % 20000000 AS pos")
+    points = read("orders").selectExpr("o_orderkey AS id", "o_custkey % 8 AS chrom", "(o_orderkey * 7919) % 20000000 AS pos")
     return ops.nearest(points, read("rg")).select("id", "target", "distance")
 
 
