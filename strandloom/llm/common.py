@@ -6,12 +6,15 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -27,26 +30,91 @@ def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     return flat.select(*[F.col(f"_c{i}").alias(new) for i, (new, _) in zip(at, wanted)])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as _c0, _c1 and so on, so that no name, even one that occurs twice, clashes with a helper's."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, as in tests, a new one of this machine."""
+    """The folder of spark.checkpoint.dir. Where it is unset a local session gets a new one; on a cluster it has to be set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Removes folders, by way of the file system that they are on."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Inside, the tables that `stored` writes are listed; at the end they are deleted, except the last.
+
+    For steps whose result was stored last: a lazy result still needs its tables.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+    delete(spark, *made[:-1])
+    if (outer := _MADE.get()) is not None:
+        outer += made[-1:]
+
+
+#: Bytes of input (as Spark estimates them: compressed files) for each shuffle partition, and the most partitions.
+PART_BYTES, MOST_PARTS = 64 << 20, 50_000
+
+
 def parts(df: DataFrame, times: int = 1) -> int:
-    """The number of shuffle partitions that the session asks for, times `times`."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * times
+    """Partitions for a shuffle of `df`, times `times`: as many as the session asks for, or more where the input is large."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, MOST_PARTS)) * times
+
+
+#: A key with more than one row in so many, and more than so many rows, is spread over several tasks.
+SHARE, FEW = 4096, 5000
+
+
+def heavy(df: DataFrame, key: str) -> DataFrame:
+    """`(key, _pieces)` of the keys that hold more than 1 / SHARE of all rows: at most SHARE of them, so they may be
+    broadcast. _pieces: into how many pieces to cut each."""
+    least = max(df.count() // SHARE, FEW)
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(key, F.ceil(F.col("_n") / least).cast("int").alias("_pieces"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
+    """`left.join(right, key, how)` (inner, left or left_semi) where single keys may hold a large share of left's rows.
+
+    Heavy keys are cut into pieces by a hash of `by`; right's rows of such a key go to each piece. `left` is read twice, so
+    it should be a stored table.
+    """
+    hot = F.broadcast(stored(heavy(left, key), "heavy"))
+    a = left.join(hot, key, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(by), F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
+    b = right.join(hot, key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    return a.join(b, [key, "_piece"], how).drop("_piece")
 
 
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -54,11 +122,19 @@ def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, to bound what one step holds in Python."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, of at most so many rows and so many bytes of strings (or one row), to bound what a step holds."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        width = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                width += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(width), 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            to = min(batch.num_rows, at + rows, max(at + 1, full))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -148,18 +224,19 @@ def components(links: DataFrame) -> DataFrame:
     Rounds of large-star and small-star: each node points its neighbours to the smallest of them, larger and smaller ones
     in turn, until nothing changes. Minima combine before the shuffle, so a node with many links does no harm.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+    with scratch(links.sparkSession):
+        edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+        before = None
+        while True:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+            large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u")
+            small = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+            edges = stored(small, "edges")
+            now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == before:
+                break
+            before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -11,7 +11,10 @@ offsets, and each window has just one. Only suffixes at anchors are handled.
    bytes at a time, only ties go on) to the right and to the left; neighbours' common prefixes give classes of equal
    prefixes at each depth. The window at offset j is a repeat if another context shares its class to the right at depth
    length - j and to the left at depth j. Leads never straddle buckets, so no comparison crosses a boundary.
-4. Repeats become byte spans, joined with the texts that have any.
+4. A lead with more than HOT anchors (a licence header with thousands of continuations) would be too much for one task. Its
+   windows are told apart by two 64-bit polynomial hashes of all `length` bytes instead: a task combines equal windows of
+   its texts and sends each once, and a plain aggregate finds those that several tasks sent.
+5. Repeats become byte spans, joined with the texts that have any.
 
 Defined results: null text is empty; texts shorter than `length` lose nothing; rows are told apart by a 64-bit hash of id
 and text, equal rows count as occurrences of each other; an empty table gives an empty table.
@@ -27,11 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import as_bytes, parts, pick, pieces, split_by_ids, stored
+from strandloom.llm.common import SHARE, as_bytes, parts, pick, pieces, scratch, split_by_ids, stored
+from strandloom.llm.windows import window_hashes
 
 GRAM, REACH = 8, 256
-#: Windows handled at once, contexts sorted at once, contexts that a task remembers.
-STRETCH, BATCH, SEEN = 1 << 22, 20_000, 300_000
+#: Windows handled at once, contexts sorted at once, contexts that a task remembers, anchors of a lead for one task.
+STRETCH, BATCH, SEEN, HOT = 1 << 22, 20_000, 300_000, 20_000
+#: Two random values for each byte, for hashes of windows.
+_VALUES = np.random.default_rng(17).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,8 +131,37 @@ def repeats(right: list[bytes], left: list[bytes], low: np.ndarray, high: np.nda
     return who, start, stop - 1
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(key, spans array<struct<st, ed>>)` of rows with repeats; key is `row_key` of the row."""
+def _window_pairs(text: bytes, length: int) -> np.ndarray:
+    """16 bytes of hash of the window at each place."""
+    b = np.frombuffer(text, np.uint8)
+    return np.column_stack([window_hashes(v[b], length) for v in _VALUES]).view("V16").ravel()
+
+
+def _combined(common: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, tuple]]:
+    """Of the windows `(key, starts, hashes)` of a batch of texts: those of equal hash are repeats and become runs; each hash
+    goes on once, to be compared with other batches. Gives rows of contexts: left is null where right is a window's hash."""
+    if not common:
+        return
+    key = np.repeat(np.array([k for k, _, _ in common], np.int64), [len(s) for _, s, _ in common])
+    st, h = np.concatenate([s for _, s, _ in common]), np.concatenate([x for _, _, x in common])
+    word = h.view(np.uint64).reshape(-1, 2)
+    by = np.lexsort((word[:, 1], word[:, 0]))
+    head = np.append(True, (word[by][1:] != word[by][:-1]).any(axis=1))
+    twice = ~(head & np.append(head[1:], True))
+    known = np.zeros(len(key), bool)
+    known[by[twice]] = True
+    for i in by[head].tolist():
+        yield int(key[i]), (int(st[i]), 0, 0, h[i].tobytes(), None, bool(known[i]))
+    k, p = key[known], st[known]
+    new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1))) if len(k) else np.empty(0, np.int64)
+    for a, b in zip(new.tolist(), np.append(new[1:], len(k)).tolist()):
+        first, last = int(p[a]), int(p[b - 1])
+        yield int(k[a]), (last, 0, last - first, xxhash.xxh3_128_digest(f"{k[a]} {first}".encode()), b"", True)
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """`(key, spans array<struct<st, ed>>)` of rows with repeats; key is that of `keyed`. hot: anchors of a lead that one task
+    takes at most."""
     if length < REACH + GRAM:
         raise ValueError(f"length must be at least {REACH + GRAM}")
     src = keyed(docs, id_col, text_col).select("key", "text")
@@ -142,23 +177,32 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64))], names=["key", "lead"])
 
     places = stored(src.mapInArrow(leads, "key bigint, lead bigint"), "leads")
-    often = places.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("lead")
-    wanted = stored(places.join(often, "lead", "left_semi").groupBy("key").agg(F.collect_set("lead").alias("leads")), "wanted")
+    often = stored(places.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("hot", F.col("n") > hot), "often")
+    # leads that hold much of all anchors, SHARE of them at most, are found without a shuffle
+    common = F.broadcast(often.filter(F.col("n") > max(places.count() // SHARE, hot)).select("lead", "hot"))
+    found = places.join(common, "lead").unionByName(places.join(common, "lead", "left_anti").join(often.select("lead", "hot"), "lead"))
+    wanted = stored(found.groupBy("key").agg(F.collect_set(F.struct("lead", "hot")).alias("leads")), "wanted")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple | None] = {}
         names = ["key", "at", "low", "high", "right", "left", "known"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
-        for b in pieces(batches, 100):
+        for b in pieces(batches, 100, 4 << 20):
             out: list[tuple] = []
+            common: list[tuple[int, np.ndarray, np.ndarray]] = []
 
             def known(row: tuple) -> None:  # its windows are repeats, and it needs no bucket of its own
                 out.append((*row, xxhash.xxh3_128_digest(repr(row).encode()), b"", True))
 
             for k, text, mine in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist()):
-                mine = set(mine)
+                is_hot = {x["lead"]: x["hot"] for x in mine}
+                starts: list[np.ndarray] = []
                 for p, first, last in zip(*(x.tolist() for x in anchors(text, length))):
-                    if int(np.uint64(xxhash.xxh3_64_intdigest(text[p : p + lead])).view(np.int64)) not in mine:
+                    how = is_hot.get(int(np.uint64(xxhash.xxh3_64_intdigest(text[p : p + lead])).view(np.int64)))
+                    if how is None:
+                        continue
+                    if how:
+                        starts.append(np.arange(first, last + 1))
                         continue
                     low, high = p - last, p - first
                     row, right, left = (k, p, low, high), text[p : p + length - low], text[first:p][::-1]
@@ -173,6 +217,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                             seen.clear()
                         seen[mark] = row
                         out.append((*row, right, left, False))
+                if starts:
+                    st = np.concatenate(starts)
+                    common.append((k, st, _window_pairs(text, length)[st]))
+            for k, x in _combined(common):  # spans that repeat within the batch come as known contexts of one anchor each
+                out.append((k, *x))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=names)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +252,13 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         yield judged(held)
 
     some, _ = split_by_ids(src, "key", wanted.select("key"))
-    rows = some.join(wanted, "key").mapInArrow(contexts, "key bigint, at bigint, low int, high int, right binary, left binary, known boolean")
+    rows = stored(some.join(wanted, "key").mapInArrow(contexts, "key bigint, at bigint, low int, high int, right binary, left binary, known boolean"), "contexts")
     by = F.substring("right", 1, lead)
-    dealt = rows.repartitionByRange(parts(docs), by).sortWithinPartitions(by)
+    dealt = rows.filter("left is not null").repartitionByRange(parts(docs), by).sortWithinPartitions(by)
     spans = dealt.mapInArrow(bucket, "key bigint, st bigint, ed bigint")
+    window = F.struct("key", F.col("at").alias("st"), (F.col("at") + length).alias("ed"), "known")
+    again = rows.filter("left is null").groupBy("right").agg(F.collect_list(window).alias("w")).filter("size(w) > 1")  # a row from each batch at most
+    spans = spans.unionByName(again.select(F.explode("w").alias("w")).filter("not w.known").select("w.key", "w.st", "w.ed"))
     return spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("st", "ed"))).alias("spans"))
 
 
@@ -245,6 +297,8 @@ def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     return both.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
-def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """`remove` of the `repeated_spans`, which are stored in between."""
-    return remove(docs, stored(repeated_spans(docs, length, id_col, text_col), "spans"), id_col, text_col)
+    with scratch(docs.sparkSession):
+        spans = stored(repeated_spans(docs, length, id_col, text_col, hot), "spans")
+    return remove(docs, spans, id_col, text_col)
