@@ -36,6 +36,7 @@ from strandloom.llm.windows import window_hashes
 GRAM, REACH = 8, 256
 #: Windows handled at once, contexts sorted at once, contexts that a task remembers, anchors of a lead for one task.
 STRETCH, BATCH, SEEN, HOT = 1 << 22, 20_000, 300_000, 20_000
+FIELDS = ["key", "at", "low", "high", "right", "left", "known"]
 #: Two random values for each byte, for hashes of windows.
 _VALUES = np.random.default_rng(17).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -137,11 +138,9 @@ def _window_pairs(text: bytes, length: int) -> np.ndarray:
     return np.column_stack([window_hashes(v[b], length) for v in _VALUES]).view("V16").ravel()
 
 
-def _combined(common: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, tuple]]:
+def _combined(common: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Of the windows `(key, starts, hashes)` of a batch of texts: those of equal hash are repeats and become runs; each hash
     goes on once, to be compared with other batches. Gives rows of contexts: left is null where right is a window's hash."""
-    if not common:
-        return
     key = np.repeat(np.array([k for k, _, _ in common], np.int64), [len(s) for _, s, _ in common])
     st, h = np.concatenate([s for _, s, _ in common]), np.concatenate([x for _, _, x in common])
     word = h.view(np.uint64).reshape(-1, 2)
@@ -150,13 +149,17 @@ def _combined(common: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tupl
     twice = ~(head & np.append(head[1:], True))
     known = np.zeros(len(key), bool)
     known[by[twice]] = True
-    for i in by[head].tolist():
-        yield int(key[i]), (int(st[i]), 0, 0, h[i].tobytes(), None, bool(known[i]))
+    once = by[head]
+    none, zero = pa.nulls(len(once), pa.binary()), pa.array(np.zeros(len(once), np.int32))
+    hashes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(once), [None, pa.py_buffer(np.ascontiguousarray(h[once]).tobytes())])
+    yield pa.RecordBatch.from_arrays([pa.array(key[once]), pa.array(st[once]), zero, zero, hashes.cast(pa.binary()), none, pa.array(known[once])], names=FIELDS)
     k, p = key[known], st[known]
-    new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1))) if len(k) else np.empty(0, np.int64)
-    for a, b in zip(new.tolist(), np.append(new[1:], len(k)).tolist()):
-        first, last = int(p[a]), int(p[b - 1])
-        yield int(k[a]), (last, 0, last - first, xxhash.xxh3_128_digest(f"{k[a]} {first}".encode()), b"", True)
+    if len(k):
+        new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1)))
+        last = p[np.append(new[1:], len(k)) - 1]
+        spread = [xxhash.xxh3_128_digest(x.tobytes()) for x in np.column_stack([k[new], last])]
+        n = len(new)
+        yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(last), pa.array(np.zeros(n, np.int32)), pa.array((last - p[new]).astype(np.int32)), pa.array(spread, pa.binary()), pa.array([b""] * n, pa.binary()), pa.array(np.ones(n, bool))], names=FIELDS)
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -185,9 +188,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple | None] = {}
-        names = ["key", "at", "low", "high", "right", "left", "known"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
-        for b in pieces(batches, 100, 4 << 20):
+        for b in pieces(batches, 100, 1 << 20):
             out: list[tuple] = []
             common: list[tuple[int, np.ndarray, np.ndarray]] = []
 
@@ -220,9 +222,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 if starts:
                     st = np.concatenate(starts)
                     common.append((k, st, _window_pairs(text, length)[st]))
-            for k, x in _combined(common):  # spans that repeat within the batch come as known contexts of one anchor each
-                out.append((k, *x))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=names)
+            if common:
+                yield from _combined(common)
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=FIELDS)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(rows: list[tuple]) -> pa.RecordBatch:
