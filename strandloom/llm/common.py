@@ -84,13 +84,16 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         outer += made[-1:]
 
 
-#: Bytes of input (as Spark estimates them: compressed files) for each shuffle partition, and the most partitions.
+#: Bytes of input (files as they are) for each shuffle partition, and the most partitions.
 PART_BYTES, MOST_PARTS = 64 << 20, 50_000
 
 
 def parts(df: DataFrame, times: int = 1) -> int:
-    """Partitions for a shuffle of `df`, times `times`: as many as the session asks for, or more where the input is large."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Partitions for a shuffle of `df`, times `times`: as many as the session asks for, or more where the files that it is
+    read from are large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # more stands for unknown
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, MOST_PARTS)) * times
 
 
@@ -105,13 +108,13 @@ def heavy(df: DataFrame, key: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(key, F.ceil(F.col("_n") / least).cast("int").alias("_pieces"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """`left.join(right, key, how)` (inner, left or left_semi) where single keys may hold a large share of left's rows.
 
-    Heavy keys are cut into pieces by a hash of `by`; right's rows of such a key go to each piece. `left` is read twice, so
-    it should be a stored table.
+    Heavy keys are cut into pieces by a hash of `by`; right's rows of such a key go to each piece. hot: left's heavy keys;
+    otherwise `left` is read twice and should be a stored table.
     """
-    hot = F.broadcast(stored(heavy(left, key), "heavy"))
+    hot = F.broadcast(stored(heavy(left, key) if hot is None else hot, "heavy"))
     a = left.join(hot, key, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(by), F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
     b = right.join(hot, key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
     return a.join(b, [key, "_piece"], how).drop("_piece")

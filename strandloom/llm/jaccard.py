@@ -6,11 +6,12 @@ in their prefixes. Texts with equal sets become one class, and classes with iden
 
 1. Prefixes go to ranges of shingles, packed; each range lists the groups of a shingle. Shingles of one group drop out.
 2. Every group on a list is paired with the list's leader (where the shingle comes first in the prefix: in a family of
-   near copies the one with the fewest words of its own), if sizes and places allow the similarity. Pairs are expanded to
-   the classes of both groups and verified on whole sets. That joins families of any size by pairs linear in their size.
-3. Pairs on a list with classes that are still in different components are filtered by size, place and a bitmap bound on
-   the overlap of those classes, expanded and verified likewise. Classes of one component could add nothing to it, so no
-   link between components is lost.
+   near copies the one with the fewest words of its own), if sizes and places allow the similarity, and every class of a
+   group with the group's first class. The first classes of paired groups, and these, are filtered by a bitmap bound on
+   the overlap and verified on whole sets. So families of any size are joined by pairs linear in their size.
+3. Classes on a list, or in a group, that are still in different components are compared by size, place and bitmap, and
+   those that pass are verified likewise. Classes of one component could add nothing to it, so no link between components
+   is lost. A list of more than SLICE classes is cut into slices, and each pair of slices is a task's work of its own.
 
 Sets are compared by 64-bit shingle hashes. Texts travel only for groups that have a candidate.
 
@@ -29,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import as_bytes, class_frequency, classes_of, components, packed, parts, pick, pieces, split_by_ids, stored, unpacked
+from strandloom.llm.common import as_bytes, class_frequency, classes_of, components, heavy, numbered, packed, parts, pick, pieces, scratch, split_by_ids, spread_join, stored, unpacked
 from strandloom.llm.windows import WordHashes, _grouped, window_hashes
 
-CLASSES, CHUNK = 1 << 22, 500_000
+CLASSES, CHUNK, SLICE = 1 << 22, 500_000, 2000
 
 
 def shingles(text: bytes, width: int, memo: WordHashes) -> np.ndarray:
@@ -160,44 +161,45 @@ def _lists(described: DataFrame) -> DataFrame:
     return stored(rows.groupBy("k").applyInArrow(listed, ", ".join(f"{c} bigint" for c in names)), "lists")
 
 
-def _likely(described: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs `(ga, gb)` of groups the pairs `(a, b, ka, kb)` of their classes, with the key of a row each,
-    whose sizes and bitmaps leave the similarity open."""
-    members = described.filter("n > 0").groupBy("grp", "cls").agg(F.min(F.struct("key", "n", "bits")).alias("m"))
-    one, two = (members.select(F.col("grp").alias(f"g{x}"), F.struct("cls", "m.key", "m.n", "m.bits").alias(f"m{x}")) for x in "ab")
-    both = pairs.join(one, "ga").join(two, "gb").filter("ma.cls <> mb.cls").select("ma", "mb")
+def _likely(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs of structs `ma`, `mb` (cls, key, n, bits) the pairs `(a, b, ka, kb)` of classes, with the key of a
+    row each, whose sizes and bitmaps leave the similarity open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 2000):
             out = []
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x, y = sorted((x, y), key=lambda m: m["cls"])
                 total = x["n"] + y["n"]
                 differ = _differ(np.frombuffer(x["bits"], np.uint64), np.frombuffer(y["bits"], np.uint64))
                 if (total - differ) * (100 + percent) >= 2 * percent * total:
                     out.append((x["cls"], y["cls"], x["key"], y["key"]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["a", "b", "ka", "kb"])
 
-    return stored(both.mapInArrow(run, "a bigint, b bigint, ka bigint, kb bigint").distinct(), "pairs")
+    return stored(pairs.select("ma", "mb").mapInArrow(run, "a bigint, b bigint, ka bigint, kb bigint").distinct(), "pairs")
 
 
-def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links `(a, b)` between classes, of candidate pairs `(ga, gb)` of groups (a group with itself included)."""
-    pairs = _likely(described, pairs, percent)
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links `(a, b)` of `pairs` (a, b, ka, kb; stored). Many pairs may share their kb."""
     keys = pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
     some, _ = split_by_ids(docs.select("key", "text"), "key", keys)
+    some = some.dropDuplicates(["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
+        raw, y = None, None
         for b in pieces(batches, 500):
             links = []
-            for x, y in zip(as_bytes(b.column(2)), as_bytes(b.column(3))):
-                x, y = shingles(x, width, memo), shingles(y, width, memo)
+            for x, z in zip(as_bytes(b.column(2)), as_bytes(b.column(3))):
+                x = shingles(x, width, memo)
+                if z != raw:  # rows come sorted by kb
+                    raw, y = z, shingles(z, width, memo)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 links.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
-    both = pairs.join(some.select(F.col("key").alias("ka"), F.col("text").alias("ta")), "ka").join(some.select(F.col("key").alias("kb"), F.col("text").alias("tb")), "kb")
+    hot = heavy(pairs, "kb")
+    both = pairs.join(some.select(F.col("key").alias("ka"), F.col("text").alias("ta")), "ka")
+    both = spread_join(both, some.select(F.col("key").alias("kb"), F.col("text").alias("tb")), "kb", F.col("a"), hot=hot)
     return stored(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 
 
@@ -208,63 +210,80 @@ def _possible(na, nb, ia, ib, percent: int):
 
 
 def _across(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of groups on one list, some of whose classes are in different components and leave the similarity
-    open. members: `(grp, component, bits)` of every class."""
+    """Pairs `(a, b, ka, kb)` of classes on one list, or in one group, that are in different components and whose sizes,
+    places and bitmaps leave the similarity open. members: `(grp, cls, key, n, bits, component)` of every class."""
     ranges = parts(lists, 4)
-    rows = lists.select("token", "grp", "n", "at")
-    of_group = members.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = rows.join(of_group, "grp").groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y"), F.count(F.lit(1)).alias("k")).filter("x <> y and k > 2").select("token")
-    rows = rows.join(mixed, "token", "left_semi").join(members, "grp").withColumn("k", F.pmod(F.xxhash64("token"), F.lit(ranges)).cast("int"))
+    per = members.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+    own = per.filter("low <> high").select(F.col("grp").alias("token"), "grp", "n", F.lit(0).cast("long").alias("at"), F.lit(True).alias("own"))
+    rows = lists.select("token", "grp", "n", "at", F.lit(False).alias("own")).unionByName(own)
+    mixed = rows.join(per.drop("n"), "grp").groupBy("token", "own").agg(F.min("low").alias("x"), F.max("high").alias("y"), F.sum("m").alias("m"))
+    mixed = mixed.filter("x <> y and m > 2").select("token", "own", F.ceil(F.col("m") / SLICE).cast("int").alias("slices"))  # two were compared before
+    rows = rows.join(mixed, ["token", "own"]).join(members.drop("n"), "grp").withColumn("s", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int"))
+    rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("block", F.xxhash64("token", "own", F.least("s", "t"), F.greatest("s", "t")))
+    rows = rows.select(F.pmod("block", F.lit(ranges)).cast("int").alias("k"), "block", "grp", "cls", "key", "n", "at", "component", F.when(F.col("s") == F.col("t"), -1).otherwise(F.col("s")).alias("s"), "own", "bits")
 
     def crossed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        token, grp, n, at, comp = (table.column(c).to_numpy() for c in ("token", "grp", "n", "at", "component"))
-        word = np.empty(len(token), object)
+        names = ["block", "n", "cls", "grp", "key", "at", "component", "s", "own"]
+        cols = [table.column(c).to_numpy() for c in names]
+        word = np.empty(len(cols[0]), object)
         word[:] = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
-        by = np.lexsort((grp, n, token))
-        token, grp, n, at, comp, word = (x[by] for x in (token, grp, n, at, comp, word))
-        found: set[tuple[int, int]] = set()
-        for _, (g, m, p, c, w) in _grouped(token, grp, n, at, comp, word):
+        by = np.lexsort((cols[2], cols[1], cols[0]))
+        out = []
+        for _, (m, x, g, r, p, c, s, o, w) in _grouped(cols[0][by], *(v[by] for v in cols[1:]), word[by]):
             far = np.searchsorted(m, m * 100 // percent, side="right")  # sizes ascend: partners end here
-            for i in range(len(g) - 1):
+            for i in range(len(m) - 1):
                 j = np.arange(i + 1, far[i])
-                j = j[(c[j] != c[i]) & (g[j] != g[i])]
+                j = j[(c[j] != c[i]) & ((g[j] == g[i]) == o[i]) & ((s[j] < 0) | (s[j] != s[i]))]
                 total = m[j] + m[i]
                 most = np.minimum(p[j], p[i]) + 1 + np.minimum(m[j] - p[j] - 1, m[i] - p[i] - 1)
                 j = j[most * (100 + percent) >= percent * total]
                 if len(j):
-                    differ = _apart(w, i, j)
                     total = m[j] + m[i]
-                    j = j[(total - differ) * (100 + percent) >= 2 * percent * total]
-                    found.update((min(int(g[i]), x), max(int(g[i]), x)) for x in g[j].tolist())
-        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["ga", "gb"])
+                    j = j[(total - _apart(w, i, j)) * (100 + percent) >= 2 * percent * total]
+                    out += [(x[i], y, r[i], k) if x[i] > y else (y, x[i], k, r[i]) for y, k in zip(x[j], r[j])]
+        found = np.array(out, np.int64).reshape(-1, 4)
+        return pa.table([pa.array(found[:, k]) for k in range(4)], names=["a", "b", "ka", "kb"])
 
-    return rows.select("k", "token", "grp", "n", "at", "component", "bits").groupBy("k").applyInArrow(crossed, "ga bigint, gb bigint").distinct()
+    return rows.groupBy("k").applyInArrow(crossed, "a bigint, b bigint, ka bigint, kb bigint").distinct()
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(key, doc_id, n_shingles, component_id)` of every row. key: hash of id and text."""
+    """`(key, doc_id, n_shingles, component_id, first)` of every row. key: hash of id and text; first: the key of the row that
+    stands for the component, one of the smallest id, nulls last."""
     src = pick(docs, **{"doc_id": id_col, "text": text_col}).withColumn("key", F.xxhash64("doc_id", "text"))
     described = _described(src, width, percent)
-    lists = _lists(described)
-    star = lists.filter("grp <> lead_grp").filter(_possible(F.col("n"), F.col("lead_n"), F.col("at"), F.col("lead_at"), percent))
-    star = star.select(F.least("grp", "lead_grp").alias("ga"), F.greatest("grp", "lead_grp").alias("gb")).distinct()
-    several = described.filter("n > 0").groupBy("grp").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y")
-    within = several.select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
-    first = _verified(src, described, star.unionByName(within), width, percent)
-    label = stored(components(first), "components")
-    members = described.filter("n > 0").groupBy("grp", F.col("cls").alias("node")).agg(F.first("bits").alias("bits")).join(label, "node", "left")
-    members = members.select("grp", F.coalesce("component", "node").alias("component"), "bits")  # a class without a link is its own component
-    across = stored(_across(lists, members, percent), "across").join(star, ["ga", "gb"], "left_anti")
-    second = _verified(src, described, across, width, percent)
-    label = stored(components(first.unionByName(second)), "components")
+    with scratch(docs.sparkSession):
+        members = described.filter("n > 0").groupBy("grp", "cls").agg(F.min(F.struct("key", "n", "bits")).alias("m"))
+        members = stored(members.select("grp", "cls", "m.*"), "members")
+        lists = _lists(described)
+        one = F.struct("cls", "key", "n", "bits")
+        first_of = members.groupBy("grp").agg(F.min(one).alias("m"))
+        star = lists.filter("grp <> lead_grp").filter(_possible(F.col("n"), F.col("lead_n"), F.col("at"), F.col("lead_at"), percent))
+        star = stored(star.select("grp", "lead_grp").distinct(), "star")
+        lead = first_of.select(F.col("grp").alias("lead_grp"), F.col("m").alias("mb"))
+        pairs = spread_join(star.join(first_of.select("grp", F.col("m").alias("ma")), "grp"), lead, "lead_grp", F.col("grp"), hot=heavy(star, "lead_grp"))
+        within = spread_join(members, first_of.withColumnRenamed("m", "mb"), "grp", F.col("cls")).filter("cls <> mb.cls").withColumn("ma", one)
+        pairs = _likely(pairs.select("ma", "mb").unionByName(within.select("ma", "mb")), percent)
+        first = _verified(src, pairs, width, percent)
+        label = components(first)
+        members = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))  # a class without a link is its own
+        known = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        across = stored(_across(lists, stored(members, "members"), percent).join(known, ["a", "b"], "left_anti"), "across")
+        second = _verified(src, across, width, percent)
+        label = stored(components(first.unionByName(second)), "components")
     nodes = described.select("key", "doc_id", "n", F.col("cls").alias("node")).join(label, "node", "left").withColumn("component", F.coalesce("component", F.when(F.col("n") > 0, F.col("node"))))
-    least = nodes.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return nodes.join(least, "component", "left").select("key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), "key"))["key"]
+    least = nodes.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), first.alias("first"))
+    out = nodes.join(least, "component", "left").select("key", "doc_id", F.col("n").alias("n_shingles"), "least", "first")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))
+    return out.select("key", "doc_id", "n_shingles", "component_id", F.coalesce("first", "key").alias("first"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each component: that of the smallest id, of equal rows one."""
+    """`docs` with one row of each component, of the smallest id there (nulls last). Of rows equal in id and text one stays.
+    Columns keep their names, whatever they are; of equal names the first counts as id or text."""
     found = classes(docs, width, percent, id_col, text_col)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("key").distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return keyed.join(gone.withColumnRenamed("key", "__key"), "__key", "left_anti").dropDuplicates(["__key"]).select(*docs.columns)
+    gone = found.filter("key <> first").select(F.col("key").alias("_key")).distinct()
+    of = [F.col(f"_c{docs.columns.index(c)}") for c in (id_col, text_col)]
+    keyed = numbered(docs).withColumn("_key", F.xxhash64(*of))
+    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).drop("_key").toDF(*docs.columns)
