@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import pick, pieces
+from strandloom.llm.common import numbered, pick, pieces
 
 #: Order of kinds that start at the same place.
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "secret", "local_phone"]
@@ -118,16 +118,20 @@ def find(text: str | None) -> list[Span]:
         out += [Span("email", *s, _near(text, *s, "email"), True) for s in _emails(text)]
     for kind, search in (("ip", _ips), ("card", _cards), ("phone", _phones)):
         out += [Span(kind, *s, _near(text, *s, kind), True) for s in search(text)]
-    taken = [(s.start, s.end) for s in out]
+    taken: bytearray | None = None  # which characters are in a span
     for kind, pattern in (("iban", _IBAN), ("ssn", _SSN), ("secret", _SECRET), ("local_phone", _LOCAL_PHONE)):
         for m in pattern.finditer(text):
             a, b = m.span()
+            if taken is None:
+                taken = bytearray(len(text))
+                for s in out:
+                    taken[s.start : s.end] = b"\1" * (s.end - s.start)
             # a secret is one whole span, also with an address or number inside it
-            if kind == "iban" and not mod97(m.group()) or kind != "secret" and any(a < y and x < b for x, y in taken):
+            if kind == "iban" and not mod97(m.group()) or kind != "secret" and taken.find(1, a, b) >= 0:
                 continue
             if (score := _near(text, a, b, kind)) >= THRESHOLD:
                 out.append(Span(kind, a, b, score, False))
-                taken.append((a, b))
+                taken[a:b] = b"\1" * (b - a)
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
@@ -164,8 +168,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the spans in the text column masked; the other columns as they were."""
+    """`docs` with the spans in the text column (the first of that name) masked; the other columns as they were, whatever
+    their names. Null and empty texts stay."""
     at = docs.columns.index(text_col)
+    flat = numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -173,7 +179,7 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[at] = pa.array([masked(t) for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return flat.mapInArrow(run, flat.schema).toDF(*docs.columns)
 
 
 def listed(spans, only_base: bool = False):
