@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WORD, pick, stored
+from strandloom.llm.common import WORD, numbered, pick, scratch, stored
 
 _EPS = 1e-9
 
@@ -146,8 +146,12 @@ def mix(sizes: DataFrame, goal: DataFrame, block: int = 5000, seed: int = 11) ->
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """`docs` with each row as often as the mix takes it, columns as they were. Rows equal in id and text pool their share."""
-    row = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    sizes = stored(sized(row, "__key", text_col, source_col), "sizes")
-    times = mix(sizes, stored(targets(sizes), "targets")).groupBy(F.col("doc_id").alias("__key")).agg(F.sum("times").cast("int").alias("__times")).filter("__times > 0")
-    return row.join(times, "__key").dropDuplicates(["__key"]).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*docs.columns)
+    """`docs` with each row as often as the mix takes it, columns as they were, whatever their names. Rows equal in id and
+    text pool their share."""
+    at = {c: f"_c{docs.columns.index(c)}" for c in (id_col, text_col, source_col)}
+    row = numbered(docs).withColumn("_key", F.xxhash64(at[id_col], at[text_col]))
+    with scratch(docs.sparkSession):
+        sizes = stored(sized(row, "_key", at[text_col], at[source_col]), "sizes")
+        times = mix(sizes, stored(targets(sizes), "targets")).groupBy(F.col("doc_id").alias("_key")).agg(F.sum("times").cast("int").alias("_times"))
+        times = stored(times.filter("_times > 0"), "times")
+    return row.join(times, "_key").dropDuplicates(["_key"]).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).drop("_key", "_times", "_copy").toDF(*docs.columns)
