@@ -2,8 +2,8 @@
 
 Features are hashed byte n-grams (1 to 3) of the lower-cased letters of the whole text, square-rooted and scaled to unit
 length; executors compute them for training and for prediction alike. The classifier is fitted on the driver from at most
-`per_language` rows of each language (those with the smallest hash of their id), whatever the size of the table: so
-many vectors of `DIMS` floats and no more are collected. Prediction is one Python pass per Arrow batch without a shuffle.
+`per_language` rows of each language (chosen by a hash of the row), whatever the size of the table: so many vectors of
+`DIMS` floats and no more are collected. Prediction is one Python pass per Arrow batch without a shuffle.
 
 Defined results: null text, empty text and text without a letter give `und` with score 0; rows with null lang are not
 learnt from; with no rows to learn from all is `und`; repeated rows are predicted alike; other columns play no part.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import pick, pieces
 
-DIMS = 2048
+DIMS, BUCKETS = 2048, 4096
 #: Language families; a language that is in none forms its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no"),
@@ -113,13 +113,14 @@ class Hierarchy:
 
 
 def fit(labelled: DataFrame, per_language: int = 750) -> Hierarchy | None:
-    """From the columns doc_id, text, lang. per_language bounds the rows of each language that are learnt from."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):  # a common language is first cut down in many groups
-        first = Window.partitionBy(*keys).orderBy("h", "doc_id")
-        ids = ids.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language).drop("k")
-    sample = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")  # per_language ids of each language at most
+    """From the columns doc_id, text, lang. per_language bounds the rows of each language that are learnt from: of BUCKETS
+    groups of a language's rows by hash, the first row of each, and of these the first ones. Equal rows count once."""
+    rows = pick(labelled, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "lang", "text"))
+    ids = rows.groupBy("lang", F.pmod("key", F.lit(BUCKETS)).alias("bucket")).agg(F.min("key").alias("key"))  # combined before the shuffle
+    first = Window.partitionBy("lang").orderBy(F.hash("key"), "key")
+    ids = ids.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language)
+    sample = rows.join(F.broadcast(ids.select("lang", "key")), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"]).select("lang", "text")  # per_language rows of each language at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
