@@ -2,8 +2,9 @@
 
 Native throughout. Rarity is counted over the tokens of all URLs. The index (one row per rule) joins the exploded tokens;
 the fetched rules' regular expressions run on the host and path; the best match per URL is reduced by a map-side
-combining aggregate, so a very common host or URL does not load one task. The rule list is a parameter on the driver; it
-is broadcast while it has at most BROADCAST_RULES rows and joined by shuffle beyond that.
+combining aggregate. The rule list is a parameter on the driver; it is broadcast while it has at most BROADCAST_RULES rows
+and joined by shuffle beyond that, where tokens that many URLs have are spread over tasks. URLs without host and path,
+which no rule can fit, take no part in joins, and a URL that very many rows have is spread over tasks too.
 
 Defined results: a null URL, or one without `://`, has empty host and path and no rule; repeated rows are judged alike;
 an empty table gives an empty table. Of rules that fit, site rules go before patterns, then the longest text, then the
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import pick
+from strandloom.llm.common import pick, spread_join, stored
 
 BROADCAST_RULES = 20_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -71,18 +72,23 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: s
     """`(page_id, host, path, rule, pattern, verdict)` of every row."""
     spark = pages.sparkSession
     urls = parsed(pages, id_col, url_col).withColumn("where", F.concat("host", "path"))
-    held = (lambda x: F.broadcast(x)) if len(rules) <= BROADCAST_RULES else (lambda x: x)
+    small = len(rules) <= BROADCAST_RULES
+    urls = stored(urls, "urls")
     listed = spark.createDataFrame(pa.table({
         "k": pa.array(range(len(rules)), pa.int32()), "text": pa.array([r.text for r in rules], pa.string()), "said": pa.array([r.verdict for r in rules], pa.string()),
         "regex": pa.array([r.regex for r in rules], pa.string()), "tokens": pa.array([list(r.tokens) or [""] for r in rules], pa.list_(pa.string())), "site": pa.array([r.site for r in rules], pa.bool_()),
     }))
-    seen = urls.filter(F.col("where") != "").select("where", F.explode(_tokens(F.col("where"))).alias("token"))
+    some = urls.filter(F.col("where") != "")
+    seen = some.select("where", F.explode(_tokens(F.col("where"))).alias("token"))
     literal = listed.select("k", F.explode("tokens").alias("token"))
-    often = seen.join(held(literal.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    held = literal.select("token").distinct()
+    often = seen.join(F.broadcast(held) if small else held, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = literal.join(often, "token", "left").groupBy("k").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     index = rarest.join(listed.drop("tokens"), "k")
-    fits = seen.join(held(index), "token").filter(F.expr("where rlike regex"))
+    tried = seen.join(F.broadcast(index), "token") if small else spread_join(seen, stored(index, "index"), "token", F.col("where"))
+    fits = tried.filter(F.expr("where rlike regex"))
     best = fits.groupBy("where").agg(F.max(F.struct("site", F.length("text").alias("n"), "text", "said")).alias("best"))
-    out = urls.join(best, "where", "left")
+    found = spread_join(some, best, "where", F.struct("page_id", "url"), "left")
+    out = found.unionByName(urls.filter(F.col("where") == ""), allowMissingColumns=True)
     named = F.when(F.col("best.site"), F.col("best.text"))
     return out.select("page_id", "host", "path", named.alias("rule"), F.when(~F.col("best.site"), F.col("best.text")).alias("pattern"), F.coalesce("best.said", F.lit(default)).alias("verdict"))
