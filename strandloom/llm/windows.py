@@ -6,11 +6,13 @@ known. So one window, however common, is sent at most once per chunk of windows.
 Reduce: each range finds the smallest document of each hash; entries of larger documents are hits. Hits meet by document,
 where overlapping windows become maximal intervals, and only documents with hits are joined with their intervals.
 
-Windows are compared by 64-bit hashes of 64-bit word hashes. Rows should come from a table (files), so that a task that is
+Windows are compared by 64-bit hashes of 64-bit word hashes: of w distinct windows about w * w / 2 ** 65 pairs share one by
+chance, none expected below 6e9 windows, 13 words in ten million at 1e13. Rows should come from a table (files), so that a task that is
 run again gives the same rows.
 
 Defined results: null text has no words; documents of fewer words than a window lose nothing; a null id counts as larger
-than all others; rows that share an id are one document and should hold the same text; an empty table gives an empty table.
+than all others; rows that share an id are one document, whose windows are those of all of them and whose removed places
+are removed from each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WORD, as_bytes, packed, parts, pick, pieces, split_by_ids, stored, unpacked
+from strandloom.llm.common import WORD, as_bytes, packed, parts, pick, pieces, scratch, split_by_ids, stored, unpacked
 
 #: Windows that a task combines before it sends them on: bounds its memory.
 CHUNK = 1_500_000
@@ -113,7 +115,9 @@ def _without_copies(src: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """
     marks = stored(src.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")), "marks")
     least = marks.groupBy("h", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("most > least").select("h", "n", "least")
-    copies = stored(marks.join(least, ["h", "n"]).filter("doc_id > least").select("doc_id").distinct(), "copies")
+    copies = marks.join(least, ["h", "n"]).filter("doc_id > least").select("doc_id").distinct()
+    one_text = marks.join(copies, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("h").alias("x"), F.max("h").alias("y"))
+    copies = stored(one_text.filter(F.col("x").eqNullSafe(F.col("y"))).select("doc_id"), "copies")
     some, rest = split_by_ids(src, "doc_id", copies)
     words = F.regexp_count("text", F.lit(WORD))
     whole = some.join(copies, "doc_id", "left_semi").select("doc_id", words.cast("int").alias("w")).filter(F.col("w") >= width).distinct()
@@ -200,4 +204,6 @@ def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
 
 def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`remove` of the `repeated_spans`, which are stored in between."""
-    return remove(docs, stored(repeated_spans(docs, width, id_col, text_col), "spans"), id_col, text_col)
+    with scratch(docs.sparkSession):
+        spans = stored(repeated_spans(docs, width, id_col, text_col), "spans")
+    return remove(docs, spans, id_col, text_col)
