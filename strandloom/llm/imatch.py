@@ -1,15 +1,19 @@
 """Document fingerprints (I-Match): terms of a middling document frequency, sorted, hashed over several random lexicons.
 
-Terms are lower-cased words, hashed to 64 bits. Document frequencies are counted over all documents in 2^20 classes of
-that hash: each partition sums its own and ships them compressed, so what the driver and the tasks hold has a fixed size.
-A class whose documents number at least `least` and at most `most` of all is in the band. A fingerprint has one hash over
+Terms are lower-cased words, hashed to 64 bits. Document frequencies are counted over all documents, term by term, in Spark.
+The band takes terms in at least `least` of all documents (and in two) and at most `most`. Each term in it takes up that
+share of documents, so there are at most (mean distinct terms of a document) / `least` of them however large the corpus:
+that bounds the lexicon, the one table that every task gets. A fingerprint has one hash over
 all terms in the band, eight over the lexicons that leave out a random eighth (few edits leave some of them equal), and
 sixteen for each of five rates over small random lexicons (they agree in proportion to the terms shared).
 
-`likeness` is the largest share of equal, non-empty parts among the groups of lexicons that say something about either.
+`likeness` is the largest share of equal, non-empty parts among the groups of lexicons that say something about either. A
+group of which fewer than TOLD lexicons do says too little and is left out; so different texts of a few terms in the band
+are compared by the whole and the eighths alone, if these apply, and otherwise have likeness 0.
 
 The edited texts need each document's successor by descending id. Ids are range-partitioned by sampled splitters; each
-range is sorted by itself and gets one copy more: the first document of the next range. The text moves once.
+range is sorted by itself and also gets the first document of the next range, one copy from each task that reads one like
+it. The text moves once.
 
 Defined results: null text is empty; equal texts have equal fingerprints; a text without terms in the band is hashed over
 all its terms, or itself, and so is like its equals alone; null ids come last; rows that share an id follow each other,
@@ -26,20 +30,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import class_frequency, classes_of, parts, pick, pieces
+from strandloom.llm.common import as_bytes, parts, pick, pieces
 
-CLASSES = 1 << 20
-RATES, EACH, EIGHTHS = (3, 5, 7, 9, 11), 16, 8
+RATES, EACH, EIGHTHS, TOLD = (3, 5, 7, 9, 11), 16, 8, 4
+#: Terms of documents that a task counts before it sends them on.
+CHUNK = 1_000_000
 _MIN = -(2**63)
 
 
 class _Hashes(dict):
-    """Hash of a term, kept for as long as there are not too many."""
+    """Hash of a term, kept for as long as there are not too many; with a lexicon (sorted hashes), 0 for terms not in it."""
+
+    def __init__(self, lexicon: np.ndarray | None = None):
+        super().__init__()
+        self.lexicon = lexicon
 
     def __missing__(self, term: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        h = self[term] = xxhash.xxh3_64_intdigest(term)
+        h = xxhash.xxh3_64_intdigest(term)
+        if self.lexicon is not None:
+            i = int(np.searchsorted(self.lexicon, np.uint64(h)))
+            if i == len(self.lexicon) or int(self.lexicon[i]) != h:
+                h = 0
+        self[term] = h
         return h
 
 
@@ -49,15 +63,34 @@ def terms(text: bytes, memo: _Hashes) -> np.ndarray:
     return np.unique(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
 
 
-def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """Documents in each class of terms, and documents in all."""
-    memo = _Hashes()
-    return class_frequency(pick(docs, text=text_col), lambda raw: terms(raw, memo), CLASSES)
+def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """`(term, df)`: in how many documents each term (by its hash) is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, held, n = _Hashes(), [], 0
+
+        def counted() -> pa.RecordBatch:
+            h, df = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(df.astype(np.int64))], names=["term", "df"])
+
+        for b in pieces(batches, 500):
+            for raw in as_bytes(b.column(0)):
+                held.append(terms(raw, memo))
+                n += len(held[-1])
+            if n >= CHUNK:
+                yield counted()
+                held, n = [], 0
+        if held:
+            yield counted()
+
+    return pick(docs, text=text_col).mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def band(df: np.ndarray, n: int, least: int = 2, most: float = 0.05) -> np.ndarray:
-    """Which classes of terms count."""
-    return (df >= least) & (df <= max(least, most * n))
+def band(df: DataFrame, n: int, least: float = 1e-4, most: float = 0.05) -> np.ndarray:
+    """The lexicon, sorted hashes of the terms that count, of a corpus of n documents. least and most are shares of it."""
+    low = max(2, int(np.ceil(least * n)))
+    got = df.filter((F.col("df") >= low) & (F.col("df") <= max(low, most * n))).select("term").toPandas()  # mean terms / least rows at most
+    return np.sort(got["term"].to_numpy(np.int64).view(np.uint64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -65,12 +98,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def parts_of(text: bytes, in_band: np.ndarray, memo: _Hashes) -> np.ndarray:
-    """The parts of a fingerprint as integers; 0 marks a lexicon of which the text has no term."""
-    every = terms(text, memo)
-    h = every[in_band[classes_of(every, CLASSES)]]
+def parts_of(text: bytes, memo: _Hashes) -> np.ndarray:
+    """The parts of a fingerprint as integers, with the memo of a lexicon; 0 marks a part of which the text has no term."""
+    h = terms(text, memo)
+    h = h[h > 0]
     if not len(h):
-        h = every if len(every) else np.array([xxhash.xxh3_64_intdigest(text)], np.uint64)
+        h = terms(text, _Hashes())
+        h = h if len(h) else np.array([xxhash.xxh3_64_intdigest(text)], np.uint64)
     z = _mixed(h)
     c = _mixed(z)
     eighth = np.zeros(EIGHTHS, np.uint64)
@@ -97,7 +131,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         x, y = a[at : at + size], b[at : at + size]
         at += size
         told = int(((x > 0) | (y > 0)).sum())
-        if told >= EACH // 4:
+        if told >= TOLD:
             best = max(best, int(((x == y) & (x > 0)).sum()) / told)
     return best
 
@@ -105,38 +139,47 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, text, next_text)`: the text that follows by descending id; after the last, the first."""
     src = pick(docs, **{"doc_id": id_col, "text": text_col}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ids = src.select(F.coalesce("doc_id", F.lit(_MIN)).alias("id"))
     n = parts(docs)
-    cuts = sorted(set(ids.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)), reverse=True) if n > 1 else []
+    order = F.xxhash64("text")
+    marks = src.select(F.coalesce("doc_id", F.lit(_MIN)).alias("id"), order.alias("h"))
+    cuts = sorted(set(marks.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)), reverse=True) if n > 1 else []
     edges = -np.array(cuts, np.float64)  # range k: ids from above cuts[k] to at most cuts[k - 1]
 
     def range_of(i: np.ndarray) -> np.ndarray:
         return np.searchsorted(edges, -i.astype(np.float64), side="right")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top: dict[int, int] = {}
+        first: dict[int, tuple[int, int]] = {}
         for b in batches:
-            i = b.column(0).to_numpy(zero_copy_only=False)
-            for k, v in zip(range_of(i).tolist(), i.tolist()):
-                if v > top.get(k, _MIN - 1):
-                    top[k] = v
-        yield pa.RecordBatch.from_pydict({"k": pa.array(top.keys(), pa.int32()), "id": pa.array(top.values(), pa.int64())})
-
-    top = {r.k: r.id for r in ids.mapInArrow(heads, "k int, id bigint").groupBy("k").agg(F.max("id").alias("id")).collect()}  # a row for each range
-    order = sorted(top)
-    before = {top[k]: order[i - 1] for i, k in enumerate(order)}  # the head of a range also goes to the range before it
+            i, h = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            k = range_of(i)
+            by = np.lexsort((h, -i.astype(np.float64), k))
+            for j in by[np.append(True, k[by][1:] != k[by][:-1])[: len(by)]].tolist():
+                mine = (-int(i[j]), int(h[j]))
+                first[int(k[j])] = min(first.get(int(k[j]), mine), mine)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(first, pa.int32()), "id": pa.array([-x for x, _ in first.values()], pa.int64()), "h": pa.array([x for _, x in first.values()], pa.int64())})
+
+    top = marks.mapInArrow(heads, "k int, id bigint, h bigint").groupBy("k").agg(F.min(F.struct((-F.col("id").cast("decimal(20,0)")).alias("x"), "h", "id")).alias("top"))
+    head = {r.k: (r.top.id, r.top.h) for r in top.collect()}  # a row for each range
+    order_of = sorted(head)
+    before = {head[k]: order_of[i - 1] for i, k in enumerate(order_of)}  # the head of a range also goes to the range before it
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for b in batches:
-            i = b.column(0).fill_null(_MIN).to_numpy(zero_copy_only=False)
-            extra = np.array([r for r, v in enumerate(i.tolist()) if v in before], np.int64)
-            take = pa.array(np.concatenate([np.arange(len(i)), extra]))
-            k = np.concatenate([range_of(i), [before[v] for v in i[extra].tolist()]]).astype(np.int32)
+            i, h = b.column(0).fill_null(_MIN).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            extra = []
+            for r, mark in enumerate(zip(i.tolist(), h.tolist())):
+                if (to := before.get(mark)) is not None and to not in sent:
+                    sent.add(to)
+                    extra.append((r, to))
+            take = pa.array(np.concatenate([np.arange(len(i)), np.array([r for r, _ in extra], np.int64)]))
+            k = np.concatenate([range_of(i), np.array([to for _, to in extra], np.int64)]).astype(np.int32)
             tail = np.arange(len(k)) >= len(i)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(tail), b.column(0).take(take), b.column(1).take(take)], names=["k", "tail", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(tail), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)], names=["k", "tail", "doc_id", "text", "h"])
 
-    rows = src.mapInArrow(dealt, "k int, tail boolean, doc_id bigint, text string")
-    rows = rows.repartition(n, "k").sortWithinPartitions("k", "tail", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    rows = src.withColumn("h", order).mapInArrow(dealt, "k int, tail boolean, doc_id bigint, text string, h bigint")
+    rows = rows.repartitionById(len(edges) + 1, F.col("k")).sortWithinPartitions("k", "tail", F.col("doc_id").desc_nulls_last(), "h", "text").drop("h")
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -157,20 +200,20 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprints(pairs: DataFrame, in_band: np.ndarray) -> DataFrame:
+def fingerprints(pairs: DataFrame, lexicon: np.ndarray) -> DataFrame:
     """For `(doc_id, text, next_text)`: n_chars, the edited text, fingerprints of all three and their likeness."""
-    sent = pairs.sparkSession.sparkContext.broadcast(np.packbits(in_band))
+    sent = pairs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, memo = np.unpackbits(sent.value, count=CLASSES).astype(bool), _Hashes()
+        memo = _Hashes(sent.value)
         last: tuple[str, np.ndarray] | None = None
         for b in pieces(batches, 500):
             cols: list[list] = [[], [], [], [], [], []]
             for text, following in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own = last[1] if last and last[0] == text else parts_of(text.encode(), lexicon, memo)
-                last = (following, parts_of(following.encode(), lexicon, memo))
+                own = last[1] if last and last[0] == text else parts_of(text.encode(), memo)
+                last = (following, parts_of(following.encode(), memo))
                 new = edited(text, following)
-                other = parts_of(new.encode(), lexicon, memo)
+                other = parts_of(new.encode(), memo)
                 for c, v in zip(cols, (len(text), new, written(own), written(other), likeness(own, other), likeness(own, last[1]))):
                     c.append(v)
             types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())

@@ -77,8 +77,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    df, n = imatch.document_frequency(docs)
-    out = imatch.fingerprints(imatch.with_successor(docs), imatch.band(df, n))
+    lexicon = imatch.band(imatch.document_frequency(docs), docs.count())
+    out = imatch.fingerprints(imatch.with_successor(docs), lexicon)
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
