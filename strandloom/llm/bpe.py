@@ -14,20 +14,16 @@ from another vocabulary.
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from strandloom.llm.common import pick, pieces
 
@@ -235,11 +231,18 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
-def with_ids_sha256(df: DataFrame) -> DataFrame:
-    """`df` with ids_sha256: lower-case hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
+def round_trip(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`(doc_id, ids binary, decoded binary)`: ids as little-endian unsigned 32-bit integers, as they are written to shards,
+    and the bytes that they decode to. Encoding and decoding share a pass and the tables of one worker."""
+    src = pick(docs, **{"doc_id": id_col, "text": text_col})
+    tok = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
-    @F.pandas_udf(StringType())
-    def digest(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tok.value
+        for b in pieces(batches, 500, 8 << 20):
+            ids = t.encode_all(b.column(1).to_pylist())
+            raw = pa.array([t.decode(x.tolist()) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), raw], names=["doc_id", "ids", "decoded"])
 
-    return df.withColumn("ids_sha256", digest("ids"))
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return src.mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")

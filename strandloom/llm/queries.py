@@ -24,9 +24,8 @@ def tokenizer(file: str = "byte_bpe_multi_50k.tiktoken") -> bpe.Tokenizer:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokenizer()
-    out = bpe.with_ids_sha256(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), t), t))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer())
+    return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
