@@ -33,10 +33,16 @@ def homopolymer_equal(a: Column | str, b: Column | str) -> Column:
     return collapse(a) == collapse(b)
 
 
-def kmers(s: Column | str, k: int, skip_n: bool = True) -> Column:
-    """All k-mers in order; those with an N are left out. Strings shorter than k have none."""
-    s = _col(s)
-    every = F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+#: Places of a string that are cut out at once: a substring is found by walking there from the string's start.
+_STRIDE = 512
+
+
+def kmers(s: Column | str, k: Column | int, skip_n: bool = True) -> Column:
+    """All k-mers in order; those with an N are left out. Strings shorter than k have none, and k must be positive."""
+    s, k = _col(s), F.lit(k) if isinstance(k, int) else k
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - k) / _STRIDE).cast("int")), lambda b: F.substring(s, b * _STRIDE + 1, k + _STRIDE - 1))
+    every = F.flatten(F.transform(blocks, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - k + 1), lambda i: F.substring(x, i, k))))
+    every = F.when((F.length(s) >= k) & (k > 0), every).otherwise(F.array().cast("array<string>"))
     return F.filter(every, lambda x: ~F.contains(x, F.lit("N"))) if skip_n else every
 
 
@@ -50,7 +56,7 @@ def max_repeat_k(s: Column | str, k_min: int = 20, k_max: int = 180, step: int =
 
 
 def shared_kmers(a: Column | str, b: Column | str, k: int = 10) -> Column:
-    """How many k-mer occurrences of a are also in b."""
+    """How many k-mer occurrences of a are also in b: for short strings (`reads.shared_kmer_counts` takes long ones)."""
     once = F.array(F.array_distinct(kmers(b, k, False)))  # bound in a lambda, so that it isn't computed for each k-mer
     return F.get(F.transform(once, lambda other: F.size(F.filter(kmers(a, k, False), lambda x: F.array_contains(other, x)))), F.lit(0))
 

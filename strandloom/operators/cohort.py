@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.operators.intervals import overlap_join, with_island
+from strandloom.functions.sequence import kmers
+from strandloom.operators.intervals import STRETCH, div, overlap_join, with_island
 
 LONG_ALLELE = 400
 
@@ -57,11 +58,16 @@ def population_counts(cohort: DataFrame, population: DataFrame) -> DataFrame:
 
 def locus_range(sv: DataFrame, loci: DataFrame) -> DataFrame:
     """For each repeat locus the smallest and largest length of the calls in it, the range in units (-1 without calls), and
-    the rank by range, then place."""
+    the rank over all loci by range, then place: places within a stretch of a chromosome, plus the loci of those before."""
     pairs = overlap_join(loci.select("id", "chrom", "st", "ed"), sv.select("chrom", F.col("pos").alias("st"), F.col("pos").alias("ed"), "svlen"))
     per = pairs.groupBy("id").agg(F.min("r_svlen").alias("least"), F.max("r_svlen").alias("most"), F.count(F.lit(1)).alias("n"))
     out = loci.join(per, "id", "left").withColumn("range", F.coalesce(F.floor((F.col("most") - F.col("least")) / F.col("unit")), F.lit(-1)).cast("long"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("chrom").orderBy("range", "st", "id")))
+    out = out.withColumn("_bin", div(F.col("st"), STRETCH))
+    part = ["range", "chrom", "_bin"]
+    before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)  # over one row for each stretch and range
+    size = out.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*part).orderBy("st", "id"))
+    return out.join(size, part).withColumn("rank", own + F.col("_before")).drop("_bin", "_before")
 
 
 def same_variant(a: str, b: str) -> dict:
@@ -124,8 +130,10 @@ def recover_alleles(cohort: DataFrame, singles: DataFrame, near: int = 1000) ->
     count = long.groupBy("id", "chrom", "pos", "svlen").agg(F.count(F.lit(1)).alias("n"), F.min("sample").alias("sample"))
     modal = count.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "svlen"))).filter("k = 1")
     s = singles.select(F.col("sample").alias("s_sample"), F.col("chrom").alias("s_chrom"), F.col("pos").alias("s_pos"), F.col("svlen").alias("s_svlen"), "ref", "alt")
-    on = (F.col("sample") == F.col("s_sample")) & (F.col("chrom") == F.col("s_chrom")) & (F.abs("svlen") == F.abs("s_svlen")) & F.col("s_pos").between(F.col("pos") - near, F.col("pos") + near)
-    hits = modal.join(s, on, "left").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.abs(F.col("s_pos") - F.col("pos")), "s_pos", "alt")))
+    modal = modal.withColumn("_bin", F.explode(F.sequence(div(F.col("pos") - near, 2 * near), div(F.col("pos") + near, 2 * near))))
+    s = s.withColumn("s_bin", div(F.col("s_pos"), 2 * near))
+    on = (F.col("sample") == F.col("s_sample")) & (F.col("chrom") == F.col("s_chrom")) & (F.abs("svlen") == F.abs("s_svlen")) & (F.col("_bin") == F.col("s_bin")) & F.col("s_pos").between(F.col("pos") - near, F.col("pos") + near)
+    hits = modal.join(s, on, "left").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.abs(F.col("s_pos") - F.col("pos")).asc_nulls_last(), "s_pos", "alt")))
     return hits.filter("k = 1").select("id", "chrom", "pos", "svlen", "sample", F.col("s_pos").alias("allele_pos"), "ref", "alt")
 
 
@@ -133,7 +141,7 @@ def motif_support(sequences: DataFrame) -> DataFrame:
     """Whether a sequence is made of its motif: gaps of more than five units between hits are not repeat; what is left must
     be 30 bases at least and more than half. Overlapping hits count. Columns seq, motif."""
     n, u = F.length("seq"), F.length("motif")
-    hits = F.when((n >= u) & (u > 0), F.filter(F.sequence(F.lit(1), n - u + 1), lambda i: F.substring(F.col("seq"), i, F.length("motif")) == F.col("motif"))).otherwise(F.array().cast("array<int>"))
+    hits = F.filter(F.transform(kmers("seq", u, False), lambda x, i: F.when(x == F.col("motif"), i + 1)), lambda i: i.isNotNull())
     rows = sequences.withColumn("_h", hits).withColumn("_edge", F.concat(F.array(1 - u), F.col("_h"), F.array(n + 1)))
     gaps = F.zip_with(F.slice("_edge", 2, F.size("_edge") - 1), F.slice("_edge", 1, F.size("_edge") - 1), lambda b, a: b - a - F.length("motif"))
     rows = rows.withColumn("_gaps", gaps).withColumn("repeat_bases", n - F.aggregate(F.filter("_gaps", lambda g: g > 5 * F.length("motif")), F.lit(0), lambda a, g: a + g))

@@ -74,19 +74,16 @@ def cluster_contigs(contigs: DataFrame, differences: DataFrame) -> DataFrame:
     differences: region, a_contig, b_contig of pairs with a difference outside VNTR, or that failed to align. A contig joins
     the first cluster whose leader it doesn't differ from: cluster 0, then by size, then by number; else it opens one.
     """
-    sets = differences.select("region", F.least("a_contig", "b_contig").alias("a"), F.greatest("a_contig", "b_contig").alias("b")).distinct().groupBy("region").agg(F.collect_list(F.concat_ws("\x01", "a", "b")).alias("differ"))
-    rows = contigs.select("region", "contig", "ord").join(sets, "region", "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ord", "contig"], kind="stable")
-        first = pdf["differ"].iloc[0]
-        differ = set() if first is None else set(first)
+        differ = {frozenset(p) for p in zip(pairs["a_contig"], pairs["b_contig"])}
         leaders: list[str] = []
         size: list[int] = []
         out = []
         for c in pdf["contig"]:
             for k in sorted(range(len(leaders)), key=lambda k: (k != 0, -size[k], k)):
-                if "\x01".join(sorted((c, leaders[k]))) not in differ:
+                if frozenset((c, leaders[k])) not in differ:
                     break
             else:
                 k = len(leaders)
@@ -96,7 +93,8 @@ def cluster_contigs(contigs: DataFrame, differences: DataFrame) -> DataFrame:
             out.append(k)
         return pdf.assign(cluster=out)[["region", "contig", "cluster"]]
 
-    return rows.groupBy("region").applyInPandas(run, "region string, contig string, cluster int")
+    rows = contigs.select("region", "contig", "ord").groupBy("region").cogroup(differences.select("region", "a_contig", "b_contig").groupBy("region"))
+    return rows.applyInPandas(run, "region string, contig string, cluster int")
 
 
 def subregion_clusters(clusters: DataFrame, sv: DataFrame, runs: DataFrame) -> DataFrame:
@@ -121,10 +119,11 @@ def complex_runs(sv: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def colours(row: DataFrame) -> DataFrame:
-    """Colour label of a sub-region by its kind and its counts of classes 1 to 4."""
-    n = [F.col(f"class_{k}") for k in range(5)]
-    kind = F.when(F.col("vntr") & (n[1] > 0), "yellow").when(n[4] > 0, F.when(n[2] + n[3] > 0, "purple").otherwise("red")).when(n[2] + n[3] > 0, "blue").when(n[1] > 0, "green").otherwise("grey")
-    return row.withColumn("colour", kind)
+    """Colour label of a sub-region: in VNTR by its counts of classes 1 and 2, elsewhere by those of classes 3 and 4."""
+    one, two, three, four = (F.coalesce(F.col(f"class_{k}"), F.lit(0)) > 0 for k in range(1, 5))
+    inside = F.when(two, "green").when(one, "yellow")
+    outside = F.when(three & four, "red").when(three, "purple").when(four, "blue")
+    return row.withColumn("colour", F.coalesce(F.when(F.col("vntr"), inside).otherwise(outside), F.lit("black")))
 
 
 def alignment_summary(pairs: DataFrame, gap: int = 50) -> DataFrame:
@@ -221,10 +220,12 @@ def cluster_report(clusters: DataFrame, annotation: DataFrame) -> DataFrame:
 
 def corrected_colours(rows: DataFrame, clusters: DataFrame, gap: int = 20) -> DataFrame:
     """Cluster counts of sub-regions (region, run, size, only_purple) less the purple differences that fall together:
-    their places (region, run, pos) are clustered by gaps, and what exceeds the number of clusters is taken off."""
+    their places (region, run, pos) are clustered by gaps, and what exceeds the number of clusters is taken off. A
+    sub-region without places keeps its size. The row of a whole region (`run` 0, its first) drops out if it has others."""
     n = gap_clusters(clusters, gap, ("region", "run")).groupBy("region", "run").agg(F.count(F.lit(1)).alias("_n"))
-    out = rows.join(n, ["region", "run"], "left")
-    return out.withColumn("corrected", F.col("size") - F.greatest(F.lit(0), F.col("only_purple") - F.coalesce("_n", F.lit(0)))).drop("_n")
+    several = rows.groupBy("region").agg(F.count(F.lit(1)).alias("_rows"))
+    out = rows.join(several, "region").filter("run <> 0 or _rows = 1").join(n, ["region", "run"], "left")
+    return out.withColumn("corrected", F.col("size") - F.coalesce(F.greatest(F.lit(0), F.col("only_purple") - F.col("_n")), F.lit(0))).drop("_n", "_rows")
 
 
 def linked_read_scores(bases: DataFrame, least: int = 5) -> DataFrame:
@@ -240,11 +241,9 @@ def linked_read_scores(bases: DataFrame, least: int = 5) -> DataFrame:
 def group_linked_reads(scores: DataFrame, reads: DataFrame) -> DataFrame:
     """Greedy groups of a region's reads, in order: a read joins the group with the best positive score; without one it
     opens a group if some score is negative, else it goes to the first. A region is small (a few hundred reads)."""
-    pairs = scores.groupBy("region").agg(F.collect_list(F.struct("r1", "r2", "score")).alias("pairs"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = pdf["pairs"].iloc[0]
-        score = {} if found is None else {frozenset((p["r1"], p["r2"])): p["score"] for p in found}
+    def run(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        score = {frozenset((a, b)): s for a, b, s in zip(pairs["r1"], pairs["r2"], pairs["score"])}
         groups: list[list] = []
         out = []
         for r in sorted(pdf["read"]):
@@ -262,4 +261,5 @@ def group_linked_reads(scores: DataFrame, reads: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["region", "read", "grp"])
 
     kinds = {c: reads.schema[c].dataType.simpleString() for c in ("region", "read")}
-    return reads.select("region", "read").distinct().join(pairs, "region", "left").groupBy("region").applyInPandas(run, f"region {kinds['region']}, read {kinds['read']}, grp int")
+    rows = reads.select("region", "read").distinct().groupBy("region").cogroup(scores.select("region", "r1", "r2", "score").groupBy("region"))
+    return rows.applyInPandas(run, f"region {kinds['region']}, read {kinds['read']}, grp int")

@@ -17,25 +17,24 @@ from strandloom.operators.intervals import merge, with_island
 
 #: Columns of a fold's rows: chrom, st, ed, support, id; other columns are not carried.
 FIELDS = ["chrom", "kind", "st", "ed", "support", "id"]
+BUNDLE = 500_000
 
 
-def absorb(left: list[dict], joins: Callable[[dict, dict], bool]) -> list[dict]:
+def absorb(rows: list[dict], joins: Callable[[dict, dict], bool]) -> list[dict]:
     """The first open row is an anchor that takes the rows behind it, growing, until the first that does not join."""
     out = []
-    while left:
-        anchor, at = dict(left[0]), 1
-        while at < len(left) and joins(anchor, left[at]):
-            anchor["st"], anchor["ed"] = min(anchor["st"], left[at]["st"]), max(anchor["ed"], left[at]["ed"])
-            anchor["support"] += left[at]["support"]
-            at += 1
-        out.append(anchor)
-        left = left[at:]
+    for row in rows:
+        if out and joins(anchor := out[-1], row):
+            anchor["st"], anchor["ed"] = min(anchor["st"], row["st"]), max(anchor["ed"], row["ed"])
+            anchor["support"] += row["support"]
+        else:
+            out.append(dict(row))
     return out
 
 
 def in_bundles(rows: DataFrame) -> DataFrame:
-    """Adds the bundle of 256 islands that a pandas group holds."""
-    return rows.withColumn("_bundle", F.floor(F.col("island") / 256))
+    """Adds the bundle, of the islands that start in the same BUNDLE bases, that a pandas group holds."""
+    return rows.withColumn("_bundle", F.floor(F.col("island") / BUNDLE))
 
 
 def bundled(rows: DataFrame, keys: tuple[str, ...], run: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:

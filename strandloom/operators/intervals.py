@@ -2,7 +2,8 @@
 
 Range predicates become equi-joins: each interval is dealt to the bins it touches, bins join, and a pair is kept in one
 bin only (the one in which the later start lies), so no distinct is needed. Groupings of neighbours are gaps and islands
-by window functions. Everything stays in the JVM.
+by window functions in two levels: rows meet in bins of a chromosome, and what a bin passes on to the next (a running
+maximum or sum) is one row for each bin. No window takes the rows of a whole chromosome. Everything stays in the JVM.
 """
 
 from __future__ import annotations
@@ -25,6 +26,17 @@ def bins(st: Column, ed: Column, width: int) -> Column:
     return F.when(st <= ed, F.sequence(div(st, width), div(ed, width))).otherwise(F.array().cast("array<bigint>"))
 
 
+#: Bases of a chromosome that one window takes.
+STRETCH = 1_000_000
+
+
+def passed_on(rows: DataFrame, keys: Sequence[str], **what: Column) -> DataFrame:
+    """`rows` (with `_bin`) with, for each name, the largest value of the bins before their own; null in the first."""
+    here, before = [*keys, "_bin"], Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(*here).agg(*(F.max(v).alias(k) for k, v in what.items()))
+    return rows.join(per.select(*here, *(F.max(k).over(before).alias(k) for k in what)), here, "left")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, width: int = 10_000, pad: int = 0, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """All pairs of rows that overlap (closed) once the left is padded on both sides. Right columns get the prefix r_.
 
@@ -42,15 +54,17 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 10_000, pad: in
 
 
 def containment_join(query: DataFrame, bed: DataFrame, width: int = 1000, order: str = "bed_order", key: str = "id") -> DataFrame:
-    """Every query with the first row of `bed`, in its order, that contains it; null columns if none does.
+    """Every query (unique by `key`) with the first row of `bed`, in its order, that contains it; null columns if none does.
 
-    Only the bin of the query's start is looked up.
+    Only the bin of the query's start is looked up. Hits are reduced by key right after the join, query columns with them.
     """
     b = bed.select(*(F.col(c).alias(f"r_{c}") for c in bed.columns)).withColumn("_bin", F.explode(bins(F.col("r_st"), F.col("r_ed"), width)))
     q = query.withColumn("_qbin", div(F.col("st"), width))
     on = (q["chrom"] == b["r_chrom"]) & (q["_qbin"] == b["_bin"]) & iv.within(q["st"], q["ed"], b["r_st"], b["r_ed"])
-    hits = q.join(b, on).groupBy(q[key].alias("_key")).agg(F.min_by(F.struct(*(f"r_{c}" for c in bed.columns)), f"r_{order}").alias("_hit"))
-    return query.join(hits, query[key] == hits["_key"], "left").select(*query.columns, *(F.col(f"_hit.r_{c}").alias(f"r_{c}") for c in bed.columns))
+    rest = [c for c in query.columns if c != key]
+    hit = F.when(F.col("_bin").isNotNull(), F.struct(*(f"r_{c}" for c in bed.columns)))
+    per = q.join(b, on, "left").groupBy(key).agg(F.first(F.struct(*rest)).alias("_q"), F.min_by(hit, f"r_{order}").alias("_hit"))
+    return per.select(*(F.col(c) if c == key else F.col(f"_q.{c}") for c in query.columns), *(F.col(f"_hit.r_{c}").alias(f"r_{c}") for c in bed.columns))
 
 
 def feature_overlap(regions: DataFrame, features: DataFrame, width: int = 10_000) -> DataFrame:
@@ -81,11 +95,16 @@ def flag_near(sv: DataFrame, dist: int = 500, keys: Sequence[str] = ("sample", "
     return sv.join(near, id_col, "left_semi")
 
 
-def with_island(df: DataFrame, gap: int, keys: Sequence[str] = ("chrom",), order: Sequence[str] = ("st", "ed")) -> DataFrame:
-    """Adds `island`: rows follow each other in one island while a start is at most `gap` past the largest end so far."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    far = F.max("ed").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_new", F.when(F.col("st") - far <= gap, 0).otherwise(1)).withColumn("island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def with_island(df: DataFrame, gap: int, keys: Sequence[str] = ("chrom",), order: Sequence[str] = ("st", "ed"), stretch: int = STRETCH) -> DataFrame:
+    """Adds `island`: rows follow each other in one island while a start is at most `gap` (0 at least) past the largest end
+    so far. Its value is the start of the island's first row, whatever the stretch."""
+    rows = df.withColumn("_bin", div(F.col("st"), stretch))
+    by = Window.partitionBy(*keys, "_bin").orderBy(*order)
+    far = F.greatest("_far", F.max("ed").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = passed_on(rows, keys, _far=F.col("ed")).withColumn("_new", F.when(F.col("st") - far <= gap, None).otherwise(F.col("st")))
+    rows = rows.withColumn("_own", F.max("_new").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)))  # with its ties
+    rows = passed_on(rows, keys, _old=F.col("_new"))
+    return rows.withColumn("island", F.coalesce("_own", "_old").cast("long")).drop("_bin", "_far", "_new", "_own", "_old")
 
 
 def merge(df: DataFrame, gap: int = 0, keys: Sequence[str] = ("chrom",), sums: Sequence[str] = ()) -> DataFrame:
@@ -113,15 +132,28 @@ def bin_frequency(binned: DataFrame, least: int, width: int = 500) -> DataFrame:
     return rows.agg(F.min("st").alias("st"), F.max("ed").alias("ed"), F.max("ac").alias("max_ac"), F.count(F.lit(1)).alias("n_bins")).drop("island")
 
 
+def depth_steps(spans: DataFrame, stretch: int) -> DataFrame:
+    """`(chrom, st, ed, n)`: the stretches of places (closed) that equally many, at least one, of the spans cover.
+
+    Two rows for each span, whatever its length: one more from its start, one less behind its end; running sums in bins.
+    """
+    step = F.explode(F.array(F.struct(F.col("st").alias("p"), F.lit(1).alias("d")), F.struct((F.col("ed") + 1).alias("p"), F.lit(-1).alias("d")))).alias("e")
+    at = spans.select("chrom", step).groupBy("chrom", F.col("e.p").alias("st")).agg(F.sum("e.d").alias("d")).filter("d <> 0").withColumn("_bin", div(F.col("st"), stretch))
+    by, bins_ = Window.partitionBy("chrom", "_bin").orderBy("st"), Window.partitionBy("chrom").orderBy("_bin")
+    per = at.groupBy("chrom", "_bin").agg(F.sum("d").alias("d"), F.min("st").alias("first"))
+    per = per.select("chrom", "_bin", F.coalesce(F.sum("d").over(bins_.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lead("first").over(bins_).alias("_next"))
+    rows = at.withColumn("n", F.sum("d").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("ed", F.lead("st").over(by)).join(per, ["chrom", "_bin"])
+    return rows.select("chrom", "st", (F.coalesce("ed", "_next") - 1).alias("ed"), (F.col("n") + F.col("_base")).alias("n")).filter("n > 0")
+
+
 def merge_beds(beds: DataFrame, n_samples: int, window: int = 20, least_row: int = 100, least_run: int = 500) -> DataFrame:
     """Depth of samples' regions in small windows, as runs of equal level: level 1 up to a twentieth of the samples, else 2."""
-    deep = beds.filter(F.col("ed") - F.col("st") >= least_row).select("chrom", F.explode(bins(F.col("st"), F.col("ed"), window)).alias("w"))
-    deep = deep.groupBy("chrom", "w").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.when(F.col("n") * 20 <= n_samples, 1).otherwise(2))
-    by = Window.partitionBy("chrom").orderBy("w")
-    new = (F.col("w") - F.lag("w").over(by) != 1) | (F.col("level") != F.lag("level").over(by))
-    runs = deep.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("chrom", "run", "level").agg((F.min("w") * window).alias("st"), ((F.max("w") + 1) * window).alias("ed"), F.count(F.lit(1)).alias("windows"), F.sum("n").alias("total"))
-    return out.filter(F.col("ed") - F.col("st") >= least_run).withColumn("mean", F.col("total") / F.col("windows")).drop("run")
+    spans = beds.filter((F.col("ed") - F.col("st") >= least_row) & (F.col("st") <= F.col("ed"))).select("chrom", div(F.col("st"), window).alias("st"), div(F.col("ed"), window).alias("ed"))
+    steps = depth_steps(spans, STRETCH // window).withColumn("level", F.when(F.col("n") * 20 <= n_samples, 1).otherwise(2))
+    size = F.col("ed") - F.col("st") + 1
+    rows = with_island(steps.withColumn("windows", size).withColumn("total", F.col("n") * size), 1, ("chrom", "level"), ("st",), STRETCH // window)
+    runs = rows.groupBy("chrom", "level", "island").agg((F.min("st") * window).alias("st"), ((F.max("ed") + 1) * window).alias("ed"), F.sum("windows").alias("windows"), F.sum("total").alias("total"))
+    return runs.filter(F.col("ed") - F.col("st") >= least_run).withColumn("mean", F.col("total") / F.col("windows")).drop("island")
 
 
 def coverage(spans: DataFrame, annotation: DataFrame, key: str = "id", width: int = 10_000, half_open: bool = False) -> DataFrame:
@@ -145,16 +177,20 @@ def best_annotation(spans: DataFrame, annotation: DataFrame, key: str = "id", or
 def nearest(points: DataFrame, targets: DataFrame, key: str = "id", order: str = "id") -> DataFrame:
     """For every point the nearest interval of its chromosome and the distance (0 inside); of equals the first by `order`.
 
-    Without bins: sorted by place, the candidates are the interval that ends last among those that start before the point
-    and the first that starts behind it, which running aggregates over both tables together give.
+    Sorted by place, the candidates are the interval that ends last among those that start before the point and the first
+    that starts behind it: running aggregates over both tables in bins, with the best of all bins before and behind.
     """
     p = points.select("chrom", F.col("pos").alias("x"), F.lit(1).alias("kind"), F.col(key).alias("_key"), F.lit(None).cast("struct<ed: bigint, neg: bigint, st: bigint>").alias("t"))
     t = targets.select("chrom", F.col("st").alias("x"), F.lit(0).alias("kind"), F.lit(None).cast(points.schema[key].dataType).alias("_key"), F.struct(F.col("ed").cast("long").alias("ed"), (-F.col(order)).cast("long").alias("neg"), F.col("st").cast("long").alias("st")).alias("t"))
-    both = p.unionByName(t)
-    by = Window.partitionBy("chrom").orderBy("x", "kind")
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("chrom").orderBy(F.desc("x"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("a", F.max("t").over(upto)).withColumn("b", F.min(F.when(F.col("t").isNotNull(), F.struct(F.col("t.st").alias("st"), (-F.col("t.neg")).alias("k")))).over(after)).filter("kind = 1")
+    both = p.unionByName(t).withColumn("_bin", div(F.col("x"), STRETCH))
+    start = F.when(F.col("t").isNotNull(), F.struct(F.col("t.st").alias("st"), (-F.col("t.neg")).alias("k")))
+    bins_ = Window.partitionBy("chrom").orderBy("_bin")
+    per = both.groupBy("chrom", "_bin").agg(F.max("t").alias("_t"), F.min(start).alias("_s"))
+    per = per.select("chrom", "_bin", F.max("_t").over(bins_.rowsBetween(Window.unboundedPreceding, -1)).alias("_a"), F.min("_s").over(bins_.rowsBetween(1, Window.unboundedFollowing)).alias("_b"))
+    by = Window.partitionBy("chrom", "_bin").orderBy("x", "kind")
+    after = Window.partitionBy("chrom", "_bin").orderBy(F.desc("x"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("a", F.max("t").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("b", F.min(start).over(after)).filter("kind = 1").join(per, ["chrom", "_bin"], "left")
+    seen = seen.withColumn("a", F.greatest("a", "_a")).withColumn("b", F.coalesce("b", "_b"))
     da = F.when(F.col("a").isNotNull(), F.greatest(F.lit(0), F.col("x") - F.col("a.ed")))
     db = F.when(F.col("b").isNotNull(), F.col("b.st") - F.col("x"))
     pick_a = F.coalesce((da < db) | ((da == db) & (-F.col("a.neg") <= F.col("b.k"))), F.col("a").isNotNull())

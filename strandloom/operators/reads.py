@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as cg
 from strandloom.functions.sequence import base_count, kmers, revcomp
-from strandloom.operators.intervals import div, gap_clusters, overlap_join
+from strandloom.operators.intervals import STRETCH, div, gap_clusters, overlap_join
 
 PAIRED, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE, SECONDARY, DUPLICATE, SUPPLEMENTARY = 1, 4, 8, 16, 32, 256, 1024, 2048
 
@@ -70,9 +70,9 @@ def region_signals(bed: DataFrame, support: int = 1000) -> DataFrame:
 
 def good_quality_reads(reads: DataFrame, share: float = 0.8) -> DataFrame:
     """Reads whose summed quality is at least a share of their sample's mean."""
-    total = F.aggregate("qual", F.lit(0), lambda a, x: a + x)
-    by = Window.partitionBy("sample")
-    return reads.withColumn("_q", total).withColumn("_m", F.avg("_q").over(by)).filter(F.col("_q") >= share * F.col("_m")).drop("_q", "_m")
+    total = reads.withColumn("_q", F.aggregate("qual", F.lit(0), lambda a, x: a + x))
+    mean = total.groupBy("sample").agg(F.avg("_q").alias("_m"))  # one row for each sample
+    return total.join(mean, "sample").filter(F.col("_q") >= share * F.col("_m")).select(*reads.columns)
 
 
 def strong_signals(signals: DataFrame) -> DataFrame:
@@ -223,16 +223,28 @@ def breakpoint_reads(sv: DataFrame, reads: DataFrame, share: float = 0.3) -> Dat
 
 
 def flanking_alignments(points: DataFrame, alignments: DataFrame, near: int = 5000, far: tuple[int, ...] = (50_000, 500_000, 10_000_000), longest: int = 1_500_000) -> DataFrame:
-    """For each point (id, chrom, pos, sample) the nearest alignment that begins behind it and the nearest that ends before
-    it, at the smallest reach at which both are of one read and close."""
-    reach = points.withColumn("w", F.explode(F.array(*map(F.lit, far))))
-    a = alignments.select(F.col("sample").alias("_s"), F.col("chrom").alias("_c"), F.col("st").alias("_st"), F.col("ed").alias("_ed"), "read")
-    on = (F.col("sample") == F.col("_s")) & (F.col("chrom") == F.col("_c"))
-    side = lambda c: (c > near) & (c < F.col("w"))
-    j = reach.join(a, on & (side(F.col("_st") - F.col("pos")) | side(F.col("pos") - F.col("_ed"))))
-    per = j.groupBy("id", "w").agg(F.min(F.when(side(F.col("_st") - F.col("pos")), F.struct((F.col("_st") - F.col("pos")).alias("d"), "read"))).alias("f"), F.min(F.when(side(F.col("pos") - F.col("_ed")), F.struct((F.col("pos") - F.col("_ed")).alias("d"), "read"))).alias("b"))
-    good = per.filter((F.col("f.read") == F.col("b.read")) & (F.col("f.d") < longest) & (F.col("b.d") < longest))
-    return good.groupBy("id").agg(F.min_by(F.struct("w", F.col("f.read").alias("read"), F.col("b.d").alias("before"), F.col("f.d").alias("behind")), "w").alias("x")).select("id", "x.*")
+    """For each point (id, chrom, pos, sample) the nearest alignment that begins more than `near` behind it and the nearest
+    that ends more than `near` before it, at the smallest reach at which both are of one read and close.
+
+    The nearest of each side doesn't depend on the reach, which only says whether it is in it. So points and alignment ends
+    of a sample and chromosome are sorted together, in bins, and running minima give both sides without a join.
+    """
+    key, part = ["sample", "chrom"], ["sample", "chrom", "_bin"]
+    p = points.select("sample", "chrom", "id", F.explode(F.array(F.struct((F.col("pos") + near).alias("x"), F.lit(1).alias("kind")), F.struct((F.col("pos") - near).alias("x"), F.lit(2).alias("kind")))).alias("e"), "pos", F.lit(None).cast(alignments.schema["read"].dataType).alias("read"))
+    a = alignments.select("sample", "chrom", F.lit(None).cast(points.schema["id"].dataType).alias("id"), F.explode(F.array(F.struct(F.col("st").alias("x"), F.lit(3).alias("kind")), F.struct(F.col("ed").alias("x"), F.lit(4).alias("kind")))).alias("e"), F.lit(None).cast(points.schema["pos"].dataType).alias("pos"), "read")
+    rows = p.unionByName(a).select(*key, "id", "pos", "read", "e.x", "e.kind").withColumn("_bin", div(F.col("x"), STRETCH))
+    begin = F.when(F.col("kind") == 3, F.struct(F.col("x").alias("x"), F.col("read").alias("read")))
+    end = F.when(F.col("kind") == 4, F.struct((-F.col("x")).alias("x"), F.col("read").alias("read")))
+    bins_ = Window.partitionBy(*key).orderBy("_bin")
+    per = rows.groupBy(*part).agg(F.min(begin).alias("_b"), F.min(end).alias("_e"))
+    per = per.select(*part, F.min("_b").over(bins_.rowsBetween(1, Window.unboundedFollowing)).alias("_b"), F.min("_e").over(bins_.rowsBetween(Window.unboundedPreceding, -1)).alias("_e"))
+    by = Window.partitionBy(*part).orderBy("x")
+    behind, before = Window.partitionBy(*part).orderBy("x").rangeBetween(1, Window.unboundedFollowing), by.rangeBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("b", F.min(begin).over(behind)).withColumn("e", F.min(end).over(before)).filter("kind < 3").join(per, part)
+    found = found.groupBy("id", "pos").agg(F.max(F.when(F.col("kind") == 1, F.coalesce("b", "_b"))).alias("b"), F.max(F.when(F.col("kind") == 2, F.coalesce("e", "_e"))).alias("e"))
+    d, c = F.col("b.x") - F.col("pos"), F.col("pos") + F.col("e.x")
+    reach = F.array_min(F.filter(F.array(*map(F.lit, far)), lambda w: (w > d) & (w > c)))
+    return found.filter((F.col("b.read") == F.col("e.read")) & (d < longest) & (c < longest)).select("id", reach.alias("w"), F.col("b.read").alias("read"), c.alias("before"), d.alias("behind")).filter("w is not null")
 
 
 def pile_up(reads: DataFrame) -> DataFrame:
@@ -252,6 +264,13 @@ def kmer_census(sequences: DataFrame, k: int = 20, least: int = 3) -> DataFrame:
     return per.groupBy("kmer").agg(F.sum("n").alias("n"))
 
 
+def shared_kmer_counts(pairs: DataFrame, k: int = 10) -> DataFrame:
+    """`(id, n)`: how many k-mer occurrences of `a` are also in `b`, by joining k-mers, so for strings of any length."""
+    of = lambda c: pairs.select("id", F.explode(kmers(c, k, False)).alias("kmer"))
+    n = of("a").groupBy("id", "kmer").agg(F.count(F.lit(1)).alias("n")).join(of("b").distinct(), ["id", "kmer"], "left_semi").groupBy("id").agg(F.sum("n").alias("n"))
+    return pairs.select("id").join(n, "id", "left").fillna(0, ["n"])
+
+
 def composition_histogram(sequences: DataFrame, step: int = 16) -> DataFrame:
     """How many sequences have each base composition, counts in steps."""
     return sequences.groupBy(*(F.floor(base_count("s", b) / step).cast("long").alias(b) for b in "ACGT")).agg(F.count(F.lit(1)).alias("n"))

@@ -111,8 +111,8 @@ def _(read):
 
 
 def _island_sql(source: str, gap: int, keys: str = "chrom", extra: str = "") -> str:
-    return f"""WITH f AS (SELECT *, max(ed) OVER (PARTITION BY {keys} ORDER BY st, ed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM {source} x),
-    g AS (SELECT *, sum(CASE WHEN st - far <= {gap} THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY st, ed ROWS UNBOUNDED PRECEDING) AS island FROM f)
+    return f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY st, ed, id) AS k FROM {source} x), f AS (SELECT *, max(ed) OVER (PARTITION BY {keys} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM o),
+    g AS (SELECT *, sum(CASE WHEN st - far <= {gap} THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY k ROWS UNBOUNDED PRECEDING) AS island FROM f)
     SELECT {keys}, min(st) AS st, max(ed) AS ed, count(*) AS n{extra} FROM g GROUP BY {keys}, island"""
 
 
@@ -126,7 +126,7 @@ def _(read):
     return folds.merge_final(read("iv").withColumn("support", F.lit(1)))
 
 
-@query("gap_clusters", _island_sql(f"(SELECT chrom, pos AS st, pos AS ed FROM {SV} y)", 20))
+@query("gap_clusters", _island_sql(f"(SELECT chrom, pos AS st, pos AS ed, id FROM {SV} y)", 20))
 def _(read):
     return ops.gap_clusters(read("sv"))
 
@@ -146,9 +146,9 @@ def _(read):
 
 
 @query("nearest_region", f"""SELECT id, target, distance FROM (SELECT p.id, t.id AS target, greatest(0, t.st - p.pos, p.pos - t.ed) AS distance,
-    row_number() OVER (PARTITION BY p.id ORDER BY greatest(0, t.st - p.pos, p.pos - t.ed), t.id) AS k FROM (SELECT o_orderkey AS id, o_custkey % 8 AS chrom, (o_orderkey * 7919) % 20000000 AS pos FROM orders) p JOIN {RG} t ON p.chrom = t.chrom) WHERE k = 1""")
+    row_number() OVER (PARTITION BY p.id ORDER BY greatest(0, t.st - p.pos, p.pos - t.ed), t.id) AS k FROM (SELECT id, chrom, (id * 7919) % 20000000 AS pos FROM {RG} o) p JOIN {RG} t ON p.chrom = t.chrom) WHERE k = 1""")
 def _(read):
-    points = read("orders").selectExpr("o_orderkey AS id", "o_custkey % 8 AS chrom", "(o_orderkey * 7919) % 20000000 AS pos")
+    points = read("rg").selectExpr("id", "chrom", "(id * 7919) % 20000000 AS pos")
     return ops.nearest(points, read("rg")).select("id", "target", "distance")
 
 
@@ -210,12 +210,13 @@ def _(read):
     return read("seq").select("id", sq.max_repeat_k("s", 20, 100, 40).alias("k"))
 
 
-@query("shared_kmers", f"""WITH t AS (SELECT a.id, {KMERS.format(k=6).replace("s,", "a.s,").replace("(s)", "(a.s)")} AS x, {KMERS.format(k=6).replace("s,", "b.s,").replace("(s)", "(b.s)")} AS y FROM {SEQ} a JOIN {SEQ} b ON b.id = a.id + 1 WHERE length(a.s) >= 6 AND length(b.s) >= 6)
-    SELECT id, len(list_filter(x, lambda v: list_contains(y, v))) AS n FROM t""")
+@query("shared_kmers", f"""WITH p AS (SELECT a.id, a.s AS a, b.s AS b FROM {SEQ} a JOIN {SEQ} b ON b.id = a.id + 1 WHERE length(a.s) >= 6 AND length(b.s) >= 6),
+    x AS (SELECT id, unnest({KMERS.format(k=6).replace("s,", "a,").replace("(s)", "(a)")}) AS kmer FROM p), y AS (SELECT DISTINCT id, unnest({KMERS.format(k=6).replace("s,", "b,").replace("(s)", "(b)")}) AS kmer FROM p)
+    SELECT p.id, count(y.kmer) AS n FROM p LEFT JOIN x ON p.id = x.id LEFT JOIN y ON x.id = y.id AND x.kmer = y.kmer GROUP BY p.id""")
 def _(read):
     a = read("seq").filter("length(s) >= 6")
-    b = a.select((F.col("id") - 1).alias("id"), F.col("s").alias("t"))
-    return a.join(b, "id").select("id", sq.shared_kmers("s", "t", 6).cast("long").alias("n"))
+    b = a.select((F.col("id") - 1).alias("id"), F.col("s").alias("b"))
+    return reads.shared_kmer_counts(a.withColumnRenamed("s", "a").join(b, "id"), 6)
 
 
 @query("motif_support", f"""WITH s AS (SELECT id, s, substring(s, 1, 2) AS motif FROM {SEQ} x WHERE length(s) >= 2), h AS (SELECT *, list_filter(generate_series(1, length(s) - 1), lambda i: substring(s, i, 2) = motif) AS h FROM s),
@@ -292,6 +293,15 @@ def _(read):
     return out.select("chrom", "pos", "svlen", F.size("support").cast("long").alias("n"), F.expr("support[0].sample").alias("first"))
 
 
+@query("merge_cohort_long")
+def _(read):
+    """ALT strings as long as their variants; from 100 bases on lengths may differ by a tenth."""
+    sv = read("sv").withColumn("ref", F.lit("N")).withColumn("alt", F.repeat(F.lit("A"), F.abs(F.col("svlen")).cast("int"))).withColumn("qual", F.col("alt_n"))
+    sv = sv.withColumn("pos", F.col("pos") - F.col("pos") % 2000)
+    out = cohort.merge_cohort(sv, 100)
+    return out.select("chrom", "pos", "svlen", F.size("support").cast("long").alias("n"), F.expr("support[0].sample").alias("first"), F.expr("support[0].id").alias("first_id"))
+
+
 @query("population_counts", f"""SELECT chrom, pos, svlen, sample % 3 AS population, count(*) FILTER (a1 + a2 > 0) AS carriers, sum(a1 + a2)::BIGINT AS ac, 2 * count(*) AS an FROM {SV} x GROUP BY 1, 2, 3, 4""")
 def _(read):
     sv = read("sv").withColumn("ref", F.lit("N")).withColumn("alt", F.lit("A")).withColumn("qual", F.col("alt_n"))
@@ -300,7 +310,7 @@ def _(read):
 
 
 @query("locus_range", f"""WITH p AS (SELECT l.id, min(svlen) AS least, max(svlen) AS most, count(*) AS n FROM {RG} l JOIN {SV} s ON l.chrom = s.chrom AND s.pos BETWEEN l.st AND l.ed GROUP BY l.id),
-    r AS (SELECT l.id, chrom, st, n, coalesce((most - least) // 3, -1) AS "range" FROM {RG} l LEFT JOIN p USING (id)) SELECT id, n, "range", row_number() OVER (PARTITION BY chrom ORDER BY "range", st, id) AS "rank" FROM r""")
+    r AS (SELECT l.id, chrom, st, n, coalesce((most - least) // 3, -1) AS "range" FROM {RG} l LEFT JOIN p USING (id)) SELECT id, n, "range", row_number() OVER (ORDER BY "range", chrom, st, id) AS "rank" FROM r""")
 def _(read):
     return cohort.locus_range(read("sv"), read("rg").withColumn("unit", F.lit(3))).select("id", "n", "range", F.col("rank").cast("long").alias("rank"))
 
@@ -315,17 +325,19 @@ def _(read):
     return cohort.merge_homozygous(read("sv").withColumn("region", F.col("sample"))).select("chrom", "pos", "svlen", "region", "id", "alt_n", "ref_n")
 
 
-@query("force_groups", f"""WITH f AS (SELECT id, chrom, pos, CASE WHEN svlen > 150 THEN 1 ELSE 0 END AS big, CASE WHEN pos - max(pos) OVER (PARTITION BY chrom ORDER BY pos, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 30 THEN 0 ELSE 1 END AS new FROM {SV} x)
-    SELECT id, sum(new) OVER (PARTITION BY chrom ORDER BY pos, id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM f""")
+@query("force_groups", f"""WITH f AS (SELECT id, chrom, pos, CASE WHEN pos - max(pos) OVER (PARTITION BY chrom ORDER BY pos, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 30 THEN NULL ELSE pos END AS new FROM {SV} x)
+    SELECT id, max(new) OVER (PARTITION BY chrom ORDER BY pos, id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM f""")
 def _(read):
     return cohort.force_groups(read("sv").withColumn("ref", F.lit("N")).withColumn("alt", F.lit("A"))).select("id", "island")
 
 
-_SCORES = "(SELECT c_nationkey AS region, c_custkey % 50 AS read, c_custkey % 3 AS hap, max(CAST(floor(c_acctbal) AS BIGINT)) AS score FROM customer GROUP BY 1, 2, 3)"
+#: Scores of reads (orders) for haplotypes: a hundred reads to a region, regions grow in number with the orders.
+_SCORES = "(SELECT CAST(floor(l_orderkey / 100) AS BIGINT) AS region, l_orderkey AS read, l_linenumber % 3 AS hap, max(CAST(l_quantity AS BIGINT)) AS score FROM lineitem GROUP BY 1, 2, 3)"
 
 
 def _scores(read):
-    return read("customer").selectExpr("c_nationkey AS region", "c_custkey % 50 AS read", "c_custkey % 3 AS hap", "CAST(floor(c_acctbal) AS BIGINT) AS score").groupBy("region", "read", "hap").agg(F.max("score").alias("score"))
+    rows = read("lineitem").selectExpr("CAST(floor(l_orderkey / 100) AS BIGINT) AS region", "l_orderkey AS read", "l_linenumber % 3 AS hap", "CAST(l_quantity AS BIGINT) AS score")
+    return rows.groupBy("region", "read", "hap").agg(F.max("score").alias("score"))
 
 
 @query("best_haplotype_reads", f"""WITH m AS (SELECT *, max(score) OVER (PARTITION BY region, read) AS m FROM {_SCORES} x), t AS (SELECT *, count(*) OVER (PARTITION BY region, read) AS n FROM m WHERE score = m)
@@ -346,7 +358,7 @@ def _(read):
 def _(read):
     sv = read("sv").withColumn("ref", F.lit("N")).withColumn("alt", F.lit("A"))
     rows = sv.groupBy("chrom", ops.div(F.col("pos"), 1000).alias("place")).agg(F.collect_list(F.struct("sample", "svlen")).alias("lengths"))
-    rows = rows.select((F.col("place") * 10 + F.col("chrom")).alias("id"), "chrom", (F.col("place") * 1000).alias("pos"), "lengths")
+    rows = rows.select(F.xxhash64("place", "chrom").alias("id"), "chrom", (F.col("place") * 1000).alias("pos"), "lengths")
     return cohort.recover_alleles(rows, sv).select("chrom", "pos", "svlen", "sample", "allele_pos")
 
 
@@ -477,11 +489,18 @@ def _(read):
     return out.select("id", F.round("kld", 6).alias("kld"), "breaks", "depth")
 
 
-@query("short_read_context", f"""SELECT a.id, count(b.id) AS reads, count(*) FILTER (b.name % 60 BETWEEN 1 AND 10) AS clip_1_10, count(*) FILTER (b.sample % 40 < 30 AND b.id IS NOT NULL) AS mapq_under_30, count(*) FILTER (b.ed - b.st > 2) AS nm_over_2
-    FROM {RG} a LEFT JOIN {IV} b ON a.chrom = b.chrom AND a.st - 50 <= b.ed AND b.st <= a.ed + 50 GROUP BY a.id""")
+_COUNTERS = {
+    "clip_1_10": "clip BETWEEN 1 AND 10", "clip_11_50": "clip BETWEEN 11 AND 50", "clip_over_50": "clip > 50", "pairs_ff": "orientation = 'FF'", "pairs_rr": "orientation = 'RR'", "pairs_rf": "orientation = 'RF'",
+    "isize_over_1k": "isize > 1000", "isize_over_100k": "isize > 100000", "mate_unmapped": "mate_unmapped", "mate_elsewhere": "mate_elsewhere", "nm_over_2": "nm > 2", "nm_over_10": "nm > 10",
+    "events_over_2": "events > 2", "mapq_under_30": "mapq < 30", "mapq_under_10": "mapq < 10", "mapq_0": "mapq = 0",
+}
+_READ_FEATURES = ["chrom", "st", "ed", "name % 70 AS clip", "CASE name % 4 WHEN 0 THEN 'FF' WHEN 1 THEN 'RR' WHEN 2 THEN 'RF' ELSE 'FR' END AS orientation", "(name % 300) * 500 AS isize", "name % 11 = 0 AS mate_unmapped", "sample % 6 = 0 AS mate_elsewhere", "name % 14 AS nm", "(st + name) % 5 AS events", "sample AS mapq"]
+
+
+@query("short_read_context", f"""SELECT a.id, count(b.chrom) AS reads, {", ".join(f"count(*) FILTER ({v}) AS {k}" for k, v in _COUNTERS.items())}
+    FROM {RG} a LEFT JOIN (SELECT {", ".join(_READ_FEATURES)} FROM {IV} x) b ON a.chrom = b.chrom AND a.st - 50 <= b.ed AND b.st <= a.ed + 50 GROUP BY a.id""")
 def _(read):
-    rows = read("iv").selectExpr("chrom", "st", "ed", "name % 60 AS clip", "'FR' AS orientation", "ed - st AS isize", "false AS mate_unmapped", "false AS mate_elsewhere", "ed - st AS nm", "0 AS events", "sample AS mapq")
-    return context.short_read_context(read("rg"), rows).select("id", "reads", "clip_1_10", "mapq_under_30", "nm_over_2")
+    return context.short_read_context(read("rg"), read("iv").selectExpr(*_READ_FEATURES))
 
 
 @query("long_read_context", f"""SELECT chrom, block, svtype AS type, count(*) AS n FROM (SELECT chrom, svtype, unnest(generate_series(greatest(0, (pos - 200) // 100), pos // 100)) AS block FROM {SV} x) GROUP BY 1, 2, 3""")
@@ -522,21 +541,26 @@ def _(read):
     return mei.mei_arrays(read("iv").select((F.col("name") % 400).alias("sample"), "type", "st", "ed", (F.col("ed") - F.col("st")).alias("length")))
 
 
-@query("vntr_runs", f"""WITH c AS (SELECT id AS name, 1000 + id % 3000 AS length FROM {RG} x), s AS (SELECT c.name, greatest(0, (l.o * 37) % 2000 - 10) AS st, least(length - 1, (l.o * 37) % 2000 + q + 10) AS ed FROM c JOIN (SELECT l_orderkey AS o, l_orderkey AS k, l_quantity::INT AS q FROM lineitem WHERE l_linenumber = 1) l ON l.k = c.name),
-    f AS (SELECT *, max(ed) OVER (PARTITION BY name ORDER BY st, ed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s WHERE st <= ed), g AS (SELECT *, sum(CASE WHEN st - far <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY name ORDER BY st, ed ROWS UNBOUNDED PRECEDING) AS i FROM f),
-    m AS (SELECT name, min(st) AS st, max(ed) AS ed FROM g GROUP BY name, i) SELECT name, sum(ed - st + 1)::BIGINT AS bases FROM m GROUP BY name""")
+_TANDEM, _ANNOTATED = "(l_orderkey * 37 + l_linenumber * 211) % 2000", "(l_partkey * 13) % 2000"
+
+
+@query("vntr_runs", f"""WITH c AS (SELECT id AS name, 1000 + id % 3000 AS length FROM {RG} x), r AS (SELECT l_orderkey AS name, {_TANDEM} - 10 AS st, {_TANDEM} + CAST(l_quantity AS INT) + 10 AS ed FROM lineitem UNION SELECT l_orderkey, {_ANNOTATED}, {_ANNOTATED} + l_linenumber * 5 FROM lineitem WHERE l_returnflag = 'R'),
+    s AS (SELECT DISTINCT name, greatest(0, st) AS st, least(length - 1, ed) AS ed FROM c JOIN r USING (name)), f AS (SELECT *, max(ed) OVER (PARTITION BY name ORDER BY st, ed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s WHERE st <= ed),
+    g AS (SELECT *, sum(CASE WHEN st - far <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY name ORDER BY st, ed ROWS UNBOUNDED PRECEDING) AS i FROM f), m AS (SELECT name, min(st) AS st, max(ed) AS ed FROM g GROUP BY name, i),
+    v AS (SELECT c.name, coalesce(sum(ed - st + 1), 0)::BIGINT AS bases, count(ed) + 1 - count(*) FILTER (st = 0) - count(*) FILTER (ed = length - 1) AS gaps, count(ed) AS n FROM c LEFT JOIN m USING (name) GROUP BY c.name) SELECT name, bases, n + gaps AS runs FROM v""")
 def _(read):
     tracts = read("rg").select(F.col("id").alias("name"), (1000 + F.col("id") % 3000).alias("length"))
-    rows = read("lineitem").filter("l_linenumber = 1").selectExpr("l_orderkey AS name", "(l_orderkey * 37) % 2000 AS st", "(l_orderkey * 37) % 2000 + CAST(l_quantity AS INT) AS ed")
-    none = rows.limit(0).withColumn("class", F.lit("x"))
-    return contigs.vntr_runs(tracts, none, rows).filter("vntr").groupBy("name").agg(F.sum(F.col("ed") - F.col("st") + 1).alias("bases"))
+    lines = read("lineitem")
+    trf = lines.selectExpr("l_orderkey AS name", f"{_TANDEM} AS st", f"{_TANDEM} + CAST(l_quantity AS INT) AS ed")
+    rm = lines.selectExpr("l_orderkey AS name", f"{_ANNOTATED} AS st", f"{_ANNOTATED} + l_linenumber * 5 AS ed", "CASE WHEN l_returnflag = 'R' THEN 'Simple_repeat' ELSE 'LINE/L1' END AS class")
+    return contigs.vntr_runs(tracts, rm, trf).groupBy("name").agg(F.sum(F.when(F.col("vntr"), F.col("ed") - F.col("st") + 1).otherwise(0)).alias("bases"), F.count(F.lit(1)).alias("runs"))
 
 
-@query("choose_contigs", f"""WITH c AS (SELECT id, id % 50 AS region, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g')) AS n, length(s) % 7 AS support FROM {SEQ} x),
+@query("choose_contigs", f"""WITH c AS (SELECT id, CAST(floor(id / 50) AS BIGINT) AS region, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g')) AS n, length(s) % 7 AS support FROM {SEQ} x),
     g AS (SELECT *, CASE WHEN lag(n) OVER w - n < 10 THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY region ORDER BY n DESC, id)), h AS (SELECT *, sum(new) OVER (PARTITION BY region ORDER BY n DESC, id) AS g FROM g),
     b AS (SELECT *, row_number() OVER (PARTITION BY region, g ORDER BY support DESC, id) AS k FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY support DESC, id) AS r FROM b WHERE k = 1 OR support >= 3) SELECT region, id AS contig, support FROM r WHERE r <= 2""")
 def _(read):
-    rows = read("seq").select((F.col("id") % 50).alias("region"), F.col("id").alias("contig"), F.col("s").alias("seq"), (F.length("s") % 7).alias("support"))
+    rows = read("seq").select(ops.div(F.col("id"), 50).alias("region"), F.col("id").alias("contig"), F.col("s").alias("seq"), (F.length("s") % 7).alias("support"))
     return contigs.choose_contigs(rows).select("region", "contig", F.col("support").cast("long").alias("support"))
 
 
@@ -568,10 +592,10 @@ def _(read):
     return read("al").select("id", reads.pair_class(4500).alias("class"))
 
 
-@query("mate_groups", f"""WITH n AS (SELECT mate_chrom AS chrom, mate_pos AS st, mate_pos - lag(mate_pos) OVER (PARTITION BY mate_chrom ORDER BY mate_pos) AS d FROM {AL} x WHERE mapq = 7),
-    g AS (SELECT *, sum(CASE WHEN d <= 20000 THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY st ROWS UNBOUNDED PRECEDING) AS i FROM n) SELECT chrom, min(st) AS st, max(st) AS ed, count(*) AS n FROM g GROUP BY chrom, i HAVING count(*) > 3""")
+@query("mate_groups", f"""WITH t AS (SELECT id, pos AS st, chrom FROM {AL} x WHERE (flag & {256 + 2048 + 1024 + 4 + 8}) = 0 AND pos <> mate_pos AND (isize = 0 OR abs(isize) > 5000)), n AS (SELECT *, st - lag(st) OVER (PARTITION BY chrom ORDER BY st, id) AS d FROM t),
+    g AS (SELECT *, sum(CASE WHEN d <= 20000 THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY st, id ROWS UNBOUNDED PRECEDING) AS i FROM n) SELECT chrom, min(st) AS st, max(st) AS ed, count(*) AS n FROM g GROUP BY chrom, i HAVING count(*) > 3""")
 def _(read):
-    return reads.mate_groups(read("al").filter("mapq = 7"))
+    return reads.mate_groups(reads.translocation_reads(read("al")))
 
 
 _INS = "pos + 10 + q + ln"
@@ -607,9 +631,10 @@ def _(read):
 
 @query("label_blocks", f"""WITH b AS (SELECT DISTINCT chrom, st // 1000 AS block FROM {IV} x), e AS (SELECT chrom, type, st AS pos FROM {RG} y WHERE ed - st >= 10 UNION ALL SELECT chrom, type, ed FROM {RG} z WHERE ed - st >= 10),
     l AS (SELECT chrom, block, max(type) AS label FROM (SELECT chrom, type, unnest(generate_series(greatest(0, (pos - 2000) // 1000), pos // 1000)) AS block FROM e) GROUP BY 1, 2)
-    SELECT b.chrom, b.block, coalesce(label, 'BLANK') AS label, 0 AS k FROM b LEFT JOIN l ON b.chrom = l.chrom AND b.block = l.block""")
+    , r AS (SELECT chrom, block, max(k) AS k FROM (SELECT chrom, id % 200 AS k, unnest(generate_series(greatest(0, (st - 2000) // 1000), st // 1000)) AS block FROM {RG} u) GROUP BY 1, 2)
+    SELECT b.chrom, b.block, coalesce(label, 'BLANK') AS label, coalesce(k, 0) AS k FROM b LEFT JOIN l ON b.chrom = l.chrom AND b.block = l.block LEFT JOIN r ON b.chrom = r.chrom AND b.block = r.block""")
 def _(read):
-    index = read("rg").select("chrom", F.col("st").alias("pos"), F.lit(1).alias("k")).limit(0)
+    index = read("rg").select("chrom", F.col("st").alias("pos"), (F.col("id") % 200).alias("k"))
     blocks = read("iv").select("chrom", ops.div(F.col("st"), 1000).alias("block")).distinct()
     return context.label_blocks(blocks, read("rg"), index, 1000, 3000)
 
@@ -629,7 +654,10 @@ def _(read):
     return short_signals.pair_sides(_two_regions(read)).filter("side = 'SOLID'").select("id")
 
 
-@query("linked_read_scores", """WITH b AS (SELECT c_nationkey AS region, c_custkey % 40 AS read, c_custkey % 7 AS pos, max(c_acctbal > 4500) AS alt FROM customer GROUP BY 1, 2, 3), g AS (SELECT region, pos FROM b GROUP BY 1, 2 HAVING count(*) FILTER (alt) >= 5 AND count(*) FILTER (NOT alt) >= 5)
+_SNPS = "(SELECT CAST(floor(l_orderkey / 40) AS BIGINT) AS region, l_orderkey AS read, l_suppkey % 7 AS pos, max(l_quantity > 25) AS alt FROM lineitem GROUP BY 1, 2, 3)"
+
+
+@query("linked_read_scores", f"""WITH b AS (SELECT * FROM {_SNPS} z), g AS (SELECT region, pos FROM b GROUP BY 1, 2 HAVING count(*) FILTER (alt) >= 5 AND count(*) FILTER (NOT alt) >= 5)
     SELECT x.region, x.read AS r1, y.read AS r2, sum(CASE WHEN x.alt <> y.alt THEN -4 WHEN x.alt THEN 3 ELSE 1 END)::BIGINT AS score FROM b x JOIN b y ON x.region = y.region AND x.pos = y.pos AND x.read < y.read JOIN g ON g.region = x.region AND g.pos = x.pos GROUP BY 1, 2, 3""")
 def _(read):
     return contigs.linked_read_scores(_snps(read))
@@ -642,7 +670,8 @@ def _(read):
 
 
 def _snps(read):
-    return read("customer").selectExpr("c_nationkey AS region", "c_custkey % 40 AS read", "c_custkey % 7 AS pos", "c_acctbal > 4500 AS alt").groupBy("region", "read", "pos").agg(F.max("alt").alias("alt"))
+    rows = read("lineitem").selectExpr("CAST(floor(l_orderkey / 40) AS BIGINT) AS region", "l_orderkey AS read", "l_suppkey % 7 AS pos", "l_quantity > 25 AS alt")
+    return rows.groupBy("region", "read", "pos").agg(F.max("alt").alias("alt"))
 
 
 # More rules
@@ -711,7 +740,7 @@ def _(read):
 
 @query("clustered_contigs")
 def _(read):
-    rows = read("seq").selectExpr("CAST(id % 30 AS STRING) AS region", "CAST(id AS STRING) AS contig", "id AS ord", "length(s) AS n")
+    rows = read("seq").selectExpr("CAST(CAST(floor(id / 30) AS BIGINT) AS STRING) AS region", "CAST(id AS STRING) AS contig", "id AS ord", "length(s) AS n")
     other = rows.selectExpr("region", "contig AS b_contig", "n AS m")
-    differ = rows.join(other, "region").filter("contig < b_contig AND abs(n - m) > 50").selectExpr("region", "contig AS a_contig", "b_contig")
+    differ = rows.join(other, "region").filter("contig < b_contig AND abs(n - m) > 400").selectExpr("region", "contig AS a_contig", "b_contig")
     return contigs.cluster_contigs(rows, differ)

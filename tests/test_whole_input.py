@@ -12,7 +12,7 @@ def test_nearest_region_answers_every_order(spark, tmp_path):
     want = []
     for k, c, _ in orders:
         at = k * 7919 % 20_000_000
-        spans = ((t, t * 1311 % 20_000_000, t * 1311 % 20_000_000 + 200 + t % 800) for t, d, _ in orders if d % 8 == c % 8)
+        spans = ((t, t * 1311 % 20_000_000, t * 1311 % 20_000_000 + 200 + t % 800) for t, d, _ in orders if (t // 15000, d % 8) == (k // 15000, c % 8))
         distance, target = min((max(0, st - at, at - ed), t) for t, st, ed in spans)
         want.append((k, target, distance))
     got = core.queries()["nearest_region"](spark, str(tmp_path)).collect()
