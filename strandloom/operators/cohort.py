@@ -6,46 +6,50 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import kmers
+from strandloom.functions.sequence import homopolymer_equal, kmers
 from strandloom.operators.intervals import STRETCH, div, overlap_join, with_island
 
 LONG_ALLELE = 400
 
 
-def merge_cohort(sv: DataFrame, long_allele: int = LONG_ALLELE) -> DataFrame:
+def merge_cohort(sv: DataFrame, long_allele: int = LONG_ALLELE, block: int = 30, crowd: int = 100) -> DataFrame:
     """One row per variant of the cohort with its carriers.
 
     sv: chrom, pos, svlen, ref, alt, sample (a number that gives the order), a1, a2, qual, id. Calls of one place are the
-    same variant if their lengths are equal, or, where an ALT is long, if the length ratio lies in (0.9, 1.1); the first
-    in sample order that matches wins. Short ones are a plain grouping; only places with a long allele are folded.
+    same variant if their lengths are equal, or, where an ALT is long, if the length ratio lies in (0.9, 1.1), or, once the
+    block of `block` bases holds more than `crowd` variants, if the ratio of their ALTs does; the first in sample order
+    that matches wins. Blocks without a long allele and with few variants are a plain grouping; only the others are folded.
     """
-    size = F.length("alt")
-    per = Window.partitionBy("chrom", "pos")
-    rows = sv.withColumn("_long", F.max(size).over(per) >= long_allele)
+    rows = sv.withColumn("_block", div(F.col("pos"), block))
+    per = rows.groupBy("chrom", "_block", "pos", "svlen").agg(F.max(F.length("alt")).alias("size")).groupBy("chrom", "_block").agg(((F.max("size") >= long_allele) | (F.count(F.lit(1)) > crowd)).alias("_fold"))
+    rows = rows.join(per, ["chrom", "_block"])
     carrier = F.struct("sample", "id", "a1", "a2", "qual")
-    exact = rows.filter(~F.col("_long")).groupBy("chrom", "pos", "svlen").agg(F.min_by(F.struct("ref", "alt"), F.struct("sample", "id")).alias("first"), F.sort_array(F.collect_list(carrier)).alias("support"))
+    exact = rows.filter(~F.col("_fold")).groupBy("chrom", "pos", "svlen").agg(F.min_by(F.struct("ref", "alt"), F.struct("sample", "id")).alias("first"), F.sort_array(F.collect_list(carrier)).alias("support"))
     exact = exact.select("chrom", "pos", "svlen", "first.ref", "first.alt", "support")
-    fields = ["chrom", "pos", "svlen", "ref", "alt", "sample", "id", "a1", "a2", "qual"]
+    fields = ["chrom", "_block", "pos", "svlen", "ref", "alt", "sample", "id", "a1", "a2", "qual"]
+
+    def same(r: dict, lead: dict, crowded: bool) -> bool:
+        if crowded:
+            return bool(lead["alt"]) and 0.9 < len(r["alt"]) / len(lead["alt"]) < 1.1
+        if len(r["alt"]) < long_allele and len(lead["alt"]) < long_allele:
+            return r["svlen"] == lead["svlen"]
+        return bool(lead["svlen"]) and 0.9 < r["svlen"] / lead["svlen"] < 1.1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[dict] = []
-        group = []
-        for r in pdf.sort_values(["sample", "id"], kind="stable").to_dict("records"):
-            for k, lead in enumerate(leaders):
-                short = len(r["alt"]) < long_allele and len(lead["alt"]) < long_allele
-                ratio = r["svlen"] / lead["svlen"] if lead["svlen"] else 0
-                if (r["svlen"] == lead["svlen"]) if short else (0.9 < ratio < 1.1):
-                    group.append(k)
-                    break
-            else:
-                leaders.append(r)
-                group.append(len(leaders) - 1)
-        out = pdf.sort_values(["sample", "id"], kind="stable").copy()
-        out["lead"] = group
-        return out
-
-    folded = rows.filter("_long").select(*fields).groupBy("chrom", "pos").applyInPandas(run, rows.select(*fields, F.lit(0).alias("lead")).schema)
-    folded = folded.groupBy("chrom", "pos", "lead").agg(F.min_by(F.struct("svlen", "ref", "alt"), F.struct("sample", "id")).alias("first"), F.sort_array(F.collect_list(carrier)).alias("support"))
+        pdf = pdf.sort_values(["sample", "id"], kind="stable")
+        leaders: dict[int, list[tuple[int, dict]]] = {}
+        n, group = 0, []
+        for r in pdf.to_dict("records"):
+            mine = leaders.setdefault(r["pos"], [])
+            k = next((k for k, lead in mine if same(r, lead, n > crowd)), None)
+            if k is None:
+                k, n = n, n + 1
+                mine.append((k, r))
+            group.append(k)
+        return pdf.assign(lead=group)
+
+    folded = rows.filter("_fold").select(*fields).groupBy("chrom", "_block").applyInPandas(run, rows.select(*fields, F.lit(0).alias("lead")).schema)
+    folded = folded.groupBy("chrom", "pos", "_block", "lead").agg(F.min_by(F.struct("svlen", "ref", "alt"), F.struct("sample", "id")).alias("first"), F.sort_array(F.collect_list(carrier)).alias("support"))
     return exact.unionByName(folded.select("chrom", "pos", "first.svlen", "first.ref", "first.alt", "support"))
 
 
@@ -77,6 +81,7 @@ def same_variant(a: str, b: str) -> dict:
     ratio = c(a, "svlen") / c(b, "svlen")
     return {
         "exact": (near == 0) & (c(a, "ref") == c(b, "ref")) & (c(a, "alt") == c(b, "alt")),
+        "homopolymer": (near <= 20) & (F.abs(F.length(c(a, "ref")) - F.length(c(b, "ref"))) <= 5) & (F.abs(F.length(c(a, "alt")) - F.length(c(b, "alt"))) <= 5) & homopolymer_equal(c(a, "ref"), c(b, "ref")) & homopolymer_equal(c(a, "alt"), c(b, "alt")),
         "deletion": (near <= 15) & (longer <= 5),
         "insertion": (near == 0) & (longer <= 10),
         "inversion": (near <= 200) & (F.abs(c(a, "pos") + c(a, "svlen") - c(b, "pos") - c(b, "svlen")) <= 200) & (ratio > 0.7) & (ratio < 1.5),
@@ -84,9 +89,18 @@ def same_variant(a: str, b: str) -> dict:
 
 
 def one_allele_per_region(sv: DataFrame) -> DataFrame:
-    """Equal alleles called from different regions: one stays, the best supported."""
-    first = Window.partitionBy("chrom", "pos", "ref", "alt").orderBy(F.desc("alt_n"), "region", "id")
-    return sv.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+    """Equal alleles called from different regions: one stays, the best supported (alt_n, ref_n: reads for and against).
+
+    A call goes if one that stays is of another region and has reads on a side on which it has some too. Calls of one
+    allele are as many as regions overlap, so they are folded as an array.
+    """
+    order = F.struct((-F.col("alt_n")).alias("x"), "region", "id", "alt_n", "ref_n")
+    every = sv.groupBy("chrom", "pos", "ref", "alt").agg(F.sort_array(F.collect_list(order)).alias("calls"))
+    like = lambda a, b: ((F.least(a["alt_n"], b["alt_n"]) > 0) | (F.least(a["ref_n"], b["ref_n"]) > 0)) & (a["region"] != b["region"])
+    none = F.slice("calls", 1, 0)
+    stay = F.aggregate("calls", none, lambda acc, x: F.when(F.exists(acc, lambda k: like(k, x)), acc).otherwise(F.array_append(acc, x)))
+    kept = every.select("chrom", "pos", "ref", "alt", F.explode(stay).alias("k")).select("chrom", "pos", "ref", "alt", "k.region", "k.id").distinct()
+    return sv.join(kept, ["chrom", "pos", "ref", "alt", "region", "id"], "left_semi").select(*sv.columns)
 
 
 def merge_homozygous(sv: DataFrame) -> DataFrame:
@@ -105,6 +119,13 @@ def force_groups(sv: DataFrame, gap: int = 30) -> DataFrame:
     return with_island(sv.withColumn("st", F.col("pos")).withColumn("ed", F.col("pos")).withColumn("class", kind), gap - 1, ("chrom",), ("st", "id")).drop("st", "ed")
 
 
+def force_candidates(groups: DataFrame, sample) -> DataFrame:
+    """Of the groups that `force_groups` made (with support array<struct<sample, ..>>) those to be called in `sample`: it
+    carries none of their calls yet, and more than one carrier or call is known."""
+    per = groups.groupBy("chrom", "island").agg(F.sum(F.size("support")).alias("n"), F.max(F.exists("support", lambda s: s["sample"] == sample)).alias("carried"))
+    return groups.join(per.filter("not carried and n <> 1").select("chrom", "island"), ["chrom", "island"], "left_semi")
+
+
 def best_haplotype_reads(scores: DataFrame, least: int = 5) -> DataFrame:
     """Reads whose best score is of one haplotype alone, counted by haplotype, and whether that is evidence."""
     best = Window.partitionBy("region", "read")
@@ -112,15 +133,37 @@ def best_haplotype_reads(scores: DataFrame, least: int = 5) -> DataFrame:
     return top.groupBy("region", "hap").agg(F.count(F.lit(1)).alias("n_reads")).withColumn("evidence", F.col("n_reads") >= least)
 
 
-def pair_alleles(scores: DataFrame, advantage: int = 10) -> DataFrame:
-    """For each region the pair of haplotypes under which its reads score best (each read counts its better one), the
-    number of reads of either side that lead by more than `advantage`. Of equal pairs the last stays."""
-    a, b = scores.alias("a"), scores.alias("b")
-    pairs = a.join(b, (F.col("a.region") == F.col("b.region")) & (F.col("a.read") == F.col("b.read")) & (F.col("a.hap") <= F.col("b.hap")))
+def pair_alleles(scores: DataFrame, advantage: int = 10, read_length: int | None = None) -> DataFrame:
+    """For each region the pair of haplotypes under which its reads score best, and why it is rejected (0: it isn't).
+
+    scores: region, read, hap, score, and optionally indel (whether the read aligns with unexplained indels). The last
+    haplotype of a region is the reference, which also stands in where a read lacks a score. Each read counts its better
+    haplotype; n1 and n2 are the reads of either side that lead by more than `advantage`, n_unknown the others, n_indel
+    those with indels under both. Of equal pairs the last stays. Rejected are: 1 more than one read with indels, 2 the
+    reference alone, 3 the reference with a third of its reads at most against it, 4 and 5 hardly better than the
+    reference (5 if also far below the reads' length), 6 fewer than three reads on the first side, 7 a case of 5 in which
+    unknown reads prevail.
+    """
+    if "indel" not in scores.columns:
+        scores = scores.withColumn("indel", F.lit(False))
+    per = scores.groupBy("region", "read").agg(F.map_from_entries(F.collect_list(F.struct("hap", F.struct(F.col("score").cast("long").alias("score"), "indel")))).alias("by"))
+    haps = scores.groupBy("region").agg(F.sort_array(F.collect_set("hap")).alias("haps"), F.max("hap").alias("ref"))
+    rows = per.join(haps, "region").withColumn("hap1", F.explode("haps")).withColumn("hap2", F.explode(F.filter("haps", lambda h: h >= F.col("hap1"))))
+    of = lambda h: F.coalesce(F.element_at("by", F.col(h)), F.element_at("by", F.col("ref")), F.struct(F.lit(0).cast("long").alias("score"), F.lit(False).alias("indel")))
+    rows = rows.withColumn("a", of("hap1")).withColumn("b", of("hap2"))
     lead = F.col("a.score") - F.col("b.score")
-    per = pairs.groupBy(F.col("a.region").alias("region"), F.col("a.hap").alias("hap1"), F.col("b.hap").alias("hap2")).agg(F.sum(F.greatest("a.score", "b.score")).alias("total"), F.count_if(lead > advantage).alias("n1"), F.count_if(-lead > advantage).alias("n2"))
-    best = per.groupBy("region").agg(F.max(F.struct("total", "hap1", "hap2", "n1", "n2")).alias("m"))
-    return best.select("region", "m.hap1", "m.hap2", "m.total", "m.n1", "m.n2")
+    pairs = rows.groupBy("region", "ref", "hap1", "hap2").agg(
+        F.sum(F.greatest("a.score", "b.score")).alias("total"), F.count_if(lead > advantage).alias("n1"), F.count_if(-lead > advantage).alias("n2"),
+        F.count_if(F.abs(lead) <= advantage).alias("n_unknown"), F.count_if(F.col("a.indel") & F.col("b.indel")).alias("n_indel"), F.count(F.lit(1)).alias("n"),
+    )
+    own = F.struct("total", "hap1", "hap2", "n1", "n2", "n_unknown", "n_indel", "n")
+    is_ref = (F.col("hap1") == F.col("ref")) & (F.col("hap2") == F.col("ref"))
+    best = pairs.groupBy("region", "ref").agg(F.max(own).alias("m"), F.max(F.when(is_ref, own)).alias("r")).select("region", "ref", "m.*", "r")
+    close = F.col("total") < F.col("r.total") + 12 * F.col("n")
+    low = F.col("total") + 35 * F.col("n") < (read_length or 0) * F.col("n")
+    code = F.when(F.col("n_indel") > 1, 1).when((F.col("hap1") == F.col("ref")) & (F.col("hap2") == F.col("ref")), 2).when((F.col("hap2") == F.col("ref")) & (3 * F.col("n1") <= F.col("n2")), 3)
+    code = code.when((F.col("r.n_indel") < 3) & close, 4).when(low & close, F.when(4 * (F.col("n1") + F.col("n2")) < F.col("n_unknown"), 7).otherwise(5)).when(F.col("n1") < 3, 6).otherwise(0)
+    return best.select("region", "hap1", "hap2", "total", "n1", "n2", "n_unknown", "n_indel", code.alias("reject"))
 
 
 def recover_alleles(cohort: DataFrame, singles: DataFrame, near: int = 1000) -> DataFrame:

@@ -9,8 +9,22 @@ from strandloom.functions import cigar as cg
 from strandloom.functions.sequence import block_ids
 from strandloom.operators.intervals import div, overlap_join
 
-#: Places left out of the heat map, as (chrom, st, ed); empty unless given.
-EXCLUDED: list[tuple[str, int, int]] = []
+#: Centromeres and the like that the heat map leaves out (number of the chromosome from 0, start, end), and
+#: chromosomes that it leaves out as a whole.
+EXCLUDED = [
+    (0, 121751000, 125184587),
+    (1, 89816500, 94090557),
+    (2, 90533500, 93655574),
+    (3, 49091500, 51743951),
+    (4, 46485901, 50059807),
+    (6, 151855000, 158595000),
+    (8, 43236168, 45518558),
+    (9, 38485000, 41914000),
+    (16, 21894500, 26885980),
+    (19, 26436233, 31470500),
+    (21, 11212000, 16567000),
+]
+LEFT_OUT = (23,)
 
 
 def variant_density(reads: DataFrame, regions: DataFrame, shrink: int = 0) -> DataFrame:
@@ -50,19 +64,27 @@ def breakpoint_divergence(regions: DataFrame, reads: DataFrame, points: DataFram
     return rows.groupBy("id").agg(F.sum(seen * F.log(seen / want)).alias("kld"), F.sum("breaks").alias("breaks"), F.sum("depth").alias("depth"))
 
 
-def short_read_context(blocks: DataFrame, reads: DataFrame, pad: int = 50, width: int = 1000) -> DataFrame:
+def short_read_context(blocks: DataFrame, reads: DataFrame, pad: int = 50, width: int = 1000, least_mapq: int = 11) -> DataFrame:
     """Counters of the reads at each block. reads: chrom, st, ed, clip, orientation (FF, RR, RF or FR), isize, mate_unmapped,
-    mate_elsewhere, nm, events, mapq."""
+    mate_elsewhere, nm, events, mapq, length, indel; secondary and supplementary ones are left out before.
+
+    What pairs say counts only from mapq `least_mapq` on: orientations of mapped mates, odd insert sizes, mates elsewhere,
+    and pairs that are not plain (`discordant`). Depth counts whole bases of reads per base of the padded block and a read.
+    """
     j = overlap_join(blocks.select("id", "chrom", "st", "ed"), reads, width, pad)
     c = lambda name: F.col(f"r_{name}")
+    sure, mapped, size = c("mapq") >= least_mapq, ~c("mate_unmapped"), F.abs(c("isize"))
+    plain = mapped & (c("orientation") == "FR") & ~c("mate_elsewhere") & (size <= 1000)
     counters = {
-        "clip_1_10": c("clip").between(1, 10), "clip_11_50": c("clip").between(11, 50), "clip_over_50": c("clip") > 50,
-        **{f"pairs_{o.lower()}": c("orientation") == o for o in ("FF", "RR", "RF")},
-        "isize_over_1k": F.abs(c("isize")) > 1000, "isize_over_100k": F.abs(c("isize")) > 100_000, "mate_unmapped": c("mate_unmapped"), "mate_elsewhere": c("mate_elsewhere"),
+        "clipped": c("clip") > 0, "clip_1_10": c("clip").between(1, 10), "clip_11_50": c("clip").between(11, 50), "clip_over_50": c("clip") > 50, "discordant": sure & ~plain,
+        **{f"pairs_{o.lower()}": sure & mapped & (c("orientation") == o) for o in ("FF", "RR", "RF")},
+        "isize_over_1k": sure & (size > 1000), "isize_over_100k": sure & (size > 100_000), "mate_unmapped": sure & c("mate_unmapped"), "mate_elsewhere": sure & c("mate_elsewhere"),
         "nm_over_2": c("nm") > 2, "nm_over_10": c("nm") > 10, "events_over_2": c("events") > 2, "mapq_under_30": c("mapq") < 30, "mapq_under_10": c("mapq") < 10, "mapq_0": c("mapq") == 0,
     }
-    per = j.groupBy("id").agg(F.count(F.lit(1)).alias("reads"), *(F.count_if(v).alias(k) for k, v in counters.items()))
-    return blocks.select("id").join(per, "id", "left").fillna(0)
+    sums = {"bases": "length", "clip_bases": "clip", "indel_bases": "indel", "nm_total": "nm", "mapq_total": "mapq"}
+    per = j.groupBy("id").agg(F.count(F.lit(1)).alias("reads"), *(F.sum(c(v)).alias(k) for k, v in sums.items()), *(F.count_if(v).alias(k) for k, v in counters.items()))
+    out = blocks.select("id", "st", "ed").join(per, "id", "left").fillna(0)
+    return out.withColumn("depth", F.floor(F.col("bases") / (F.col("ed") - F.col("st") + 2 * pad + 148))).drop("st", "ed")
 
 
 def long_read_context(signals: DataFrame, step: int, length: int) -> DataFrame:
@@ -84,6 +106,21 @@ def label_blocks(blocks: DataFrame, sv: DataFrame, index: DataFrame, step: int,
     return out.withColumn("label", F.coalesce("label", F.lit("BLANK"))).withColumn("k", F.coalesce("k", F.lit(0)))
 
 
+def outside_excluded(blocks: DataFrame, excluded=None, left_out: tuple = LEFT_OUT) -> DataFrame:
+    """Blocks (chrom a number from 0, pos) outside the excluded places and chromosomes; the list is a dozen rows."""
+    bad = F.col("chrom").isin(*left_out) if left_out else F.lit(False)
+    for chrom, st, ed in EXCLUDED if excluded is None else excluded:
+        bad = bad | ((F.col("chrom") == chrom) & (F.col("pos") > st) & (F.col("pos") < ed))
+    return blocks.filter(~bad)
+
+
+def signal_count(method: int, column: str | None = None) -> Column:
+    """What the heat map counts of a block's context: 0 the given column; 1 mean, 2 larger of clips over ten bases and
+    discordant pairs; 3 the largest of these and reads of several events; 4 clips over ten bases; 5 over fifty."""
+    clips, pairs = F.col("clip_11_50") + F.col("clip_over_50"), F.col("discordant")
+    return {0: F.col(column or "reads"), 1: F.floor((clips + pairs) / 2), 2: F.greatest(clips, pairs), 3: F.greatest(clips, pairs, F.col("events_over_2")), 4: clips, 5: F.col("clip_over_50")}[method].cast("long")
+
+
 def heat_map(blocks: DataFrame, rows: int = 100, columns: int = 300, least_reads: int = 50) -> DataFrame:
     """Cells of signal count (y, column `signals`) by repeat k (x): blocks with and without variants, their share and its
     -10 log10, kept long. Blocks with few reads are left out."""

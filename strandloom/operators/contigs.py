@@ -55,17 +55,24 @@ def variant_class(sv: DataFrame, share: float = 0.2, bases: int = 200) -> DataFr
 
 
 def insert_vntr_length(inserts: DataFrame, rm: DataFrame, trf: DataFrame) -> DataFrame:
-    """Bases of each insert (name, length) under tandem or simple repeats but not under mobile elements; a mobile element
-    stays masked where small-unit repeats (motif_size < 6) cover 80 % of it."""
-    mobile = rm.filter(is_mobile("class")).withColumn("m", F.monotonically_increasing_id()).select("name", "m", F.col("st").alias("mst"), F.col("ed").alias("med"))
+    """Bases of each insert (name, length) under tandem or simple repeats but not under mobile elements, and the longest run
+    of other bases; a mobile element stays masked where small-unit repeats (motif_size < 6) cover 80 % of it, overlaps
+    counted as often as they occur. Spans are half-open."""
+    mobile = rm.filter(is_mobile("class") & ~is_simple("class")).withColumn("m", F.monotonically_increasing_id()).select("name", "m", F.col("st").alias("mst"), F.col("ed").alias("med"))
     t = trf.filter("motif_size < 6").select("name", F.col("st").alias("t_st"), F.col("ed").alias("t_ed"))
-    cover = mobile.join(t, "name", "left").groupBy("name", "m", "mst", "med").agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.least("med", "t_ed") - F.greatest("mst", "t_st"))), F.lit(0)).alias("c"))
-    unmask = merge(cover.filter(F.col("c") < 0.8 * (F.col("med") - F.col("mst"))).select("name", F.col("mst").alias("st"), F.col("med").alias("ed")), 0, ("name",))
-    spans = trf.select("name", "st", "ed").unionByName(rm.filter(is_simple("class")).select("name", "st", "ed"))
-    mask = merge(spans, 0, ("name",)).select("name", "st", "ed")
-    total = mask.groupBy("name").agg(F.sum(F.col("ed") - F.col("st")).alias("masked"))
-    both = mask.join(unmask.select("name", F.col("st").alias("u_st"), F.col("ed").alias("u_ed")), "name").groupBy("name").agg(F.sum(F.greatest(F.lit(0), F.least("ed", "u_ed") - F.greatest("st", "u_st"))).alias("both"))
-    return inserts.join(total, "name", "left").join(both, "name", "left").select("name", "length", (F.coalesce("masked", F.lit(0)) - F.coalesce("both", F.lit(0))).alias("vntr"))
+    cover = mobile.join(t, "name", "left").groupBy("name", "m", "mst", "med").agg(F.coalesce(F.sum(F.when(F.col("t_st").isNotNull(), F.greatest(F.lit(0), F.least("med", "t_ed") - F.greatest("mst", "t_st")))), F.lit(0)).alias("c"))
+    unmask = cover.filter(F.col("c") < 0.8 * (F.col("med") - F.col("mst"))).select("name", F.col("mst").alias("st"), F.col("med").alias("ed"), F.lit(0).alias("m"), F.lit(1).alias("u"))
+    spans = trf.select("name", "st", "ed").unionByName(rm.filter(is_simple("class")).select("name", "st", "ed")).withColumn("m", F.lit(1)).withColumn("u", F.lit(0))
+    whole = inserts.select("name", F.lit(0).alias("st"), F.col("length").alias("ed"), F.lit(0).alias("m"), F.lit(0).alias("u"))
+    clipped = spans.unionByName(unmask).join(inserts.select("name", "length"), "name").select("name", F.greatest(F.lit(0), "st").alias("st"), F.least("length", "ed").alias("ed"), "m", "u").filter("st < ed").unionByName(whole)
+    ends = F.explode(F.array(F.struct(F.col("st").alias("p"), "m", "u"), F.struct(F.col("ed").alias("p"), (-F.col("m")).alias("m"), (-F.col("u")).alias("u")))).alias("e")
+    at = clipped.select("name", ends).groupBy("name", F.col("e.p").alias("p")).agg(F.sum("e.m").alias("m"), F.sum("e.u").alias("u"))
+    by = Window.partitionBy("name").orderBy("p")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    steps = at.select("name", (F.lead("p").over(by) - F.col("p")).alias("size"), ((F.sum("m").over(upto) > 0) & (F.sum("u").over(upto) == 0)).alias("masked"), "p").filter("size is not null")
+    runs = steps.withColumn("run", F.sum(F.col("masked").cast("long")).over(upto)).groupBy("name", "run").agg(F.sum(F.when(F.col("masked"), F.col("size")).otherwise(0)).alias("vntr"), F.sum(F.when(F.col("masked"), 0).otherwise(F.col("size"))).alias("free"))
+    out = runs.groupBy("name").agg(F.sum("vntr").alias("vntr"), F.max("free").alias("longest_free"))
+    return inserts.select("name", "length").join(out, "name", "left").fillna(0, ["vntr", "longest_free"])
 
 
 def cluster_contigs(contigs: DataFrame, differences: DataFrame) -> DataFrame:

@@ -79,6 +79,26 @@ def written_allele(length: Column, alt: Column, kind: Column) -> Column:
     return F.when(length < -50_000, "<DEL>").when((kind == "INV") & (F.abs(length) > 2000), "<INV>").otherwise(alt)
 
 
+def callable_inversion(length: Column, least: int = 30, most: int = 50_000) -> Column:
+    """Whether an inversion is of a length that is called."""
+    return F.abs(length).between(least, most)
+
+
+def allele_length_variants(sv: DataFrame, least: int = 50) -> DataFrame:
+    """Variants whose alleles differ by at least `least` bases, with type and length from the alleles, to be split by sample,
+    type and chromosome (partitionBy on writing). Symbolic alleles keep their svlen."""
+    size = F.when(F.col("alt").startswith("<"), F.col("svlen")).otherwise(F.length("alt") - F.length("ref"))
+    return sv.withColumn("allele_length", size.cast("long")).filter(F.abs("allele_length") >= least).withColumn("allele_type", F.when(F.col("allele_length") < 0, "DEL").otherwise("INS"))
+
+
+def with_short_support(long: DataFrame, short: DataFrame) -> DataFrame:
+    """Long-read calls (id, gt, ref_n, alt_n) with the short reads' view of the same ids (gt, ref_n, alt_n) and the genotype
+    of both, `gt_hybrid`. Calls that short reads don't know keep theirs."""
+    s = short.select("id", F.col("gt").alias("short_gt"), F.col("ref_n").alias("short_ref"), F.col("alt_n").alias("short_alt"))
+    both = hybrid(F.col("gt"), F.col("ref_n"), F.col("alt_n"), F.col("short_gt"), F.col("short_ref"), F.col("short_alt"))
+    return long.join(s, "id", "left").withColumn("gt_hybrid", F.coalesce(both, F.col("gt")))
+
+
 def usable_variants(sv: DataFrame, least: int = 50, mode: str = "abs") -> DataFrame:
     """PASS or no filter, a real ALT, and length at least `least`. mode `signed` compares the signed length, which drops
     every deletion; `abs`, the default, does not."""

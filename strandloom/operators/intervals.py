@@ -167,6 +167,13 @@ def coverage(spans: DataFrame, annotation: DataFrame, key: str = "id", width: in
     return out.withColumn("percent", F.when(size > 0, 100.0 * F.col("covered") / size).otherwise(0.0))
 
 
+def covering(spans: DataFrame, annotation: DataFrame, key: str = "id", width: int = 10_000) -> DataFrame:
+    """For every span the annotation that overlaps it, cut to the span and in order: `(key, covering array<struct<st, ed>>)`."""
+    pairs = overlap_join(spans.select(key, "chrom", "st", "ed"), annotation.select("chrom", "st", "ed"), width)
+    per = pairs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.greatest("st", "r_st").alias("st"), F.least("ed", "r_ed").alias("ed")))).alias("covering"))
+    return spans.select(key).join(per, key, "left").withColumn("covering", F.coalesce("covering", F.array().cast(per.schema["covering"].dataType)))
+
+
 def best_annotation(spans: DataFrame, annotation: DataFrame, key: str = "id", order: str = "ann_order", width: int = 10_000) -> DataFrame:
     """For every span with an overlap the annotation with the longest (half-open) overlap; of equals the first by `order`."""
     pairs = overlap_join(spans, annotation, width).withColumn("overlap", F.least("ed", "r_ed") - F.greatest("st", "r_st")).filter("overlap > 0")

@@ -137,13 +137,26 @@ def pair_class(most: int) -> Column:
     return F.when(~same & one, "TRA_INV").when(~same, "TRA").when(one & ~has(REVERSE), "INV_1").when(one, "INV_2").when(~first, "DUP").when(F.abs("isize") > most, "DEL")
 
 
+def pair_regions(reads: DataFrame, most: int, read_length: int) -> DataFrame:
+    """The class of each abnormal pair with the two regions in which its breakpoints lie: behind a forward read's end, or
+    before a reverse read's start, as far as the largest insert size leaves room."""
+    room = most - 2 * read_length
+    side = lambda p, back: F.when(back, F.struct((p - room).alias("st"), p.alias("ed"))).otherwise(F.struct((p + read_length).alias("st"), (p + read_length + room).alias("ed")))
+    rows = reads.withColumn("class", pair_class(most)).filter("class is not null").withColumn("a", side(F.col("pos"), has(REVERSE))).withColumn("b", side(F.col("mate_pos"), has(MATE_REVERSE)))
+    return rows.select("read_name", "class", "chrom", "a.st", "a.ed", F.col("mate_chrom").alias("chrom2"), F.col("b.st").alias("st2"), F.col("b.ed").alias("ed2"))
+
+
 def mate_groups(candidates: DataFrame, gap: int = 20_000, more_than: int = 3) -> DataFrame:
     """Places of mates, grouped by gaps, with more than a few reads each."""
     return gap_clusters(candidates.select(F.col("mate_chrom").alias("chrom"), F.col("mate_pos").alias("pos")), gap).filter(F.col("n") > more_than)
 
 
-def fetch_mates(candidates: DataFrame, reads: DataFrame) -> DataFrame:
-    """Reads that are mates of the candidates: name and both places agree."""
+def fetch_mates(candidates: DataFrame, reads: DataFrame, most: int | None = None) -> DataFrame:
+    """Reads that are mates of the candidates: name and both places agree. With `most`, a chromosome with more candidates
+    than that is skipped as a whole, as its candidates are noise."""
+    if most is not None:
+        few = candidates.groupBy("chrom").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most).select("chrom")
+        candidates = candidates.join(few, "chrom", "left_semi")
     c = candidates.select("read_name", F.col("mate_chrom").alias("chrom"), F.col("mate_pos").alias("pos"), F.col("chrom").alias("mate_chrom"), F.col("pos").alias("mate_pos"))
     return reads.join(c, ["read_name", "chrom", "pos", "mate_chrom", "mate_pos"], "left_semi")
 
@@ -170,6 +183,13 @@ def isize_histogram(sizes: DataFrame, column: str = "isize") -> DataFrame:
     return per.select(column, "n", (100.0 * F.col("n") / F.sum("n").over(everything)).alias("percent"), (100.0 * F.sum("n").over(upto) / F.sum("n").over(everything)).alias("cumulative"))
 
 
+def isize_density(sizes: DataFrame, column: str = "isize") -> DataFrame:
+    """`(isize, d)`: the share of pairs (and one) that each size from the 1 % to below the 99 % quantile has."""
+    stats = F.broadcast(isize_stats(sizes, column))  # one row
+    per = sizes.groupBy(F.col(column).alias("isize")).agg(F.count(F.lit(1)).alias("n")).join(stats)
+    return per.filter((F.col("isize") >= F.floor("least")) & (F.col("isize") < F.floor("most"))).select("isize", (F.col("n") / (F.col("pairs") + 1)).alias("d"))
+
+
 def breakpoint_distribution(density: DataFrame, read_length: int) -> DataFrame:
     """From the density of insert sizes (isize, d) the probability that a breakpoint lies i bases past a read's end: each
     size spreads evenly over the bases between its two reads."""
@@ -181,6 +201,23 @@ def breakpoint_distribution(density: DataFrame, read_length: int) -> DataFrame:
     return spread.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy()))
 
 
+def clip_distribution(reach: int = 10) -> list[float]:
+    """The probability that a breakpoint lies i bases from a clip: falls with the square of what is left of `reach`."""
+    total = sum(k * k for k in range(1, reach + 1))
+    return [(reach - i) ** 2 / total for i in range(reach)]
+
+
+def unmapped_distribution(density: DataFrame, read_length: int) -> DataFrame:
+    """`(i, p)` where an unmapped mate starts, i bases from its mapped read's start: the density of sizes, less a read."""
+    return density.select((F.col("isize") - read_length).alias("i"), F.col("d").alias("p"))
+
+
+def least_accepted(distribution: DataFrame, times: int) -> DataFrame:
+    """The smallest sum of probabilities that a breakpoint needs: so many times the largest one (2 for pairs and clips, 3 for
+    unmapped mates)."""
+    return distribution.agg((times * F.max("p")).alias("least"))
+
+
 def block_depth(reads: DataFrame, block: int = 32) -> DataFrame:
     """Reads that start in each block."""
     return reads.groupBy("chrom", div(F.col("st"), block).alias("block")).agg(F.count(F.lit(1)).alias("n"))
@@ -297,6 +334,16 @@ def piecewise_depth(mappings: DataFrame) -> DataFrame:
     return per.withColumn("n", F.sum("d").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("p").over(by)).filter("to is not null").select("read", F.col("p").alias("from"), "to", "n")
 
 
+def projected_pieces(mappings: DataFrame) -> DataFrame:
+    """For each of the `piecewise_depth` stretches of a read the mappings over it (read, read_st, read_ed, st, ed, id), each
+    with the place on the reference to which the stretch's start is projected, in proportion: read, from, to, id, at."""
+    pieces = piecewise_depth(mappings).filter("n > 0")
+    m = mappings.select("read", "read_st", "read_ed", "st", "ed", "id")
+    j = pieces.join(m, "read").filter((F.col("read_st") <= F.col("from")) & (F.col("to") <= F.col("read_ed")))
+    at = F.col("st") + (F.col("from") - F.col("read_st")) * (F.col("ed") - F.col("st")) / (F.col("read_ed") - F.col("read_st"))
+    return j.select("read", "from", "to", "id", F.floor(at).cast("long").alias("at"))
+
+
 def likeliest_place(density: DataFrame, width: int) -> DataFrame:
     """The start of the window of `width` places with the largest sum (the first of equals): id, pos, p."""
     by = Window.partitionBy("id").orderBy("pos").rangeBetween(0, width - 1)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.folds import bundled
-from strandloom.operators.intervals import with_island
+from strandloom.operators.intervals import overlap_join, with_island
 
 FIELDS = ["chrom", "type", "side", "st", "ed", "chrom2", "st2", "ed2", "score", "reads", "id"]
 
@@ -21,42 +24,104 @@ def _join(a: dict, b: dict) -> None:
     a["score"], a["reads"] = a["score"] + b["score"], a["reads"] + b["reads"]
 
 
-def sweep(rows: list[dict]) -> list[dict]:
-    """Each open record takes all later ones that meet its growing regions; those that don't go back to the pool."""
-    left, out = sorted(rows, key=lambda r: (r["st"], r["ed"], r["st2"], r["ed2"], r["id"])), []
-    while left:
-        anchor, rest = dict(left[0]), []
-        for r in left[1:]:
-            if _meets(anchor, r):
-                _join(anchor, r)
-            else:
-                rest.append(r)
-        out.append(anchor)
-        left = rest
+def sweep(rows: list[dict], judge: Callable[[dict, list[dict]], tuple[dict | None, list[int]]] | None = None) -> list[dict]:
+    """Each open record takes all later open ones that meet its growing regions. Rows are sorted by start, so the search ends
+    at the first that starts behind them. judge: from a record and its members what is kept of it (or None), and which
+    members (by number) are open again."""
+    rows = sorted(rows, key=lambda r: (r["st"], r["ed"], r["st2"], r["ed2"], r["id"]))
+    taken, out = [False] * len(rows), []
+    for i, row in enumerate(rows):
+        if taken[i]:
+            continue
+        anchor, members = dict(row), [i]
+        for j in range(i + 1, len(rows)):
+            if rows[j]["st"] > anchor["ed"]:
+                break
+            if not taken[j] and _meets(anchor, rows[j]):
+                _join(anchor, rows[j])
+                members.append(j)
+        for k in members:
+            taken[k] = True
+        if judge:
+            anchor, back = judge(anchor, [rows[k] for k in members])
+            for k in back:
+                taken[members[k]] = False
+        if anchor:
+            out.append(anchor)
     return out
 
 
-def combine(signals: DataFrame, least_reads: int = 3, least_score: float = 16, longest: int = 5000) -> DataFrame:
-    """Signals of one type and side whose regions overlap become one; kept with enough reads and score and short regions."""
+def likeliest(starts: list[int], spread: list[float], low: int, size: int, forward: bool) -> tuple[int, float]:
+    """The place (the first of equals) where the probabilities that spread from each start, forwards or backwards, add up to
+    most, and the sum."""
+    p = np.zeros(size + len(spread) + 1)
+    for s in starts:
+        if forward:
+            p[s - low : s - low + len(spread)] += spread
+        else:
+            n = min(len(spread), s - low + 1)
+            p[s - low - n + 1 : s - low + 1] += spread[:n][::-1]
+    k = int(np.argmax(p[:size]))
+    return low + k, float(p[k])
+
+
+def cuts(depth: float) -> dict[str, int]:
+    """Score that a combination needs, and score and reads that a pair needs, by mean depth."""
+    return {"combine": max(16, min(29, int(0.4 * depth))), "score": max(2, int(0.08 * depth)), "reads": max(3, int(0.1 * depth))}
+
+
+def combine(signals: DataFrame, least_reads: int = 3, least_score: float = 16, longest: int = 5000, spread: list[float] | None = None, accept: float | None = None, reach: int | None = None, least: int = 2, half: int = 100) -> DataFrame:
+    """Signals of one type and side whose regions overlap become one; kept with enough reads and score and short regions.
+
+    With `spread` (where breakpoints lie, by distance from a signal's region) each combination becomes its likeliest
+    breakpoints, `half` bases on both sides; signals farther than `reach` from these go back to the pool. A combination
+    goes if neither sum reaches `accept` (twice the largest probability, by default) or its new score, twice the larger sum
+    over `accept`, stays below `least`.
+    """
     keys = ("chrom", "type", "side")
     rows = with_island(signals.select(*FIELDS), 0, keys, ("st", "ed", "id"))
+    accept, reach = accept or 2 * max(spread or [0.5]), reach or len(spread or ())
+
+    def fine(a: dict) -> bool:
+        return a["reads"] >= least_reads and a["score"] > least_score and a["ed"] - a["st"] < longest and a["ed2"] - a["st2"] < longest
+
+    def judge(a: dict, members: list[dict]) -> tuple[dict | None, list[int]]:
+        if not fine(a):
+            return None, []
+        size = lambda st, ed: min(5000, ed - st + 2)
+        one, p1 = likeliest([m["ed" if a["type"] == "INV_2" else "st"] for m in members], spread, a["st"], size(a["st"], a["ed"]), a["type"] != "INV_2")
+        two, p2 = likeliest([m["st2" if a["type"] == "INV_1" else "ed2"] for m in members], spread, a["st2"], size(a["st2"], a["ed2"]), a["type"] == "INV_1")
+        if max(p1, p2) < accept:
+            return None, []
+        near = [(one - reach <= m["st"] <= one, two <= m["ed2"] <= two + reach) for m in members]
+        fits = [(x if a["side"] == "BEGIN" else y) if a["type"] == "INS" else x and y for x, y in near]
+        back = [k for k, ok in enumerate(fits) if not ok]
+        score = int(2 * max(p1, p2) / accept)
+        if score < least:
+            return None, back
+        return a | {"st": one - half, "ed": one + half, "st2": two - half, "ed2": two + half, "score": float(score), "reads": sum(m["reads"] for m, ok in zip(members, fits) if ok)}, back
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(sweep(pdf[FIELDS].to_dict("records")), columns=FIELDS)
+        return pd.DataFrame(sweep(pdf[FIELDS].to_dict("records"), judge if spread else None), columns=FIELDS)
 
     out = bundled(rows, keys, run, signals.select(*FIELDS).schema)
+    if spread:
+        return out
     return out.filter((F.col("reads") >= least_reads) & (F.col("score") > least_score) & (F.col("ed") - F.col("st") < longest) & (F.col("ed2") - F.col("st2") < longest))
 
 
-def pair_sides(combined: DataFrame) -> DataFrame:
+def pair_sides(combined: DataFrame, score: float = 0, reads: float = 0, others: float = 1.0) -> DataFrame:
     """A BEGIN record with the first END record of its type that both regions overlap becomes SOLID, scores added; records
-    without a partner stay as they are. An END record that several could take goes to the first."""
-    b = combined.filter("side = 'BEGIN'").select(*(F.col(c).alias(f"b_{c}") for c in FIELDS))
-    e = combined.filter("side = 'END'").select(*(F.col(c).alias(f"e_{c}") for c in FIELDS))
+    without a partner stay as they are. An END record that several could take goes to the first.
+
+    score and reads: what a SOLID record needs; without a partner twice that; `others` times as much for types other than
+    DEL. Regions may be of any length.
+    """
+    b = combined.filter("side = 'BEGIN'").select("chrom", "st", "ed", *(F.col(c).alias(f"b_{c}") for c in FIELDS))
+    e = combined.filter("side = 'END'").select("chrom", "st", "ed", *(F.col(c).alias(f"e_{c}") for c in FIELDS))
     c = lambda s, n: F.col(f"{s}_{n}")
-    on = (c("b", "chrom") == c("e", "chrom")) & (c("b", "type") == c("e", "type")) & (c("b", "chrom2") == c("e", "chrom2")) & (F.floor(c("b", "st") / 5000) - F.floor(c("e", "st") / 5000)).between(-1, 1)
-    near = b.withColumn("_bin", F.explode(F.array(*(F.floor(c("b", "st") / 5000) + k for k in (-1, 0, 1))))).join(e.withColumn("_ebin", F.floor(c("e", "st") / 5000)), on & (F.col("_bin") == F.col("_ebin")))
-    near = near.filter((c("b", "st") <= c("e", "ed")) & (c("e", "st") <= c("b", "ed")) & (c("b", "st2") <= c("e", "ed2")) & (c("e", "st2") <= c("b", "ed2")))
+    near = overlap_join(b, e, 5000).select(*(c("b", n) for n in FIELDS), *(F.col(f"r_e_{n}").alias(f"e_{n}") for n in FIELDS))
+    near = near.filter((c("b", "type") == c("e", "type")) & (c("b", "chrom2") == c("e", "chrom2")) & (c("b", "st2") <= c("e", "ed2")) & (c("e", "st2") <= c("b", "ed2")))
     first = near.withColumn("k", F.row_number().over(Window.partitionBy("b_id").orderBy("e_st", "e_id"))).filter("k = 1")
     first = first.withColumn("k", F.row_number().over(Window.partitionBy("e_id").orderBy("b_st", "b_id"))).filter("k = 1")
     solid = first.select(
@@ -64,7 +129,9 @@ def pair_sides(combined: DataFrame) -> DataFrame:
         F.greatest("b_st2", "e_st2").alias("st2"), F.least("b_ed2", "e_ed2").alias("ed2"), (c("b", "score") + c("e", "score")).alias("score"), (c("b", "reads") + c("e", "reads")).alias("reads"), c("b", "id").alias("id"),
     )
     used = first.select(F.explode(F.array("b_id", "e_id")).alias("id"))
-    return solid.unionByName(combined.select(*FIELDS).join(used, "id", "left_anti").select(*FIELDS))
+    out = solid.unionByName(combined.select(*FIELDS).join(used, "id", "left_anti").select(*FIELDS))
+    times = F.when(F.col("side") == "SOLID", 1).otherwise(2) * F.when(F.col("type") == "DEL", 1.0).otherwise(others)
+    return out.filter((F.col("score") >= score * times) & (F.col("reads") >= reads * times))
 
 
 def union_duplicates(records: DataFrame) -> DataFrame:

@@ -139,6 +139,12 @@ def _(read):
     return ops.coverage(read("rg"), read("iv"), "id", 1000).select("id", "covered", "n", F.round("percent", 6).alias("percent"))
 
 
+@query("covering_annotation", f"""SELECT a.id, count(b.id) AS n, coalesce(string_agg(greatest(a.st, b.st) || '-' || least(a.ed, b.ed), ',' ORDER BY greatest(a.st, b.st), least(a.ed, b.ed)) FILTER (WHERE b.id IS NOT NULL), '') AS covering FROM {RG} a LEFT JOIN {IV} b ON {OVERLAP} GROUP BY a.id""")
+def _(read):
+    spans = ops.covering(read("rg"), read("iv"), "id", 1000)
+    return spans.select("id", F.size("covering").cast("long").alias("n"), F.array_join(F.transform("covering", lambda x: F.concat_ws("-", x["st"], x["ed"])), ",").alias("covering"))
+
+
 @query("best_annotation", f"""SELECT id, annotation, overlap FROM (SELECT a.id AS id, b.id AS annotation, least(a.ed, b.ed) - greatest(a.st, b.st) AS overlap,
     row_number() OVER (PARTITION BY a.id ORDER BY least(a.ed, b.ed) - greatest(a.st, b.st) DESC, b.id) AS k FROM {RG} a JOIN {IV} b ON {OVERLAP} AND least(a.ed, b.ed) > greatest(a.st, b.st)) WHERE k = 1""")
 def _(read):
@@ -315,7 +321,7 @@ def _(read):
     return cohort.locus_range(read("sv"), read("rg").withColumn("unit", F.lit(3))).select("id", "n", "range", F.col("rank").cast("long").alias("rank"))
 
 
-@query("one_allele_per_region", f"""SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY chrom, pos, svlen ORDER BY alt_n DESC, sample, id) AS k FROM {SV} x) WHERE k = 1""")
+@query("one_allele_per_region", f"""SELECT id FROM (SELECT id, sample, first_value(sample) OVER (PARTITION BY chrom, pos, svlen ORDER BY alt_n DESC, sample, id) AS first FROM {SV} x) WHERE sample = first""")
 def _(read):
     return cohort.one_allele_per_region(read("sv").withColumn("ref", F.lit("N")).withColumn("alt", F.col("svlen").cast("string")).withColumn("region", F.col("sample"))).select("id")
 
@@ -346,10 +352,21 @@ def _(read):
     return cohort.best_haplotype_reads(_scores(read))
 
 
-@query("pair_alleles", f"""WITH p AS (SELECT a.region, a.hap AS hap1, b.hap AS hap2, sum(greatest(a.score, b.score))::BIGINT AS total, count(*) FILTER (a.score - b.score > 10) AS n1, count(*) FILTER (b.score - a.score > 10) AS n2 FROM {_SCORES} a JOIN {_SCORES} b ON a.region = b.region AND a.read = b.read AND a.hap <= b.hap GROUP BY 1, 2, 3)
-    SELECT region, hap1, hap2, total, n1, n2 FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY total DESC, hap1 DESC, hap2 DESC) AS k FROM p) WHERE k = 1""")
+@query("pair_alleles", f"""WITH s AS (SELECT *, score > 45 AS indel FROM {_SCORES} z), h AS (SELECT region, hap, max(hap) OVER (PARTITION BY region) AS ref FROM (SELECT DISTINCT region, hap FROM s)), r AS (SELECT DISTINCT region, read FROM s),
+    g AS (SELECT r.region, r.read, h.hap, h.ref, coalesce(s.score, t.score, 0) AS score, CASE WHEN s.hap IS NOT NULL THEN s.indel WHEN t.hap IS NOT NULL THEN t.indel ELSE false END AS indel FROM r JOIN h USING (region) LEFT JOIN s ON s.region = r.region AND s.read = r.read AND s.hap = h.hap LEFT JOIN s t ON t.region = r.region AND t.read = r.read AND t.hap = h.ref),
+    p AS (SELECT a.region, a.ref, a.hap AS hap1, b.hap AS hap2, sum(greatest(a.score, b.score))::BIGINT AS total, count(*) FILTER (a.score - b.score > 10) AS n1, count(*) FILTER (b.score - a.score > 10) AS n2, count(*) FILTER (abs(a.score - b.score) <= 10) AS n_unknown, count(*) FILTER (a.indel AND b.indel) AS n_indel, count(*) AS n FROM g a JOIN g b ON a.region = b.region AND a.read = b.read AND a.hap <= b.hap GROUP BY 1, 2, 3, 4),
+    k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY total DESC, hap1 DESC, hap2 DESC) AS k FROM p), m AS (SELECT k.*, q.total AS r_total, q.n_indel AS r_indel FROM k JOIN p q ON q.region = k.region AND q.hap1 = q.ref AND q.hap2 = q.ref WHERE k = 1)
+    SELECT region, hap1, hap2, total, n1, n2, n_unknown, n_indel, CASE WHEN n_indel > 1 THEN 1 WHEN hap1 = ref AND hap2 = ref THEN 2 WHEN hap2 = ref AND 3 * n1 <= n2 THEN 3 WHEN r_indel < 3 AND total < r_total + 12 * n THEN 4
+      WHEN total + 35 * n < 60 * n AND total < r_total + 12 * n THEN CASE WHEN 4 * (n1 + n2) < n_unknown THEN 7 ELSE 5 END WHEN n1 < 3 THEN 6 ELSE 0 END AS reject FROM m""")
+def _(read):
+    return cohort.pair_alleles(_scores(read).withColumn("indel", F.col("score") > 45), 10, 60)
+
+
+@query("force_candidates", f"""WITH f AS (SELECT id, chrom, pos, sample, CASE WHEN pos - max(pos) OVER (PARTITION BY chrom ORDER BY pos, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 30 THEN NULL ELSE pos END AS new FROM {SV} x),
+    g AS (SELECT *, max(new) OVER (PARTITION BY chrom ORDER BY pos, id ROWS UNBOUNDED PRECEDING) AS island FROM f), n AS (SELECT chrom, island FROM g GROUP BY 1, 2 HAVING count(*) <> 1 AND count(*) FILTER (sample = 3) = 0) SELECT id FROM g JOIN n USING (chrom, island)""")
 def _(read):
-    return cohort.pair_alleles(_scores(read))
+    sv = read("sv").withColumn("ref", F.lit("N")).withColumn("alt", F.lit("A")).withColumn("support", F.array(F.struct("sample")))
+    return cohort.force_candidates(cohort.force_groups(sv), 3).select("id")
 
 
 @query("recover_alleles", f"""WITH c AS (SELECT chrom, pos // 1000 AS id, svlen, count(*) AS n, min(sample) AS sample FROM {SV} x GROUP BY 1, 2, 3), m AS (SELECT *, row_number() OVER (PARTITION BY chrom, id ORDER BY n DESC, svlen) AS k FROM c),
@@ -428,6 +445,18 @@ def _(read):
     return reads.breakpoint_distribution(density, 150).select(F.col("i").cast("long").alias("i"), F.round("p", 8).alias("p"))
 
 
+@query("isize_density", f"""WITH q AS (SELECT floor(quantile_cont(ed - st, 0.01)) AS least, floor(quantile_cont(ed - st, 0.99)) AS most, count(*) AS n FROM {RG} x)
+    SELECT ed - st AS isize, round(count(*) / (any_value(q.n) + 1)::DOUBLE, 8) AS d FROM {RG} y, q WHERE ed - st >= q.least AND ed - st < q.most GROUP BY 1""")
+def _(read):
+    return reads.isize_density(read("rg").select((F.col("ed") - F.col("st")).alias("isize"))).select("isize", F.round("d", 8).alias("d"))
+
+
+@query("least_accepted", f"""WITH p AS (SELECT ed - st - 300 AS n, count(*)::DOUBLE / (ed - st - 300) AS w FROM {RG} x WHERE ed - st > 300 GROUP BY ed - st) SELECT round(2 * sum(w) / sum(n * w), 8) AS least FROM p""")
+def _(read):
+    density = read("rg").groupBy((F.col("ed") - F.col("st")).alias("isize")).agg(F.count(F.lit(1)).cast("double").alias("d"))
+    return reads.least_accepted(reads.breakpoint_distribution(density, 150), 2).select(F.round("least", 8).alias("least"))
+
+
 @query("pair_support", f"""WITH v AS (SELECT id, chrom, pos, pos - svlen AS ed FROM {SV} x WHERE svlen < 0), j AS (SELECT v.id, r.ed AS me, r.ed - r.st AS isize, v.pos, v.ed FROM v JOIN {IV} r ON v.chrom = r.chrom AND r.st BETWEEN v.pos - 849 AND v.pos - 1),
     p AS (SELECT id, count(*) FILTER (me > ed AND me < ed + 850) AS n_sv, avg(isize) FILTER (me > ed AND me < ed + 850) AS isize_sv, count(*) FILTER (me > pos AND me < pos + 850) AS n_ref, avg(isize) FILTER (me > pos AND me < pos + 850) AS isize_ref FROM j GROUP BY id)
     SELECT v.id, coalesce(n_sv, 0) AS n_sv, round(isize_sv, 6) AS isize_sv, coalesce(n_ref, 0) AS n_ref, round(isize_ref, 6) AS isize_ref FROM v LEFT JOIN p USING (id)""")
@@ -472,6 +501,15 @@ def _(read):
     return reads.piecewise_depth(read("iv").select(F.col("name").alias("read"), F.col("st").alias("read_st"), F.col("ed").alias("read_ed")))
 
 
+_MAPPINGS = "(SELECT name AS read, st AS read_st, ed AS read_ed, st * 2 AS st, ed * 2 + 7 AS ed, id FROM {} x)"
+
+
+@query("projected_pieces", f"""WITH m AS (SELECT * FROM {_MAPPINGS.format(IV)} y), e AS (SELECT read, read_st AS p FROM m UNION SELECT read, read_ed FROM m), w AS (SELECT read, p AS "from", lead(p) OVER (PARTITION BY read ORDER BY p) AS "to" FROM e)
+    SELECT w.read, "from", "to", id, floor(st + ("from" - read_st) * (ed - st) / (read_ed - read_st)::DOUBLE)::BIGINT AS at FROM w JOIN m ON m.read = w.read AND read_st <= "from" AND "to" <= read_ed""")
+def _(read):
+    return reads.projected_pieces(read("iv").selectExpr("name AS read", "st AS read_st", "ed AS read_ed", "st * 2 AS st", "ed * 2 + 7 AS ed", "id"))
+
+
 @query("likeliest_place", f"""WITH s AS (SELECT chrom AS id, st AS pos, sum(ed - st) OVER (PARTITION BY chrom ORDER BY st RANGE BETWEEN CURRENT ROW AND 999 FOLLOWING) AS p FROM {IV} x) SELECT id, min(pos) AS pos, max(p)::BIGINT AS p FROM s a WHERE p = (SELECT max(p) FROM s b WHERE b.id = a.id) GROUP BY id""")
 def _(read):
     return reads.likeliest_place(read("iv").select(F.col("chrom").alias("id"), F.col("st").alias("pos"), (F.col("ed") - F.col("st")).alias("p")), 1000)
@@ -489,20 +527,32 @@ def _(read):
     return out.select("id", F.round("kld", 6).alias("kld"), "breaks", "depth")
 
 
+_SURE = "mapq >= 11 AND "
 _COUNTERS = {
-    "clip_1_10": "clip BETWEEN 1 AND 10", "clip_11_50": "clip BETWEEN 11 AND 50", "clip_over_50": "clip > 50", "pairs_ff": "orientation = 'FF'", "pairs_rr": "orientation = 'RR'", "pairs_rf": "orientation = 'RF'",
-    "isize_over_1k": "isize > 1000", "isize_over_100k": "isize > 100000", "mate_unmapped": "mate_unmapped", "mate_elsewhere": "mate_elsewhere", "nm_over_2": "nm > 2", "nm_over_10": "nm > 10",
-    "events_over_2": "events > 2", "mapq_under_30": "mapq < 30", "mapq_under_10": "mapq < 10", "mapq_0": "mapq = 0",
+    "clipped": "clip > 0", "clip_1_10": "clip BETWEEN 1 AND 10", "clip_11_50": "clip BETWEEN 11 AND 50", "clip_over_50": "clip > 50", "discordant": _SURE + "NOT (NOT mate_unmapped AND orientation = 'FR' AND NOT mate_elsewhere AND isize <= 1000)",
+    **{f"pairs_{o.lower()}": f"{_SURE}NOT mate_unmapped AND orientation = '{o}'" for o in ("FF", "RR", "RF")}, "isize_over_1k": _SURE + "isize > 1000", "isize_over_100k": _SURE + "isize > 100000",
+    "mate_unmapped": _SURE + "mate_unmapped", "mate_elsewhere": _SURE + "mate_elsewhere", "nm_over_2": "nm > 2", "nm_over_10": "nm > 10", "events_over_2": "events > 2", "mapq_under_30": "mapq < 30", "mapq_under_10": "mapq < 10", "mapq_0": "mapq = 0",
 }
-_READ_FEATURES = ["chrom", "st", "ed", "name % 70 AS clip", "CASE name % 4 WHEN 0 THEN 'FF' WHEN 1 THEN 'RR' WHEN 2 THEN 'RF' ELSE 'FR' END AS orientation", "(name % 300) * 500 AS isize", "name % 11 = 0 AS mate_unmapped", "sample % 6 = 0 AS mate_elsewhere", "name % 14 AS nm", "(st + name) % 5 AS events", "sample AS mapq"]
+_SUMS = {"bases": "length", "clip_bases": "clip", "indel_bases": "indel", "nm_total": "nm", "mapq_total": "mapq"}
+_READ_FEATURES = ["chrom", "st", "ed", "name % 70 AS clip", "CASE name % 4 WHEN 0 THEN 'FF' WHEN 1 THEN 'RR' WHEN 2 THEN 'RF' ELSE 'FR' END AS orientation", "(name % 300) * 500 AS isize", "name % 11 = 0 AS mate_unmapped", "sample % 6 = 0 AS mate_elsewhere", "name % 14 AS nm", "(st + name) % 5 AS events", "sample AS mapq", "ed - st AS length", "name % 9 AS indel"]
+_CONTEXT = f"""(SELECT a.id, a.chrom, a.st, count(b.chrom) AS reads, {", ".join(f"coalesce(sum({v}), 0)::BIGINT AS {k}" for k, v in _SUMS.items())}, {", ".join(f"count(*) FILTER ({v}) AS {k}" for k, v in _COUNTERS.items())}, coalesce(sum(length), 0)::BIGINT // (a.ed - a.st + 248) AS depth
+    FROM {RG} a LEFT JOIN (SELECT {", ".join(_READ_FEATURES)} FROM {IV} x) b ON a.chrom = b.chrom AND a.st - 50 <= b.ed AND b.st <= a.ed + 50 GROUP BY a.id, a.chrom, a.st, a.ed)"""
 
 
-@query("short_read_context", f"""SELECT a.id, count(b.chrom) AS reads, {", ".join(f"count(*) FILTER ({v}) AS {k}" for k, v in _COUNTERS.items())}
-    FROM {RG} a LEFT JOIN (SELECT {", ".join(_READ_FEATURES)} FROM {IV} x) b ON a.chrom = b.chrom AND a.st - 50 <= b.ed AND b.st <= a.ed + 50 GROUP BY a.id""")
+@query("short_read_context", f"SELECT * EXCLUDE (chrom, st) FROM {_CONTEXT} c")
 def _(read):
     return context.short_read_context(read("rg"), read("iv").selectExpr(*_READ_FEATURES))
 
 
+@query("heat_signals", f"""SELECT id, reads AS y0, (clip_11_50 + clip_over_50 + discordant) // 2 AS y1, greatest(clip_11_50 + clip_over_50, discordant) AS y2, greatest(clip_11_50 + clip_over_50, discordant, events_over_2) AS y3, clip_11_50 + clip_over_50 AS y4, clip_over_50 AS y5
+    FROM {_CONTEXT} c WHERE chrom % 8 <> 7 AND NOT (chrom = 1 AND st > 5000000 AND st < 9000000) AND NOT (chrom = 4 AND st > 100 AND st < 3000000)""")
+def _(read):
+    rg = read("rg")
+    blocks = context.short_read_context(rg, read("iv").selectExpr(*_READ_FEATURES)).join(rg.select("id", "chrom", F.col("st").alias("pos")), "id").filter("chrom % 8 <> 7")
+    kept = context.outside_excluded(blocks, [(1, 5_000_000, 9_000_000), (4, 100, 3_000_000)], ())
+    return kept.select("id", *(context.signal_count(k).alias(f"y{k}") for k in range(6)))
+
+
 @query("long_read_context", f"""SELECT chrom, block, svtype AS type, count(*) AS n FROM (SELECT chrom, svtype, unnest(generate_series(greatest(0, (pos - 200) // 100), pos // 100)) AS block FROM {SV} x) GROUP BY 1, 2, 3""")
 def _(read):
     return context.long_read_context(read("sv").withColumn("type", F.col("svtype")), 100, 300)
@@ -648,6 +698,14 @@ def _(read):
     return short_signals.combine(_two_regions(read), 2, 16)
 
 
+@query("short_signal_breakpoints")
+def _(read):
+    """Combined signals with their likeliest breakpoints, paired; the cuts of a mean depth of 20."""
+    cut = short_signals.cuts(20)
+    rows = short_signals.combine(_two_regions(read), 2, cut["combine"], spread=reads.clip_distribution(400), accept=0.005)
+    return short_signals.pair_sides(rows, cut["score"], 2, 1.5)
+
+
 @query("solid_short_signals", f"""WITH s AS (SELECT *, CASE WHEN hap = 0 THEN 'BEGIN' ELSE 'END' END AS side FROM {IV} x), n AS (SELECT b.id AS b, e.id AS e, b.st AS bs, row_number() OVER (PARTITION BY b.id ORDER BY e.st, e.id) AS k FROM s b JOIN s e ON b.side = 'BEGIN' AND e.side = 'END' AND b.chrom = e.chrom AND b.type = e.type AND b.st <= e.ed AND e.st <= b.ed),
     f AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY bs, b) AS j FROM n WHERE k = 1) SELECT b AS id FROM f WHERE j = 1""")
 def _(read):
@@ -744,3 +802,76 @@ def _(read):
     other = rows.selectExpr("region", "contig AS b_contig", "n AS m")
     differ = rows.join(other, "region").filter("contig < b_contig AND abs(n - m) > 400").selectExpr("region", "contig AS a_contig", "b_contig")
     return contigs.cluster_contigs(rows, differ)
+
+
+@query("insert_vntr_length")
+def _(read):
+    inserts = read("rg").select(F.col("id").alias("name"), (1000 + F.col("id") % 3000).alias("length"))
+    lines = read("lineitem")
+    trf = lines.selectExpr("l_orderkey AS name", f"{_TANDEM} AS st", f"{_TANDEM} + CAST(l_quantity AS INT) * 4 AS ed", "l_linenumber + 3 AS motif_size")
+    rm = lines.selectExpr("l_orderkey AS name", f"{_ANNOTATED} AS st", f"{_ANNOTATED} + l_linenumber * 40 AS ed", "CASE WHEN l_returnflag = 'R' THEN 'Simple_repeat' ELSE 'LINE/L1' END AS class")
+    return contigs.insert_vntr_length(inserts, rm, trf)
+
+
+@query("hybrid_genotypes", f"""WITH l AS (SELECT id, {_GT} AS gt, ref_n, alt_n FROM {SV} x), s AS (SELECT id, {_SGT} AS gt, ref_n * 4 AS ref_n, alt_n % 3 AS alt_n FROM {SV} y WHERE a1 = 1)
+    SELECT l.id, CASE WHEN l.alt_n = 1 AND l.ref_n >= 1 AND s.ref_n >= 20 * s.alt_n THEN '0/0' WHEN l.ref_n = 0 AND l.alt_n < 4 AND s.gt IS NOT NULL THEN s.gt ELSE l.gt END AS gt FROM l LEFT JOIN s USING (id)""")
+def _(read):
+    r, a, u = F.col("ref_n"), F.col("alt_n"), F.col("unknown_n")
+    long = read("sv").withColumn("gt", genotype.long_read_genotype(r, a))
+    short = read("sv").filter("a1 = 1").select("id", genotype.short_read_genotype(r, a, u).alias("gt"), (r * 4).alias("ref_n"), (a % 3).alias("alt_n"))
+    return genotype.with_short_support(long, short).select("id", F.col("gt_hybrid").alias("gt"))
+
+
+@query("allele_lengths", f"""WITH v AS (SELECT id, chrom, sample, svlen, greatest(1, 1 - svlen) AS r, greatest(1, 1 + svlen) AS a FROM {SV} x) SELECT id, a - r AS allele_length, CASE WHEN a < r THEN 'DEL' ELSE 'INS' END AS allele_type FROM v WHERE abs(a - r) >= 50""")
+def _(read):
+    rows = read("sv").withColumn("ref", F.repeat(F.lit("A"), F.greatest(F.lit(1), 1 - F.col("svlen")).cast("int"))).withColumn("alt", F.repeat(F.lit("A"), F.greatest(F.lit(1), 1 + F.col("svlen")).cast("int")))
+    return genotype.allele_length_variants(rows).select("id", "allele_length", "allele_type")
+
+
+@query("colours", f"""WITH c AS (SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS vntr, o_custkey % 2 AS a, o_custkey % 3 AS b, o_custkey % 5 % 2 AS c, o_orderkey % 7 % 3 AS d FROM orders)
+    SELECT id, CASE WHEN vntr THEN CASE WHEN b > 0 THEN 'green' WHEN a > 0 THEN 'yellow' ELSE 'black' END WHEN c > 0 AND d > 0 THEN 'red' WHEN c > 0 THEN 'purple' WHEN d > 0 THEN 'blue' ELSE 'black' END AS colour FROM c""")
+def _(read):
+    rows = read("orders").selectExpr("o_orderkey AS id", "o_orderkey % 2 = 0 AS vntr", "o_custkey % 2 AS class_1", "o_custkey % 3 AS class_2", "o_custkey % 5 % 2 AS class_3", "o_orderkey % 7 % 3 AS class_4")
+    return contigs.colours(rows).select("id", "colour")
+
+
+_PHASES = "CASE WHEN gt = '0/1' THEN CASE WHEN hap = 0 THEN '0|1' ELSE '1|0' END WHEN gt = '1/1' THEN '1|1' ELSE '0|0' END"
+
+
+@query("phased_genotypes", f"""SELECT id, {_PHASES} AS gt FROM (SELECT *, {_GT} AS gt FROM {SV} x)""")
+def _(read):
+    gt = genotype.long_read_genotype(F.col("ref_n"), F.col("alt_n"))
+    return read("sv").select("id", genotype.phase(gt, F.col("hap"), F.lit(2), F.col("sample")).alias("gt"))
+
+
+@query("same_variants", f"""SELECT a.id AS id, b.id AS other, abs(a.pos - b.pos) <= 15 AND abs(a.svlen - b.svlen) <= 5 AS deletion, a.pos = b.pos AND abs(a.svlen - b.svlen) <= 10 AS insertion,
+    abs(a.pos - b.pos) <= 200 AND abs(a.pos + a.svlen - b.pos - b.svlen) <= 200 AND a.svlen / b.svlen::DOUBLE > 0.7 AND a.svlen / b.svlen::DOUBLE < 1.5 AS inversion FROM {SV} a JOIN {SV} b ON a.chrom = b.chrom AND a.id <> b.id AND abs(a.pos - b.pos) <= 200 AND a.svlen <> 0 AND b.svlen <> 0""")
+def _(read):
+    sv = read("sv").filter("svlen <> 0").withColumn("st", F.col("pos")).withColumn("ed", F.col("pos")).withColumn("ref", F.lit("N")).withColumn("alt", F.lit("A"))
+    pairs = ops.overlap_join(sv, sv, 1000, 200).filter("id <> r_id")
+    rules = cohort.same_variant("", "r_")
+    return pairs.select("id", F.col("r_id").alias("other"), *(rules[k].alias(k) for k in ("deletion", "insertion", "inversion")))
+
+
+@query("attached_annotations", f"""SELECT a.id AS annotation, r.id AS region FROM {IV} a JOIN {RG} r ON a.name = r.id""")
+def _(read):
+    known = read("rg").select(F.col("id").alias("name"), F.col("id").alias("region"), (F.col("ed") - F.col("st")).alias("length"))
+    return contigs.attach_annotations(known, read("iv").select("name", F.col("id").alias("annotation"))).select("annotation", "region")
+
+
+@query("normal_depth_signals", f"""WITH d AS (SELECT chrom, st // 32 AS block, count(*) AS n FROM {IV} x GROUP BY 1, 2), r AS (SELECT id, chrom, unnest(generate_series(st // 32, ed // 32)) AS block FROM {RG} y),
+    p AS (SELECT id, avg(coalesce(n, 0) / 0.1::DOUBLE) AS a, max(coalesce(n, 0) / 0.1::DOUBLE) AS m FROM r LEFT JOIN d USING (chrom, block) GROUP BY id) SELECT id FROM p WHERE m <= 15 AND a <= 1""")
+def _(read):
+    return reads.normal_depth_signals(read("rg"), reads.region_depth(read("rg"), reads.block_depth(read("iv")), 0.1), 15, 1).select("id")
+
+
+@query("region_signals", f"""SELECT chrom, st AS pos, ed AS "end", 'X' AS type, 1000 AS support FROM {RG} x""")
+def _(read):
+    return reads.region_signals(read("rg"))
+
+
+@query("piled_up", f"""WITH b AS (SELECT chrom, pos AS p, q + ln AS k, flag % 4 AS f FROM {AL} x), m AS (SELECT chrom, p + i AS pos, substring('ACGT', 1 + CAST((f + i) % 4 AS INT), 1) AS b FROM b, (SELECT unnest(generate_series(0, 9)) AS i)), d AS (SELECT chrom, p + 10 + i AS pos, 'D' AS b FROM b, (SELECT unnest(generate_series(0, 2)) AS i)),
+    n AS (SELECT chrom, p + 13 AS pos, 'I' AS b FROM b), u AS (SELECT * FROM m UNION ALL SELECT * FROM d UNION ALL SELECT * FROM n) SELECT chrom, pos, {", ".join(f"count(*) FILTER (b = '{k}') AS {k}" for k in "ACGTDI")} FROM u GROUP BY 1, 2""")
+def _(read):
+    rows = read("al").select("chrom", "pos", cg.parse(F.lit("10=3D2I")).alias("cigar"), F.concat(F.substring(F.repeat(F.lit("ACGT"), 4), F.col("flag") % 4 + 1, F.lit(10)), F.lit("GG")).alias("seq"))
+    return reads.pile_up(rows).select("chrom", "pos", *"ACGTDI")
