@@ -13,11 +13,11 @@ are compared by the whole and the eighths alone, if these apply, and otherwise h
 
 The edited texts need each document's successor by descending id. Ids are range-partitioned by sampled splitters; each
 range is sorted by itself and also gets the first document of the next range, one copy from each task that reads one like
-it. The text moves once.
+it. The text moves once, compressed.
 
 Defined results: null text is empty; equal texts have equal fingerprints; a text without terms in the band is hashed over
 all its terms, or itself, and so is like its equals alone; null ids come last; rows that share an id follow each other,
-ordered by text; one row alone is its own successor; an empty table gives an empty table.
+ordered by a hash of the text; one row alone is its own successor; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,36 +39,17 @@ CHUNK = 1_000_000
 _MIN = -(2**63)
 
 
-class _Hashes(dict):
-    """Hash of a term, kept for as long as there are not too many; with a lexicon (sorted hashes), 0 for terms not in it."""
-
-    def __init__(self, lexicon: np.ndarray | None = None):
-        super().__init__()
-        self.lexicon = lexicon
-
-    def __missing__(self, term: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(term)
-        if self.lexicon is not None:
-            i = int(np.searchsorted(self.lexicon, np.uint64(h)))
-            if i == len(self.lexicon) or int(self.lexicon[i]) != h:
-                h = 0
-        self[term] = h
-        return h
-
-
-def terms(text: bytes, memo: _Hashes) -> np.ndarray:
+def terms(text: bytes) -> np.ndarray:
     """Distinct term hashes, sorted."""
-    words = text.lower().split()
-    return np.unique(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
+    words = set(text.lower().split())
+    return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
 
 
 def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`(term, df)`: in how many documents each term (by its hash) is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, n = _Hashes(), [], 0
+        held, n = [], 0
 
         def counted() -> pa.RecordBatch:
             h, df = np.unique(np.concatenate(held), return_counts=True)
@@ -75,7 +57,7 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         for b in pieces(batches, 500):
             for raw in as_bytes(b.column(0)):
-                held.append(terms(raw, memo))
+                held.append(terms(raw))
                 n += len(held[-1])
             if n >= CHUNK:
                 yield counted()
@@ -98,23 +80,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def parts_of(text: bytes, memo: _Hashes) -> np.ndarray:
-    """The parts of a fingerprint as integers, with the memo of a lexicon; 0 marks a part of which the text has no term."""
-    h = terms(text, memo)
-    h = h[h > 0]
+def parts_of(text: bytes, lexicon: np.ndarray) -> np.ndarray:
+    """The parts of a fingerprint as integers; 0 marks a part of which the text has no term. lexicon: sorted hashes."""
+    every = terms(text)
+    at = np.searchsorted(lexicon, every)
+    h = every[lexicon[np.minimum(at, len(lexicon) - 1)] == every] if len(lexicon) else every[:0]
     if not len(h):
-        h = terms(text, _Hashes())
-        h = h if len(h) else np.array([xxhash.xxh3_64_intdigest(text)], np.uint64)
+        h = every if len(every) else np.array([xxhash.xxh3_64_intdigest(text)], np.uint64)
     z = _mixed(h)
     c = _mixed(z)
     eighth = np.zeros(EIGHTHS, np.uint64)
     np.add.at(eighth, (c >> np.uint64(61)).astype(np.int64), z)
     whole = z.sum(dtype=np.uint64)
     small = np.zeros(len(RATES) * EACH, np.uint64)
-    for k, rate in enumerate(RATES):
-        cell = _mixed(c + np.uint64(k)) >> np.uint64(64 - 4 - rate)
+    u = _mixed(c)
+    for k, rate in enumerate(RATES):  # rates ascend, so each takes its terms from those of the one before
+        cell = u >> np.uint64(64 - 4 - rate)
         m = cell < EACH
-        np.add.at(small, cell[m].astype(np.int64) + k * EACH, z[m])
+        z, u = z[m], u[m]
+        np.add.at(small, cell[m].astype(np.int64) + k * EACH, z)
     out = np.concatenate([[whole], whole - eighth, small])
     return np.where(out == 0, np.uint64(0), np.maximum(_mixed(out) >> np.uint64(48), np.uint64(1)))
 
@@ -166,6 +150,7 @@ def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             i, h = b.column(0).fill_null(_MIN).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             extra = []
@@ -176,19 +161,22 @@ def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             take = pa.array(np.concatenate([np.arange(len(i)), np.array([r for r, _ in extra], np.int64)]))
             k = np.concatenate([range_of(i), np.array([to for _, to in extra], np.int64)]).astype(np.int32)
             tail = np.arange(len(k)) >= len(i)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(tail), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)], names=["k", "tail", "doc_id", "text", "h"])
+            text = pa.array([squeeze(x) for x in as_bytes(b.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(tail), b.column(0).take(take), text.take(take), b.column(2).take(take)], names=["k", "tail", "doc_id", "text", "h"])
 
-    rows = src.withColumn("h", order).mapInArrow(dealt, "k int, tail boolean, doc_id bigint, text string, h bigint")
+    rows = src.withColumn("h", order).mapInArrow(dealt, "k int, tail boolean, doc_id bigint, text binary, h bigint")
     rows = rows.repartitionById(len(edges) + 1, F.col("k")).sortWithinPartitions("k", "tail", F.col("doc_id").desc_nulls_last(), "h", "text").drop("h")
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for b in pieces(batches, 500):
+        spread = zstandard.ZstdDecompressor().decompress
+        for b in pieces(batches, 500, 4 << 20):
             out = []
-            for k, tail, i, text in zip(*(c.to_pylist() for c in b.columns)):
+            for k, tail, i, raw in zip(*(c.to_pylist() for c in b.columns)):
+                text = spread(raw).decode()
                 if held and held[0] == k and not held[1]:
-                    out.append((held[2], held[3], text or ""))
-                held = (k, tail, i, text or "")
+                    out.append((held[2], held[3], text))
+                held = (k, tail, i, text)
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "text", "next_text"])
 
     return rows.mapInArrow(follow, "doc_id bigint, text string, next_text string")
@@ -205,15 +193,15 @@ def fingerprints(pairs: DataFrame, lexicon: np.ndarray) -> DataFrame:
     sent = pairs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Hashes(sent.value)
+        lexicon = sent.value
         last: tuple[str, np.ndarray] | None = None
         for b in pieces(batches, 500):
             cols: list[list] = [[], [], [], [], [], []]
             for text, following in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own = last[1] if last and last[0] == text else parts_of(text.encode(), memo)
-                last = (following, parts_of(following.encode(), memo))
+                own = last[1] if last and last[0] == text else parts_of(text.encode(), lexicon)
+                last = (following, parts_of(following.encode(), lexicon))
                 new = edited(text, following)
-                other = parts_of(new.encode(), memo)
+                other = parts_of(new.encode(), lexicon)
                 for c, v in zip(cols, (len(text), new, written(own), written(other), likeness(own, other), likeness(own, last[1]))):
                     c.append(v)
             types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())

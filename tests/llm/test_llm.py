@@ -400,7 +400,7 @@ def plain_fingerprint(text, lexicon):
         whole += z
         eighth[c >> 61] += z
         for k, rate in enumerate((3, 5, 7, 9, 11)):
-            cell = mix((c + k) & full) >> (60 - rate)
+            cell = mix(c) >> (60 - rate)
             if cell < 16:
                 small[16 * k + cell] += z
     out = [whole & full, *[(whole - e) & full for e in eighth], *[v & full for v in small]]
