@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from strandloom.functions import sequence as sq
 from strandloom.operators import cohort, context, contigs, folds, genotype, mei, reads, short_signals
 from strandloom.operators import intervals as ops
 from strandloom.plans import cohort as plan
+from strandloom.sources import regions, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -875,3 +877,142 @@ def _(read):
 def _(read):
     rows = read("al").select("chrom", "pos", cg.parse(F.lit("10=3D2I")).alias("cigar"), F.concat(F.substring(F.repeat(F.lit("ACGT"), 4), F.col("flag") % 4 + 1, F.lit(10)), F.lit("GG")).alias("seq"))
     return reads.pile_up(rows).select("chrom", "pos", *"ACGTDI")
+
+
+# Sources and sinks: lines made of a table's columns are written and read back
+
+
+def _folder(df: DataFrame) -> str:
+    """A new folder where the driver and the executors both write."""
+    conf = df.sparkSession.conf
+    return f"{(conf.get('spark.checkpoint.dir', None) or conf.get('spark.sql.warehouse.dir')).rstrip('/')}/lines-{uuid.uuid4().hex}"
+
+
+def _written(rows: DataFrame, *columns: str, sep: str = "\t") -> str:
+    """The folder of a text file with the given expressions as fields."""
+    path = _folder(rows)
+    rows.select(F.concat_ws(sep, *(F.expr(c).cast("string") for c in columns)).alias("value")).write.text(path)
+    return path
+
+
+@query("vcf_written_and_read", f"""WITH v AS (SELECT *, pos + 1 AS p, {_GT} AS gt FROM {SV} x), w AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY p, svlen, CAST(id AS VARCHAR)) - 1 AS k FROM v WHERE gt <> '0/0')
+    SELECT chrom::VARCHAR AS chrom, p::INT AS pos, k || '_' || chrom || '_' || svtype || '_' || p || '_' || (CASE WHEN svlen < 0 THEN p - svlen ELSE p END) || '_' || abs(svlen) AS id, id::VARCHAR AS alt, svtype, svlen::INT AS svlen, (CASE WHEN svlen < 0 THEN p - svlen ELSE p END)::INT AS ed, gt, ref_n || ',' || alt_n || ',' || unknown_n AS lr, svlen::VARCHAR AS sl, sample || ',' || hap || ',2,0,1' AS "if" FROM w""")
+def _(read):
+    r, a, u = F.col("ref_n"), F.col("alt_n"), F.col("unknown_n")
+    sv = read("sv").withColumn("pos", F.col("pos") + 1).withColumn("ref", F.lit("N")).withColumn("alt", F.col("id").cast("string")).withColumn("filter", F.lit("PASS")).withColumn("gt", genotype.long_read_genotype(r, a))
+    sv = sv.withColumn("q", genotype.qualities(r, a, u, F.col("gt"))).select("chrom", "pos", "ref", "alt", "q.qual", "q.gq", "filter", "svtype", "svlen", "gt", F.array(r, a, u).cast("array<int>").alias("lr"), F.lit(None).cast("array<int>").alias("sr"), F.array("sample", "hap", F.lit(2), F.lit(0), F.lit(1)).cast("array<int>").alias("if_ids"))
+    path = _folder(sv)
+    variants.write_vcf(sv, path)
+    back = variants.read_vcf(sv.sparkSession, path)
+    return back.select("chrom", "pos", "id", "alt", "svtype", "svlen", "ed", "gt", F.array_join(F.col("lr").cast("array<string>"), ",").alias("lr"), F.element_at("format", "SL").alias("sl"), F.element_at("format", "IF").alias("if"))
+
+
+@query("bed_read", f"""SELECT 'c' || chrom AS chrom, st::INT AS st, ed::INT AS ed, name || ',' || type AS rest FROM {IV} x""")
+def _(read):
+    path = _written(read("iv"), "concat('c', chrom)", "st", "ed", "name", "type")
+    return regions.read_bed(read("iv").sparkSession, path).select("chrom", "st", "ed", F.array_join("rest", ",").alias("rest"))
+
+
+@query("fasta_slices", f"""SELECT id::VARCHAR AS name, substring(s, 51, 1900) AS seq FROM {SEQ} x WHERE length(s) >= 1950""")
+def _(read):
+    rows = read("seq")
+    path = _folder(rows)
+    rows.select(F.concat(F.lit(">"), F.col("id").cast("string"), F.lit(" text\n"), regions.folded(F.col("s"))).alias("value")).write.text(path)
+    fasta = regions.read_fasta(rows.sparkSession, path)
+    spots = fasta.filter(F.length("seq") >= 1950).select(F.col("name").alias("id"), F.col("name").alias("chrom"), F.lit(50).alias("st"), F.lit(1950).alias("ed"))
+    return regions.ref_slice(spots, regions.chunked(fasta, 400), 400).select(F.col("chrom").alias("name"), "seq")
+
+
+@query("sam_read", f"""SELECT id::VARCHAR AS read_name, flag, 'c' || chrom AS chrom, pos, mapq, 'c' || mate_chrom AS mate_chrom, mate_pos, isize, nm, 'c1,' || pos || ',+,5M,1,0;' AS sa, 10 + q + ln + 30 + 1 + q * 3 % 60 + 20 AS length FROM {AL} x""")
+def _(read):
+    mate = "CASE WHEN mate_chrom = chrom THEN '=' ELSE concat('c', mate_chrom) END"
+    path = _written(read("al"), "read_name", "flag", "concat('c', chrom)", "pos + 1", "mapq", "cigar_text", mate, "mate_pos + 1", "isize", "'*'", "'*'", "concat('NM:i:', nm)", "concat('SA:Z:c1,', pos, ',+,5M,1,0;')")
+    rows = regions.read_alignments(read("al").sparkSession, path)
+    return rows.select("read_name", "flag", "chrom", "pos", "mapq", "mate_chrom", "mate_pos", "isize", "nm", "sa", cg.reference_length("cigar").alias("length"))
+
+
+@query("features_read", f"""SELECT 'chr' || chrom AS chrom, type, st::INT AS st, ed::INT AS ed, 'ID=' || id AS attributes FROM {RG} x""")
+def _(read):
+    path = _written(read("rg"), "chrom", "'made'", "type", "st", "ed", "'.'", "'+'", "'.'", "concat('ID=', id)")
+    return regions.read_features(read("rg").sparkSession, path, True).select("chrom", "type", "st", "ed", "attributes")
+
+
+@query("repeats_read", f"""SELECT 'n' || name AS name, st::INT AS st, ed::INT AS ed, CASE WHEN hap = 0 THEN 'SINE/Alu' ELSE 'Simple_repeat' END AS class, hap = 0 AS mobile, CASE WHEN hap = 0 THEN 'SINE' END AS type FROM {IV} x""")
+def _(read):
+    kind = "CASE WHEN hap = 0 THEN 'SINE/Alu' ELSE 'Simple_repeat' END"
+    path = _written(read("iv"), "'  239'", "'1.0'", "'2.0'", "'3.0'", "concat('n', name)", "st", "ed", "'(10)'", "'+'", "'AluY'", kind, "1", "45", "'(0)'", "id", sep="  ")
+    rows = regions.read_repeatmasker(read("iv").sparkSession, path)
+    return rows.select("name", "st", "ed", "class", sq.is_mobile("class").alias("mobile"), sq.mobile_type("class").alias("type"))
+
+
+@query("tandem_read", f"""SELECT 'n' || id AS name, 0 AS st, least(ed - st + 15, 30 + id % 50 + 10)::INT AS ed, 'AC' AS motif FROM {RG} x WHERE 30 + id % 50 >= 40""")
+def _(read):
+    rows = read("rg")
+    path = _folder(rows)
+    fields = F.concat_ws(" ", F.lit(1), F.lit(30) + F.col("id") % 50 + 1, F.lit("2 25.0 2 0 0 0 0 0 0 0 0"), F.lit("AC ACAC L R"))
+    rows.select(F.concat(F.lit("@n"), F.col("id").cast("string"), F.lit(" x\n"), fields).alias("value")).write.text(path)
+    known = rows.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), (F.col("ed") - F.col("st") + 15).cast("int").alias("length"))
+    return regions.extend_trf(regions.read_trf(rows.sparkSession, path, 40), known).select("name", "st", "ed", "motif")
+
+
+@query("cohort_written_and_read", f"""SELECT chrom::VARCHAR AS chrom, pos::INT AS pos, svlen::INT AS svlen, count(*) AS n, min(sample)::INT AS first FROM {SV} x GROUP BY chrom, pos, svlen""")
+def _(read):
+    merged = cohort.merge_cohort(read("sv").withColumn("ref", F.lit("N")).withColumn("alt", F.lit("A")).withColumn("qual", F.col("alt_n")))
+    path = _folder(merged)
+    variants.write_cohort(merged, path)
+    back = variants.read_cohort(merged.sparkSession, path)
+    return back.select("chrom", "pos", "svlen", F.size("support").cast("long").alias("n"), F.expr("support[0].sample").alias("first"))
+
+
+@query("force_contigs_read", f"""SELECT chrom || ':' || st || '-' || ed AS region, 'c' || id AS contig, (name % 5)::INT AS support FROM {RG} x WHERE name % 5 > 1""")
+def _(read):
+    path = _written(read("rg"), "concat('REF_REGION=', chrom, ':', st, '-', ed)", "'STAT=OK'", "concat('GT:CI=0/1:c', id)", "concat('SUP_R=', name % 5, ':IS_FINAL=1')", "'CONTIG_STR=ACGT'")
+    return regions.well_supported(regions.read_force_contigs(read("rg").sparkSession, path)).select("region", "contig", "support")
+
+
+@query("mappability_read", f"""SELECT 'c' || id AS chrom, st - 1 + i AS pos, (id + i) / 4.0::DOUBLE AS value FROM {RG} x, (SELECT unnest([0, 1, 2]) AS i) WHERE st > 0""")
+def _(read):
+    rows = read("rg").filter("st > 0")
+    path = _folder(rows)
+    values = F.array_join(F.transform(F.array(*map(F.lit, range(3))), lambda i: ((F.col("id") + i) / 4).cast("string")), "\n")
+    rows.select(F.concat(F.lit("fixedStep chrom=c"), F.col("id").cast("string"), F.lit(" start="), F.col("st").cast("string"), F.lit(" step=1\n"), values).alias("value")).write.text(path)
+    return regions.read_wigfix(rows.sparkSession, path).select("chrom", F.col("pos").cast("long").alias("pos"), "value")
+
+
+@query("mei_regions_read", f"""SELECT 'chr' || chrom || '_' || st || '_' || ed AS name, 'chr' || chrom AS chrom, st::INT AS st, ed::INT AS ed FROM {RG} x""")
+def _(read):
+    path = _written(read("rg"), "concat('chr', chrom)", "st", "ed", sep="_")
+    return regions.read_mei_regions(read("rg").sparkSession, path)
+
+
+@query("kmer_profile_read", """SELECT translate(o_orderkey::VARCHAR, '0123456789', 'ACGTACGTAC') AS kmer, o_custkey / 8.0::DOUBLE AS prob FROM orders""")
+def _(read):
+    path = _written(read("orders"), "translate(CAST(o_orderkey AS STRING), '0123456789', 'ACGTACGTAC')", "o_custkey / 8")
+    return regions.read_kmer_profile(read("orders").sparkSession, path)
+
+
+@query("contigs_by_region", f"""SELECT 'r' || chrom AS region, 'refr' || chrom AS name, 'ACGT' AS seq FROM (SELECT DISTINCT chrom FROM {RG} x) UNION ALL SELECT 'r' || chrom, name || '_r' || chrom || '_' || id, repeat('AC', 50) FROM {RG} y""")
+def _(read):
+    rows = read("rg").withColumn("region", F.concat(F.lit("r"), F.col("chrom").cast("string")))
+    path = _folder(rows)
+    own = rows.select("region", F.col("name").cast("string").alias("sample"), F.col("id").cast("string").alias("contig"), F.repeat(F.lit("AC"), 50).alias("seq"))
+    regions.write_contigs_by_region(own, rows.select("region").distinct().withColumn("seq", F.lit("ACGT")), path)
+    back = regions.read_fasta(rows.sparkSession, f"{path}/region=*")
+    return back.select(F.concat(F.lit("r"), F.regexp_extract("name", r"r(\d+)(_\d+)?$", 1)).alias("region"), "name", "seq")
+
+
+@query("local_repeat_index", f"""WITH w AS (SELECT id, unnest(generate_series(0, length(s) - 600, 300)) AS p, s FROM {SEQ} x WHERE length(s) >= 600), t AS (SELECT id, p, substring(s, p + 1, 600) AS s FROM w)
+    SELECT id::VARCHAR AS chrom, p::INT AS pos, greatest({", ".join(f"CASE WHEN len(list_distinct({KMERS.format(k=k)})) < len({KMERS.format(k=k)}) THEN {k} ELSE 0 END" for k in range(20, 181, 20))})::INT AS k FROM t WHERE k > 0""")
+def _(read):
+    chunks = regions.chunked(read("seq").select(F.col("id").cast("string").alias("name"), F.col("s").alias("seq")), 700)
+    path = _folder(chunks)
+    regions.write_local_repeat(regions.local_repeat_index(chunks, 600, 300, 700), path)
+    return regions.read_local_repeat(chunks.sparkSession, path)
+
+
+@query("isize_json", f"""SELECT quantile_cont(ed - st, 0.01) AS least, quantile_cont(ed - st, 0.5) AS median, count(*) AS pairs FROM {RG} x""")
+def _(read):
+    stats = reads.isize_stats(read("rg").select((F.col("ed") - F.col("st")).alias("isize")))
+    path = _folder(stats)
+    regions.write_isize_json(stats, path)
+    return regions.read_isize_json(stats.sparkSession, path).select("least", "median", "pairs")

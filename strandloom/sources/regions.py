@@ -14,8 +14,9 @@ def read_bed(spark: SparkSession, path: str | list[str], skip_first: bool = Fals
     drop out in any case."""
     c = F.split("value", "\t")
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"))
-    if skip_first:
-        rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("file").orderBy("_at", "_n"))).filter("_k > 1")
+    if skip_first:  # only the first block of each file holds a header
+        head = rows.filter("_at = 0").withColumn("_k", F.row_number().over(Window.partitionBy("file").orderBy("_n"))).filter("_k > 1").drop("_k")
+        rows = rows.filter("_at > 0").unionByName(head)
     rows = rows.select(F.get(c, F.lit(0)).alias("chrom"), F.get(c, F.lit(1)).try_cast("int").alias("st"), F.get(c, F.lit(2)).try_cast("int").alias("ed"), F.slice(c, 4, F.greatest(F.size(c) - 3, F.lit(0))).alias("rest"), "file")
     return rows.filter(F.col("st").isNotNull() & F.col("ed").isNotNull())
 
@@ -53,7 +54,7 @@ def read_alignments(spark: SparkSession, path: str | list[str]) -> DataFrame:
         return spark.read.parquet(*([path] if isinstance(path, str) else path))
     c = F.split("value", "\t")
     tags = F.slice(c, 12, F.greatest(F.size(c) - 11, F.lit(0)))
-    tag = lambda k: F.get(F.transform(F.filter(tags, lambda x: F.startswith(x, F.lit(k))), lambda x: F.substring(x, 6, 1_000_000)), F.lit(0))
+    tag = lambda k: F.get(F.transform(F.filter(tags, lambda x: F.startswith(x, F.lit(k))), lambda x: F.substring(x, F.lit(6), F.length(x))), F.lit(0))
     rows = spark.read.text(path).filter(~F.startswith("value", F.lit("@")) & (F.size(c) >= 11))
     mate = F.when(c[6] == "=", c[2]).otherwise(c[6])
     qual = F.when(c[10] == "*", F.array().cast("array<int>")).otherwise(F.transform(F.split(c[10], ""), lambda x: F.ascii(x) - 33))
@@ -113,15 +114,27 @@ def write_contigs_by_region(contigs: DataFrame, reference: DataFrame, path: str)
 def read_local_repeat(spark: SparkSession, path: str, least_k: int = 0) -> DataFrame:
     """chrom, pos, k of the repeat index; its first line holds `length step 0`."""
     c = F.split("value", "\t")
-    rows = spark.read.text(path).filter((F.size(c) >= 3) & c[0].rlike(r"^\S+$")).select(c[0].alias("chrom"), c[1].try_cast("int").alias("pos"), c[2].try_cast("int").alias("k"))
+    rows = spark.read.text(path).filter((F.size(c) >= 3) & c[0].rlike(r"^\S+$") & (c[2] != "0")).select(c[0].alias("chrom"), c[1].try_cast("int").alias("pos"), c[2].try_cast("int").alias("k"))
     return rows.filter((F.col("k") >= max(least_k, 1)) & F.col("pos").isNotNull())
 
 
-def local_repeat_index(chunks: DataFrame, length: int = 600, step: int = 300) -> DataFrame:
-    """The repeat index of a reference: for windows of `length` every `step` the largest k with a repeated k-mer."""
-    n = F.greatest(F.lit(0), F.floor((F.length("seq") - length) / step)).cast("int")
-    rows = chunks.select("chrom", "chunk", "seq", F.explode(F.sequence(F.lit(0), n)).alias("w")).select("chrom", "chunk", "w", F.substring("seq", F.col("w") * step + 1, F.lit(length)).alias("s"))
-    return rows.select("chrom", "chunk", (F.col("w") * step).alias("offset"), max_repeat_k("s").alias("k")).filter("k > 0")
+def local_repeat_index(chunks: DataFrame, length: int = 600, step: int = 300, size: int = 100_000) -> DataFrame:
+    """The repeat index of a reference `(chrom, pos, k)`: for whole windows of `length` every `step` the largest k with a
+    repeated k-mer. chunks: as `chunked` cuts them, of `size` (at least `length`); windows may reach into the next chunk."""
+    behind = chunks.select("chrom", (F.col("chunk") - 1).alias("chunk"), F.substring("seq", F.lit(1), F.lit(length)).alias("_more"))
+    rows = chunks.join(behind, ["chrom", "chunk"], "left").withColumn("_text", F.concat("seq", F.coalesce("_more", F.lit("")))).withColumn("_at", F.col("chunk").cast("long") * size)
+    last = F.least(F.length("seq") - 1, F.length("_text") - length) + F.col("_at")
+    first = (F.floor((F.col("_at") + step - 1) / step) * step).cast("long")
+    rows = rows.filter(first <= last).select("chrom", "_at", "_text", F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("pos"))
+    return rows.select("chrom", "pos", max_repeat_k(F.substring("_text", (F.col("pos") - F.col("_at") + 1).cast("int"), F.lit(length))).alias("k")).filter("k > 0")
+
+
+def write_local_repeat(index: DataFrame, path: str, length: int = 600, step: int = 300) -> None:
+    """The index as `read_local_repeat` takes it; the line of its settings is the first part's first."""
+    spark = index.sparkSession
+    head = spark.createDataFrame([("", -1, f"{length}\t{step}\t0")], "chrom string, pos long, value string")
+    rows = head.unionByName(index.select("chrom", F.col("pos").cast("long").alias("pos"), F.concat_ws("\t", "chrom", "pos", "k").alias("value")))
+    rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "chrom", "pos").sortWithinPartitions("chrom", "pos").select("value").write.text(path)
 
 
 def read_isize_json(spark: SparkSession, path: str) -> DataFrame:
