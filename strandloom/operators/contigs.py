@@ -106,17 +106,33 @@ def cluster_contigs(contigs: DataFrame, differences: DataFrame) -> DataFrame:
 
 def subregion_clusters(clusters: DataFrame, sv: DataFrame, runs: DataFrame) -> DataFrame:
     """Clusters that differ within each run of the reference. clusters: region, cluster; sv: region, a, b (clusters), pos,
-    class; runs: region, run, st, ed, vntr. A cluster merges into the first earlier one from which no difference of class
-    2, 3 or 4 inside the run separates it. Counts of the classes come along."""
-    inside = sv.join(runs, "region").filter((F.col("st") <= F.col("pos")) & (F.col("pos") <= F.col("ed")))
-    counts = inside.groupBy("region", "run").agg(*(F.count_if(F.col("class") == k).alias(f"class_{k}") for k in range(5)))
-    apart = inside.filter(F.col("class").isin(2, 3, 4)).groupBy("region", "run").agg(F.collect_set(F.concat_ws("-", F.least("a", "b"), F.greatest("a", "b"))).alias("apart"))
-    rows = clusters.select("region", "cluster").distinct().groupBy("region").agg(F.sort_array(F.collect_list("cluster")).alias("clusters")).join(runs, "region").join(apart, ["region", "run"], "left")
-    pair = lambda x, y: F.concat_ws("-", F.least(x, y), F.greatest(x, y))
-    none = F.array().cast("array<string>")
-    kept = F.aggregate("clusters", F.array().cast("array<int>"), lambda acc, c: F.when(F.exists(acc, lambda d: ~F.array_contains(F.coalesce("apart", none), pair(c, d))), acc).otherwise(F.concat(acc, F.array(c))))
-    out = rows.select("region", "run", "st", "ed", "vntr", F.size(kept).alias("n_clusters")).join(counts, ["region", "run"], "left")
-    return out.fillna(0, [f"class_{k}" for k in range(5)])
+    class; runs: region, run, st, ed, vntr.
+
+    In a run outside VNTR a cluster merges into the first earlier one from which no difference inside the run separates
+    it, other than of class 1; in VNTR every cluster stays by itself. Counts of the classes come along: all but 1 only
+    outside VNTR and from comparisons up to the one that merges. `places` are those of class 3 of the clusters that stay, `only_purple` the
+    number of these without a difference of class 4.
+    """
+    inside = sv.join(runs, "region").filter((F.col("st") <= F.col("pos")) & (F.col("pos") <= F.col("ed"))).select("region", "run", "vntr", F.greatest("a", "b").alias("cluster"), F.least("a", "b").alias("other"), "pos", "class")
+    apart = F.col("class") != 1
+    order = Window.partitionBy("region").orderBy("cluster")
+    ranked = clusters.select("region", "cluster").distinct().withColumn("rank", F.row_number().over(order) - 1)
+    every = ranked.join(runs.select("region", "run", "vntr"), "region")
+    # pairs that differ, by rank of the earlier cluster; the first rank that is missing is the one that it merges into
+    pairs = inside.filter(apart & ~F.col("vntr")).join(ranked.select("region", F.col("cluster").alias("other"), F.col("rank").alias("t")), ["region", "other"])
+    met = pairs.groupBy("region", "run", "cluster").agg(F.sort_array(F.collect_set("t")).alias("ts"), F.sort_array(F.collect_list(F.struct("t", "class", "pos"))).alias("all"))
+    rows = every.join(met, ["region", "run", "cluster"], "left").withColumn("ts", F.coalesce("ts", F.array().cast("array<int>")))
+    gap = F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.size("ts")), lambda i: F.when(F.coalesce(F.get(F.col("ts"), i), F.lit(-1)) != i, i)), lambda i: i.isNotNull()))
+    rows = rows.withColumn("to", gap).withColumn("new", F.col("vntr") | (F.col("to") >= F.col("rank")))
+    compared = F.filter(F.coalesce("all", F.array().cast(met.schema["all"].dataType)), lambda x: x["t"] < F.col("to"))
+    rows = rows.withColumn("seen", F.when(F.col("vntr"), F.array().cast(met.schema["all"].dataType)).otherwise(compared))
+    of = lambda k: F.size(F.filter("seen", lambda x: x["class"] == k))
+    stays = F.col("new") & ~F.col("vntr")
+    places = F.when(stays, F.transform(F.filter("seen", lambda x: x["class"] == 3), lambda x: x["pos"])).otherwise(F.array().cast("array<int>"))
+    got = rows.groupBy("region", "run").agg(F.count_if("new").alias("n_clusters"), F.count_if(stays & (of(4) == 0)).alias("only_purple"), *(F.sum(of(k)).alias(f"class_{k}") for k in (0, 2, 3, 4)), F.sort_array(F.flatten(F.collect_list(places))).alias("places"))
+    counts = inside.filter(~apart).groupBy("region", "run").agg(F.count(F.lit(1)).alias("class_1"))
+    out = runs.select("region", "run", "st", "ed", "vntr").join(got, ["region", "run"]).join(counts, ["region", "run"], "left")
+    return out.fillna(0, ["class_1"])
 
 
 def complex_runs(sv: DataFrame, runs: DataFrame) -> DataFrame:

@@ -1016,3 +1016,33 @@ def _(read):
     path = _folder(stats)
     regions.write_isize_json(stats, path)
     return regions.read_isize_json(stats.sparkSession, path).select("least", "median", "pairs")
+
+
+def _compared(read):
+    """Regions of fifty lines: clusters, their differences and runs, from keys."""
+    sv = read("lineitem").selectExpr("CAST(CAST(floor(l_orderkey / 12) AS BIGINT) AS STRING) AS region", "CAST(l_partkey % 4 AS INT) AS a", "CAST((l_partkey + 1 + l_suppkey % 3) % 4 AS INT) AS b", "CAST((l_partkey * 7 + l_linenumber) % 100 AS INT) AS pos", "CAST(l_suppkey % 5 AS INT) AS class")
+    runs = sv.select("region").distinct().withColumn("r", F.explode(F.array(*(F.struct(F.lit(k).alias("run"), F.lit(st).alias("st"), F.lit(ed).alias("ed"), F.lit(v).alias("vntr")) for k, st, ed, v in ((0, 0, 99, False), (1, 0, 39, False), (2, 40, 69, True), (3, 70, 99, False)))))).select("region", "r.*")
+    clusters = sv.select("region", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("cluster")).distinct()
+    return clusters, sv, runs
+
+
+@query("subregion_clusters")
+def _(read):
+    out = contigs.subregion_clusters(*_compared(read))
+    return out.withColumn("places", F.concat_ws(",", F.col("places").cast("array<string>")))
+
+
+@query("corrected_colours")
+def _(read):
+    """Labels and corrected sizes of the sub-regions' clusters."""
+    out = contigs.subregion_clusters(*_compared(read))
+    places = out.select("region", "run", F.explode("places").alias("pos"))
+    rows = contigs.colours(out).select("region", "run", F.col("n_clusters").alias("size"), "only_purple", "colour")
+    return contigs.corrected_colours(rows, places)
+
+
+@query("complex_runs", """WITH s AS (SELECT CAST(CAST(floor(l_orderkey / 12) AS BIGINT) AS VARCHAR) AS region, l_partkey % 4 AS a, (l_partkey + 1 + l_suppkey % 3) % 4 AS b, (l_partkey * 7 + l_linenumber) % 100 AS pos FROM lineitem),
+    r AS (SELECT unnest([0, 1, 3]) AS run, unnest([0, 0, 70]) AS st, unnest([99, 39, 99]) AS ed) SELECT DISTINCT region, run FROM (SELECT region, run, a, b FROM s JOIN r ON pos BETWEEN st AND ed GROUP BY ALL HAVING count(*) >= 2)""")
+def _(read):
+    _, sv, runs = _compared(read)
+    return contigs.complex_runs(sv, runs)

@@ -224,8 +224,39 @@ def test_report_of_regions(spark):
     runs = spark.createDataFrame([("r", 0, 0, 9, True), ("r", 1, 10, 29, False), ("r", 2, 30, 39, True)], "region string, run int, st int, ed int, vntr boolean")
     clusters = spark.createDataFrame([("r", k) for k in range(3)], "region string, cluster int")
     got = {x.run: (x.n_clusters, x.class_3, x.class_4) for x in contigs.subregion_clusters(clusters, sv, runs).collect()}
-    assert got == {0: (1, 0, 0), 1: (2, 1, 1), 2: (1, 0, 0)}
+    assert got == {0: (3, 0, 0), 1: (2, 1, 1), 2: (3, 0, 0)}
     assert [(x.region, x.run) for x in contigs.complex_runs(sv, runs).collect()] == [("r", 1)]
     held = spark.createDataFrame([("r", "a", 0), ("r", "b", 0), ("r", "c", 1)], "region string, contig string, cluster int")
     kinds = spark.createDataFrame([("r", "a", "LINE"), ("r", "b", "SINE"), ("r", "b", "LINE")], "region string, contig string, class string")
     assert {x.cluster: (x.size, x.contigs, x.classes) for x in contigs.cluster_report(held, kinds).collect()} == {0: (2, ["a", "b"], ["LINE", "SINE"]), 1: (1, ["c"], [])}
+
+
+def test_subregion_clusters_equal_plain_loops(spark):
+    r = random.Random(12)
+    runs = [("r", 0, 0, 99, False), ("r", 1, 0, 39, False), ("r", 2, 40, 69, True), ("r", 3, 70, 99, False)]
+    sv = [("r", *r.sample(range(5), 2), r.randrange(100), r.choice([0, 1, 2, 3, 3, 4])) for _ in range(60)]
+    want = {}
+    for _, run, st, ed, vntr in runs:
+        n = [0] * 5
+        for *_, pos, k in sv:
+            n[k] += st <= pos <= ed and k == 1
+        stay, purple, places = 0, 0, []
+        for c in range(5):
+            new, blue, mine = True, False, []
+            for t in range(c if not vntr else 0):
+                hit = [(pos, k) for _, a, b, pos, k in sv if {a, b} == {c, t} and st <= pos <= ed and k != 1]
+                for pos, k in hit:
+                    n[k] += 1
+                    mine += [pos] * (k == 3)
+                    blue |= k == 4
+                if not hit:
+                    new = False
+                    break
+            stay += new
+            if new and not vntr:
+                purple += not blue
+                places += mine
+        want[run] = (stay, purple, n, sorted(places))
+    args = (spark.createDataFrame([("r", k) for k in range(5)], "region string, cluster int"), spark.createDataFrame(sv, "region string, a int, b int, pos int, class int"), spark.createDataFrame(runs, "region string, run int, st int, ed int, vntr boolean"))
+    got = contigs.subregion_clusters(*args).collect()
+    assert {x.run: (x.n_clusters, x.only_purple, [x[f"class_{k}"] for k in range(5)], x.places) for x in got} == want
