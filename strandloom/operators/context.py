@@ -53,12 +53,18 @@ def breakpoint_divergence(regions: DataFrame, reads: DataFrame, points: DataFram
     `expected` of the regions, 0 without one). Windows without reads give null, not NaN.
     """
     share = expected if expected is not None else F.lit(0.0)
-    w = regions.withColumn("_e", share.cast("double")).select("id", "chrom", "_e", "st", F.explode(F.sequence(F.lit(0), div(F.col("ed") - F.col("st"), window))).alias("w"))
-    w = w.select("id", "chrom", "_e", "w", (F.col("st") + F.col("w") * window).alias("st"), (F.col("st") + (F.col("w") + 1) * window - 1).alias("ed"))
-    span = overlap_join(w, reads, 1000).filter((F.col("r_st") < F.col("st")) & (F.col("r_ed") > F.col("ed"))).groupBy("id", "w").agg(F.count(F.lit(1)).alias("depth"))
-    p = points.withColumn("st", F.col("pos")).withColumn("ed", F.col("pos"))
-    broken = overlap_join(w, p, 1000).groupBy("id", "w").agg(F.count_distinct("r_read").alias("breaks"))
-    rows = w.join(span, ["id", "w"], "left").join(broken, ["id", "w"], "left").fillna(0, ["depth", "breaks"])
+    n = div(F.col("ed") - F.col("st"), window) + 1
+    spots = regions.withColumn("_e", share.cast("double")).withColumn("n", n).select("id", "chrom", "_e", "st", "n", (F.col("st") + F.col("n") * window - 1).alias("ed"))
+    # a read spans windows lo to hi of a region: one more from lo, one less behind hi
+    lo, hi = F.greatest(F.lit(0), div(F.col("r_st") - F.col("st"), window) + 1), F.least(F.col("n") - 1, F.ceil((F.col("r_ed") - F.col("st") + 1) / window).cast("long") - 2)
+    pairs = overlap_join(spots.drop("_e"), reads.select("chrom", "st", "ed"), 1000).select("id", lo.alias("lo"), hi.alias("hi")).filter("lo <= hi")
+    steps = pairs.select("id", F.explode(F.array(F.struct(F.col("lo").alias("w"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("w"), F.lit(-1).alias("d")))).alias("s")).groupBy("id", F.col("s.w").alias("w")).agg(F.sum("s.d").alias("d"))
+    p = points.select("chrom", "read", F.col("pos").alias("st"), F.col("pos").alias("ed"))
+    broken = overlap_join(spots.drop("_e"), p, 1000).groupBy("id", div(F.col("r_st") - F.col("st"), window).alias("w")).agg(F.count_distinct("r_read").alias("breaks"))
+    w = spots.select("id", "_e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("w"))
+    rows = w.join(steps, ["id", "w"], "left").join(broken, ["id", "w"], "left")
+    upto = Window.partitionBy("id").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("depth", F.coalesce(F.sum("d").over(upto), F.lit(0))).withColumn("breaks", F.coalesce("breaks", F.lit(0)))
     seen = F.least(F.lit(1.0), F.when(F.col("depth") > 0, F.col("breaks") / F.col("depth"))) + 0.01
     want = F.col("_e") + 0.01
     return rows.groupBy("id").agg(F.sum(seen * F.log(seen / want)).alias("kld"), F.sum("breaks").alias("breaks"), F.sum("depth").alias("depth"))
@@ -136,10 +142,19 @@ def merge_heat_maps(cells: DataFrame) -> DataFrame:
     return per.withColumn("p", F.col("n_sv") / (F.col("n_sv") + F.col("n_blank")))
 
 
-def roc(scored: DataFrame) -> DataFrame:
-    """True and false positives at each distinct score from the highest, recall and precision. scored: score, positive."""
+def roc(scored: DataFrame, pieces: int = 200) -> DataFrame:
+    """True and false positives at each distinct score from the highest, recall and precision. scored: score, positive.
+
+    Scores are cut at quantiles into pieces; a piece passes on its sums to those below.
+    """
     per = scored.groupBy("score").agg(F.count_if("positive").alias("tp"), F.count_if(~F.col("positive")).alias("fp"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    out = per.select("score", F.sum("tp").over(down).alias("tp"), F.sum("fp").over(down).alias("fp"))
-    everything = Window.partitionBy()
-    return out.withColumn("recall", F.try_divide("tp", F.max("tp").over(everything))).withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
+    cuts = sorted(set(per.approxQuantile("score", [k / pieces for k in range(1, pieces)], 0.5 / pieces)))
+    rows = per.withColumn("_bin", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("score"))))
+    above = Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()  # these two over one row for each piece
+    piece = rows.groupBy("_bin").agg(F.sum("tp").alias("t"), F.sum("fp").alias("f"))
+    piece = piece.select("_bin", F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t"), F.coalesce(F.sum("f").over(above), F.lit(0)).alias("f"), F.sum("t").over(everything).alias("_all"))
+    down = Window.partitionBy("_bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.select("score", "_bin", F.sum("tp").over(down).alias("tp"), F.sum("fp").over(down).alias("fp")).join(piece, "_bin")
+    out = out.select("score", (F.col("tp") + F.col("t")).alias("tp"), (F.col("fp") + F.col("f")).alias("fp"), "_all")
+    return out.withColumn("recall", F.try_divide("tp", "_all")).withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))).drop("_all")

@@ -17,7 +17,7 @@ from strandloom.operators.intervals import merge, with_island
 
 #: Columns of a fold's rows: chrom, st, ed, support, id; other columns are not carried.
 FIELDS = ["chrom", "kind", "st", "ed", "support", "id"]
-BUNDLE = 500_000
+BUNDLE = 2_000_000
 
 
 def absorb(rows: list[dict], joins: Callable[[dict, dict], bool]) -> list[dict]:
