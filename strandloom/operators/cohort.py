@@ -38,17 +38,19 @@ def merge_cohort(sv: DataFrame, long_allele: int = LONG_ALLELE, block: int = 30,
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sample", "id"], kind="stable")
         leaders: dict[int, list[tuple[int, dict]]] = {}
-        n, group = 0, []
+        held: dict[int, int] = {}  # variants in each block
+        group = []
         for r in pdf.to_dict("records"):
-            mine = leaders.setdefault(r["pos"], [])
+            mine, n = leaders.setdefault(r["pos"], []), held.get(r["_block"], 0)
             k = next((k for k, lead in mine if same(r, lead, n > crowd)), None)
             if k is None:
-                k, n = n, n + 1
+                k, held[r["_block"]] = n, n + 1
                 mine.append((k, r))
             group.append(k)
         return pdf.assign(lead=group)
 
-    folded = rows.filter("_fold").select(*fields).groupBy("chrom", "_block").applyInPandas(run, rows.select(*fields, F.lit(0).alias("lead")).schema)
+    bundle = F.floor(F.col("_block") / 5000)  # many small blocks to a pandas group
+    folded = rows.filter("_fold").select(*fields).groupBy("chrom", bundle.alias("_bundle")).applyInPandas(run, rows.select(*fields, F.lit(0).alias("lead")).schema)
     folded = folded.groupBy("chrom", "pos", "_block", "lead").agg(F.min_by(F.struct("svlen", "ref", "alt"), F.struct("sample", "id")).alias("first"), F.sort_array(F.collect_list(carrier)).alias("support"))
     return exact.unionByName(folded.select("chrom", "pos", "first.svlen", "first.ref", "first.alt", "support"))
 
