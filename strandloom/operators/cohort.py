@@ -21,10 +21,10 @@ def merge_cohort(sv: DataFrame, long_allele: int = LONG_ALLELE, block: int = 30,
     that matches wins. Blocks without a long allele and with few variants are a plain grouping; only the others are folded.
     """
     rows = sv.withColumn("_block", div(F.col("pos"), block))
-    per = rows.groupBy("chrom", "_block", "pos", "svlen").agg(F.max(F.length("alt")).alias("size")).groupBy("chrom", "_block").agg(((F.max("size") >= long_allele) | (F.count(F.lit(1)) > crowd)).alias("_fold"))
-    rows = rows.join(per, ["chrom", "_block"])
+    here = Window.partitionBy("chrom", "_block")  # a few bases; the groupings below keep its partitioning
+    rows = rows.withColumn("_fold", (F.max(F.length("alt")).over(here) >= long_allele) | (F.size(F.collect_set(F.struct("pos", "svlen")).over(here)) > crowd))
     carrier = F.struct("sample", "id", "a1", "a2", "qual")
-    exact = rows.filter(~F.col("_fold")).groupBy("chrom", "pos", "svlen").agg(F.min_by(F.struct("ref", "alt"), F.struct("sample", "id")).alias("first"), F.sort_array(F.collect_list(carrier)).alias("support"))
+    exact = rows.filter(~F.col("_fold")).groupBy("chrom", "_block", "pos", "svlen").agg(F.min_by(F.struct("ref", "alt"), F.struct("sample", "id")).alias("first"), F.sort_array(F.collect_list(carrier)).alias("support"))
     exact = exact.select("chrom", "pos", "svlen", "first.ref", "first.alt", "support")
     fields = ["chrom", "_block", "pos", "svlen", "ref", "alt", "sample", "id", "a1", "a2", "qual"]
 

@@ -12,6 +12,7 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandloom.operators.intervals import merge, with_island
 
@@ -37,11 +38,13 @@ def in_bundles(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_bundle", F.floor(F.col("island") / BUNDLE))
 
 
-def bundled(rows: DataFrame, keys: tuple[str, ...], run: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
-    """`run` on each island of `rows` (columns keys and island), many small islands to a pandas group."""
+def bundled(rows: DataFrame, keys: tuple[str, ...], run: Callable[[list[dict]], list[dict]], schema: StructType) -> DataFrame:
+    """`run` on the rows of each island (columns keys and island), many small islands to a pandas group."""
+    names = schema.fieldNames()
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([run(part) for _, part in pdf.groupby("island", sort=False)])
+        in_order = pdf.sort_values("island", kind="stable").to_dict("records")
+        return pd.DataFrame([r for _, part in groupby(in_order, lambda r: r["island"]) for r in run(list(part))], columns=names)
 
     return in_bundles(rows).groupBy(*keys, "_bundle").applyInPandas(each, schema)
 
@@ -88,9 +91,8 @@ def drop_close(calls: DataFrame, near: int = 300, low: float = 0.9, high: float
     """Of calls within `near` whose length ratio lies in between, the longer stays. Columns id, chrom, st, svlen."""
     rows = with_island(calls.select("id", "chrom", "st", "svlen").withColumn("ed", calls["st"]), near)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, kept = pdf.sort_values(["st", "svlen", "id"], kind="stable").to_dict("records"), []
-        gone: set = set()
+    def run(rows: list[dict]) -> list[dict]:
+        rows, gone = sorted(rows, key=lambda r: (r["st"], r["svlen"], r["id"])), set()
         for i, a in enumerate(rows):
             if a["id"] in gone:
                 continue
@@ -103,10 +105,8 @@ def drop_close(calls: DataFrame, near: int = 300, low: float = 0.9, high: float
                 gone.add(loser["id"])
                 if loser is a:
                     break
-            if a["id"] not in gone:
-                kept.append(a["id"])
-        return pd.DataFrame({"id": kept}, dtype=pdf["id"].dtype)
+        return [{"id": r["id"]} for r in rows if r["id"] not in gone]
 
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("chrom", "island")))
-    kept = bundled(rows.filter("_n > 1"), ("chrom",), run, f"id {calls.schema['id'].dataType.simpleString()}")
+    kept = bundled(rows.filter("_n > 1"), ("chrom",), run, calls.select("id").schema)
     return calls.join(kept.unionByName(rows.filter("_n = 1").select("id")), "id", "left_semi")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,10 +100,7 @@ def combine(signals: DataFrame, least_reads: int = 3, least_score: float = 16, l
             return None, back
         return a | {"st": one - half, "ed": one + half, "st2": two - half, "ed2": two + half, "score": float(score), "reads": sum(m["reads"] for m, ok in zip(members, fits) if ok)}, back
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(sweep(pdf[FIELDS].to_dict("records"), judge if spread else None), columns=FIELDS)
-
-    out = bundled(rows, keys, run, signals.select(*FIELDS).schema)
+    out = bundled(rows, keys, lambda part: sweep(part, judge if spread else None), signals.select(*FIELDS).schema)
     if spread:
         return out
     return out.filter((F.col("reads") >= least_reads) & (F.col("score") > least_score) & (F.col("ed") - F.col("st") < longest) & (F.col("ed2") - F.col("st2") < longest))
@@ -139,10 +135,7 @@ def union_duplicates(records: DataFrame) -> DataFrame:
     keys = ("chrom", "type")
     rows = with_island(records.select(*FIELDS), 0, keys, ("st", "ed", "id"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(sweep(pdf[FIELDS].to_dict("records")), columns=FIELDS)
-
-    return bundled(rows, keys, run, records.select(*FIELDS).schema)
+    return bundled(rows, keys, sweep, records.select(*FIELDS).schema)
 
 
 def combine_inversions(records: DataFrame) -> DataFrame:
