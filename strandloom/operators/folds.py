@@ -1,16 +1,17 @@
 """Greedy, order-dependent groupings, run inside small islands.
 
 A safe gap (beyond which no rule can join two rows) first cuts each chromosome into islands with window functions; the
-fold then runs per island in pandas, ordered by position, end and id, so results do not depend on partitions.
+fold then runs island after island on sorted rows, ordered by position, end and id, so results do not depend on partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -33,37 +34,30 @@ def absorb(rows: list[dict], joins: Callable[[dict, dict], bool]) -> list[dict]:
     return out
 
 
-def in_bundles(rows: DataFrame) -> DataFrame:
-    """Adds the bundle, of the islands that start in the same BUNDLE bases, that a pandas group holds."""
-    return rows.withColumn("_bundle", F.floor(F.col("island") / BUNDLE))
+def by_island(rows: DataFrame, keys: tuple[str, ...], run: Callable[[list[dict]], list[dict]], schema: StructType) -> DataFrame:
+    """`run` on the rows of each island (columns keys and island). Islands that start in the same BUNDLE bases go to one
+    partition, where they pass in order; a task holds a batch and the island that it has not seen the end of."""
+    names, group = schema.fieldNames(), itemgetter(*keys, "island")
 
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        for pdf in batches:
+            parts = [list(part) for _, part in groupby(held + pdf.to_dict("records"), group)]
+            held = parts.pop() if parts else []
+            yield pd.DataFrame([r for part in parts for r in run(part)], columns=names)
+        if held:
+            yield pd.DataFrame(run(held), columns=names)
 
-def bundled(rows: DataFrame, keys: tuple[str, ...], run: Callable[[list[dict]], list[dict]], schema: StructType) -> DataFrame:
-    """`run` on the rows of each island (columns keys and island), many small islands to a pandas group."""
-    names = schema.fieldNames()
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        in_order = pdf.sort_values("island", kind="stable").to_dict("records")
-        return pd.DataFrame([r for _, part in groupby(in_order, lambda r: r["island"]) for r in run(list(part))], columns=names)
-
-    return in_bundles(rows).groupBy(*keys, "_bundle").applyInPandas(each, schema)
+    dealt = rows.repartition(*keys, F.floor(F.col("island") / BUNDLE)).sortWithinPartitions(*keys, "island")
+    return dealt.mapInPandas(each, schema)
 
 
 def fold(df: DataFrame, gap: int, joins: Callable[[dict, dict], bool], least: int = 1) -> DataFrame:
-    """`absorb` within each island of chrom and kind; keeps anchors with at least `least` support. Islands of one row need
-    no fold and stay in the JVM."""
+    """`absorb` within each island of chrom and kind; keeps anchors with at least `least` support."""
     keys = ("chrom", "kind")
     rows = with_island(df.select(*FIELDS), gap, keys, ("st", "ed", "id"))
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "island")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        in_order = pdf.sort_values(["island", "st", "ed", "id"], kind="stable").to_dict("records")
-        found = [r for _, part in groupby(in_order, lambda r: r["island"]) for r in absorb(list(part), joins)]
-        got = pd.DataFrame(found, columns=FIELDS)
-        return got[got["support"] >= least]
-
-    alone = rows.filter((F.col("_n") == 1) & (F.col("support") >= least)).select(*FIELDS)
-    return alone.unionByName(in_bundles(rows.filter("_n > 1").drop("_n")).groupBy(*keys, "_bundle").applyInPandas(run, df.select(*FIELDS).schema))
+    out = by_island(rows, keys, lambda part: absorb(sorted(part, key=itemgetter("st", "ed", "id")), joins), df.select(*FIELDS).schema)
+    return out.filter(F.col("support") >= least)
 
 
 def merge_small(signals: DataFrame, depth: float, near: int = 20) -> DataFrame:
@@ -107,6 +101,5 @@ def drop_close(calls: DataFrame, near: int = 300, low: float = 0.9, high: float
                     break
         return [{"id": r["id"]} for r in rows if r["id"] not in gone]
 
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("chrom", "island")))
-    kept = bundled(rows.filter("_n > 1"), ("chrom",), run, calls.select("id").schema)
-    return calls.join(kept.unionByName(rows.filter("_n = 1").select("id")), "id", "left_semi")
+    kept = by_island(rows, ("chrom",), run, calls.select("id").schema)
+    return calls.join(kept, "id", "left_semi")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.operators.folds import bundled
+from strandloom.operators.folds import by_island
 from strandloom.operators.intervals import overlap_join, with_island
 
 FIELDS = ["chrom", "type", "side", "st", "ed", "chrom2", "st2", "ed2", "score", "reads", "id"]
@@ -100,7 +100,7 @@ def combine(signals: DataFrame, least_reads: int = 3, least_score: float = 16, l
             return None, back
         return a | {"st": one - half, "ed": one + half, "st2": two - half, "ed2": two + half, "score": float(score), "reads": sum(m["reads"] for m, ok in zip(members, fits) if ok)}, back
 
-    out = bundled(rows, keys, lambda part: sweep(part, judge if spread else None), signals.select(*FIELDS).schema)
+    out = by_island(rows, keys, lambda part: sweep(part, judge if spread else None), signals.select(*FIELDS).schema)
     if spread:
         return out
     return out.filter((F.col("reads") >= least_reads) & (F.col("score") > least_score) & (F.col("ed") - F.col("st") < longest) & (F.col("ed2") - F.col("st2") < longest))
@@ -135,7 +135,7 @@ def union_duplicates(records: DataFrame) -> DataFrame:
     keys = ("chrom", "type")
     rows = with_island(records.select(*FIELDS), 0, keys, ("st", "ed", "id"))
 
-    return bundled(rows, keys, sweep, records.select(*FIELDS).schema)
+    return by_island(rows, keys, sweep, records.select(*FIELDS).schema)
 
 
 def combine_inversions(records: DataFrame) -> DataFrame:
