@@ -31,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import as_bytes, class_frequency, classes_of, components, heavy, numbered, packed, parts, pick, pieces, scratch, split_by_ids, spread_join, stored, unpacked
-from strandloom.llm.windows import WordHashes, _grouped, window_hashes
+from strandloom.llm.windows import _grouped, window_hashes, word_hashes
 
 CLASSES, CHUNK, SLICE = 1 << 22, 500_000, 2000
 
 
-def shingles(text: bytes, width: int, memo: WordHashes) -> np.ndarray:
+def shingles(text: bytes, width: int) -> np.ndarray:
     """Distinct shingle hashes, sorted."""
     words = text.lower().split()
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(words)
     return np.unique(window_hashes(h, min(width, len(words)))) if words else h
 
 
@@ -78,16 +78,15 @@ def _prefix_size(n: int, percent: int) -> int:
 
 def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """`(key, doc_id, n, cls, grp, prefix, bits)` of every row: cls tells sets apart, grp prefix and size."""
-    memo = WordHashes()
-    df, _ = class_frequency(docs.select("text"), lambda raw: shingles(raw, width, memo), CLASSES)
+    df, _ = class_frequency(docs.select("text"), lambda raw: shingles(raw, width), CLASSES)
     sent = docs.sparkSession.sparkContext.broadcast(df.astype(np.int32) if df.max(initial=0) < 2**31 else df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, often = WordHashes(), sent.value
+        often = sent.value
         for b in pieces(batches, 500):
             n, cls, grp, prefix, bits = [], [], [], [], []
             for raw in as_bytes(b.column(2)):
-                s = shingles(raw, width, memo)
+                s = shingles(raw, width)
                 p = s[np.lexsort((s, often[classes_of(s, CLASSES)]))[: _prefix_size(len(s), percent)]] if len(s) else s
                 n.append(len(s))
                 cls.append(xxhash.xxh3_64_intdigest(s.tobytes()))
@@ -185,14 +184,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     some = some.dropDuplicates(["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         raw, y = None, None
         for b in pieces(batches, 500):
             links = []
             for x, z in zip(as_bytes(b.column(2)), as_bytes(b.column(3))):
-                x = shingles(x, width, memo)
+                x = shingles(x, width)
                 if z != raw:  # rows come sorted by kb
-                    raw, y = z, shingles(z, width, memo)
+                    raw, y = z, shingles(z, width)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 links.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
