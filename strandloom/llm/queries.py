@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, imatch, jaccard, langid, mixing, pii, quality, sql, suffix, urls, windows
+from strandloom.llm import bpe, imatch, jaccard, langid, mixing, phrases, pii, quality, shards, sql, suffix, trie, urls, windows
 from strandloom.llm.common import stored
 
 
@@ -81,9 +81,23 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards.assign(table(spark, sf_dir, "documents"), 40)
+    # the law that loads with bounds keep: where a row goes hangs on the others' sizes, so there is no grown shard to state
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "home")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": sql.JACCARD, "op3_substring_dedup": sql.SUBSTRINGS, "op5_url_filter": sql.URLS}
+    return {"op2_jaccard_join": sql.JACCARD, "op3_substring_dedup": sql.SUBSTRINGS, "op5_url_filter": sql.URLS, "op12_prefix_trie": sql.TRIE, "op13_collocations": sql.PHRASES}
