@@ -5,13 +5,17 @@ Alignments between contigs (their CIGARs) are input columns.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strandloom.functions import cigar as cg
-from strandloom.functions.sequence import collapsed_length, is_mobile, is_simple, shared_kmers
+from strandloom.functions.sequence import collapsed_length, is_mobile, is_simple
+from strandloom.operators.folds import stream
 from strandloom.operators.intervals import gap_clusters, merge
+from strandloom.tables import drop, kept
 
 
 def attach_annotations(contigs: DataFrame, annotation: DataFrame) -> DataFrame:
@@ -43,17 +47,6 @@ def contig_variants(pairs: DataFrame, least: int = 50) -> DataFrame:
     return ops.select("region", "a_contig", "b_contig", F.col("ref").alias("a_pos"), F.col("query").alias("b_pos"), F.when(F.col("op") == "I", "INS").otherwise("DEL").alias("type"), F.col("len").alias("length"))
 
 
-def variant_class(sv: DataFrame, share: float = 0.2, bases: int = 200) -> DataFrame:
-    """Class 1 to 4 of a difference by base_in_vntr and the insert's bases outside VNTR (non_vntr). Two corrections: close
-    to a VNTR (vntr_distance below 30, not 0) with at least 5 shared 10-mers of insert and neighbour is class 1; a single tandem repeat
-    over all of it (trf_covers) of units of 50 bases and at most 2.5 copies is class 4."""
-    outside = (F.col("non_vntr") > bases) | (F.col("non_vntr") > share * F.col("length"))
-    plain = F.when(F.col("base_in_vntr") & ~outside, 1).when(F.col("base_in_vntr"), 2).when(~outside, 3).otherwise(4)
-    near = (F.col("vntr_distance") > 0) & (F.col("vntr_distance") < 30) & (shared_kmers("insert_seq", "near_seq", 10) >= 5)
-    single = F.col("trf_covers") & (F.col("unit") >= 50) & (F.col("copies") <= 2.5)
-    return sv.withColumn("class", F.when(single, 4).when(near, 1).otherwise(plain))
-
-
 def insert_vntr_length(inserts: DataFrame, rm: DataFrame, trf: DataFrame) -> DataFrame:
     """Bases of each insert (name, length) under tandem or simple repeats but not under mobile elements, and the longest run
     of other bases; a mobile element stays masked where small-unit repeats (motif_size < 6) cover 80 % of it, overlaps
@@ -75,33 +68,75 @@ def insert_vntr_length(inserts: DataFrame, rm: DataFrame, trf: DataFrame) -> Dat
     return inserts.select("name", "length").join(out, "name", "left").fillna(0, ["vntr", "longest_free"])
 
 
+def leaders(contigs: DataFrame, differences: DataFrame) -> DataFrame:
+    """`(region, contig, ord, number)`: contigs that differ from all leaders before them, numbered from 0 in their region.
+
+    In rounds over all regions: an open contig that differs from every open one before it is a leader, for no leader was
+    missing among those that are settled; a later one that doesn't differ from a new leader is none. So the first open contig
+    of each region is settled in each round, and all that hang on none other. Rows: one for each contig and difference; a
+    contig counts its differences, and no pair without one is made.
+    """
+    place = Window.partitionBy("region").orderBy("ord", "contig")
+    pairs = differences.select("region", F.col("a_contig").alias("x"), F.col("b_contig").alias("y")).filter("x <> y")
+    pairs = pairs.unionByName(pairs.select("region", F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    order = kept(contigs.select("region", "contig", "ord").withColumn("n", F.row_number().over(place)))
+    first, second = (order.select("region", F.col("contig").alias(c), F.col("n").alias(n)) for c, n in (("x", "nx"), ("y", "ny")))
+    pairs = kept(pairs.join(first, ["region", "x"]).join(second, ["region", "y"]).filter("nx < ny").select("region", "nx", "ny"))
+    open_, found = order.select("region", "n"), None
+    while not open_.isEmpty():
+        rank = open_.withColumn("before", F.row_number().over(Window.partitionBy("region").orderBy("n")) - 1)
+        met = pairs.groupBy("region", F.col("ny").alias("n")).agg(F.count(F.lit(1)).alias("differ"))
+        new = kept(rank.join(met, ["region", "n"], "left").filter(F.coalesce("differ", F.lit(0)) == F.col("before")).select("region", "n"))
+        found = new if found is None else found.unionByName(new)
+        rest = open_.join(new, ["region", "n"], "left_anti").withColumn("is", F.lit(0)).unionByName(new.withColumn("is", F.lit(1)))
+        passed = rest.withColumn("leaders", F.sum("is").over(Window.partitionBy("region").orderBy("n"))).filter("is = 0")
+        apart = pairs.join(new.select("region", F.col("n").alias("nx")), ["region", "nx"], "left_semi").groupBy("region", F.col("ny").alias("n")).agg(F.count(F.lit(1)).alias("apart"))
+        open_ = kept(passed.join(apart, ["region", "n"], "left").filter(F.coalesce("apart", F.lit(0)) == F.col("leaders")).select("region", "n"))
+        old = pairs
+        for side in ("nx", "ny"):
+            pairs = pairs.join(open_.select("region", F.col("n").alias(side)), ["region", side], "left_semi")
+        pairs = kept(pairs)
+        drop(old)
+    found = order.join(order.select("region", "n").limit(0) if found is None else found, ["region", "n"], "left_semi")
+    return found.select("region", "contig", "ord", (F.row_number().over(place) - 1).alias("number"))
+
+
+class _Sizes:
+    """Rows (region, contig, ord, number, differ) of a region in order: the cluster of each, by the sizes so far."""
+
+    def __init__(self) -> None:
+        self.size: list[int] = []
+
+    def take(self, row: tuple) -> Iterable[tuple]:
+        region, contig, _, number, differ = row
+        if number is not None:
+            self.size.append(0)
+        else:
+            apart = set(differ or ())
+            number = min((k for k in range(len(self.size)) if k not in apart), key=lambda k: (k != 0, -self.size[k], k))
+        self.size[number] += 1
+        return ((region, contig, number),)
+
+    def end(self) -> Iterable[tuple]:
+        return ()
+
+
 def cluster_contigs(contigs: DataFrame, differences: DataFrame) -> DataFrame:
     """Greedy clusters of each region's contigs (region, contig, ord), in order; the reference comes first.
 
     differences: region, a_contig, b_contig of pairs with a difference outside VNTR, or that failed to align. A contig joins
-    the first cluster whose leader it doesn't differ from: cluster 0, then by size, then by number; else it opens one.
+    the first cluster whose leader it doesn't differ from: cluster 0, then by size, then by number; else it opens one. Who
+    leads doesn't hang on sizes, so `leaders` finds them in rounds; sizes are then counted in one pass in order, which holds a
+    region's sizes and no rows.
     """
-
-    def run(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "contig"], kind="stable")
-        differ = {frozenset(p) for p in zip(pairs["a_contig"], pairs["b_contig"])}
-        leaders: list[str] = []
-        size: list[int] = []
-        out = []
-        for c in pdf["contig"]:
-            for k in sorted(range(len(leaders)), key=lambda k: (k != 0, -size[k], k)):
-                if frozenset((c, leaders[k])) not in differ:
-                    break
-            else:
-                k = len(leaders)
-                leaders.append(c)
-                size.append(0)
-            size[k] += 1
-            out.append(k)
-        return pdf.assign(cluster=out)[["region", "contig", "cluster"]]
-
-    rows = contigs.select("region", "contig", "ord").groupBy("region").cogroup(differences.select("region", "a_contig", "b_contig").groupBy("region"))
-    return rows.applyInPandas(run, "region string, contig string, cluster int")
+    lead = kept(leaders(contigs, differences))
+    pairs = differences.select("region", F.col("a_contig").alias("contig"), F.col("b_contig").alias("other"))
+    pairs = pairs.unionByName(pairs.select("region", F.col("other").alias("contig"), F.col("contig").alias("other")))
+    met = pairs.join(lead.select("region", F.col("contig").alias("other"), "number"), ["region", "other"]).groupBy("region", "contig").agg(F.collect_set("number").alias("differ"))
+    rows = contigs.select("region", "contig", "ord").join(lead.select("region", "contig", "number"), ["region", "contig"], "left").join(met, ["region", "contig"], "left")
+    kinds = rows.schema
+    schema = StructType([kinds["region"], kinds["contig"], StructField("cluster", IntegerType())])
+    return stream(rows.select("region", "contig", "ord", "number", "differ"), ["region"], ["ord", "contig"], _Sizes, schema)
 
 
 def subregion_clusters(clusters: DataFrame, sv: DataFrame, runs: DataFrame) -> DataFrame:
@@ -202,38 +237,6 @@ def replacement_pairs(sv: DataFrame) -> DataFrame:
     return rows.withColumn("_b", F.least(apart("_p"), apart("_n"))).select(*sv.columns, "_b.distance", "_b.ratio")
 
 
-def reference_places(sv: DataFrame, alignments: DataFrame) -> DataFrame:
-    """Reference breakpoints of differences: the base contig's place and the inserted contig's two, through each contig's
-    alignment `(region, contig, ref_st, cigar)` to the reference; a contig that is the reference keeps its own place.
-    `base_is_insert` says that the base contig's place lies in an insertion."""
-    a = alignments.select("region", F.col("contig").alias("a_contig"), F.col("ref_st").alias("_as"), F.col("cigar").alias("_ac"))
-    b = alignments.select("region", F.col("contig").alias("b_contig"), F.col("ref_st").alias("_bs"), F.col("cigar").alias("_bc"))
-    rows = sv.join(a, ["region", "a_contig"], "left").join(b, ["region", "b_contig"], "left")
-    end = F.col("b_pos") + F.when(F.col("type") == "INS", F.col("length")).otherwise(0)
-    at = lambda c, s, q: F.when(F.col(c).isNull(), F.struct(q.cast("int").alias("ref"), F.lit(None).cast("string").alias("op"), F.lit(0).alias("len"))).otherwise(cg.query_to_ref(c, s, q))
-    rows = rows.withColumn("_x", at("_ac", "_as", F.col("a_pos"))).withColumn("_y", at("_bc", "_bs", F.col("b_pos"))).withColumn("_z", at("_bc", "_bs", end))
-    return rows.select(*sv.columns, F.col("_x.ref").alias("base_ref"), F.coalesce(F.col("_x.op") == "I", F.lit(False)).alias("base_is_insert"), F.col("_y.ref").alias("insert_ref"), F.col("_z.ref").alias("insert_ref_end"))
-
-
-def nested(sv: DataFrame) -> DataFrame:
-    """Differences whose base lies in an insertion against the reference."""
-    return sv.filter("base_is_insert")
-
-
-def mismatch_regions(alignments: DataFrame, points: DataFrame, clean: int = 50, span: int = 100, rate: float = 0.1) -> DataFrame:
-    """Around each point (region, contig, query) the stretch of its alignment up to `clean` matches in a row on both sides:
-    its length, differences and rate, and whether it is a nested difference (long with many). Rows per operation only."""
-    rows = alignments.withColumn("_z", F.lit(0))
-    ops = cg.exploded(rows, "cigar", "_z").select("region", "contig", "k", "op", "len", F.col("query").alias("q_st"), (F.col("query") + F.when(F.col("op") == "D", 0).otherwise(F.col("len"))).alias("q_ed"))
-    j = points.join(ops, ["region", "contig"])
-    wall = F.col("op").isin("=") & (F.col("len") >= clean)
-    key = ["region", "contig", "query"]
-    edge = j.groupBy(*key).agg(F.coalesce(F.max(F.when(wall & (F.col("q_ed") <= F.col("query")), F.col("q_ed"))), F.lit(0)).alias("lo"), F.coalesce(F.min(F.when(wall & (F.col("q_st") >= F.col("query")), F.col("q_st"))), F.max("q_ed")).alias("hi"))
-    inside = j.join(edge, key).filter((F.col("q_st") >= F.col("lo")) & (F.col("q_ed") <= F.col("hi")))
-    out = inside.groupBy(*key, "lo", "hi").agg(F.sum(F.when(F.col("op").isin("X", "I", "D"), F.col("len")).otherwise(0)).alias("differences"), F.sum("len").alias("total"))
-    return out.withColumn("rate", F.try_divide("differences", "total")).withColumn("many", (F.col("hi") - F.col("lo") > span) & (F.col("rate") > rate))
-
-
 def cluster_report(clusters: DataFrame, annotation: DataFrame) -> DataFrame:
     """Per region and cluster the contigs, their number, and the annotation classes found on them."""
     kinds = annotation.groupBy("region", "contig").agg(F.collect_set("class").alias("kinds"))
@@ -261,28 +264,66 @@ def linked_read_scores(bases: DataFrame, least: int = 5) -> DataFrame:
     return x.join(y, ["region", "pos"]).filter("r1 < r2").groupBy("region", "r1", "r2").agg(F.sum(score).alias("score"))
 
 
+class _Groups:
+    """Rows (region, read, links) of a region in order, links being (place of an earlier read, score): each read's group."""
+
+    def __init__(self) -> None:
+        self.group: list[int] = []
+        self.groups = 0
+
+    def take(self, row: tuple) -> Iterable[tuple]:
+        region, read, links = row
+        score: dict[int, int] = {}
+        for link in links or ():
+            g = self.group[link["place"]]
+            score[g] = score.get(g, 0) + link["score"]
+        score.pop(-1, None)
+        best = max(score.items(), key=lambda x: (x[1], -x[0]), default=(-1, 0))
+        if best[1] > 0:
+            mine = best[0]
+        elif not self.group or any(s < 0 for s in score.values()):
+            mine = self.groups
+            self.groups += 1
+        else:
+            mine = -1
+        self.group.append(mine)
+        return ((region, read, mine),)
+
+    def end(self) -> Iterable[tuple]:
+        return ()
+
+
 def group_linked_reads(scores: DataFrame, reads: DataFrame) -> DataFrame:
-    """Greedy groups of a region's reads, in order: a read joins the group with the best positive score; without one it
-    opens a group if some score is negative, else it goes to the first. A region is small (a few hundred reads)."""
-
-    def run(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        score = {frozenset((a, b)): s for a, b, s in zip(pairs["r1"], pairs["r2"], pairs["score"])}
-        groups: list[list] = []
-        out = []
-        for r in sorted(pdf["read"]):
-            to = [sum(score.get(frozenset((r, m)), 0) for m in g) for g in groups]
-            best = max(range(len(to)), key=lambda k: (to[k], -k), default=None)
-            if best is not None and to[best] > 0:
-                k = best
-            elif best is None or min(to) < 0:
-                k = len(groups)
-                groups.append([])
-            else:
-                k = 0
-            groups[k].append(r)
-            out.append((pdf["region"].iloc[0], r, k))
-        return pd.DataFrame(out, columns=["region", "read", "grp"])
-
-    kinds = {c: reads.schema[c].dataType.simpleString() for c in ("region", "read")}
-    rows = reads.select("region", "read").distinct().groupBy("region").cogroup(scores.select("region", "r1", "r2", "score").groupBy("region"))
-    return rows.applyInPandas(run, f"region {kinds['region']}, read {kinds['read']}, grp int")
+    """Greedy groups of a region's reads, in order: a read joins the group with the best positive score (the first of equals);
+    without one it opens a group if some score is negative or it is the region's first, else it stays without (-1).
+
+    One pass in order; a task holds the group of each earlier read of the region, and the links of one read.
+    """
+    place = F.row_number().over(Window.partitionBy("region").orderBy("read")) - 1
+    order = kept(reads.select("region", "read").distinct().withColumn("place", place))
+    pairs = scores.select("region", F.least("r1", "r2").alias("first"), F.greatest("r1", "r2").alias("read"), "score")
+    first = order.select("region", F.col("read").alias("first"), "place")
+    links = pairs.join(first, ["region", "first"]).groupBy("region", "read").agg(F.collect_list(F.struct("place", "score")).alias("links"))
+    rows = order.join(links, ["region", "read"], "left").select("region", "read", "links")
+    schema = StructType([rows.schema["region"], rows.schema["read"], StructField("grp", IntegerType())])
+    return stream(rows, ["region"], ["read"], _Groups, schema)
+
+
+def linked_group_scores(groups: DataFrame, scores: DataFrame, low: int = 40) -> DataFrame:
+    """For each group its reads, the sum of its members' scores with each other, and how many members have less than `low`."""
+    grouped = groups.filter("grp >= 0").select("region", "read", "grp")
+    ends = [grouped.select("region", F.col("read").alias(r), F.col("grp").alias(g)) for r, g in (("r1", "g1"), ("r2", "g2"))]
+    inside = scores.join(ends[0], ["region", "r1"]).join(ends[1], ["region", "r2"]).filter("g1 = g2")
+    each = inside.select("region", F.explode(F.array("r1", "r2")).alias("read"), "score").groupBy("region", "read").agg(F.sum("score").alias("score"))
+    members = grouped.join(each, ["region", "read"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    return members.groupBy("region", "grp").agg(F.count(F.lit(1)).alias("reads"), F.sum("score").alias("score"), F.count_if(F.col("score") < low).alias("low"))
+
+
+def rejected_reads(groups: DataFrame, support: DataFrame) -> DataFrame:
+    """`support` (region, read, target, supporter: reads that back the same target) by read and target with the supporters in
+    the read's group and elsewhere, and `rejected` where most are elsewhere. Reads without group count as one group."""
+    mine = groups.select("region", "read", F.col("grp").alias("mine"))
+    theirs = groups.select("region", F.col("read").alias("supporter"), F.col("grp").alias("theirs"))
+    both = support.join(mine, ["region", "read"]).join(theirs, ["region", "supporter"])
+    per = both.groupBy("region", "target", "read").agg(F.count_if(F.col("mine") == F.col("theirs")).alias("same"), F.count_if(F.col("mine") != F.col("theirs")).alias("other"))
+    return per.withColumn("rejected", F.col("same") < F.col("other"))

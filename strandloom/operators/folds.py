@@ -1,18 +1,21 @@
-"""Greedy, order-dependent groupings, run inside small islands.
+"""Greedy, order-dependent groupings as folds over sorted rows that carry their state from batch to batch.
 
-A safe gap (beyond which no rule can join two rows) first cuts each chromosome into islands with window functions; the
-fold then runs island after island on sorted rows, ordered by position, end and id, so results do not depend on partitions.
+A safe gap (beyond which no rule can join two rows) first cuts each chromosome into islands with window functions. Islands
+go to partitions, where their rows pass in order of position, end and id, so results do not depend on partitions. A task
+holds an Arrow batch and what the rule itself keeps open: one anchor for `absorb`, the calls of one window for `CloseCalls`.
+An island of any size passes in this memory; it is one task's work, as each step hangs on the one before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import groupby
-from operator import itemgetter
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from strandloom.operators.intervals import merge, with_island
@@ -20,86 +23,133 @@ from strandloom.operators.intervals import merge, with_island
 #: Columns of a fold's rows: chrom, st, ed, support, id; other columns are not carried.
 FIELDS = ["chrom", "kind", "st", "ed", "support", "id"]
 BUNDLE = 2_000_000
+ORDER = ("st", "ed", "id")
 
 
-def absorb(rows: list[dict], joins: Callable[[dict, dict], bool]) -> list[dict]:
-    """The first open row is an anchor that takes the rows behind it, growing, until the first that does not join."""
-    out = []
-    for row in rows:
-        if out and joins(anchor := out[-1], row):
-            anchor["st"], anchor["ed"] = min(anchor["st"], row["st"]), max(anchor["ed"], row["ed"])
-            anchor["support"] += row["support"]
-        else:
-            out.append(dict(row))
-    return out
+class Fold(Protocol):
+    """Takes a group's rows in order and gives rows when they are settled."""
 
+    def take(self, row: tuple) -> Iterable[tuple]: ...
 
-def by_island(rows: DataFrame, keys: tuple[str, ...], run: Callable[[list[dict]], list[dict]], schema: StructType) -> DataFrame:
-    """`run` on the rows of each island (columns keys and island). Islands that start in the same BUNDLE bases go to one
-    partition, where they pass in order; a task holds a batch and the island that it has not seen the end of."""
-    names, group = schema.fieldNames(), itemgetter(*keys, "island")
+    def end(self) -> Iterable[tuple]: ...
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[dict] = []
-        for pdf in batches:
-            parts = [list(part) for _, part in groupby(held + pdf.to_dict("records"), group)]
-            held = parts.pop() if parts else []
-            yield pd.DataFrame([r for part in parts for r in run(part)], columns=names)
-        if held:
-            yield pd.DataFrame(run(held), columns=names)
 
-    dealt = rows.repartition(*keys, F.floor(F.col("island") / BUNDLE)).sortWithinPartitions(*keys, "island")
-    return dealt.mapInPandas(each, schema)
+def stream(rows: DataFrame, group: Sequence[str], order: Sequence[str], make: Callable[[], Fold], schema: StructType, deal: Sequence | None = None) -> DataFrame:
+    """Each group's rows, in `order`, through a new `make()`; rows are tuples of all columns.
 
+    deal: what groups are dealt by, columns of the group or of parts of it (the group's columns by default).
+    """
+    arrow = to_arrow_schema(schema)
+    at = [rows.columns.index(c) for c in group]
 
-def fold(df: DataFrame, gap: int, joins: Callable[[dict, dict], bool], least: int = 1) -> DataFrame:
-    """`absorb` within each island of chrom and kind; keeps anchors with at least `least` support."""
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)] if out else [pa.array([], f.type) for f in arrow], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fold = None, None
+        for b in batches:
+            columns, out = [c.to_pylist() for c in b.columns], []
+            for key, row in zip(zip(*(columns[k] for k in at)), zip(*columns)):
+                if key != held:
+                    if fold:
+                        out += fold.end()
+                    held, fold = key, make()
+                out += fold.take(row)
+            yield batch(out)
+        if fold:
+            yield batch(list(fold.end()))
+
+    dealt = rows.repartition(*(deal or group)).sortWithinPartitions(*group, *order)
+    return dealt.mapInArrow(run, schema)
+
+
+def by_island(rows: DataFrame, keys: Sequence[str], make: Callable[[], Fold], schema: StructType, order: Sequence[str] = ORDER) -> DataFrame:
+    """`stream` over islands (columns keys and island). Islands that start in the same BUNDLE bases go to one partition."""
+    return stream(rows, [*keys, "island"], order, make, schema, [*keys, F.floor(F.col("island") / BUNDLE)])
+
+
+class Absorb:
+    """The first open row is an anchor that takes the rows behind it, growing, until the first that does not join. Rows are
+    FIELDS; joins(st, ed, next st, next ed)."""
+
+    def __init__(self, joins: Callable[[int, int, int, int], bool]) -> None:
+        self.joins, self.anchor = joins, None
+
+    def take(self, row: tuple) -> Iterable[tuple]:
+        old = self.anchor
+        st, ed = row[2], row[3]
+        if old and self.joins(old[2], old[3], st, ed):
+            old[2], old[3], old[4] = min(old[2], st), max(old[3], ed), old[4] + row[4]
+            return ()
+        self.anchor = list(row[:6])
+        return (tuple(old),) if old else ()
+
+    def end(self) -> Iterable[tuple]:
+        return (tuple(self.anchor),) if self.anchor else ()
+
+
+def fold(df: DataFrame, gap: int, joins: Callable[[int, int, int, int], bool], least: int = 1) -> DataFrame:
+    """`Absorb` within each island of chrom and kind; keeps anchors with at least `least` support."""
     keys = ("chrom", "kind")
-    rows = with_island(df.select(*FIELDS), gap, keys, ("st", "ed", "id"))
-    out = by_island(rows, keys, lambda part: absorb(sorted(part, key=itemgetter("st", "ed", "id")), joins), df.select(*FIELDS).schema)
-    return out.filter(F.col("support") >= least)
+    rows = with_island(df.select(*FIELDS), gap, keys, ORDER).select(*FIELDS, "island")
+    return by_island(rows, keys, lambda: Absorb(joins), df.select(*FIELDS).schema).filter(F.col("support") >= least)
 
 
 def merge_small(signals: DataFrame, depth: float, near: int = 20) -> DataFrame:
     """Small signals: both ends less than `near` from the growing record's; support of a tenth of the depth, 2 at least."""
-    joins = lambda a, b: abs(a["st"] - b["st"]) < near and abs(a["ed"] - b["ed"]) < near
-    return fold(signals, near, joins, max(int(depth / 10), 2))
+    return fold(signals, near, lambda st, ed, x, y: abs(st - x) < near and abs(ed - y) < near, max(int(depth / 10), 2))
 
 
 def merge_normal(signals: DataFrame, depth: float, near: int = 300) -> DataFrame:
     """Any two ends less than `near` apart, or contained; support counts signals, a tenth of the depth, 1 at least."""
 
-    def joins(a: dict, b: dict) -> bool:
-        ends = any(abs(x - y) < near for x in (a["st"], a["ed"]) for y in (b["st"], b["ed"]))
-        return ends or (a["st"] <= b["st"] and b["ed"] <= a["ed"])
+    def joins(st: int, ed: int, x: int, y: int) -> bool:
+        return abs(st - x) < near or abs(ed - x) < near or abs(st - y) < near or abs(ed - y) < near or (st <= x and y <= ed)
 
     return fold(signals, near, joins, max(int(depth * 0.1), 1))
 
 
 def merge_final(signals: DataFrame, pad: int = 600) -> DataFrame:
-    """Signals that overlap once padded on both sides, supports summed: plain islands, without pandas."""
+    """Signals that overlap once padded on both sides, supports summed: plain islands, without Python."""
     return merge(signals, 2 * pad, ("chrom",), ("support",))
 
 
-def drop_close(calls: DataFrame, near: int = 300, low: float = 0.9, high: float = 1.1) -> DataFrame:
-    """Of calls within `near` whose length ratio lies in between, the longer stays. Columns id, chrom, st, svlen."""
-    rows = with_island(calls.select("id", "chrom", "st", "svlen").withColumn("ed", calls["st"]), near)
+class CloseCalls:
+    """Rows (id, st, svlen, ...) by start: a call is settled once all calls within `near` behind it are here; it takes out
+    later ones of like length that are no longer, up to the first longer one, which takes it out."""
 
-    def run(rows: list[dict]) -> list[dict]:
-        rows, gone = sorted(rows, key=lambda r: (r["st"], r["svlen"], r["id"])), set()
-        for i, a in enumerate(rows):
-            if a["id"] in gone:
+    def __init__(self, near: int, low: float, high: float) -> None:
+        self.near, self.low, self.high = near, low, high
+        self.open: deque[list] = deque()  # id, start, length, gone
+
+    def _settle(self) -> Iterable[tuple]:
+        key, _, size, gone = self.open.popleft()
+        if gone:
+            return ()
+        for other in self.open:
+            if other[3] or not other[2] or not self.low <= size / other[2] <= self.high:
                 continue
-            for b in rows[i + 1 :]:
-                if b["st"] - a["st"] > near:
-                    break
-                if b["id"] in gone or not b["svlen"] or not low <= a["svlen"] / b["svlen"] <= high:
-                    continue
-                loser = b if abs(a["svlen"]) >= abs(b["svlen"]) else a
-                gone.add(loser["id"])
-                if loser is a:
-                    break
-        return [{"id": r["id"]} for r in rows if r["id"] not in gone]
-
-    kept = by_island(rows, ("chrom",), run, calls.select("id").schema)
+            if abs(size) < abs(other[2]):
+                return ()
+            other[3] = True
+        return ((key,),)
+
+    def take(self, row: tuple) -> Iterable[tuple]:
+        out: list[tuple] = []
+        while self.open and row[1] - self.open[0][1] > self.near:
+            out += self._settle()
+        self.open.append([row[0], row[1], row[2], False])
+        return out
+
+    def end(self) -> Iterable[tuple]:
+        out: list[tuple] = []
+        while self.open:
+            out += self._settle()
+        return out
+
+
+def drop_close(calls: DataFrame, near: int = 300, low: float = 0.9, high: float = 1.1) -> DataFrame:
+    """Of calls within `near` whose length ratio lies in between, the longer stays. Columns id (unique), chrom, st, svlen."""
+    rows = with_island(calls.select("id", "st", "svlen", "chrom", F.col("st").alias("ed")), near).select("id", "st", "svlen", "chrom", "island")
+    kept = by_island(rows, ("chrom",), lambda: CloseCalls(near, low, high), calls.select("id").schema, ("st", "svlen", "id"))
     return calls.join(kept, "id", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -12,6 +12,7 @@ from strandloom.operators.folds import by_island
 from strandloom.operators.intervals import overlap_join, with_island
 
 FIELDS = ["chrom", "type", "side", "st", "ed", "chrom2", "st2", "ed2", "score", "reads", "id"]
+ORDER = ("st", "ed", "st2", "ed2", "id")
 
 
 def _meets(a: dict, b: dict) -> bool:
@@ -23,31 +24,73 @@ def _join(a: dict, b: dict) -> None:
     a["score"], a["reads"] = a["score"] + b["score"], a["reads"] + b["reads"]
 
 
-def sweep(rows: list[dict], judge: Callable[[dict, list[dict]], tuple[dict | None, list[int]]] | None = None) -> list[dict]:
-    """Each open record takes all later open ones that meet its growing regions. Rows are sorted by start, so the search ends
-    at the first that starts behind them. judge: from a record and its members what is kept of it (or None), and which
-    members (by number) are open again."""
-    rows = sorted(rows, key=lambda r: (r["st"], r["ed"], r["st2"], r["ed2"], r["id"]))
-    taken, out = [False] * len(rows), []
-    for i, row in enumerate(rows):
-        if taken[i]:
-            continue
-        anchor, members = dict(row), [i]
-        for j in range(i + 1, len(rows)):
-            if rows[j]["st"] > anchor["ed"]:
-                break
-            if not taken[j] and _meets(anchor, rows[j]):
-                _join(anchor, rows[j])
-                members.append(j)
-        for k in members:
-            taken[k] = True
-        if judge:
-            anchor, back = judge(anchor, [rows[k] for k in members])
+class Sweep:
+    """Each open record takes all later open ones that meet its growing regions. Rows come by start, so an anchor is done at
+    the first row that starts behind its region, and rows are held from the anchor on until then.
+
+    judge: from a record and its members what is kept of it (or None), and which members (by number) are open again.
+    """
+
+    def __init__(self, judge: Callable[[dict, list[dict]], tuple[dict | None, list[int]]] | None = None) -> None:
+        self.judge = judge
+        self.held: list[dict] = []  # all rows from the anchor on, and some before it
+        self.taken: list[bool] = []
+        self._open(0)
+
+    def _open(self, first: int) -> None:
+        """Row `first` of those held, if there is one, becomes the anchor; seen: rows that it has met."""
+        self.anchor: dict | None = None
+        if first < len(self.held):
+            self.anchor, self.members, self.seen = dict(self.held[first]), [first], first + 1
+            self.taken[first] = True
+        else:
+            self.held, self.taken = [], []
+
+    def _close(self) -> Iterable[tuple]:
+        """Settles the anchor and makes the next open row the anchor."""
+        kept = self.anchor
+        if self.judge:
+            kept, back = self.judge(self.anchor, [self.held[k] for k in self.members])
             for k in back:
-                taken[members[k]] = False
-        if anchor:
-            out.append(anchor)
-    return out
+                self.taken[self.members[k]] = k == 0  # the anchor has had its turn
+        first = self.members[0] + 1
+        while first < len(self.held) and self.taken[first]:
+            first += 1
+        if first > 1000 and first > len(self.held) // 2:
+            del self.held[:first], self.taken[:first]
+            first = 0
+        self._open(first)
+        return (tuple(kept[c] for c in FIELDS),) if kept else ()
+
+    def _meet(self) -> bool:
+        """The anchor meets the rows that it hasn't seen; whether one of them starts behind it."""
+        while self.seen < len(self.held):
+            row = self.held[self.seen]
+            if row["st"] > self.anchor["ed"]:
+                return True
+            if not self.taken[self.seen] and _meets(self.anchor, row):
+                _join(self.anchor, row)
+                self.members.append(self.seen)
+                self.taken[self.seen] = True
+            self.seen += 1
+        return False
+
+    def take(self, row: tuple) -> Iterable[tuple]:
+        self.held.append(dict(zip(FIELDS, row)))
+        self.taken.append(False)
+        if not self.anchor:
+            self._open(0)
+        out: list[tuple] = []
+        while self.anchor and self._meet():
+            out += self._close()
+        return out
+
+    def end(self) -> Iterable[tuple]:
+        out: list[tuple] = []
+        while self.anchor:
+            self._meet()
+            out += self._close()
+        return out
 
 
 def likeliest(starts: list[int], spread: list[float], low: int, size: int, forward: bool) -> tuple[int, float]:
@@ -78,7 +121,7 @@ def combine(signals: DataFrame, least_reads: int = 3, least_score: float = 16, l
     over `accept`, stays below `least`.
     """
     keys = ("chrom", "type", "side")
-    rows = with_island(signals.select(*FIELDS), 0, keys, ("st", "ed", "id"))
+    rows = with_island(signals.select(*FIELDS), 0, keys, ("st", "ed", "id")).select(*FIELDS, "island")
     accept, reach = accept or 2 * max(spread or [0.5]), reach or len(spread or ())
 
     def fine(a: dict) -> bool:
@@ -100,7 +143,7 @@ def combine(signals: DataFrame, least_reads: int = 3, least_score: float = 16, l
             return None, back
         return a | {"st": one - half, "ed": one + half, "st2": two - half, "ed2": two + half, "score": float(score), "reads": sum(m["reads"] for m, ok in zip(members, fits) if ok)}, back
 
-    out = by_island(rows, keys, lambda part: sweep(part, judge if spread else None), signals.select(*FIELDS).schema)
+    out = by_island(rows, keys, lambda: Sweep(judge if spread else None), signals.select(*FIELDS).schema, ORDER)
     if spread:
         return out
     return out.filter((F.col("reads") >= least_reads) & (F.col("score") > least_score) & (F.col("ed") - F.col("st") < longest) & (F.col("ed2") - F.col("st2") < longest))
@@ -133,9 +176,8 @@ def pair_sides(combined: DataFrame, score: float = 0, reads: float = 0, others:
 def union_duplicates(records: DataFrame) -> DataFrame:
     """Records of one type whose regions both overlap, as one, whatever their side."""
     keys = ("chrom", "type")
-    rows = with_island(records.select(*FIELDS), 0, keys, ("st", "ed", "id"))
-
-    return by_island(rows, keys, sweep, records.select(*FIELDS).schema)
+    rows = with_island(records.select(*FIELDS), 0, keys, ("st", "ed", "id")).select(*FIELDS, "island")
+    return by_island(rows, keys, Sweep, records.select(*FIELDS).schema, ORDER)
 
 
 def combine_inversions(records: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from strandloom.operators import cohort, context, contigs, folds, genotype, mei,
 from strandloom.operators import intervals as ops
 from strandloom.plans import cohort as plan
 from strandloom.sources import regions, variants
+from strandloom.tables import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -729,6 +730,22 @@ def _(read):
     return contigs.group_linked_reads(contigs.linked_read_scores(b), b)
 
 
+@query("linked_group_scores")
+def _(read):
+    b = _snps(read)
+    scores = kept(contigs.linked_read_scores(b), "scores")
+    return contigs.linked_group_scores(contigs.group_linked_reads(scores, b), scores)
+
+
+@query("rejected_reads")
+def _(read):
+    """Reads that back the same line number of their region, judged by the groups that most of them are in."""
+    b = _snps(read)
+    groups = kept(contigs.group_linked_reads(contigs.linked_read_scores(b), b), "groups")
+    backs = read("lineitem").selectExpr("CAST(floor(l_orderkey / 40) AS BIGINT) AS region", "l_orderkey AS read", "l_linenumber AS target").distinct()
+    return contigs.rejected_reads(groups, backs.join(backs.withColumnRenamed("read", "supporter"), ["region", "target"]).filter("read <> supporter"))
+
+
 def _snps(read):
     rows = read("lineitem").selectExpr("CAST(floor(l_orderkey / 40) AS BIGINT) AS region", "l_orderkey AS read", "l_suppkey % 7 AS pos", "l_quantity > 25 AS alt")
     return rows.groupBy("region", "read", "pos").agg(F.max("alt").alias("alt"))

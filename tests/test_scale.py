@@ -183,7 +183,7 @@ def test_drop_close_keeps_the_longer(spark):
 def test_linked_reads_and_contig_clusters(spark):
     scores = spark.createDataFrame([("r", 1, 2, 6), ("r", 1, 3, -4), ("r", 2, 3, -4), ("r", 3, 4, 3)], "region string, r1 int, r2 int, score int")
     members = spark.createDataFrame([("r", k) for k in (1, 2, 3, 4, 5)] + [("s", 9)], "region string, read int")
-    assert {(r.region, r.read): r.grp for r in contigs.group_linked_reads(scores, members).collect()} == {("r", 1): 0, ("r", 2): 0, ("r", 3): 1, ("r", 4): 1, ("r", 5): 0, ("s", 9): 0}
+    assert {(r.region, r.read): r.grp for r in contigs.group_linked_reads(scores, members).collect()} == {("r", 1): 0, ("r", 2): 0, ("r", 3): 1, ("r", 4): 1, ("r", 5): -1, ("s", 9): 0}
     rows = spark.createDataFrame([("r", c, k) for k, c in enumerate("abcd")] + [("q", "x", 0)], "region string, contig string, ord int")
     differ = spark.createDataFrame([("r", "b", "a"), ("r", "a", "d"), ("r", "d", "b")], "region string, a_contig string, b_contig string")
     assert {(r.region, r.contig): r.cluster for r in contigs.cluster_contigs(rows, differ).collect()} == {("r", "a"): 0, ("r", "b"): 1, ("r", "c"): 0, ("r", "d"): 2, ("q", "x"): 0}
@@ -260,3 +260,138 @@ def test_subregion_clusters_equal_plain_loops(spark):
     args = (spark.createDataFrame([("r", k) for k in range(5)], "region string, cluster int"), spark.createDataFrame(sv, "region string, a int, b int, pos int, class int"), spark.createDataFrame(runs, "region string, run int, st int, ed int, vntr boolean"))
     got = contigs.subregion_clusters(*args).collect()
     assert {x.run: (x.n_clusters, x.only_purple, [x[f"class_{k}"] for k in range(5)], x.places) for x in got} == want
+
+
+def plain_clusters(order, differ):
+    """Each contig meets the leaders, the reference's first, then larger clusters first."""
+    leader, size, out = [], [], {}
+    for c in order:
+        for k in sorted(range(len(leader)), key=lambda k: (k > 0, -size[k], k)):
+            if (c, leader[k]) not in differ and (leader[k], c) not in differ:
+                break
+        else:
+            k = len(leader)
+            leader.append(c)
+            size.append(0)
+        size[k] += 1
+        out[c] = k
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_contig_clusters_of_200_regions_equal_a_plain_loop(spark, parts):
+    rows, pairs, want = [], [], {}
+    for g in range(200):
+        r = random.Random(g)
+        names = [f"c{k}" for k in r.sample(range(99), r.randrange(1, 14))]
+        differ = {(a, b) for a, b in itertools.combinations(names, 2) if r.random() < (0.2, 0.5, 0.9, 1.0)[g % 4]}
+        rows += [(g, c, k // 2) for k, c in enumerate(sorted(names))]
+        pairs += [(g, *r.sample(p, 2)) for p in differ for _ in range(r.randrange(1, 3))]
+        want |= {(g, c): k for c, k in plain_clusters(sorted(names), differ).items()}
+    both = spark.createDataFrame([(g, c, k, None, None) for g, c, k in rows] + [(g, None, None, a, b) for g, a, b in pairs], "region int, contig string, ord int, a_contig string, b_contig string").repartition(parts)
+    got = contigs.cluster_contigs(both.filter("contig is not null").select("region", "contig", "ord"), both.filter("contig is null").select("region", "a_contig", "b_contig"))  # one table on both sides
+    assert {(x.region, x.contig): x.cluster for x in got.collect()} == want
+    assert contigs.cluster_contigs(both.limit(0).select("region", "contig", "ord"), both.limit(0).select("region", "a_contig", "b_contig")).count() == 0
+
+
+def plain_read_groups(reads_, score):
+    groups, out = [], {}
+    for x in sorted(reads_):
+        sums = [sum(score.get((min(x, y), max(x, y)), 0) for y in g) for g in groups]
+        if any(s > 0 for s in sums):
+            k = sums.index(max(sums))
+        elif not groups or any(s < 0 for s in sums):
+            k = len(groups)
+            groups.append([])
+        else:
+            k = -1
+        out[x] = k
+        if k >= 0:
+            groups[k].append(x)
+    return out, groups
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_read_groups_scores_and_majority_of_200_regions(spark, parts):
+    rows, pairs, back, want, sums, rejected = [], [], [], {}, {}, {}
+    for g in range(200):
+        r = random.Random(g)
+        names = r.sample(range(500), r.randrange(1, 12))
+        score = {(a, b): r.choice([-4, 3, 1, 0, 45]) for a, b in itertools.combinations(sorted(names), 2) if r.random() < 0.6}
+        out, groups = plain_read_groups(names, score)
+        rows += [(g, x) for x in names for _ in range(1 + x % 2)]
+        pairs += [(g, *r.sample(p, 2), s) for p, s in score.items()]
+        want |= {(g, x): k for x, k in out.items()}
+        for k, m in enumerate(groups):
+            each = [sum(score.get((min(x, y), max(x, y)), 0) for y in m if y != x) for x in m]
+            sums[g, k] = (len(m), sum(each), sum(e < 40 for e in each))
+        for target in range(2):
+            mine = r.sample(names, r.randrange(0, len(names) + 1))
+            for x in mine:
+                others = [y for y in mine if y != x]
+                back += [(g, x, target, y) for y in others]
+                same = sum(out[y] == out[x] for y in others)
+                if others:
+                    rejected[g, target, x] = (same, len(others) - same, same < len(others) - same)
+    members, scores = spark.createDataFrame(rows, "region int, read int").repartition(parts), spark.createDataFrame(pairs, "region int, r1 int, r2 int, score long").repartition(parts)
+    groups = contigs.group_linked_reads(scores, members)
+    assert {(x.region, x.read): x.grp for x in groups.collect()} == want
+    assert {(x.region, x.grp): (x.reads, x.score, x.low) for x in contigs.linked_group_scores(groups, scores).collect()} == sums
+    got = contigs.rejected_reads(groups, spark.createDataFrame(back, "region int, read int, target int, supporter int"))
+    assert {(x.region, x.target, x.read): (x.same, x.other, x.rejected) for x in got.collect()} == rejected
+
+
+def plain_absorb(rows, joins):
+    out = []
+    for st, ed, n in sorted(rows):
+        if out and joins(out[-1][0], out[-1][1], st, ed):
+            a = out[-1]
+            out[-1] = [min(a[0], st), max(a[1], ed), a[2] + n]
+        else:
+            out.append([st, ed, n])
+    return out
+
+
+def test_a_million_rows_in_one_island_pass_a_fold(spark):
+    """One island, from one task, that holds an anchor and a batch: it neither fails nor lists the island."""
+    rows = spark.range(1_000_000).selectExpr("1 AS chrom", "'x' AS kind", "id * 10 AS st", "id * 10 + (id * 7919) % 900 AS ed", "1L AS support", "id")
+    got = folds.merge_normal(rows, 1)
+    n, total = got.selectExpr("count(1)", "sum(support)").first()
+    assert total == 1_000_000
+    joins = lambda st, ed, x, y: any(abs(p - q) < 300 for p in (st, ed) for q in (x, y)) or (st <= x and y <= ed)
+    assert n == len(plain_absorb([(i * 10, i * 10 + i * 7919 % 900, 1) for i in range(1_000_000)], joins))
+    fold = folds.Absorb(joins)
+    for i in range(1000):
+        list(fold.take((1, "x", i, i, 1, i)))
+    assert len(fold.anchor) == 6
+
+
+def plain_drop_close(rows, near=300, low=0.9, high=1.1):
+    rows, gone = sorted(rows, key=lambda x: (x[1], x[2], x[0])), set()
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a[0] in gone or b[1] - a[1] > near:
+                break
+            if b[0] not in gone and b[2] and low <= a[2] / b[2] <= high:
+                gone.add(b[0] if abs(a[2]) >= abs(b[2]) else a[0])
+    return {x[0] for x in rows} - gone
+
+
+def test_close_calls_equal_a_plain_loop(spark):
+    r = random.Random(17)
+    rows = [(i, r.randrange(4), r.randrange(9000), r.choice([-1, 1]) * r.randrange(0, 60)) for i in range(1500)]
+    want = set().union(*(plain_drop_close([(i, st, n) for i, c, st, n in rows if c == k]) for k in range(4)))
+    for parts in (1, 6):
+        assert {x.id for x in folds.drop_close(spark.createDataFrame(rows, "id int, chrom int, st int, svlen int").repartition(parts)).collect()} == want
+    held = folds.CloseCalls(300, 0.9, 1.1)
+    for i in range(100_000):
+        list(held.take((i, i * 10, 5)))
+        assert len(held.open) <= 31
+
+
+def test_sweeps_hold_an_anchor_s_window_alone():
+    held, out = short_signals.Sweep(), []
+    for i in range(50_000):
+        out += held.take((1, "DEL", "BEGIN", i * 10, i * 10 + 5, 1, i * 10, i * 10 + 5, 1.0, 1, i))
+        assert len(held.held) < 2500
+    assert len(out) + len(list(held.end())) == 50_000
