@@ -20,8 +20,9 @@ from strandloom.llm.queries import tokenizer
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules. Null, empty and short texts (under 50 words) go; repeated rows are judged each."""
-    return quality.keep(docs)
+    """Documents that pass the quality rules, and a rule besides: at most one symbol in ten words. Null, empty and short texts
+    (under 50 words) go; repeated rows are judged each."""
+    return quality.keep(docs, max_symbols=0.1)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,11 +37,13 @@ _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])|(?:password|passwd|secret|api_key|token)[ ]?[=:][ ]?[^\s]{8,}+")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])")
 
-#: Score of a match by itself, and words nearby that raise it (by CONTEXT_GAIN).
+_RUN, _RUNS = re.compile(r"[^\W_]*"), re.compile(r"[^\W_]+")
+
+#: Score of a match by itself, and whole words nearby that raise it (by CONTEXT_GAIN).
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "secret": 0.8, "local_phone": 0.35}
 CONTEXT = {
-    "email": ("mail", "contact", "write"), "ip": ("ip", "address", "server", "host"), "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "call", "tel", "fax"),
-    "iban": ("iban", "bank", "account"), "ssn": ("ssn", "social", "security"), "secret": ("key", "secret", "token", "password"), "local_phone": ("phone", "call", "tel", "fax", "mobile"),
+    "email": {"mail", "email", "contact", "write"}, "ip": {"ip", "address", "server", "host"}, "card": {"card", "visa", "credit", "payment"}, "phone": {"phone", "call", "tel", "fax"},
+    "iban": {"iban", "bank", "account"}, "ssn": {"ssn", "social", "security"}, "secret": {"key", "secret", "token", "password"}, "local_phone": {"phone", "telephone", "call", "tel", "fax", "mobile"},
 }
 CONTEXT_GAIN, CONTEXT_CHARS, THRESHOLD = 0.3, 40, 0.6
 
@@ -105,9 +107,20 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def _words_near(text: str, start: int, end: int) -> set[str]:
+    """Whole words (runs of letters and digits), in lower case, within CONTEXT_CHARS of a span; words that the limit cuts
+    don't count."""
+    low, high = max(0, start - CONTEXT_CHARS), min(len(text), end + CONTEXT_CHARS)
+    before, behind = text[low:start], text[end:high]
+    if low and text[low - 1].isalnum():
+        before = before[len(_RUN.match(before).group()) :]
+    if high < len(text) and text[high].isalnum():
+        behind = behind[: len(behind) - len(_RUN.match(behind[::-1]).group())]
+    return set(_RUNS.findall(before.lower())) | set(_RUNS.findall(behind.lower()))
+
+
 def _near(text: str, start: int, end: int, kind: str) -> float:
-    around = (text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]).lower()
-    return min(1.0, SCORE[kind] + CONTEXT_GAIN * any(w in around for w in CONTEXT[kind]))
+    return min(1.0, SCORE[kind] + CONTEXT_GAIN * (not CONTEXT[kind].isdisjoint(_words_near(text, start, end))))
 
 
 def find(text: str | None) -> list[Span]:

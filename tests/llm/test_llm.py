@@ -190,6 +190,24 @@ def test_pii_base_spans_equal_plain_patterns(docs, none):
         pii.find(bad)
 
 
+def test_pii_context_takes_whole_words():
+    kinds = lambda t: [s.kind for s in pii.find(t) if not s.base]
+    for said, other in (("tel", "hotel"), ("call", "calling"), ("Phone:", "phoned"), ("fax", "faxes"), ("MOBILE", "immobile")):
+        assert kinds(f"{said} 212-555-0100 x") == ["local_phone"] == kinds(f"x 212-555-0100 {said}")
+        assert kinds(f"{other} 212-555-0100 x") == [] == kinds(f"x 212-555-0100 {other}")
+    for said, other in (("ssn", "assn"), ("Social", "antisocial"), ("security,", "insecurity")):
+        assert kinds(f"{said} 123-45-6789") == ["ssn"] and kinds(f"{other} 123-45-6789") == []
+    pad = pii.CONTEXT_CHARS
+    assert kinds("tel" + " " * (pad - 3) + "212-555-0100") == ["local_phone"] and kinds("tel" + " " * (pad - 2) + "212-555-0100") == []
+    assert kinds("hotel" + " " * (pad - 3) + "212-555-0100") == [] == kinds("212-555-0100" + " " * (pad - 3) + "telling")  # the limit cuts a word
+    assert kinds("212-555-0100" + " " * (pad - 3) + "tel") == ["local_phone"]
+    # each added kind at its threshold: by itself, with a word, and where a checksum or a form rules it out
+    assert kinds("GB82 WEST 1234 5698 7654 32") == ["iban"] and kinds("bank GB82 WEST 1234 5698 7654 33") == []
+    assert kinds("AKIA" + "A1" * 8) == ["secret"] and kinds("xAKIA" + "A1" * 8) == [] and kinds("password= short") == []
+    assert kinds("ssn 000-45-6789 or 900-45-6789 or 123-00-6789 or 123-45-0000") == []
+    assert {s.kind: s.score for s in pii.find("visa 4111 1111 1111 1111, mail a@b.example.com")} == {"card": 1.0, "email": 1.0}
+
+
 def test_pii_masks_long_secrets_whole():
     value = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789_-", k=200))
     assert pii.masked(f"use token={value} now") == "use <secret> now"
@@ -327,10 +345,10 @@ def test_quality_counts_equal_brute_force(docs, none):
         w = words_of(t)
         best = longest_runs(w)
         cover = {j for k, m in enumerate(best) if m >= lim.min_repeat for j in range(k, k + m)}
-        top, n, signs = max(best, default=0), len(w), len(re.findall(r"[#*$%&|<>]", t or ""))
+        top, n = max((m for m in best if m >= lim.min_repeat), default=0), len(w)
         c = Counter(tuple(w[k : k + 3]) for k in range(n - 2))
         base = n < 50 or 100 * len({j for k in range(n - 2) if c[tuple(w[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}) > 50 * n
-        kept[str(i)] = (len(cover), top, not base and len(cover) <= lim.max_covered * n and not (top >= lim.min_repeat and top > lim.max_longest * n) and signs <= lim.max_symbols * n)
+        kept[str(i)] = (len(cover), top, not base and len(cover) <= lim.max_covered * n and top <= lim.max_longest * n)
     assert {str(r.doc_id): (r.n_covered, r.longest_repeat, r.kept) for r in rows} == kept
     assert sorted(str(r.doc_id) for r in quality.keep(docs).collect()) == sorted(str(r.doc_id) for r in rows if r.kept)
     assert quality.measure(none).count() == 0
@@ -356,27 +374,57 @@ def test_quality_method_alone_rejects(spark):
     scattered = w[:90] + w[:9] + ["x"] + w[20:29] + ["y"] + w[40:49]  # covered, but no long repeat
     rows = [(1, " ".join(w)), (2, " ".join(w[:100] + w[5:14])), (3, " ".join(w[:100] + w[:20])), (4, " ".join(f"{x}|" for x in w)), (5, " ".join(scattered))]
     got = {r.doc_id: (r.base_failed, r.kept) for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (False, True), 2: (False, True), 3: (False, False), 4: (False, False), 5: (False, False)}
+    assert got == {1: (False, True), 2: (False, True), 3: (False, False), 4: (False, True), 5: (False, False)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in quality.keep(df, max_symbols=0.1).collect()} == {1, 2}
 
 
-def test_longest_repeats_equal_brute_force():
+def plain_maximal_repeats(t, least):
+    """Runs of words that occur twice or more and can't be longer on either side in all their places."""
+    places = defaultdict(list)
+    for n in range(least, len(t)):
+        for i in range(len(t) - n + 1):
+            places[tuple(t[i : i + n])].append(i)
+    out = set()
+    for x, at in places.items():
+        before, behind = {t[i - 1] if i else None for i in at}, {t[i + len(x)] if i + len(x) < len(t) else None for i in at}
+        if len(at) > 1 and (len(before) > 1 or None in before) and (len(behind) > 1 or None in behind):
+            out.add((x, tuple(at)))
+    return out
+
+
+def test_lcp_intervals_are_the_maximal_repeats():
     import numpy as np
 
-    for seed in range(60):
+    for seed in range(150):
         r = random.Random(seed)
         texts = [[r.randrange(r.choice([1, 2, 4])) for _ in range(r.randrange(30))] for _ in range(3)]
-        want = []
-        for t in texts:
-            for i in range(len(t)):
-                best = 0
-                for j in range(len(t)):
-                    n = 0
-                    while i != j and max(i, j) + n < len(t) and t[i + n] == t[j + n]:
-                        n += 1
-                    best = max(best, n)
-                want.append(best)
         word, of = np.array([x for t in texts for x in t], np.int64), np.repeat(np.arange(3), [len(t) for t in texts])
-        assert quality.max_lcp(word, of).tolist() == want
+        seq, shared = quality.neighbours(word, of)
+        lcp = np.zeros(len(word), np.int64)
+        lcp[seq] = np.maximum(shared, np.append(shared[1:], 0)[: len(shared)])
+        assert lcp.tolist() == [m for t in texts for m in longest_runs(t)]
+        first = np.append(True, of[1:] != of[:-1])[: len(of)]
+        left = np.where(first[seq], quality._DIVERSE, word[seq - 1])
+        for least in (1, 2, 5):
+            got, starts = [set(), set(), set()], np.cumsum([0, *map(len, texts)])
+            for n, lo, hi, maximal in quality.lcp_intervals(shared, left, least):
+                if maximal:
+                    at = sorted(int(seq[k]) for k in range(lo, hi + 1))
+                    k = int(of[at[0]])
+                    got[k].add((tuple(word[at[0] : at[0] + n].tolist()), tuple(i - int(starts[k]) for i in at)))
+            assert got == [plain_maximal_repeats(t, least) for t in texts]
+
+
+def test_quality_limits_are_fitted_on_labels(spark):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(words[: 100 + i] + words[: i % 10])) for i in range(100)] + [(1000, " ".join(words[:100] * 2)), (1001, "short")]
+    counts = quality.measure(spark.createDataFrame(rows, "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(1000, 0), (1001, 1), (77, 1)], "doc_id long, quality int")
+    worst = max((i % 10 if i % 10 >= 8 else 0) * 2 / (100 + i + i % 10) for i in range(100))
+    got = quality.fit(counts, labels, 0.0)
+    assert got.max_covered == pytest.approx(worst) and got.max_longest == pytest.approx(worst / 2) and got.min_repeat == 8
+    assert quality.fit(counts, labels, 0.5).max_covered == 0.0
 
 
 def plain_fingerprint(text, lexicon):
