@@ -441,30 +441,52 @@ def plain_fingerprint(text, lexicon):
     low = text.encode().lower().split()
     every = sorted({xxhash.xxh3_64_intdigest(w) for w in low})
     h = [x for x in every if x in lexicon] or every or [xxhash.xxh3_64_intdigest(text.encode())]
-    whole, eighth, small = 0, [0] * 8, [0] * 80
+    whole, eighth, small = 0, [0] * 8, [0] * 160
     for x in h:
         z = mix(x)
         c = mix(z)
         whole += z
         eighth[c >> 61] += z
-        for k, rate in enumerate((3, 5, 7, 9, 11)):
-            cell = mix(c) >> (60 - rate)
-            if cell < 16:
-                small[16 * k + cell] += z
+        for k, rate in enumerate((0, 2, 4, 6, 8)):
+            cell = mix(c) >> (59 - rate)
+            if cell < 32:
+                small[32 * k + cell] += z
     out = [whole & full, *[(whole - e) & full for e in eighth], *[v & full for v in small]]
-    return np.array([0 if v == 0 else max(mix(v) >> 48, 1) for v in out], np.uint64)
+    return np.array([0 if v == 0 else max(mix(v) >> 32, 1) for v in out], np.uint64)
 
 
 def plain_likeness(a, b):
     if (a == b).all():
         return 1.0
-    groups = [list(range(9)), *[list(range(9 + 16 * k, 25 + 16 * k)) for k in range(5)]]
-    found = [0.0]
-    for g in groups:
-        told = [i for i in g if a[i] or b[i]]
-        if len(told) >= 4:
-            found.append(sum(bool(a[i] == b[i]) for i in told) / len(told))
-    return max(found)
+    groups = [list(range(9)), *[list(range(9 + 32 * k, 41 + 32 * k)) for k in range(5)]]
+    told = [[i for i in g if a[i] or b[i]] for g in groups]
+    return max(sum(bool(a[i] == b[i]) for i in g) / (len(g) + 2) for g in told)
+
+
+def test_imatch_finds_half_edited_texts_and_leaves_others(spark):
+    """Recall and false neighbours at NEAR on the small documents, and likeness against the share of terms in common."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    got = q.op10_imatch(spark, "/root/testdata/sf0.01").select("doc_id", "near_edited", "near_next").collect()
+    text = {r["doc_id"]: r["text"] or "" for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    order = sorted(text, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    edited = [r.near_edited for r in got if len(text[r.doc_id]) > 1]
+    other = [r.near_next for r in got if text[r.doc_id] != text[after[r.doc_id]]]
+    assert np.mean([x >= imatch.NEAR for x in edited]) >= 0.92 and np.mean([x >= imatch.NEAR for x in other]) <= 0.015
+    count = Counter(w for t in text.values() for w in set(t.encode().lower().split()))
+    band = {w for w, c in count.items() if 2 <= c <= 50}
+    share, like = [], []
+    for r in got:
+        t, u = text[r.doc_id], text[after[r.doc_id]]
+        a, b = (set(x.encode().lower().split()) & band for x in (t, imatch.edited(t, u)))
+        if a | b and a != b:
+            share.append(len(a & b) / len(a | b))
+            like.append(r.near_edited)
+    share, like = np.array(share), np.array(like)
+    means = [like[(share >= lo) & (share < hi)].mean() for lo, hi in ((0, 0.1), (0.1, 0.3), (0.3, 0.5), (0.5, 1))]
+    assert means == sorted(means) and means[0] < 0.12 < means[1] and means[3] > 0.3, means
 
 
 def test_imatch_equals_a_plain_transcription(docs, none):
