@@ -52,18 +52,37 @@ def edits(cigar: Column | str, nm: Column | str) -> Column:
     return F.greatest(indel_bases(cigar), F.coalesce(_col(nm), F.lit(0)))
 
 
+#: Operations that are numbered together.
+PIECE = 256
+
+
 def with_offsets(cigar: Column | str, start: Column | str) -> Column:
     """Array of `struct<op, len, ref, query>`: where each operation begins on the reference and in the read.
 
-    One pass over the array of each row, so that no shuffle is needed for running sums.
+    Within each row, so that no shuffle is needed for running sums: sums of pieces of PIECE operations first, then places
+    within each piece, as a growing array is copied at each step.
     """
-    def step(acc: Column, x: Column) -> Column:
-        ref, query = acc["ref"], acc["query"]
-        row = F.struct(x["op"].alias("op"), x["len"].alias("len"), ref.alias("ref"), query.alias("query"))
-        return F.struct(F.concat(acc["rows"], F.array(row)).alias("rows"), (ref + F.when(x["op"].isin(ON_REFERENCE), x["len"]).otherwise(0)).alias("ref"), (query + F.when(x["op"].isin(ON_QUERY), x["len"]).otherwise(0)).alias("query"))
+    ref_len = lambda x: F.when(x["op"].isin(ON_REFERENCE), x["len"]).otherwise(0)
+    query_len = lambda x: F.when(x["op"].isin(ON_QUERY), x["len"]).otherwise(0)
 
-    zero = F.struct(F.array().cast("array<struct<op: string, len: int, ref: int, query: int>>").alias("rows"), _col(start).cast("int").alias("ref"), F.lit(0).alias("query"))
-    return F.aggregate(_col(cigar), zero, step)["rows"]
+    def step(acc: Column, x: Column) -> Column:
+        row = F.struct(x["op"].alias("op"), x["len"].alias("len"), acc["ref"].alias("ref"), acc["query"].alias("query"))
+        return F.struct(F.array_append(acc["rows"], row).alias("rows"), (acc["ref"] + ref_len(x)).alias("ref"), (acc["query"] + query_len(x)).alias("query"))
+
+    def numbered(piece: Column) -> Column:
+        zero = F.struct(F.array().cast("array<struct<op: string, len: int, ref: int, query: int>>").alias("rows"), piece["ref"].alias("ref"), piece["query"].alias("query"))
+        return F.aggregate(piece["ops"], zero, step)["rows"]
+
+    def passed(acc: Column, x: Column) -> Column:
+        piece = F.struct(x.alias("ops"), acc["ref"].alias("ref"), acc["query"].alias("query"))
+        sums = [F.aggregate(x, acc[c], lambda a, y: a + f(y)).alias(c) for c, f in (("ref", ref_len), ("query", query_len))]
+        return F.struct(F.array_append(acc["pieces"], piece).alias("pieces"), *sums)
+
+    ops = F.transform(_col(cigar), lambda x: F.struct(x["op"].alias("op"), x["len"].cast("int").alias("len")))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(ops), F.lit(1)) - 1) / PIECE).cast("int")), lambda k: F.slice(ops, k * PIECE + 1, PIECE))
+    kind = "array<struct<ops: array<struct<op: string, len: int>>, ref: int, query: int>>"
+    zero = F.struct(F.array().cast(kind).alias("pieces"), _col(start).cast("int").alias("ref"), F.lit(0).alias("query"))
+    return F.when(_col(cigar).isNotNull(), F.flatten(F.transform(F.aggregate(cut, zero, passed)["pieces"], numbered)))
 
 
 def exploded(reads: DataFrame, cigar: str = "cigar", pos: str = "pos") -> DataFrame:

@@ -1,19 +1,22 @@
 """Joins and groupings of intervals.
 
-Range predicates become equi-joins: each interval is dealt to the bins it touches, bins join, and a pair is kept in one
-bin only (the one in which the later start lies), so no distinct is needed. Groupings of neighbours are gaps and islands
+Range predicates become equi-joins: each interval is dealt to the few bins it touches on the level of bins that fits its
+length, bins join level by level, and a pair is kept in one bin only (the one in which the later start lies), so no distinct
+is needed. Groupings of neighbours are gaps and islands
 by window functions in two levels: rows meet in bins of a chromosome, and what a bin passes on to the next (a running
 maximum or sum) is one row for each bin. No window takes the rows of a whole chromosome. Everything stays in the JVM.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import intervals as iv
+from strandloom.tables import kept
 
 
 def div(x: Column, by: int) -> Column:
@@ -26,8 +29,49 @@ def bins(st: Column, ed: Column, width: int) -> Column:
     return F.when(st <= ed, F.sequence(div(st, width), div(ed, width))).otherwise(F.array().cast("array<bigint>"))
 
 
-#: Bases of a chromosome that one window takes.
-STRETCH = 1_000_000
+#: Bases of a chromosome that one window takes, and that are counted together where stretches go by rows.
+STRETCH, FINE = 1_000_000, 1024
+
+
+def stretches(rows: DataFrame, keys: Sequence[str], place: str, stretch: int, most: int | None = None, fine: int = FINE) -> DataFrame:
+    """`rows` with `_bin`, which ascends with `place`: equal stretches of bases, or with `most` stretches of about so many
+    rows, for tables that lie deep in some places.
+
+    Rows are then counted in steps of `fine` bases, a first pass over keys and places; a stretch takes steps until it has
+    `most` rows, so it has less than that and one step more. A step, and so all rows of one place, is never cut: a pile
+    of rows at one place stays one stretch.
+    """
+    if most is None:
+        return rows.withColumn("_bin", div(F.col(place), stretch))
+    step = div(F.col(place), fine)
+    counts = rows.groupBy(*keys, step.alias("_step")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_step")) - F.col("_n")  # a row for each step
+    cuts = kept(counts.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), "_step", F.floor(upto / most).alias("_bin")), "stretches")
+    known = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)] + [step == F.col("_step")]
+    return rows.join(cuts, functools.reduce(Column.__and__, known)).select(*rows.columns, "_bin")
+
+
+#: A row touches at most SPREAD + 1 bins of its own level, and bins are RATIO times as wide on the next of LEVELS levels.
+SPREAD, RATIO, LEVELS = 4, 16, 8
+
+
+def level(length: Column, width: int) -> Column:
+    """The first level of bins on which a row of this length touches few."""
+    out = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        out = F.when(length <= SPREAD * width * RATIO**k, k).otherwise(out)
+    return out
+
+
+def dealt(rows: DataFrame, st: str, ed: str, width: int, highest: Column | int, last: int = LEVELS - 1) -> DataFrame:
+    """`rows` with a row for each `_bin` on its own `_level` and on each up to `highest`; `_own` is its own level, `last` at most."""
+    own = F.least(level(F.col(ed) - F.col(st), width), F.lit(last))
+    wide = lambda k: F.pow(F.lit(RATIO), k).cast("long") * width
+    on = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), highest - F.col("_own"))), lambda d: F.struct((F.col("_own") + d).alias("level"), wide(F.col("_own") + d).alias("w")))
+    each = F.flatten(F.transform(on, lambda x: F.transform(F.sequence(F.floor(F.col(st) / x["w"]), F.floor(F.col(ed) / x["w"])), lambda b: F.struct(x["level"].alias("_level"), b.cast("long").alias("_bin"), x["w"].alias("_w")))))
+    kind = "array<struct<_level: int, _bin: bigint, _w: bigint>>"
+    some = rows.withColumn("_own", own).withColumn("_at", F.explode(F.when(F.col(st) <= F.col(ed), each.cast(kind)).otherwise(F.array().cast(kind))))
+    return some.withColumn("_level", F.col("_at._level")).withColumn("_bin", F.col("_at._bin")).withColumn("_w", F.col("_at._w")).drop("_at")
 
 
 def passed_on(rows: DataFrame, keys: Sequence[str], **what: Column) -> DataFrame:
@@ -37,30 +81,43 @@ def passed_on(rows: DataFrame, keys: Sequence[str], **what: Column) -> DataFrame
     return rows.join(per.select(*here, *(F.max(k).over(before).alias(k) for k in what)), here, "left")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = 10_000, pad: int = 0, keys: Sequence[str] = ("chrom",)) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, width: int = 10_000, pad: int = 0, keys: Sequence[str] = ("chrom",), levels: int | None = None) -> DataFrame:
     """All pairs of rows that overlap (closed) once the left is padded on both sides. Right columns get the prefix r_.
 
-    Choose `width` near the typical length: then a row falls in few bins. A bin with very many rows on one side is split
-    by Spark's skew join, as both sides are plain shuffles.
+    `width` is that of the lowest level's bins: choose it near the typical length. A row goes to at most five bins on its own
+    level and to one or two on each higher one that the other table has rows on, whatever its length; a pair meets on the
+    higher of its two levels. The other table's highest level takes a pass over its lengths; `levels` states it instead (with
+    fewer than there are, results stay and long rows go to more bins). A bin with very many rows on one side is split by
+    Spark's skew join, as both sides are plain shuffles.
     """
     right = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
     a = left.withColumn("_st", F.col("st") - pad).withColumn("_ed", F.col("ed") + pad)
-    a = a.withColumn("_bin", F.explode(bins(F.col("_st"), F.col("_ed"), width)))
-    b = right.withColumn("_rbin", F.explode(bins(F.col("r_st"), F.col("r_ed"), width)))
-    on = (F.col("_bin") == F.col("_rbin")) & iv.overlaps(F.col("_st"), F.col("_ed"), F.col("r_st"), F.col("r_ed")) & (F.col("_bin") == div(F.greatest("_st", "r_st"), width))
+    b = right
+    if levels is None:
+        top = lambda rows, st, ed, name: rows.agg(F.coalesce(F.max(level(F.col(ed) - F.col(st), width)), F.lit(0)).alias(name))
+        tops = [top(b, "r_st", "r_ed", "_top"), top(a, "_st", "_ed", "_top")]
+        a, b = (dealt(rows.join(F.broadcast(t)), st, ed, width, F.col("_top")).drop("_top") for rows, t, st, ed in ((a, tops[0], "_st", "_ed"), (b, tops[1], "r_st", "r_ed")))
+    else:
+        a, b = (dealt(rows, st, ed, width, levels - 1, levels - 1) for rows, st, ed in ((a, "_st", "_ed"), (b, "r_st", "r_ed")))
+    b = b.drop("_w").withColumnsRenamed({"_bin": "_rbin", "_level": "_rlevel", "_own": "_rown"})
+    on = (F.col("_bin") == F.col("_rbin")) & (F.col("_level") == F.col("_rlevel")) & (F.col("_level") == F.greatest("_own", "_rown"))
+    on = on & iv.overlaps(F.col("_st"), F.col("_ed"), F.col("r_st"), F.col("r_ed")) & (F.col("_bin") == F.floor(F.greatest("_st", "r_st") / F.col("_w")).cast("long"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"r_{k}"))
-    return a.join(b, on).drop("_st", "_ed", "_bin", "_rbin")
+    return a.join(b, on).drop("_st", "_ed", "_bin", "_level", "_own", "_w", "_rbin", "_rlevel", "_rown")
 
 
 def containment_join(query: DataFrame, bed: DataFrame, width: int = 1000, order: str = "bed_order", key: str = "id") -> DataFrame:
     """Every query (unique by `key`) with the first row of `bed`, in its order, that contains it; null columns if none does.
 
-    Only the bin of the query's start is looked up. Hits are reduced by key right after the join, query columns with them.
+    A row of `bed` goes to the bins of the level that fits its length, and a query looks up the bin of its start on each
+    level. Hits are reduced by key right after the join, query columns with them.
     """
-    b = bed.select(*(F.col(c).alias(f"r_{c}") for c in bed.columns)).withColumn("_bin", F.explode(bins(F.col("r_st"), F.col("r_ed"), width)))
-    q = query.withColumn("_qbin", div(F.col("st"), width))
-    on = (q["chrom"] == b["r_chrom"]) & (q["_qbin"] == b["_bin"]) & iv.within(q["st"], q["ed"], b["r_st"], b["r_ed"])
+    b = dealt(bed.select(*(F.col(c).alias(f"r_{c}") for c in bed.columns)), "r_st", "r_ed", width, 0)
+    top = bed.agg(F.coalesce(F.max(level(F.col("ed") - F.col("st"), width)), F.lit(0)).alias("_top"))
+    on_each = F.explode(F.transform(F.sequence(F.lit(0), F.col("_top")), lambda k: F.struct(k.alias("k"), F.floor(F.col("st") / (F.pow(F.lit(RATIO), k).cast("long") * width)).cast("long").alias("b"))))
+    q = query.join(F.broadcast(top)).withColumn("_q", on_each).withColumn("_qlevel", F.col("_q.k")).withColumn("_qbin", F.col("_q.b")).drop("_q", "_top")
+    on = (q["chrom"] == b["r_chrom"]) & (q["_qbin"] == b["_bin"]) & (q["_qlevel"] == b["_level"]) & iv.within(q["st"], q["ed"], b["r_st"], b["r_ed"])
     rest = [c for c in query.columns if c != key]
     hit = F.when(F.col("_bin").isNotNull(), F.struct(*(f"r_{c}" for c in bed.columns)))
     per = q.join(b, on, "left").groupBy(key).agg(F.first(F.struct(*rest)).alias("_q"), F.min_by(hit, f"r_{order}").alias("_hit"))
@@ -95,10 +152,10 @@ def flag_near(sv: DataFrame, dist: int = 500, keys: Sequence[str] = ("sample", "
     return sv.join(near, id_col, "left_semi")
 
 
-def with_island(df: DataFrame, gap: int, keys: Sequence[str] = ("chrom",), order: Sequence[str] = ("st", "ed"), stretch: int = STRETCH) -> DataFrame:
+def with_island(df: DataFrame, gap: int, keys: Sequence[str] = ("chrom",), order: Sequence[str] = ("st", "ed"), stretch: int = STRETCH, most: int | None = None) -> DataFrame:
     """Adds `island`: rows follow each other in one island while a start is at most `gap` (0 at least) past the largest end
-    so far. Its value is the start of the island's first row, whatever the stretch."""
-    rows = df.withColumn("_bin", div(F.col("st"), stretch))
+    so far. Its value is the start of the island's first row, whatever the stretch (see `stretches`)."""
+    rows = stretches(df, keys, "st", stretch, most)
     by = Window.partitionBy(*keys, "_bin").orderBy(*order)
     far = F.greatest("_far", F.max("ed").over(by.rowsBetween(Window.unboundedPreceding, -1)))
     rows = passed_on(rows, keys, _far=F.col("ed")).withColumn("_new", F.when(F.col("st") - far <= gap, None).otherwise(F.col("st")))
@@ -132,13 +189,14 @@ def bin_frequency(binned: DataFrame, least: int, width: int = 500) -> DataFrame:
     return rows.agg(F.min("st").alias("st"), F.max("ed").alias("ed"), F.max("ac").alias("max_ac"), F.count(F.lit(1)).alias("n_bins")).drop("island")
 
 
-def depth_steps(spans: DataFrame, stretch: int) -> DataFrame:
+def depth_steps(spans: DataFrame, stretch: int, most: int | None = None) -> DataFrame:
     """`(chrom, st, ed, n)`: the stretches of places (closed) that equally many, at least one, of the spans cover.
 
     Two rows for each span, whatever its length: one more from its start, one less behind its end; running sums in bins.
     """
     step = F.explode(F.array(F.struct(F.col("st").alias("p"), F.lit(1).alias("d")), F.struct((F.col("ed") + 1).alias("p"), F.lit(-1).alias("d")))).alias("e")
-    at = spans.select("chrom", step).groupBy("chrom", F.col("e.p").alias("st")).agg(F.sum("e.d").alias("d")).filter("d <> 0").withColumn("_bin", div(F.col("st"), stretch))
+    at = spans.select("chrom", step).groupBy("chrom", F.col("e.p").alias("st")).agg(F.sum("e.d").alias("d")).filter("d <> 0")
+    at = stretches(at, ("chrom",), "st", stretch, most)
     by, bins_ = Window.partitionBy("chrom", "_bin").orderBy("st"), Window.partitionBy("chrom").orderBy("_bin")
     per = at.groupBy("chrom", "_bin").agg(F.sum("d").alias("d"), F.min("st").alias("first"))
     per = per.select("chrom", "_bin", F.coalesce(F.sum("d").over(bins_.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lead("first").over(bins_).alias("_next"))
@@ -181,7 +239,7 @@ def best_annotation(spans: DataFrame, annotation: DataFrame, key: str = "id", or
     return pairs.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k")
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str = "id", order: str = "id") -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, key: str = "id", order: str = "id", most: int | None = None) -> DataFrame:
     """For every point the nearest interval of its chromosome and the distance (0 inside); of equals the first by `order`.
 
     Sorted by place, the candidates are the interval that ends last among those that start before the point and the first
@@ -189,7 +247,7 @@ def nearest(points: DataFrame, targets: DataFrame, key: str = "id", order: str =
     """
     p = points.select("chrom", F.col("pos").alias("x"), F.lit(1).alias("kind"), F.col(key).alias("_key"), F.lit(None).cast("struct<ed: bigint, neg: bigint, st: bigint>").alias("t"))
     t = targets.select("chrom", F.col("st").alias("x"), F.lit(0).alias("kind"), F.lit(None).cast(points.schema[key].dataType).alias("_key"), F.struct(F.col("ed").cast("long").alias("ed"), (-F.col(order)).cast("long").alias("neg"), F.col("st").cast("long").alias("st")).alias("t"))
-    both = p.unionByName(t).withColumn("_bin", div(F.col("x"), STRETCH))
+    both = stretches(p.unionByName(t), ("chrom",), "x", STRETCH, most)
     start = F.when(F.col("t").isNotNull(), F.struct(F.col("t.st").alias("st"), (-F.col("t.neg")).alias("k")))
     bins_ = Window.partitionBy("chrom").orderBy("_bin")
     per = both.groupBy("chrom", "_bin").agg(F.max("t").alias("_t"), F.min(start).alias("_s"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as cg
 from strandloom.functions.sequence import base_count, kmers, revcomp
-from strandloom.operators.intervals import STRETCH, div, gap_clusters, overlap_join
+from strandloom.operators.intervals import STRETCH, div, gap_clusters, overlap_join, stretches
 
 PAIRED, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE, SECONDARY, DUPLICATE, SUPPLEMENTARY = 1, 4, 8, 16, 32, 256, 1024, 2048
 
@@ -259,7 +259,7 @@ def breakpoint_reads(sv: DataFrame, reads: DataFrame, share: float = 0.3) -> Dat
     return kept.select("id", F.col("r_read").alias("read"), "side").distinct().groupBy("id", "read").agg(F.sum("side").alias("mode"))
 
 
-def flanking_alignments(points: DataFrame, alignments: DataFrame, near: int = 5000, far: tuple[int, ...] = (50_000, 500_000, 10_000_000), longest: int = 1_500_000) -> DataFrame:
+def flanking_alignments(points: DataFrame, alignments: DataFrame, near: int = 5000, far: tuple[int, ...] = (50_000, 500_000, 10_000_000), longest: int = 1_500_000, most: int | None = None) -> DataFrame:
     """For each point (id, chrom, pos, sample) the nearest alignment that begins more than `near` behind it and the nearest
     that ends more than `near` before it, at the smallest reach at which both are of one read and close.
 
@@ -269,7 +269,8 @@ def flanking_alignments(points: DataFrame, alignments: DataFrame, near: int = 50
     key, part = ["sample", "chrom"], ["sample", "chrom", "_bin"]
     p = points.select("sample", "chrom", "id", F.explode(F.array(F.struct((F.col("pos") + near).alias("x"), F.lit(1).alias("kind")), F.struct((F.col("pos") - near).alias("x"), F.lit(2).alias("kind")))).alias("e"), "pos", F.lit(None).cast(alignments.schema["read"].dataType).alias("read"))
     a = alignments.select("sample", "chrom", F.lit(None).cast(points.schema["id"].dataType).alias("id"), F.explode(F.array(F.struct(F.col("st").alias("x"), F.lit(3).alias("kind")), F.struct(F.col("ed").alias("x"), F.lit(4).alias("kind")))).alias("e"), F.lit(None).cast(points.schema["pos"].dataType).alias("pos"), "read")
-    rows = p.unionByName(a).select(*key, "id", "pos", "read", "e.x", "e.kind").withColumn("_bin", div(F.col("x"), STRETCH))
+    rows = p.unionByName(a).select(*key, "id", "pos", "read", "e.x", "e.kind")
+    rows = stretches(rows, key, "x", STRETCH, most)
     begin = F.when(F.col("kind") == 3, F.struct(F.col("x").alias("x"), F.col("read").alias("read")))
     end = F.when(F.col("kind") == 4, F.struct((-F.col("x")).alias("x"), F.col("read").alias("read")))
     bins_ = Window.partitionBy(*key).orderBy("_bin")

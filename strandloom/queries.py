@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom import views
+from strandloom import contig_queries, views
 from strandloom.functions import cigar as cg
 from strandloom.functions import intervals as iv
 from strandloom.functions import sequence as sq
@@ -1063,3 +1063,11 @@ def _(read):
 def _(read):
     _, sv, runs = _compared(read)
     return contigs.complex_runs(sv, runs)
+
+
+# Differences between contigs
+
+query("reference_places", contig_queries.REFERENCE_PLACES)(contig_queries.reference_places)
+query("mismatch_regions", contig_queries.MISMATCH_REGIONS)(contig_queries.mismatch_regions)
+query("nested_differences")(contig_queries.nested_differences)
+query("difference_classes")(contig_queries.difference_classes)

@@ -395,3 +395,47 @@ def test_sweeps_hold_an_anchor_s_window_alone():
         out += held.take((1, "DEL", "BEGIN", i * 10, i * 10 + 5, 1, i * 10, i * 10 + 5, 1.0, 1, i))
         assert len(held.held) < 2500
     assert len(out) + len(list(held.end())) == 50_000
+
+
+@pytest.mark.parametrize("width", [1, 10, 1000])
+@pytest.mark.parametrize("levels", [None, 1, 3])
+def test_overlaps_of_lengths_from_1_to_100_million(spark, width, levels):
+    r = random.Random(width)
+    top = 50 * SPAN if levels != 1 else 5000 * width
+    make = lambda n: [(i, r.randrange(2), s := r.randrange(-1000, top), s + min(int(10 ** r.uniform(0, 8)), top) - 1) for i in range(n)]
+    a, b = make(150), make(150)
+    left, right = spark.createDataFrame(a, LONG), spark.createDataFrame(b, LONG)
+    for pad in (0, 700):
+        got = sorted((x.id, x.r_id) for x in ops.overlap_join(left, right, width, pad, levels=levels).collect())
+        assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] - pad <= y[3] and y[2] <= x[3] + pad)
+    bed = right.withColumnRenamed("id", "bed_order")
+    got = {x.id: x.r_bed_order for x in ops.containment_join(left, bed, width).collect()}
+    assert got == {x[0]: min((y[0] for y in b if y[1] == x[1] and y[2] <= x[2] and x[3] <= y[3]), default=None) for x in a}
+
+
+SPAN, LONG = 1_000_000, "id int, chrom int, st long, ed long"
+
+
+def test_rows_go_to_few_bins_whatever_their_length(spark):
+    rows = spark.createDataFrame([(i, 1, 7, 7 + int(10 ** (i / 12))) for i in range(101)], LONG)
+    n = ops.dealt(rows, "st", "ed", 10, 0).groupBy("id").count().agg(F.max("count")).first()[0]
+    assert n <= ops.SPREAD + 1
+    both = ops.dealt(rows, "st", "ed", 10, ops.LEVELS - 1).groupBy("id").count().agg(F.max("count")).first()[0]
+    assert both <= ops.SPREAD + 1 + 2 * (ops.LEVELS - 1)
+
+
+@pytest.mark.parametrize("most", [1, 5, 40, 10_000])
+def test_stretches_by_rows(spark, most):
+    """Results don't hang on where stretches are cut, and a stretch has about `most` rows, but for a pile at one place."""
+    rows = spans(most, 300) + [(2000 + k, 0, 1500, 1500 + k % 7) for k in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    a, b = ops.with_island(df, 3, stretch=10**6), ops.with_island(df, 3, most=most)
+    assert sorted(map(tuple, a.select("id", "island").collect())) == sorted(map(tuple, b.select("id", "island").collect()))
+    assert sorted(map(tuple, ops.depth_steps(df, 10**6).collect())) == sorted(map(tuple, ops.depth_steps(df, 10**6, most).collect()))
+    points = df.select("id", "chrom", F.col("st").alias("pos"))
+    assert sorted(map(tuple, ops.nearest(points, df).select("id", "target", "distance").collect())) == sorted(map(tuple, ops.nearest(points, df, most=most).select("id", "target", "distance").collect()))
+    cut = ops.stretches(df, ("chrom",), "st", 1, most, fine=1)
+    per = cut.groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("n"), F.min("st").alias("lo"), F.max("st").alias("hi")).collect()
+    assert all(x.n <= 2 * most + 3 or x.lo == x.hi or x.lo <= 1500 <= x.hi for x in per)
+    order = sorted((x.chrom, x["_bin"], x.lo, x.hi) for x in per)
+    assert all(p[0] != q[0] or p[3] < q[2] for p, q in zip(order, order[1:]))
