@@ -51,7 +51,7 @@ MISMATCH_REGIONS = f"""WITH {BASES}, w AS (SELECT *, sum((op = 'M')::INT) OVER (
     p AS (SELECT l_orderkey AS region, {_ID} AS contig, (l_partkey * 11 + l_suppkey * 3) % 330 AS r FROM lineitem), t AS (SELECT p.region, p.contig, p.r, min(b.i) AS x FROM p LEFT JOIN b ON b.region = p.region AND b.contig = p.contig AND b.r = p.r GROUP BY ALL),
     h AS (SELECT t.region, t.contig, t.r, x, coalesce(max(w.i) FILTER (back = 51 AND w.i < x) + 1, 0) AS lo, coalesce(min(w.i) FILTER (ahead = 51 AND w.i > x) - 1, max(w.i)) AS hi FROM t JOIN w ON w.region = t.region AND w.contig = t.contig WHERE x IS NOT NULL GROUP BY ALL),
     g AS (SELECT h.region, h.contig, h.r, min(w.r) AS lo, max(w.r) AS hi, count_if(w.op IN ('I', 'D') AND (w.i = h.lo OR w.before <> w.op)) AS gaps, count_if(w.op = 'X') AS mismatches, count_if(w.op = 'M') AS matches FROM h JOIN w ON w.region = h.region AND w.contig = h.contig AND w.i BETWEEN h.lo AND h.hi GROUP BY ALL)
-    SELECT t.contig, t.r, g.lo, g.hi, gaps, mismatches, matches, round((gaps + mismatches) / (gaps + mismatches + matches)::DOUBLE, 6) AS rate, (g.hi - g.lo > 100 AND (gaps + mismatches) / (gaps + mismatches + matches)::DOUBLE > 0.1) AS many
+    SELECT t.contig, t.r, g.lo, g.hi, gaps, mismatches, matches, round((gaps + mismatches) / (gaps + mismatches + matches)::DOUBLE, 6) AS rate, (g.hi - g.lo > 100 AND (gaps + mismatches) / (gaps + mismatches + matches)::DOUBLE > 0.1)::INT AS many
     FROM t LEFT JOIN g ON g.region = t.region AND g.contig = t.contig AND g.r = t.r"""
 
 
@@ -62,7 +62,7 @@ def reference_places(read) -> DataFrame:
 def mismatch_regions(read) -> DataFrame:
     points = read("lineitem").selectExpr("l_orderkey AS region", f"{_ID} AS contig", "(l_partkey * 11 + l_suppkey * 3) % 330 AS r")
     out = differences.mismatch_regions(alignments(read), points)
-    return out.select("contig", "r", "lo", "hi", "gaps", "mismatches", "matches", F.round("rate", 6).alias("rate"), "many")
+    return out.select("contig", "r", "lo", "hi", "gaps", "mismatches", "matches", F.round("rate", 6).alias("rate"), F.col("many").cast("int").alias("many"))
 
 
 def nested_differences(read) -> DataFrame:

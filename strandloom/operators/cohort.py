@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import homopolymer_equal, kmers
 from strandloom.operators.intervals import STRETCH, div, overlap_join, with_island
+from strandloom.operators.order import cumulated
 
 LONG_ALLELE = 400
 
@@ -69,11 +70,13 @@ def locus_range(sv: DataFrame, loci: DataFrame) -> DataFrame:
     per = pairs.groupBy("id").agg(F.min("r_svlen").alias("least"), F.max("r_svlen").alias("most"), F.count(F.lit(1)).alias("n"))
     out = loci.join(per, "id", "left").withColumn("range", F.coalesce(F.floor((F.col("most") - F.col("least")) / F.col("unit")), F.lit(-1)).cast("long"))
     out = out.withColumn("_bin", div(F.col("st"), STRETCH))
+    smaller = cumulated(out.groupBy("range").agg(F.count(F.lit(1)).alias("_n")), "range", "_n").select("range", (F.col("upto") - F.col("_n")).alias("_smaller"))
     part = ["range", "chrom", "_bin"]
-    before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)  # over one row for each stretch and range
+    before = Window.partitionBy("range").orderBy("chrom", "_bin").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each stretch
     size = out.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy(*part).orderBy("st", "id"))
-    return out.join(size, part).withColumn("rank", own + F.col("_before")).drop("_bin", "_before")
+    ranked = out.withColumn("_own", own).join(size, part).join(smaller, "range")
+    return ranked.withColumn("rank", F.col("_own") + F.col("_before") + F.col("_smaller")).drop("_bin", "_own", "_before", "_smaller")
 
 
 def same_variant(a: str, b: str) -> dict:

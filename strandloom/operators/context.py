@@ -27,7 +27,7 @@ EXCLUDED = [
 LEFT_OUT = (23,)
 
 
-def variant_density(reads: DataFrame, regions: DataFrame, shrink: int = 0) -> DataFrame:
+def variant_density(reads: DataFrame, regions: DataFrame, shrink: int = 0, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """Small variants of the alignments inside each region (less `shrink` on both sides), from CIGARs with = and X.
 
     Per region: reads, matched and mismatched bases, insertions and deletions with their bases (a deletion counts with the
@@ -40,11 +40,19 @@ def variant_density(reads: DataFrame, regions: DataFrame, shrink: int = 0) -> Da
     inside = F.least(F.col("ed") - 1, F.col("r_ed")) - F.greatest("st", "r_st") + 1
     size = F.when(F.col("r_op") == "I", F.col("r_len")).otherwise(F.greatest(F.lit(0), inside))
     of = lambda op, x: F.sum(F.when(F.col("r_op") == op, x).otherwise(0))
-    per = j.groupBy("id").agg(F.count_distinct("r_read_name").alias("reads"), of("=", size).alias("matches"), of("X", size).alias("mismatches"), of("I", F.lit(1)).alias("insertions"), of("I", size).alias("inserted"), of("D", F.lit(1)).alias("deletions"), of("D", size).alias("deleted"))
+    per = j.groupBy(*keys).agg(F.count_distinct("r_read_name").alias("reads"), of("=", size).alias("matches"), of("X", size).alias("mismatches"), of("I", F.lit(1)).alias("insertions"), of("I", size).alias("inserted"), of("D", F.lit(1)).alias("deletions"), of("D", size).alias("deleted"))
     m, s, indel = F.col("matches"), F.col("mismatches"), F.col("inserted") + F.col("deleted")
     return per.withColumn("identity", m / (m + s + 0.001)).withColumn("identity_indel", m / (m + s + indel + 0.001))
 
 
+def read_density(reads: DataFrame, regions: DataFrame, shrink: int = 0) -> DataFrame:
+    """`variant_density` by read: each region's number of reads and the means over its reads of matched and mismatched bases,
+    insertions, deletions and their bases, and of the identities without and with them."""
+    of_read = variant_density(reads, regions, shrink, ("id", "r_read_name"))
+    counted = ["matches", "mismatches", "insertions", "inserted", "deletions", "deleted", "identity", "identity_indel"]
+    return of_read.groupBy("id").agg(F.count(F.lit(1)).alias("reads"), *(F.avg(c).alias(f"mean_{c}") for c in counted))
+
+
 def breakpoint_divergence(regions: DataFrame, reads: DataFrame, points: DataFrame, window: int = 10, expected: Column | None = None) -> DataFrame:
     """Kullback-Leibler divergence of observed breakpoints from those expected, over a region's windows.
 
@@ -136,10 +144,21 @@ def heat_map(blocks: DataFrame, rows: int = 100, columns: int = 300, least_reads
     return per.withColumn("p", share).withColumn("score", F.when(share > 0, F.abs(-10 * F.log10(share))))
 
 
+def _scored(cells: DataFrame) -> DataFrame:
+    share = F.try_divide("n_sv", F.col("n_sv") + F.col("n_blank"))
+    return cells.withColumn("p", share).withColumn("score", F.when(share > 0, F.abs(-10 * F.log10(share))))
+
+
 def merge_heat_maps(cells: DataFrame) -> DataFrame:
-    """The sum of several maps."""
-    per = cells.groupBy("y", "x").agg(F.sum("n_sv").alias("n_sv"), F.sum("n_blank").alias("n_blank"))
-    return per.withColumn("p", F.col("n_sv") / (F.col("n_sv") + F.col("n_blank")))
+    """The sum of several maps, with shares and scores anew."""
+    return _scored(cells.groupBy("y", "x").agg(F.sum("n_sv").alias("n_sv"), F.sum("n_blank").alias("n_blank")))
+
+
+def full_heat_map(cells: DataFrame, rows: int = 100, columns: int = 300) -> DataFrame:
+    """A map with a row for each of its rows * columns cells; those without blocks have counts 0 and no share."""
+    grid = cells.sparkSession.range(rows * columns).select((F.floor(F.col("id") / columns)).cast("int").alias("y"), (F.col("id") % columns).cast("int").alias("x"))
+    out = grid.join(cells.select("y", "x", "n_sv", "n_blank"), ["y", "x"], "left").fillna(0, ["n_sv", "n_blank"])
+    return _scored(out)
 
 
 def roc(scored: DataFrame, pieces: int = 200) -> DataFrame:

@@ -47,6 +47,17 @@ def contig_variants(pairs: DataFrame, least: int = 50) -> DataFrame:
     return ops.select("region", "a_contig", "b_contig", F.col("ref").alias("a_pos"), F.col("query").alias("b_pos"), F.when(F.col("op") == "I", "INS").otherwise("DEL").alias("type"), F.col("len").alias("length"))
 
 
+def with_insert_strings(sv: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Differences with `insert_seq`, the inserted bases, and `base_seq`, the other contig's base at its place (empty behind its
+    end). sequences: region, contig, seq."""
+    ins = F.col("type") == "INS"
+    a, b = (sequences.select("region", F.col("contig").alias(f"{k}_contig"), F.col("seq").alias(f"_{k}")) for k in "ab")
+    rows = sv.join(a, ["region", "a_contig"], "left").join(b, ["region", "b_contig"], "left")
+    taken = F.when(ins, F.substring("_b", F.col("b_pos") + 1, F.col("length"))).otherwise(F.substring("_a", F.col("a_pos") + 1, F.col("length")))
+    base = F.when(ins, F.substring("_a", F.col("a_pos") + 1, F.lit(1))).otherwise(F.substring("_b", F.col("b_pos") + 1, F.lit(1)))
+    return rows.select(*sv.columns, taken.alias("insert_seq"), base.alias("base_seq"))
+
+
 def insert_vntr_length(inserts: DataFrame, rm: DataFrame, trf: DataFrame) -> DataFrame:
     """Bases of each insert (name, length) under tandem or simple repeats but not under mobile elements, and the longest run
     of other bases; a mobile element stays masked where small-unit repeats (motif_size < 6) cover 80 % of it, overlaps

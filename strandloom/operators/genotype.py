@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions.sequence import phred_add
 from strandloom.operators.intervals import overlap_join
 
 HOM_REF, HET, HOM_ALT = "0/0", "0/1", "1/1"
@@ -127,6 +128,41 @@ def bayes_genotype(reads: DataFrame, genotypes: dict[str, float], keys: tuple[st
     return ranked.filter("k = 1").select(*keys, "gt", "ll", F.round(10 * (F.col("ll") - F.col("next_ll"))).cast("int").alias("gq"))
 
 
+#: Ten times the log10 of a haplotype's share in a genotype; IMPOSSIBLE for none. Haplotypes are those of the
+#: alternative (alt), the reference (ref), noise and a somatic change; a read counts for no less than FLOOR.
+IMPOSSIBLE, FLOOR = -10_000, -80
+GENOTYPES = {
+    "AA": ("1/1", {"alt": 0}), "AR": ("0/1", {"alt": -3, "ref": -3}), "RR": ("0/0", {"ref": 0}),
+    "N": ("0/0", {}), "S": ("1/1", {"somatic": -3}),
+}
+MODES = {"germline": (["alt", "ref"], ["AA", "AR", "RR"]), "somatic": (["alt", "ref", "noise", "somatic"], ["AA", "AR", "RR", "N", "S"])}
+
+
+def log_genotype(reads: DataFrame, mode: str = "germline", keys: tuple[str, ...] = ("id",), priors: dict[str, int] | None = None) -> DataFrame:
+    """The likeliest of three germline or five somatic genotypes of each variant, in whole tenths of log10.
+
+    reads: for each haplotype of the mode ten times the log10-likelihood of a read under it, integers. A read's sum over
+    haplotypes is `phred_add` in their order; sums over reads are sums of integers, so they don't hang on partitions or
+    order. priors: added to a genotype's sum (none by default). Columns: kind, gt, score (what speaks for it against all
+    others), and the sum of each genotype.
+    """
+    haplotypes, kinds = MODES[mode]
+    add = lambda terms: F.aggregate(terms, F.lit(IMPOSSIBLE).cast("long"), lambda a, x: phred_add(a, x).cast("long"))
+
+    def of_read(kind: str) -> Column:
+        shares = GENOTYPES[kind][1]
+        return F.greatest(F.lit(FLOOR), add(F.array(*(F.col(h).cast("long") + F.lit(shares.get(h, IMPOSSIBLE)) for h in haplotypes))))
+
+    sums = reads.groupBy(*keys).agg(*((F.sum(of_read(k)) + F.lit((priors or {}).get(k, 0))).alias(k) for k in kinds))
+    most = F.greatest(*kinds)
+    best = F.coalesce(*(F.when((F.col(k) == most) & (most > IMPOSSIBLE), k) for k in kinds), F.lit(kinds[0]))
+    out = sums.withColumn("_total", add(F.array(*kinds))).withColumn("kind", best)
+    each = F.array(*(F.struct(F.lit(k).alias("k"), (F.col(k) - F.col("_total")).alias("p")) for k in kinds))
+    others = add(F.transform(F.filter(each, lambda x: x["k"] != F.col("kind")), lambda x: x["p"]))
+    name = F.create_map(*[F.lit(x) for k in kinds for x in (k, GENOTYPES[k][0])])[F.col("kind")]
+    return out.select(*keys, "kind", name.alias("gt"), (-others).cast("long").alias("score"), *kinds)
+
+
 def somatic(tumor: DataFrame, normal: DataFrame, pairs: DataFrame, least_tumor: int = 3, least_normal: int = 2, tumor_only: bool = False) -> DataFrame:
     """Tumour contigs without an equal normal contig. pairs: region, t_contig, n_contig, end_to_end, matches, alignment
     results that come as a table. Contigs are equal if their lengths differ by at most 15 % or 50 bases and they align end to

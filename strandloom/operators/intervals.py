@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions import cigar as cg
 from strandloom.functions import intervals as iv
 from strandloom.tables import kept
 
@@ -137,16 +138,18 @@ def feature_overlap(regions: DataFrame, features: DataFrame, width: int = 10_000
 def flag_near(sv: DataFrame, dist: int = 500, keys: Sequence[str] = ("sample", "hap", "chrom"), id_col: str = "id") -> DataFrame:
     """Rows with an end of another row, equal in `keys`, within `dist` of one of their ends. Nesting alone is not near.
 
-    The nearest ends are neighbours in the order of all ends: one window per key finds them, with no join, however many
-    rows lie close together. Both ends of one row may be neighbours, so the nearest end of another row is taken from the
-    last and next row change.
+    The nearest ends are neighbours in the order of all ends: windows over stretches of each key find them, with no join,
+    however many rows lie close together. An end within `dist` of another stretch goes to that one too. Both ends of one row
+    may be neighbours, so the nearest end of another row is taken from the last and next row change.
     """
     ends = sv.select(*keys, F.col(id_col).alias("_id"), F.explode(F.array("st", "ed")).alias("p"))
-    by = Window.partitionBy(*keys).orderBy("p", "_id")
+    ends = ends.withColumn("_bin", F.explode(F.sequence(div(F.col("p") - dist, STRETCH), div(F.col("p") + dist, STRETCH))))
+    part = [*keys, "_bin"]
+    by = Window.partitionBy(*part).orderBy("p", "_id")
     ends = ends.withColumn("_new", F.coalesce(F.lag("_id").over(by) != F.col("_id"), F.lit(True)))
     run = ends.withColumn("_run", F.sum(F.col("_new").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = run.groupBy(*keys, "_run").agg(F.first("_id").alias("_id"), F.min("p").alias("lo"), F.max("p").alias("hi"))
-    order = Window.partitionBy(*keys).orderBy("_run")
+    edge = run.groupBy(*part, "_run").agg(F.first("_id").alias("_id"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    order = Window.partitionBy(*part).orderBy("_run")
     edge = edge.withColumn("_before", F.lag("hi").over(order)).withColumn("_after", F.lead("lo").over(order))
     near = edge.filter((F.col("lo") - F.col("_before") <= dist) | (F.col("_after") - F.col("hi") <= dist)).select(F.col("_id").alias(id_col)).distinct()
     return sv.join(near, id_col, "left_semi")
@@ -305,3 +308,41 @@ def lift(points: DataFrame, blocks: DataFrame, width: int = 10_000) -> DataFrame
     hit = overlap_join(p, blocks, width)
     moved = F.when(F.col("r_strand") == "-", F.col("r_to_st") + F.col("r_ed") - F.col("pos")).otherwise(F.col("r_to_st") + F.col("pos") - F.col("r_st"))
     return hit.select(*points.columns, F.col("r_to_chrom").alias("to_chrom"), moved.alias("to_pos"))
+
+
+def lift_blocks(chains: DataFrame) -> DataFrame:
+    """Blocks of matches and mismatches of alignments `(chain, chrom, length, strand, to_chrom, to_st, cigar)`: chrom, st, ed in
+    forward places of the source sequence (closed), to_chrom, to_st (at st if forward, at ed if reverse), strand, chain, score.
+
+    A chain's score is its number of matches and mismatches. Clipped ends of the source (S, H) count as its bases.
+    """
+    hard = F.transform("cigar", lambda x: F.struct(F.when(x["op"] == "H", "S").otherwise(x["op"]).alias("op"), x["len"].alias("len")))
+    ops = cg.exploded(chains.withColumn("_c", hard), "_c", "to_st").filter(F.col("op").isin("M", "=", "X"))
+    ops = ops.withColumn("score", F.sum("len").over(Window.partitionBy("chain")))
+    forward = F.col("strand") != "-"
+    st = F.when(forward, F.col("query")).otherwise(F.col("length") - F.col("query") - F.col("len"))
+    return ops.select("chrom", st.cast("long").alias("st"), (st + F.col("len") - 1).cast("long").alias("ed"), "to_chrom", F.col("ref").cast("long").alias("to_st"), "strand", "chain", "score")
+
+
+def lift_points(points: DataFrame, chains: DataFrame, key: str = "id", width: int = 10_000) -> DataFrame:
+    """`points` (id, chrom, pos) with their place on the other assembly, by the best chain that has it in a block (of the
+    highest score, then the first): to_chrom, to_pos, strand, chain. Without one, all are null: places that no chain covers,
+    and those in a gap, which have no base there."""
+    pairs = overlap_join(points.select(key, "chrom", F.col("pos").alias("st"), F.col("pos").alias("ed")), lift_blocks(chains), width)
+    at = F.col("st") - F.col("r_st")
+    moved = F.col("r_to_st") + F.when(F.col("r_strand") == "-", F.col("r_ed") - F.col("st")).otherwise(at)
+    best = pairs.groupBy(key).agg(F.min_by(F.struct(F.col("r_to_chrom").alias("to_chrom"), moved.alias("to_pos"), F.col("r_strand").alias("strand"), F.col("r_chain").alias("chain")), F.struct(-F.col("r_score"), "r_chain")).alias("_x"))
+    return points.join(best, key, "left").select(*points.columns, "_x.*")
+
+
+def lift_spans(spans: DataFrame, chains: DataFrame, key: str = "id", width: int = 10_000) -> DataFrame:
+    """`spans` (id, chrom, st, ed, closed) on the other assembly: from the first to the last base that the best chain has in
+    blocks, the span clipped at block edges: to_chrom, to_st, to_ed, strand, chain, lifted (bases in blocks). The best chain has
+    the most of the span's bases, then the highest score; without one all are null."""
+    pairs = overlap_join(spans.select(key, "chrom", "st", "ed"), lift_blocks(chains), width)
+    st, ed = F.greatest("st", "r_st"), F.least("ed", "r_ed")
+    reverse = F.col("r_strand") == "-"
+    low = F.col("r_to_st") + F.when(reverse, F.col("r_ed") - ed).otherwise(st - F.col("r_st"))
+    per = pairs.groupBy(key, "r_chain", "r_score", "r_to_chrom", "r_strand").agg(F.min(low).alias("to_st"), F.max(low + ed - st).alias("to_ed"), F.sum(ed - st + 1).alias("lifted"))
+    best = per.groupBy(key).agg(F.min_by(F.struct(F.col("r_to_chrom").alias("to_chrom"), "to_st", "to_ed", F.col("r_strand").alias("strand"), F.col("r_chain").alias("chain"), "lifted"), F.struct(-F.col("lifted"), -F.col("r_score"), "r_chain")).alias("_x"))
+    return spans.join(best, key, "left").select(*spans.columns, "_x.*")

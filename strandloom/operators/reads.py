@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import cigar as cg
 from strandloom.functions.sequence import base_count, kmers, revcomp
 from strandloom.operators.intervals import STRETCH, div, gap_clusters, overlap_join, stretches
+from strandloom.operators.order import cumulated, quantiles
 
 PAIRED, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE, SECONDARY, DUPLICATE, SUPPLEMENTARY = 1, 4, 8, 16, 32, 256, 1024, 2048
 
@@ -96,17 +97,17 @@ def long_read_signals(reads: DataFrame, least: int = 30, clip: int = 1000, clips
 
 
 def small_signals(reads: DataFrame, span: int = 200, edits: int = 10, bases: int = 35) -> DataFrame:
-    """Stretches of many edits. reads: read_name, chrom, edits array<struct<pos, len>> in order. A queue holds the edits of
+    """Stretches of many edits. reads: read_name, chrom, edits array<struct<pos, len>> (long, int) in order. A queue holds the edits of
     the last `span` bases; when it holds more than `edits` edits or `bases` bases it is emitted and emptied."""
-    empty = F.array().cast("array<struct<pos: int, len: int>>")
+    empty = F.array().cast("array<struct<pos: bigint, len: int>>")
 
     def step(acc: Column, x: Column) -> Column:
-        queue = F.concat(F.filter(acc["queue"], lambda y: x["pos"] - y["pos"] <= span), F.array(F.struct(x["pos"].cast("int").alias("pos"), x["len"].cast("int").alias("len"))))
+        queue = F.concat(F.filter(acc["queue"], lambda y: x["pos"] - y["pos"] <= span), F.array(F.struct(x["pos"].cast("long").alias("pos"), x["len"].cast("int").alias("len"))))
         full = (F.size(queue) > edits) | (F.aggregate(queue, F.lit(0), lambda a, y: a + y["len"]) > bases)
-        found = F.array(F.struct(queue[0]["pos"].alias("st"), x["pos"].cast("int").alias("ed")))
+        found = F.array(F.struct(queue[0]["pos"].alias("st"), x["pos"].cast("long").alias("ed")))
         return F.struct(F.when(full, empty).otherwise(queue).alias("queue"), F.when(full, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(empty.alias("queue"), F.array().cast("array<struct<st: int, ed: int>>").alias("out"))
+    zero = F.struct(empty.alias("queue"), F.array().cast("array<struct<st: bigint, ed: bigint>>").alias("out"))
     return reads.select("read_name", "chrom", F.explode(F.aggregate("edits", zero, step)["out"]).alias("s")).select("read_name", "chrom", "s.st", "s.ed")
 
 
@@ -173,14 +174,13 @@ def read_length_stats(reads: DataFrame) -> DataFrame:
 
 def isize_stats(sizes: DataFrame, column: str = "isize") -> DataFrame:
     """Exact 1 %, 50 % and 99 % quantiles of insert sizes, and their number."""
-    return sizes.agg(*(F.percentile(column, q).alias(k) for k, q in (("least", 0.01), ("median", 0.5), ("most", 0.99))), F.count(column).alias("pairs"))
+    return quantiles(sizes, column, least=0.01, median=0.5, most=0.99).withColumnRenamed("n", "pairs")
 
 
 def isize_histogram(sizes: DataFrame, column: str = "isize") -> DataFrame:
-    """Number, percent and cumulative percent of each size. The window runs over one row for each size."""
-    per = sizes.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    everything, upto = Window.partitionBy(), Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(column, "n", (100.0 * F.col("n") / F.sum("n").over(everything)).alias("percent"), (100.0 * F.sum("n").over(upto) / F.sum("n").over(everything)).alias("cumulative"))
+    """Number, percent and cumulative percent of each size."""
+    per = cumulated(sizes.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, "n")
+    return per.select(column, "n", (100.0 * F.col("n") / F.col("total")).alias("percent"), (100.0 * F.col("upto") / F.col("total")).alias("cumulative"))
 
 
 def isize_density(sizes: DataFrame, column: str = "isize") -> DataFrame:
@@ -195,10 +195,10 @@ def breakpoint_distribution(density: DataFrame, read_length: int) -> DataFrame:
     size spreads evenly over the bases between its two reads."""
     rows = density.filter(F.col("isize") > 2 * read_length).select((F.col("isize") - 2 * read_length).alias("n"), (F.col("d") / (F.col("isize") - 2 * read_length)).alias("w"))
     per = rows.groupBy("n").agg(F.sum("w").alias("w"))
-    from_end = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    level = per.withColumn("upto", F.sum("w").over(from_end)).withColumn("before", F.coalesce(F.lag("n").over(Window.orderBy("n")), F.lit(0)))
-    spread = level.select(F.explode(F.sequence(F.col("before").cast("int"), (F.col("n") - 1).cast("int"))).alias("i"), F.col("upto").alias("p"))
-    return spread.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy()))
+    level = cumulated(per, "n", "w").withColumn("before", F.coalesce("previous", F.lit(0))).withColumn("p", F.col("total") - F.col("upto") + F.col("w"))
+    whole = F.broadcast(level.agg(F.sum(F.col("p") * (F.col("n") - F.col("before"))).alias("whole")))  # one row
+    spread = level.select(F.explode(F.sequence(F.col("before").cast("int"), (F.col("n") - 1).cast("int"))).alias("i"), "p")
+    return spread.join(whole).select("i", (F.col("p") / F.col("whole")).alias("p"))
 
 
 def clip_distribution(reach: int = 10) -> list[float]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,8 @@ from strandloom.operators import cohort, context, contigs, folds, genotype, mei,
 from strandloom.operators import intervals as ops
 from strandloom.plans import cohort as plan
 from strandloom.sources import regions, variants
-from strandloom.tables import kept
+from strandloom.sources.records import fasta_chunks, sequence_lengths
+from strandloom.tables import kept, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -387,7 +387,8 @@ def _(read):
 
 @query("merge_small_signals")
 def _(read):
-    return folds.merge_small(_signals(read), 10)
+    rows = _signals(read).withColumn("st", F.col("st") - F.col("st") % 5000)  # many signals at few places
+    return folds.merge_small(rows.withColumn("ed", F.col("st") + F.col("id") % 30), 10)
 
 
 @query("merge_normal_signals")
@@ -646,9 +647,9 @@ def _(read):
 
 
 @query("mate_groups", f"""WITH t AS (SELECT id, pos AS st, chrom FROM {AL} x WHERE (flag & {256 + 2048 + 1024 + 4 + 8}) = 0 AND pos <> mate_pos AND (isize = 0 OR abs(isize) > 5000)), n AS (SELECT *, st - lag(st) OVER (PARTITION BY chrom ORDER BY st, id) AS d FROM t),
-    g AS (SELECT *, sum(CASE WHEN d <= 20000 THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY st, id ROWS UNBOUNDED PRECEDING) AS i FROM n) SELECT chrom, min(st) AS st, max(st) AS ed, count(*) AS n FROM g GROUP BY chrom, i HAVING count(*) > 3""")
+    g AS (SELECT *, sum(CASE WHEN d <= 200000 THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY st, id ROWS UNBOUNDED PRECEDING) AS i FROM n) SELECT chrom, min(st) AS st, max(st) AS ed, count(*) AS n FROM g GROUP BY chrom, i HAVING count(*) > 1""")
 def _(read):
-    return reads.mate_groups(reads.translocation_reads(read("al")))
+    return reads.mate_groups(reads.translocation_reads(read("al")), 200_000, 1)
 
 
 _INS = "pos + 10 + q + ln"
@@ -679,7 +680,7 @@ def _(read):
     SELECT id, count(DISTINCT read) AS reads, (sum(k) FILTER (op = '='))::BIGINT AS matches, coalesce(sum(k) FILTER (op = 'X'), 0)::BIGINT AS mismatches, count(*) FILTER (op = 'I') AS insertions, coalesce(sum(n) FILTER (op = 'I'), 0)::BIGINT AS inserted, coalesce(sum(k) FILTER (op = 'D'), 0)::BIGINT AS deleted FROM j GROUP BY id HAVING count(*) FILTER (op = '=') > 0""")
 def _(read):
     out = context.variant_density(read("al").withColumn("cigar", cg.parse("cigar_text")), read("rg"))
-    return out.filter("matches > 0 OR matches = 0").filter("matches IS NOT NULL").select("id", "reads", "matches", "mismatches", "insertions", "inserted", "deleted")
+    return out.filter("matches IS NOT NULL").select("id", "reads", "matches", "mismatches", "insertions", "inserted", "deleted")
 
 
 @query("label_blocks", f"""WITH b AS (SELECT DISTINCT chrom, st // 1000 AS block FROM {IV} x), e AS (SELECT chrom, type, st AS pos FROM {RG} y WHERE ed - st >= 10 UNION ALL SELECT chrom, type, ed FROM {RG} z WHERE ed - st >= 10),
@@ -706,7 +707,7 @@ def _(read):
     """Combined signals with their likeliest breakpoints, paired; the cuts of a mean depth of 20."""
     cut = short_signals.cuts(20)
     rows = short_signals.combine(_two_regions(read), 2, cut["combine"], spread=reads.clip_distribution(400), accept=0.005)
-    return short_signals.pair_sides(rows, cut["score"], 2, 1.5)
+    return short_signals.pair_sides(rows, cut["score"], 1)
 
 
 @query("solid_short_signals", f"""WITH s AS (SELECT *, CASE WHEN hap = 0 THEN 'BEGIN' ELSE 'END' END AS side FROM {IV} x), n AS (SELECT b.id AS b, e.id AS e, b.st AS bs, row_number() OVER (PARTITION BY b.id ORDER BY e.st, e.id) AS k FROM s b JOIN s e ON b.side = 'BEGIN' AND e.side = 'END' AND b.chrom = e.chrom AND b.type = e.type AND b.st <= e.ed AND e.st <= b.ed),
@@ -811,7 +812,7 @@ def _(read):
 
 @query("small_signals")
 def _(read):
-    ev = read("ev").groupBy("read").agg(F.sort_array(F.collect_list(F.struct((F.col("pos") % 10_000_000).cast("int").alias("pos"), F.lit(20).alias("len")))).alias("edits"))
+    ev = read("ev").groupBy("read").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.lit(20).alias("len")))).alias("edits"))
     return reads.small_signals(ev.select(F.col("read").alias("read_name"), F.lit(1).alias("chrom"), "edits"), 20_000, 10, 35)
 
 
@@ -900,9 +901,8 @@ def _(read):
 
 
 def _folder(df: DataFrame) -> str:
-    """A new folder where the driver and the executors both write."""
-    conf = df.sparkSession.conf
-    return f"{(conf.get('spark.checkpoint.dir', None) or conf.get('spark.sql.warehouse.dir')).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, deleted when the session ends."""
+    return new_folder(df.sparkSession, "lines")
 
 
 def _written(rows: DataFrame, *columns: str, sep: str = "\t") -> str:
@@ -935,9 +935,9 @@ def _(read):
     rows = read("seq")
     path = _folder(rows)
     rows.select(F.concat(F.lit(">"), F.col("id").cast("string"), F.lit(" text\n"), regions.folded(F.col("s"))).alias("value")).write.text(path)
-    fasta = regions.read_fasta(rows.sparkSession, path)
-    spots = fasta.filter(F.length("seq") >= 1950).select(F.col("name").alias("id"), F.col("name").alias("chrom"), F.lit(50).alias("st"), F.lit(1950).alias("ed"))
-    return regions.ref_slice(spots, regions.chunked(fasta, 400), 400).select(F.col("chrom").alias("name"), "seq")
+    chunks = fasta_chunks(rows.sparkSession, path, 400)
+    spots = sequence_lengths(rows.sparkSession, path).filter("length >= 1950").select(F.col("name").alias("id"), F.col("name").alias("chrom"), F.lit(50).alias("st"), F.lit(1950).alias("ed"))
+    return regions.ref_slice(spots, chunks, 400).select(F.col("chrom").alias("name"), "seq")
 
 
 @query("sam_read", f"""SELECT id::VARCHAR AS read_name, flag, 'c' || chrom AS chrom, pos, mapq, 'c' || mate_chrom AS mate_chrom, mate_pos, isize, nm, 'c1,' || pos || ',+,5M,1,0;' AS sa, 10 + q + ln + 30 + 1 + q * 3 % 60 + 20 AS length FROM {AL} x""")
@@ -1071,3 +1071,178 @@ query("reference_places", contig_queries.REFERENCE_PLACES)(contig_queries.refere
 query("mismatch_regions", contig_queries.MISMATCH_REGIONS)(contig_queries.mismatch_regions)
 query("nested_differences")(contig_queries.nested_differences)
 query("difference_classes")(contig_queries.difference_classes)
+
+
+# Genotypes in whole numbers, and places carried over by alignments
+
+_ADD = "list_reduce({}, lambda x, y: greatest(x, y) + CASE WHEN abs(x - y) >= 20 THEN 0 ELSE floor(10 * log10(1 + pow(10, -abs(x - y) / 10.0)) + 0.5)::BIGINT END)"
+
+
+def _genotype_sql(haplotypes: dict[str, str], mode: str) -> str:
+    """The rule in SQL: haplotypes by their column of `iv`."""
+    names, kinds = genotype.MODES[mode]
+    none = genotype.IMPOSSIBLE
+    of_read = lambda k: "greatest(-80, " + _ADD.format(f"[{none}::BIGINT, " + ", ".join(f"{haplotypes[h]} + {genotype.GENOTYPES[k][1].get(h, none)}" for h in names) + "]") + ")"
+    sums = ", ".join(f'sum({of_read(k)})::BIGINT AS "{k}"' for k in kinds)
+    columns = ", ".join(f'"{k}"' for k in kinds)
+    best = "CASE " + " ".join(f"""WHEN "{k}" = greatest({columns}) AND "{k}" > {none} THEN '{k}'""" for k in kinds) + f" ELSE '{kinds[0]}' END"
+    each = ", ".join(f"""{{'k': '{k}', 'p': "{k}" - t}}""" for k in kinds)
+    gts = " ".join(f"WHEN '{k}' THEN '{genotype.GENOTYPES[k][0]}'" for k in kinds)
+    others = _ADD.format(f"[{none}::BIGINT] || list_transform(list_filter([{each}], lambda x: x.k <> kind), lambda x: x.p)")
+    return f"""WITH s AS (SELECT name AS id, {sums} FROM {IV} x GROUP BY 1), t AS (SELECT *, {_ADD.format(f"[{none}::BIGINT, {columns}]")} AS t, {best} AS kind FROM s)
+        SELECT id, kind, CASE kind {gts} END AS gt, -({others}) AS score, {columns} FROM t"""
+
+
+_LIKELIHOODS = {"alt": "-(hap * 23 + id % 7)", "ref": "-((1 - hap) * 19 + id % 5)", "noise": "-20", "somatic": "-(sample % 9)"}
+
+
+@query("log_genotypes", _genotype_sql(_LIKELIHOODS, "germline"))
+def _(read):
+    return genotype.log_genotype(read("iv").selectExpr("name AS id", *(f"{v} AS {k}" for k, v in _LIKELIHOODS.items())))
+
+
+@query("somatic_genotypes", _genotype_sql(_LIKELIHOODS, "somatic"))
+def _(read):
+    return genotype.log_genotype(read("iv").selectExpr("name AS id", *(f"{v} AS {k}" for k, v in _LIKELIHOODS.items())), "somatic")
+
+
+_CHAINS = f"""SELECT id AS chain, chrom, q + ln + q % 40 + 65 + ln * 300 AS length, CASE WHEN q % 2 = 0 THEN '-' ELSE '+' END AS strand, mate_chrom AS to_chrom, pos AS to_st, concat(10 + q, '=', ln, 'X', 5 + q % 40, 'I30=', 1 + q * 3 % 60, 'D20=', ln * 300, 'S') AS cigar_text, q, ln FROM {{}}"""
+#: Blocks of the chains from the source's beginning: place, size, and place on the other side.
+_BLOCKS = f"""c AS ({_CHAINS.format(f"{AL} x")}), b AS (SELECT *, unnest([{{'f': 0, 'n': 10 + q, 't': 0}}, {{'f': 10 + q, 'n': ln, 't': 10 + q}}, {{'f': 15 + q + ln + q % 40, 'n': 30, 't': 10 + q + ln}}, {{'f': 45 + q + ln + q % 40, 'n': 20, 't': 41 + q + ln + q * 3 % 60}}]) AS s FROM c),
+    k AS (SELECT chain, chrom, to_chrom, strand, 60 + q + ln AS score, CASE WHEN strand = '-' THEN length - s.f - s.n ELSE s.f END AS st, s.n AS n, to_st + s.t AS tt FROM b)"""
+
+
+def _chains(read):
+    return read("al").selectExpr(*(x.strip() for x in ["id AS chain", "chrom", "q + ln + q % 40 + 65 + ln * 300 AS length", "CASE WHEN q % 2 = 0 THEN '-' ELSE '+' END AS strand", "mate_chrom AS to_chrom", "pos AS to_st", "cigar_text"])).withColumn("cigar", cg.parse("cigar_text")).drop("cigar_text")
+
+
+@query("lift_points", f"""WITH {_BLOCKS}, p AS (SELECT id, chrom, id % 2500 AS pos FROM {RG} x),
+    h AS (SELECT p.id, k.to_chrom, k.strand, k.chain, CASE WHEN k.strand = '-' THEN k.tt + k.st + k.n - 1 - p.pos ELSE k.tt + p.pos - k.st END AS to_pos, row_number() OVER (PARTITION BY p.id ORDER BY score DESC, chain) AS j FROM p JOIN k ON p.chrom = k.chrom AND p.pos BETWEEN k.st AND k.st + k.n - 1)
+    SELECT p.id, to_chrom, to_pos, strand, chain FROM p LEFT JOIN (SELECT * FROM h WHERE j = 1) h ON h.id = p.id""")
+def _(read):
+    points = read("rg").selectExpr("id", "chrom", "id % 2500 AS pos")
+    return ops.lift_points(points, _chains(read), width=100).select("id", "to_chrom", "to_pos", "strand", "chain")
+
+
+@query("lift_spans", f"""WITH {_BLOCKS}, p AS (SELECT id, chrom, id % 2300 AS st, id % 2300 + id % 90 AS ed FROM {RG} x), j AS (SELECT p.id, k.*, greatest(p.st, k.st) AS a, least(p.ed, k.st + k.n - 1) AS z FROM p JOIN k ON p.chrom = k.chrom AND p.st <= k.st + k.n - 1 AND k.st <= p.ed),
+    l AS (SELECT id, chain, score, to_chrom, strand, min(CASE WHEN strand = '-' THEN tt + st + n - 1 - z ELSE tt + a - st END) AS to_st, max(CASE WHEN strand = '-' THEN tt + st + n - 1 - a ELSE tt + z - st END) AS to_ed, sum(z - a + 1)::BIGINT AS lifted FROM j GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY lifted DESC, score DESC, chain) AS i FROM l) SELECT p.id, to_chrom, to_st, to_ed, strand, chain, lifted FROM p LEFT JOIN (SELECT * FROM r WHERE i = 1) r ON r.id = p.id""")
+def _(read):
+    spans = read("rg").selectExpr("id", "chrom", "id % 2300 AS st", "id % 2300 + id % 90 AS ed")
+    return ops.lift_spans(spans, _chains(read), width=100).select("id", "to_chrom", "to_st", "to_ed", "strand", "chain", "lifted")
+
+
+# Written calls with all fields, the cohort job, and operators on reads and regions
+
+_FULL = f"""SELECT *, pos + 1 AS p, CASE WHEN id % 5 = 0 THEN 'BND' ELSE svtype END AS kind, id % 3 = 0 AS imprecise, id % 4 = 0 AS vntr, id % 8 = 0 AS low FROM {SV} x"""
+
+
+@query("vcf_all_fields", f"""SELECT id::VARCHAR AS alt, kind AS svtype, CASE WHEN kind <> 'BND' THEN svlen END::INT AS svlen, CASE WHEN kind <> 'BND' THEN CASE WHEN svlen < 0 THEN p - svlen ELSE p END END::INT AS ed, CASE WHEN kind = 'BND' THEN 'N[' || chrom || ':' || pos || '[' END AS bnd_type,
+    imprecise, (kind <> 'BND' AND vntr) AS vntr, (kind <> 'BND' AND low) AS low, CASE WHEN id % 6 = 0 THEN chrom || ':' || pos END AS contig_pos, CASE WHEN id % 6 = 0 THEN '10M' END AS cigar, CASE WHEN id % 6 = 0 THEN 'ACGT' END AS contig, CASE WHEN id % 7 = 0 THEN 'TUMOR_UNIQ' END AS somatic FROM ({_FULL}) v""")
+def _(read):
+    sv = read("sv").selectExpr(
+        "chrom", "pos + 1 AS pos", "'N' AS ref", "CAST(id AS STRING) AS alt", "1 AS qual", "1 AS gq", "'PASS' AS filter", "IF(id % 5 = 0, 'BND', svtype) AS svtype", "svlen", "'0/1' AS gt", "CAST(NULL AS ARRAY<INT>) AS lr", "CAST(NULL AS ARRAY<INT>) AS sr",
+        "IF(id % 5 = 0, concat('N[', chrom, ':', pos, '['), NULL) AS bnd_type", "id % 3 = 0 AS imprecise", "id % 4 = 0 AS vntr", "id % 8 = 0 AS vntr_depth_low",
+        "concat(chrom, ':', pos) AS contig_pos", "IF(id % 6 = 0, '10M', NULL) AS contig_cigar", "'ACGT' AS contig", "IF(id % 7 = 0, 'TUMOR_UNIQ', NULL) AS somatic",
+    )
+    path = _folder(sv)
+    variants.write_vcf(sv, path, sv.groupBy(F.col("chrom").alias("name")).agg(F.lit(20_000_000).alias("length")))
+    back = variants.read_vcf(sv.sparkSession, path)
+    tag = lambda k: F.try_element_at("info", F.lit(k))
+    flag = lambda k: F.map_contains_key("info", k)
+    return back.select("alt", "svtype", "svlen", "ed", tag("BND_TYPE").alias("bnd_type"), flag("IMPRECISE").alias("imprecise"), flag("VNTR").alias("vntr"), flag("VNTR_DepthLow").alias("low"), tag("CONTIG_POSITION").alias("contig_pos"), tag("CIGAR").alias("cigar"), tag("CONTIG").alias("contig"), tag("SOMATIC").alias("somatic"))
+
+
+_CALLS = f"(SELECT id * 2 + h AS id, sample, h AS hap, chrom, pos AS st, CASE WHEN svlen < 0 THEN pos - svlen ELSE pos END AS ed FROM {SV} s, (SELECT unnest([1, 2]) AS h) WHERE abs(svlen) >= 50 AND CASE WHEN h = 1 THEN a1 ELSE a2 END = 1)"
+
+
+@query("cohort_job", f"""WITH h AS ({_CALLS}), f AS ({_frequency_sql("(SELECT * FROM h a WHERE EXISTS (SELECT 1 FROM h b WHERE a.sample = b.sample AND a.hap = b.hap AND a.chrom = b.chrom AND a.id <> b.id AND (abs(a.st - b.st) <= 2000 OR abs(a.st - b.ed) <= 2000 OR abs(a.ed - b.st) <= 2000 OR abs(a.ed - b.ed) <= 2000)))", 1)})
+    SELECT f.chrom, f.st, f.ed, max_ac, c.id AS contig FROM f JOIN {RG} c ON f.chrom = c.chrom AND f.st <= c.ed AND c.st <= f.ed WHERE c.id % 3 > 1 UNION ALL SELECT chrom, st, ed, max_ac, NULL FROM f""")
+def _(read):
+    """From calls to the regions where several lie close together, and to the contigs to look at there (regions alone, too)."""
+    calls = read("sv").withColumn("filter", F.lit("PASS")).withColumn("ref", F.lit("N")).withColumn("alt", F.col("id").cast("string"))
+    found = plan.csv_regions(plan.haplotype_calls(calls), 1, 2000).select("chrom", "st", "ed", "max_ac")
+    contigs_ = read("rg").select("chrom", "st", "ed", F.col("id").alias("contig"), (F.col("id") % 3).alias("support"))
+    hit = plan.region_contigs(found, contigs_).select("chrom", "st", "ed", "max_ac", F.col("r_contig").alias("contig"))
+    return hit.unionByName(found.withColumn("contig", F.lit(None).cast("long")))
+
+
+@query("read_density", f"""WITH o AS (SELECT id, chrom, pos AS st, pos + 9 + q AS ed, '=' AS op, 10 + q AS n FROM {AL} a UNION ALL SELECT id, chrom, pos + 10 + q, pos + 9 + q + ln, 'X', ln FROM {AL} b UNION ALL SELECT id, chrom, {_INS}, {_INS}, 'I', 5 + q % 40 FROM {AL} c
+    UNION ALL SELECT id, chrom, {_INS}, {_INS} + 29, '=', 30 FROM {AL} d UNION ALL SELECT id, chrom, {_INS} + 30, {_INS} + 30 + q * 3 % 60, 'D', 0 FROM {AL} e UNION ALL SELECT id, chrom, {_INS} + 31 + q * 3 % 60, {_INS} + 50 + q * 3 % 60, '=', 20 FROM {AL} f),
+    j AS (SELECT r.id, o.id AS read, op, n, greatest(0, least(r.ed - 11, o.ed) - greatest(r.st + 10, o.st) + 1) AS k FROM {RG} r JOIN o ON r.chrom = o.chrom AND r.st + 10 <= o.ed AND o.st <= r.ed - 10),
+    p AS (SELECT id, read, coalesce(sum(k) FILTER (op = '='), 0) AS m, coalesce(sum(k) FILTER (op = 'X'), 0) AS x, count(*) FILTER (op = 'I') AS i, coalesce(sum(n) FILTER (op = 'I'), 0) AS ib, coalesce(sum(k) FILTER (op = 'D'), 0) AS db FROM j GROUP BY id, read)
+    SELECT id, count(*) AS reads, round(avg(m), 6) AS matches, round(avg(x), 6) AS mismatches, round(avg(i), 6) AS insertions, round(avg(ib), 6) AS inserted, round(avg(db), 6) AS deleted, round(avg(m / (m + x + 0.001)), 6) AS identity FROM p GROUP BY id""")
+def _(read):
+    out = context.read_density(read("al").withColumn("cigar", cg.parse("cigar_text")), read("rg"), 10)
+    names = ["matches", "mismatches", "insertions", "inserted", "deleted", "identity"]
+    return out.select("id", "reads", *(F.round(f"mean_{n}", 6).alias(n) for n in names))
+
+
+_MAP = f"SELECT chrom, st // 1000 AS block, count(*) AS n, max(name % 400) AS k, max(sample) AS s FROM {IV} x GROUP BY 1, 2"
+_MAP_SCORES = "round(n_sv / nullif(n_sv + n_blank, 0)::DOUBLE, 6) AS p, round(CASE WHEN n_sv > 0 THEN abs(-10 * log10(n_sv / (n_sv + n_blank)::DOUBLE)) END, 6) AS score"
+
+
+def _heat_cells(read):
+    blocks = read("iv").groupBy("chrom", ops.div(F.col("st"), 1000).alias("block")).agg(F.count(F.lit(1)).alias("signals"), F.max(F.col("name") % 400).alias("k"), F.max("sample").alias("s"))
+    blocks = blocks.withColumn("reads", F.lit(100)).withColumn("label", F.when(F.col("s") % 2 == 0, "INS").otherwise("BLANK"))
+    halves = [context.heat_map(blocks.filter(F.col("chrom") % 2 == k)) for k in (0, 1)]
+    return context.merge_heat_maps(halves[0].unionByName(halves[1]))
+
+
+@query("merged_heat_map", f"""WITH b AS ({_MAP}) SELECT y, x, n_sv, n_blank, {_MAP_SCORES} FROM (SELECT least(99, n) AS y, least(299, k) AS x, count(*) FILTER (s % 2 = 0) AS n_sv, count(*) FILTER (s % 2 = 1) AS n_blank FROM b GROUP BY 1, 2)""")
+def _(read):
+    return _heat_cells(read).select("y", "x", "n_sv", "n_blank", F.round("p", 6).alias("p"), F.round("score", 6).alias("score"))
+
+
+@query("full_heat_map", f"""WITH b AS ({_MAP}), c AS (SELECT least(99, n) AS y, least(299, k) AS x, count(*) FILTER (s % 2 = 0) AS n_sv, count(*) FILTER (s % 2 = 1) AS n_blank FROM b GROUP BY 1, 2), g AS (SELECT y, x FROM generate_series(0, 99) a(y), generate_series(0, 299) b(x)),
+    f AS (SELECT g.y, g.x, coalesce(n_sv, 0) AS n_sv, coalesce(n_blank, 0) AS n_blank FROM g LEFT JOIN c ON c.y = g.y AND c.x = g.x) SELECT y, x, n_sv, n_blank, {_MAP_SCORES} FROM f""")
+def _(read):
+    return context.full_heat_map(_heat_cells(read)).select("y", "x", "n_sv", "n_blank", F.round("p", 6).alias("p"), F.round("score", 6).alias("score"))
+
+
+@query("pair_regions", f"""WITH c AS (SELECT *, (flag & 16) <> 0 AS r, (flag & 32) <> 0 AS mr, CASE WHEN pos <= mate_pos THEN (flag & 16) = 0 ELSE (flag & 32) = 0 END AS f FROM {AL} x),
+    k AS (SELECT *, CASE WHEN chrom <> mate_chrom AND r = mr THEN 'TRA_INV' WHEN chrom <> mate_chrom THEN 'TRA' WHEN r = mr AND NOT r THEN 'INV_1' WHEN r = mr THEN 'INV_2' WHEN NOT f THEN 'DUP' WHEN abs(isize) > 4500 THEN 'DEL' END AS class FROM c)
+    SELECT id, class, CASE WHEN r THEN pos - 4200 ELSE pos + 150 END AS st, CASE WHEN r THEN pos ELSE pos + 4350 END AS ed, CASE WHEN mr THEN mate_pos - 4200 ELSE mate_pos + 150 END AS st2, CASE WHEN mr THEN mate_pos ELSE mate_pos + 4350 END AS ed2 FROM k WHERE class IS NOT NULL""")
+def _(read):
+    out = reads.pair_regions(read("al"), 4500, 150)
+    return out.select(F.col("read_name").cast("long").alias("id"), "class", "st", "ed", "st2", "ed2")
+
+
+@query("fetched_mates", f"""WITH c AS (SELECT DISTINCT id, chrom, pos, mate_chrom, mate_pos FROM {AL} x WHERE isize <> 150) SELECT m.id FROM (SELECT id, mate_chrom AS chrom, mate_pos AS pos, chrom AS mate_chrom, pos AS mate_pos FROM {AL} y WHERE flag % 3 > 0) m JOIN c ON c.id = m.id""")
+def _(read):
+    al = read("al").select("read_name", "chrom", "pos", "mate_chrom", "mate_pos", "isize", "flag")
+    mates = al.filter("flag % 3 > 0").select("read_name", F.col("mate_chrom").alias("chrom"), F.col("mate_pos").alias("pos"), F.col("chrom").alias("mate_chrom"), F.col("pos").alias("mate_pos"))
+    return reads.fetch_mates(al.filter("isize <> 150"), mates).select(F.col("read_name").cast("long").alias("id"))
+
+
+@query("vntr_candidates", f"""SELECT chrom, greatest(0, st - 200) AS st, st + 200 AS ed, id % 200 AS k FROM {RG} x""")
+def _(read):
+    return short_signals.vntr_candidates(read("rg").select("chrom", F.col("st").alias("pos"), (F.col("id") % 200).alias("k")))
+
+
+@query("written_alleles", f"""SELECT id, CASE WHEN svlen * 1000 < -50000 THEN '<DEL>' WHEN hap = 1 AND abs(svlen * 1000) > 2000 THEN '<INV>' ELSE id::VARCHAR END AS alt, abs(svlen * 1000) BETWEEN 30 AND 50000 AS callable FROM {SV} x""")
+def _(read):
+    length, kind = F.col("svlen") * 1000, F.when(F.col("hap") == 1, "INV").otherwise(F.col("svtype"))
+    return read("sv").select("id", genotype.written_allele(length, F.col("id").cast("string"), kind).alias("alt"), genotype.callable_inversion(length).alias("callable"))
+
+
+@query("union_duplicates")
+def _(read):
+    return short_signals.union_duplicates(_two_regions(read))
+
+
+@query("combined_inversions")
+def _(read):
+    rows = _two_regions(read).withColumn("type", F.when(F.col("id") % 2 == 0, "INV_1").otherwise("INV_2"))
+    return short_signals.combine_inversions(rows)
+
+
+@query("insert_strings", f"""SELECT id AS a_contig, 'INS' AS type, substring(sha256(ln::VARCHAR) || sha256(id::VARCHAR), 11 + q + ln, 5 + q % 40) AS insert_seq, substring(sha256(id::VARCHAR) || sha256(id::VARCHAR), 11 + q + ln, 1) AS base_seq FROM {AL} x WHERE 5 + q % 40 >= 30
+    UNION ALL SELECT id, 'DEL', substring(sha256(id::VARCHAR) || sha256(id::VARCHAR), 41 + q + ln, 1 + q * 3 % 60), substring(sha256(ln::VARCHAR) || sha256(id::VARCHAR), 46 + q + ln + q % 40, 1) FROM {AL} y WHERE 1 + q * 3 % 60 >= 30""")
+def _(read):
+    """Each alignment's two contigs are a region of their own here."""
+    pairs = _contig_pairs(read).withColumn("region", F.col("a_contig"))
+    text = lambda c: F.sha2(F.col(c).cast("string"), 256)
+    al = read("al")
+    seqs = al.select(F.col("id").alias("region"), F.col("id").alias("contig"), F.concat(text("id"), text("id")).alias("seq")).unionByName(al.select(F.col("id").alias("region"), F.col("ln").cast("long").alias("contig"), F.concat(text("ln"), text("id")).alias("seq")))
+    return contigs.with_insert_strings(contigs.contig_variants(pairs, 30), seqs).select("a_contig", "type", "insert_seq", "base_seq")

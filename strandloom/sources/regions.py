@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import cigar
 from strandloom.functions.sequence import max_repeat_k
+from strandloom.sources.records import records
 
 
 def read_bed(spark: SparkSession, path: str | list[str], skip_first: bool = False) -> DataFrame:
@@ -74,11 +75,11 @@ def read_repeatmasker(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_trf(spark: SparkSession, path: str | list[str], least: int = 30, zero_based: bool = True) -> DataFrame:
     """Tandem repeats: a line `@name` opens a block of lines of 17 fields and more. Spans under `least` drop out."""
-    block = spark.read.option("lineSep", "@").text(path).filter(F.trim("value") != "")
-    lines = block.select(F.regexp_extract("value", r"^(\S*)", 1).alias("name"), F.posexplode(F.split("value", "\n")).alias("_k", "line")).filter("_k > 0")
-    c = F.split(F.trim("line"), r"\s+")
+    c = F.split(F.trim("value"), r"\s+")
     shift = 1 if zero_based else 0
-    rows = lines.filter(F.size(c) >= 17).select("name", (c[0].cast("int") - shift).alias("st"), (c[1].cast("int") - shift).alias("ed"), c[2].cast("int").alias("period"), c[3].cast("double").alias("copies"), c[4].cast("int").alias("motif_size"), c[13].alias("motif"), c[14].alias("repeat_seq"))
+    lines = records(spark, path, F.col("value").startswith("@"), F.lit(0)).filter(F.col("header").isNotNull() & (F.size(c) >= 17))
+    name = F.regexp_extract("header", r"^@(\S*)", 1).alias("name")
+    rows = lines.select(name, (c[0].cast("int") - shift).alias("st"), (c[1].cast("int") - shift).alias("ed"), c[2].cast("int").alias("period"), c[3].cast("double").alias("copies"), c[4].cast("int").alias("motif_size"), c[13].alias("motif"), c[14].alias("repeat_seq"))
     return rows.filter(F.col("ed") - F.col("st") >= least)
 
 
@@ -172,9 +173,10 @@ def read_file_list(spark: SparkSession, path: str) -> list[str]:
     return [r.value.strip() for r in spark.read.text(path).collect() if r.value.strip()]
 
 
-def read_wigfix(spark: SparkSession, path: str) -> DataFrame:
+def read_wigfix(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """chrom, pos (0-based) and value of each base; a `fixedStep` line opens a block that starts at its `start`."""
-    block = spark.read.option("lineSep", "fixedStep").text(path).filter(F.trim("value") != "")
-    head = lambda k: F.regexp_extract("value", rf"{k}=(\S+)", 1)
-    rows = block.select(head("chrom").alias("chrom"), head("start").cast("int").alias("start"), F.coalesce(head("step").try_cast("int"), F.lit(1)).alias("step"), F.posexplode(F.split("value", "\n")).alias("_k", "v"))
-    return rows.filter((F.col("_k") > 0) & (F.trim("v") != "")).select("chrom", (F.col("start") - 1 + (F.col("_k") - 1) * F.col("step")).alias("pos"), F.col("v").try_cast("double").alias("value"))
+    filled = (F.trim("value") != "").cast("int")
+    rows = records(spark, path, F.col("value").startswith("fixedStep"), filled).filter(F.col("header").isNotNull() & (filled == 1))
+    head = lambda k: F.regexp_extract("header", rf"{k}=(\S+)", 1)
+    place = head("start").cast("int") - 1 + F.col("before") * F.coalesce(head("step").try_cast("int"), F.lit(1))
+    return rows.select(head("chrom").alias("chrom"), place.cast("long").alias("pos"), F.col("value").try_cast("double").alias("value"))

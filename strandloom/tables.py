@@ -19,9 +19,24 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_MADE: set[str] = set()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that isn't in use, below a folder of this application that goes when the session's JVM ends."""
+    own = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MADE.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame, name: str = "round") -> DataFrame:
     """`df` as Parquet in the shared folder, read again: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
