@@ -157,28 +157,54 @@ def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-FILTER_BITS = 1 << 23
+#: Bits of a filter as powers of two: at least, at most (128 MB), and of the slices that travel to the driver one by one.
+LEAST_BITS, MOST_BITS, SLICE_BITS = 23, 30, 23
+
+
+def filter_bits(n: int) -> int:
+    """Bits, as a power of two, of a filter of n entries: 16 to 32 for each, so that it takes one in 16 others at most, as far
+    as MOST_BITS go: from 67 million entries on more, at a billion two in three."""
+    return min(max(LEAST_BITS, (16 * n).bit_length()), MOST_BITS)
+
+
+def bit_filter(places: DataFrame, bits: int) -> np.ndarray:
+    """2 ** bits bits, in bytes, of which those at the numbers in the one column of `places` are set.
+
+    Numbers combine to words of 64 bits before the shuffle; at most 128 slices of 1 MB travel to the driver.
+    """
+
+    def gathered(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << (SLICE_BITS - 6), np.int64)
+        for b in batches:
+            out[b.column("word").to_numpy() & (len(out) - 1)] = b.column("v").to_numpy()
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([out.tobytes()], pa.binary())})
+
+    at = places.toDF("at")
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("v"))
+    rows = words.groupBy(F.shiftright("word", SLICE_BITS - 6).alias("slice")).applyInArrow(gathered, "slice bigint, data binary").collect()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows:
+        out[r.slice << (SLICE_BITS - 3) : (r.slice + 1) << (SLICE_BITS - 3)] = np.frombuffer(r.data, np.uint8)
+    return out
 
 
 def split_by_ids(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`df` in two: rows whose id may be in the one-column `ids`, and rows whose id certainly isn't.
 
-    One bit per id in a filter of fixed size, whatever the tables' sizes: when it fills up, more rows count as possible,
-    and results that come from a join afterwards stay the same. It spares most texts a shuffle while ids are few.
+    One bit per id in a filter whose size goes by their number (`filter_bits`): one in 16 other rows at most counts as
+    possible, more when it is at its largest, and results that come from a join afterwards stay the same. It spares most texts
+    a shuffle. `ids` is read twice and should be a stored table.
     """
-    bit = F.pmod(F.xxhash64(ids.columns[0]), F.lit(FILTER_BITS))
-    words = ids.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w"))
-    rows = words.agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("v")).toPandas()  # at most FILTER_BITS / 64
-    mask = np.zeros(FILTER_BITS // 64, np.int64)
-    mask[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64)
-    sent = df.sparkSession.sparkContext.broadcast(mask)
+    bits = filter_bits(ids.count())
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+    sent = df.sparkSession.sparkContext.broadcast(bit_filter(ids.select(place(ids.columns[0])), bits))
 
     @F.pandas_udf(BooleanType())
     def maybe(h: pd.Series) -> pd.Series:
         b = h.to_numpy(np.int64)
-        return pd.Series((sent.value[b >> 6] >> (b & 63)) & 1 == 1)
+        return pd.Series((sent.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)
 
-    at = maybe(F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS)))
+    at = maybe(place(F.col(id_col)))
     return df.filter(at), df.filter(~at)
 
 

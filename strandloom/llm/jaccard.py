@@ -179,7 +179,7 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The links `(a, b)` of `pairs` (a, b, ka, kb; stored). Many pairs may share their kb."""
-    keys = pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
+    keys = stored(pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct(), "keys")
     some, _ = split_by_ids(docs.select("key", "text"), "key", keys)
     some = some.dropDuplicates(["key"])
 

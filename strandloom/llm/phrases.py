@@ -7,7 +7,7 @@ common prefix is spread over many. From the merged stripes come the extensions o
 they are, and for each phrase the largest count of a phrase that extends it to the right or to the left.
 
 A phrase of `least` occurrences has parts of at least as many. So level m counts a phrase only where both its parts of m - 1
-words may be frequent, which a bit filter of these tells: 16 bits for each, 2^30 (128 MB) at most. A fuller filter lets more
+words may be frequent, which a bit filter of these tells (`common.filter_bits`: 128 MB at most). A fuller filter lets more
 through, which the merged counts drop: results are exact. All counts of parts come along from level to level, so that a cut
 needs no search.
 
@@ -31,12 +31,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import as_bytes, packed, parts, pick, pieces, stored, unpacked
+from strandloom.llm.common import as_bytes, bit_filter, filter_bits, packed, parts, pick, pieces, stored, unpacked
 
-#: Words that a task counts before it sends them; classes of next words; bits of a filter for each entry, and at most.
-CHUNK, PIECES, BITS, MOST_BITS = 2_000_000, 256, 16, 30
-#: Bits of a filter that travel to the driver as one value.
-_SLICE = 23
+#: Words that a task counts before it sends them; classes of next words.
+CHUNK, PIECES = 2_000_000, 256
 _CUTS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _END = b"\n"
@@ -97,28 +95,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word string, w1 bigint, c bigint").groupBy("lang", "word", "w1").agg(F.sum("c").alias("c"))
 
 
-def bit_filter(phrases: DataFrame, m: int) -> np.ndarray:
+def known_phrases(phrases: DataFrame, m: int) -> np.ndarray:
     """Bits, in bytes, of the phrases `(w1 .. wm)`: the bit that their key's upper bits name is set."""
-    n = phrases.count()
-    bits = int(min(max(_SLICE, int(n * BITS).bit_length()), MOST_BITS))
+    bits = filter_bits(phrases.count())
 
     @F.pandas_udf("long")
     def place(*words: pd.Series) -> pd.Series:
         return pd.Series((_mixed(_key([w.to_numpy(np.int64).view(np.uint64) for w in words])) >> np.uint64(64 - bits)).astype(np.int64))
 
-    def gathered(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(1 << (_SLICE - 6), np.int64)
-        for b in batches:
-            out[b.column("word").to_numpy() & (len(out) - 1)] = b.column("v").to_numpy()
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([out.tobytes()], pa.binary())})
-
-    at = phrases.select(place(*[f"w{k}" for k in range(1, m + 1)]).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("v"))
-    rows = words.groupBy(F.shiftright("word", _SLICE - 6).alias("slice")).applyInArrow(gathered, "slice bigint, data binary").collect()  # 128 at most
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in rows:
-        out[r.slice << (_SLICE - 3) : (r.slice + 1) << (_SLICE - 3)] = np.frombuffer(r.data, np.uint8)
-    return out
+    return bit_filter(phrases.select(place(*[f"w{k}" for k in range(1, m + 1)])), bits)
 
 
 def _told(bits: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
@@ -252,7 +237,7 @@ def collocations(docs: DataFrame, least: int = 30, percent: int = 80, longest: i
     one = F.array("c")
     levels = [stored(words.filter(F.col("c") >= least).select("w1", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "c", one.alias("heads"), one.alias("tails")), "level1")]
     for m in range(2, longest + 1):
-        known = bit_filter(levels[-1].select(*[f"w{k}" for k in range(1, m)]), m - 1)
+        known = known_phrases(levels[-1].select(*[f"w{k}" for k in range(1, m)]), m - 1)
         found = stored(extensions(src, m, known, least), f"found{m}")
         levels.append(stored(_joined(found, levels[-1], m), f"level{m}"))
     kept = []

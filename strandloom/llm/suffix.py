@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import SHARE, as_bytes, parts, pick, pieces, scratch, split_by_ids, stored
+from strandloom.llm.common import SHARE, as_bytes, parts, pick, pieces, scratch, split_by_ids, spread_join, stored
 from strandloom.llm.windows import window_hashes
 
 GRAM, REACH = 8, 256
@@ -258,9 +258,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     by = F.substring("right", 1, lead)
     dealt = rows.filter("left is not null").repartitionByRange(parts(docs), by).sortWithinPartitions(by)
     spans = dealt.mapInArrow(bucket, "key bigint, st bigint, ed bigint")
-    window = F.struct("key", F.col("at").alias("st"), (F.col("at") + length).alias("ed"), "known")
-    again = rows.filter("left is null").groupBy("right").agg(F.collect_list(window).alias("w")).filter("size(w) > 1")  # a row from each batch at most
-    spans = spans.unionByName(again.select(F.explode("w").alias("w")).filter("not w.known").select("w.key", "w.st", "w.ed"))
+    windows = rows.filter("left is null").select("right", "key", F.col("at").alias("st"), (F.col("at") + length).alias("ed"), "known")
+    twice = windows.groupBy("right").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("right")
+    again = spread_join(windows.filter("not known"), twice, "right", F.col("key"), "left_semi")  # one window may be in very many texts
+    spans = spans.unionByName(again.select("key", "st", "ed"))
     return spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("st", "ed"))).alias("spans"))
 
 

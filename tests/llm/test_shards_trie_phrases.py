@@ -226,7 +226,7 @@ def test_collocations_equal_plain_counts(spark, least, monkeypatch):
 def test_full_filter_changes_no_count(spark, monkeypatch):
     rows = chatter(9)
     df = saved(spark.createDataFrame(rows, "text string, lang string"), spark)
-    monkeypatch.setattr(phrases, "bit_filter", lambda found, m: np.full(1 << 10, 255, np.uint8))
+    monkeypatch.setattr(phrases, "known_phrases", lambda found, m: np.full(1 << 10, 255, np.uint8))
     assert sorted(map(tuple, phrases.collocations(df, 5).collect())) == plain_collocations(rows, 5)
 
 
