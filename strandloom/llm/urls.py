@@ -6,9 +6,13 @@ combining aggregate. The rule list is a parameter on the driver; it is broadcast
 and joined by shuffle beyond that, where tokens that many URLs have are spread over tasks. URLs without host and path,
 which no rule can fit, take no part in joins, and a URL that very many rows have is spread over tasks too.
 
+Rules also come from filter lists (`read_rules`), in the usual line syntax: `||` before a domain, `|` at the beginning or end,
+`*` for anything, `^` for a separator or the end, `@@` before an exception. Their literal tokens are the letters and digits
+between separators; what an open end may go on with is none.
+
 Defined results: a null URL, or one without `://`, has empty host and path and no rule; repeated rows are judged alike;
-an empty table gives an empty table. Of rules that fit, site rules go before patterns, then the longest text, then the
-last by text.
+an empty table gives an empty table. Of rules that fit, site rules go before patterns, exceptions before others, then the
+longest text, then the last by text.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import re
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import pick, spread_join, stored
@@ -50,6 +54,33 @@ def pattern(verdict: str, token: str) -> Rule:
     return Rule(token, verdict, rf"/{re.escape(token)}(/|\.|$)", (token,), False)
 
 
+def filter_rule(line: str) -> Rule | None:
+    """A line of a filter list as a rule on host and path, or None: comments, headers, rules for parts of pages (`##`) and rules
+    with options (`$`), which hang on more than the URL. Letters count as they are written, hosts are in lower case."""
+    text = line.strip()
+    if not text or text[0] in "![" or "##" in text or "#@#" in text or "$" in text:
+        return None
+    body = text.removeprefix("@@")
+    domain, start = body.startswith("||"), body.startswith("|")
+    end = body.endswith("|") and len(body) > 2
+    body = body.removeprefix("||") if domain else body.removeprefix("|")
+    body = re.sub(r"^[a-z]+://", "", body.removesuffix("|") if end else body)
+    if not body.strip("*^"):
+        return None
+    regex = "".join(".*" if c == "*" else "([^A-Za-z0-9_.%-]|$)" if c == "^" else re.escape(c) for c in body)
+    regex = (r"^([^/]*\.)?" if domain else "^" if start else "") + regex + ("$" if end else "")
+    # a run of letters and digits is a whole token if neither * nor an open end can make it longer
+    marked = ("/" if domain or start else "*") + body + ("/" if end else "*")
+    tokens = re.findall(r"(?<![A-Za-z0-9*])[A-Za-z0-9]+(?![A-Za-z0-9*])", marked)
+    return Rule(text, "allow" if text.startswith("@@") else "block", regex, tuple(tokens), False)
+
+
+def read_rules(spark: SparkSession, path: str | list[str]) -> list[Rule]:
+    """The rules of filter lists, each once, in order of their text. A list is read whole: it is a parameter."""
+    lines = spark.read.text(path).distinct().collect()
+    return sorted(r for x in lines if (r := filter_rule(x.value)))
+
+
 #: What the method says of URLs that no site rule fits; all else is allowed.
 PATTERNS = [pattern("block", t) for t in ("login", "signin", "signup", "cart", "checkout", "casino", "porn", "xxx", "search")]
 
@@ -87,7 +118,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: s
     index = rarest.join(listed.drop("tokens"), "k")
     tried = seen.join(F.broadcast(index), "token") if small else spread_join(seen, stored(index, "index"), "token", F.col("where"))
     fits = tried.filter(F.expr("where rlike regex"))
-    best = fits.groupBy("where").agg(F.max(F.struct("site", F.length("text").alias("n"), "text", "said")).alias("best"))
+    best = fits.groupBy("where").agg(F.max(F.struct("site", F.col("text").startswith("@@").alias("except"), F.length("text").alias("n"), "text", "said")).alias("best"))
     found = spread_join(some, best, "where", F.struct("page_id", "url"), "left")
     out = found.unionByName(urls.filter(F.col("where") == ""), allowMissingColumns=True)
     named = F.when(F.col("best.site"), F.col("best.text"))
