@@ -535,6 +535,39 @@ def test_successor_of_rows_that_share_an_id(spark, same):
     assert Counter(r.next_text for r in got) == Counter(t for _, t in rows)
 
 
+def test_filter_lists(spark, tmp_path):
+    f = lambda line: (lambda r: r and (r.verdict, r.tokens))(urls.filter_rule(line))
+    assert f("||ads.example.com^") == ("block", ("ads", "example", "com")) and f("@@||example.com/ok/") == ("allow", ("example", "com", "ok"))
+    assert f("/banner*ads/") == ("block", ()) and f("/banner/*/ad.") == ("block", ("banner", "ad")) and f("|http://x.org/a|") == ("block", ("x", "org", "a"))
+    assert all(f(x) is None for x in ("! note", "[List]", "site.com##.ad", "/ad$third-party", "", "*", "^"))
+    fits = lambda line, where: bool(re.search(urls.filter_rule(line).regex, where))
+    assert fits("||b.com^", "a.b.com/x") and fits("||b.com^", "b.com") and not fits("||b.com^", "ab.com/x") and not fits("||b.com^", "b.com.org/")
+    assert fits("/ad^", "x.com/ad") and fits("/ad^", "x.com/ad/1") and not fits("/ad^", "x.com/ads") and fits("|x.com/a|", "x.com/a") and not fits("|x.com/a|", "x.com/ab")
+    (tmp_path / "list.txt").write_text("! note\n||b.com^\n\n@@/ok/\n||b.com^\n")
+    assert [r.text for r in urls.read_rules(spark, f"{tmp_path}/list.txt")] == ["@@/ok/", "||b.com^"]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_thousands_of_filter_rules_equal_every_expression(spark, monkeypatch, broadcast):
+    r = random.Random(31)
+    names = [f"w{k}" for k in range(60)]
+    word = lambda: r.choice(names)
+    lines = {r.choice(["||{}.{}^", "||{}.com/{}/", "/{}/{}.", "@@||{}.com/{}", "/{}*{}/", "|{}.org/{}|", "-{}-{}^", "@@/{}/{}/", "{}{}"]).format(word(), word()) for _ in range(4500)}
+    rules = [x for x in map(urls.filter_rule, sorted(lines)) if x] + [urls.site("allow", "w1.com", "/w2/")]
+    assert len(rules) > 3000
+    if not broadcast:
+        monkeypatch.setattr(urls, "BROADCAST_RULES", 10)
+    path = lambda: "/".join(r.choice([word(), word() + word(), f"{word()}.html", f"x-{word()}-{word()}"]) for _ in range(r.randrange(0, 5)))
+    rows = [(i, r.choice([f"http://{word()}.{r.choice(['com', 'org', word()])}/{path()}?q={word()}", f"https://a.{word()}.com/{path()}", None, "none"])) for i in range(400)] + [(1000 + i, "http://w3.com/w4/") for i in range(300)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string").repartition(3), rules).collect()
+    tried = [(x, re.compile(x.regex)) for x in rules]
+    assert len(got) == len(rows)
+    for x in got:
+        where = x.host + x.path
+        best = max(((y.site, y.text.startswith("@@"), len(y.text), y.text, y.verdict) for y, e in tried if where and e.search(where)), default=None)
+        assert (x.rule or x.pattern, x.verdict) == ((best[3], best[4]) if best else (None, "allow"))
+
+
 def test_split_by_ids_loses_nothing(spark):
     df = spark.range(1000)
     some, rest = split_by_ids(df, "id", spark.range(10, 20))
