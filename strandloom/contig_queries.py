@@ -55,6 +55,31 @@ MISMATCH_REGIONS = f"""WITH {BASES}, w AS (SELECT *, sum((op = 'M')::INT) OVER (
     FROM t LEFT JOIN g ON g.region = t.region AND g.contig = t.contig AND g.r = t.r"""
 
 
+_SEQUENCE = "translate({}, '0123456789abcdef', 'ACGTACGTACGTACGT')"
+_MOTIF = "repeat(substring(sha256(l_orderkey::VARCHAR), 1, 11), 30)"
+_MIXED = " || ".join(f"sha256(({_ID} + {k})::VARCHAR)" for k in range(5))
+_OVERLAP = "greatest(0, least({}, length) - greatest({}, 0))"
+
+DIFFERENCE_CLASSES = f"""WITH {BASES}, v AS (SELECT {", ".join(_SV)} FROM lineitem),
+    s AS (SELECT *, CASE WHEN type = 'INS' THEN a_contig ELSE b_contig END AS bc, CASE WHEN type = 'INS' THEN a_pos ELSE b_pos END AS bp, CASE WHEN type = 'INS' THEN b_contig ELSE a_contig END AS ic, CASE WHEN type = 'INS' THEN b_pos ELSE a_pos END AS st FROM v),
+    p AS (SELECT s.*, CASE WHEN ic = 0 THEN st WHEN bc = 0 THEN bp ELSE x.r END AS base_ref FROM s LEFT JOIN (SELECT * FROM b WHERE op <> 'D') x ON x.region = s.region AND x.contig = bc AND x.q = bp),
+    k AS (SELECT region, greatest(0, st) AS st, least(329, ed) AS ed FROM (SELECT l_orderkey AS region, l_partkey * 5 % 330 - 10 AS st, l_partkey * 5 % 330 + l_suppkey % 30 + 10 AS ed FROM lineitem UNION ALL SELECT l_orderkey, l_suppkey * 17 % 330, l_suppkey * 17 % 330 + 9 FROM lineitem WHERE l_returnflag = 'R') WHERE greatest(0, st) <= least(329, ed)),
+    f AS (SELECT *, max(ed) OVER (PARTITION BY region ORDER BY st, ed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM k), g AS (SELECT *, sum(CASE WHEN st - far <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY region ORDER BY st, ed ROWS UNBOUNDED PRECEDING) AS i FROM f),
+    r AS (SELECT region, min(st) AS rst, max(ed) AS red, row_number() OVER (PARTITION BY region ORDER BY min(st)) - 1 AS k FROM g GROUP BY region, i),
+    n AS (SELECT p.id, max(k) FILTER (base_ref BETWEEN rst AND red) AS own, count(*) FILTER (red < base_ref) - coalesce((min(rst) = 0)::INT, 0) AS gap, min(least(abs(base_ref - rst), abs(base_ref - red))) AS far, min_by({{'st': rst, 'ed': red}}, least(abs(base_ref - rst), abs(base_ref - red)) * 1000 + k) AS near FROM p LEFT JOIN r ON r.region = p.region WHERE base_ref BETWEEN 0 AND 329 GROUP BY p.id),
+    q AS (SELECT l_orderkey AS region, {_ID} AS ic, {_SEQUENCE.format(f"CASE WHEN l_linenumber % 2 = 0 THEN {_MOTIF} ELSE {_MIXED} END")} AS seq, l_partkey % 120 AS ms, l_returnflag AS kind, l_suppkey % 90 AS ts, l_suppkey % 90 + 20 + l_partkey % 90 AS te, 3 + l_partkey % 60 AS unit, 1.5 + l_linenumber AS copies FROM lineitem),
+    w AS (SELECT DISTINCT l_orderkey AS region, {_SEQUENCE.format(_MOTIF)} AS ref FROM lineitem),
+    a AS (SELECT p.id, p.length, p.base_ref, p.st, n.own, n.gap, n.far, n.near, w.ref, CASE WHEN p.ic = 0 THEN w.ref ELSE q.seq END AS seq, q.unit, q.copies, q.ts, q.te, q.kind, q.ms - p.st AS rs, q.ms + 30 - p.st AS re, CASE WHEN q.te > p.st AND q.ts < p.st + p.length THEN q.ts - p.st END AS t1, CASE WHEN q.te > p.st AND q.ts < p.st + p.length THEN q.te - p.st END AS t2, q.ms + 30 > p.st AND q.ms < p.st + p.length AS hit
+        FROM p LEFT JOIN n ON n.id = p.id LEFT JOIN q ON q.region = p.region AND q.ic = p.ic LEFT JOIN w ON w.region = p.region),
+    l AS (SELECT *, CASE WHEN t1 IS NULL THEN 0 ELSE {_OVERLAP.format("t2", "t1")} END AS tl, CASE WHEN hit THEN {_OVERLAP.format("re", "rs")} ELSE 0 END AS rl, CASE WHEN hit AND t1 IS NOT NULL THEN {_OVERLAP.format("least(t2, re)", "greatest(t1, rs)")} ELSE 0 END AS tr,
+        CASE WHEN t1 IS NOT NULL AND unit < 6 THEN greatest(0, least(t2, re) - greatest(t1, rs)) ELSE 0 END AS cover FROM a),
+    m AS (SELECT *, CASE WHEN kind = 'R' THEN tl + rl - tr WHEN hit AND cover < 0.8 * 30 THEN tl - tr ELSE tl END AS vntr FROM l),
+    c AS (SELECT *, own IS NOT NULL AS in_vntr, (length - vntr > 200 OR length - vntr > 0.2 * length) AS fresh, CASE WHEN own IS NULL AND near.st IS NOT NULL THEN far END AS vntr_distance FROM m)
+    SELECT id, base_ref, in_vntr, CASE WHEN own IS NOT NULL THEN own WHEN base_ref BETWEEN 0 AND 329 THEN gap END AS run, vntr_distance, vntr, length, CASE WHEN in_vntr AND NOT fresh THEN 1 WHEN in_vntr THEN 2 WHEN fresh THEN 4
+        WHEN vntr_distance > 0 AND vntr_distance < 30 AND len(list_filter(range(st + 1, least(st + length, length(seq)) - 8), lambda i: contains(substring(ref, near.st + 1, near.ed - near.st + 1), substring(seq, i, 10)))) >= 5 THEN 1
+        WHEN ts - 10 <= st AND te + 10 >= st + length AND unit >= 50 AND copies <= 2.5 THEN 4 ELSE 3 END AS class FROM c"""
+
+
 def reference_places(read) -> DataFrame:
     return placed(read).select("id", "base_ref", "base_is_insert", "event", "insert_ref", "insert_ref_end")
 

@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import homopolymer_equal, kmers
+from strandloom.operators.folds import stream
 from strandloom.operators.intervals import STRETCH, div, overlap_join, with_island
 from strandloom.operators.order import cumulated
 
 LONG_ALLELE = 400
 
 
+class _Variants:
+    """Calls of a block in sample order: adds the number of the variant that each is. Holds a row for each variant."""
+
+    def __init__(self, long_allele: int, crowd: int) -> None:
+        self.long_allele, self.crowd, self.n = long_allele, crowd, 0
+        self.leaders: dict[int, list[tuple[int, int, str]]] = {}  # by place: number, length, ALT
+
+    def _same(self, size: int, alt: str, lead_size: int, lead_alt: str) -> bool:
+        if self.n > self.crowd:
+            return bool(lead_alt) and 0.9 < len(alt) / len(lead_alt) < 1.1
+        if len(alt) < self.long_allele and len(lead_alt) < self.long_allele:
+            return size == lead_size
+        return bool(lead_size) and 0.9 < size / lead_size < 1.1
+
+    def take(self, row: tuple) -> Iterable[tuple]:
+        _, _, pos, size, _, alt = row[:6]
+        mine = self.leaders.setdefault(pos, [])
+        k = next((k for k, n, a in mine if self._same(size, alt, n, a)), None)
+        if k is None:
+            k, self.n = self.n, self.n + 1
+            mine.append((k, size, alt))
+        return ((*row, k),)
+
+    def end(self) -> Iterable[tuple]:
+        return ()
+
+
 def merge_cohort(sv: DataFrame, long_allele: int = LONG_ALLELE, block: int = 30, crowd: int = 100) -> DataFrame:
     """One row per variant of the cohort with its carriers.
 
@@ -23,35 +52,14 @@ def merge_cohort(sv: DataFrame, long_allele: int = LONG_ALLELE, block: int = 30,
     """
     rows = sv.withColumn("_block", div(F.col("pos"), block))
     here = Window.partitionBy("chrom", "_block")  # a few bases; the groupings below keep its partitioning
-    rows = rows.withColumn("_fold", (F.max(F.length("alt")).over(here) >= long_allele) | (F.size(F.collect_set(F.struct("pos", "svlen")).over(here)) > crowd))
+    rows = rows.withColumn("_nth", F.dense_rank().over(here.orderBy("pos", "svlen")))
+    rows = rows.withColumn("_fold", (F.max(F.length("alt")).over(here) >= long_allele) | (F.max("_nth").over(here) > crowd)).drop("_nth")
     carrier = F.struct("sample", "id", "a1", "a2", "qual")
     exact = rows.filter(~F.col("_fold")).groupBy("chrom", "_block", "pos", "svlen").agg(F.min_by(F.struct("ref", "alt"), F.struct("sample", "id")).alias("first"), F.sort_array(F.collect_list(carrier)).alias("support"))
     exact = exact.select("chrom", "pos", "svlen", "first.ref", "first.alt", "support")
     fields = ["chrom", "_block", "pos", "svlen", "ref", "alt", "sample", "id", "a1", "a2", "qual"]
 
-    def same(r: dict, lead: dict, crowded: bool) -> bool:
-        if crowded:
-            return bool(lead["alt"]) and 0.9 < len(r["alt"]) / len(lead["alt"]) < 1.1
-        if len(r["alt"]) < long_allele and len(lead["alt"]) < long_allele:
-            return r["svlen"] == lead["svlen"]
-        return bool(lead["svlen"]) and 0.9 < r["svlen"] / lead["svlen"] < 1.1
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sample", "id"], kind="stable")
-        leaders: dict[int, list[tuple[int, dict]]] = {}
-        held: dict[int, int] = {}  # variants in each block
-        group = []
-        for r in pdf.to_dict("records"):
-            mine, n = leaders.setdefault(r["pos"], []), held.get(r["_block"], 0)
-            k = next((k for k, lead in mine if same(r, lead, n > crowd)), None)
-            if k is None:
-                k, held[r["_block"]] = n, n + 1
-                mine.append((k, r))
-            group.append(k)
-        return pdf.assign(lead=group)
-
-    bundle = F.floor(F.col("_block") / 5000)  # many small blocks to a pandas group
-    folded = rows.filter("_fold").select(*fields).groupBy("chrom", bundle.alias("_bundle")).applyInPandas(run, rows.select(*fields, F.lit(0).alias("lead")).schema)
+    folded = stream(rows.filter("_fold").select(*fields), ["chrom", "_block"], ["sample", "id"], lambda: _Variants(long_allele, crowd), rows.select(*fields, F.lit(0).alias("lead")).schema, ["chrom", F.floor(F.col("_block") / 5000)])
     folded = folded.groupBy("chrom", "pos", "_block", "lead").agg(F.min_by(F.struct("svlen", "ref", "alt"), F.struct("sample", "id")).alias("first"), F.sort_array(F.collect_list(carrier)).alias("support"))
     return exact.unionByName(folded.select("chrom", "pos", "first.svlen", "first.ref", "first.alt", "support"))
 

@@ -36,8 +36,15 @@ def accurate_reads(reads: DataFrame, block: int = 1000, worst: float = 0.2, tota
     errors and with few in all. The tail short of a block isn't counted; reads without a full block pass."""
     full = div(F.col("length"), block)
     counted = F.filter("errors", lambda x: x < full * block)
-    per = F.transform(F.sequence(F.lit(0), F.greatest(full - 1, F.lit(0))), lambda b: F.size(F.filter(counted, lambda x: F.floor(x / block) == b)))
-    return reads.filter((full == 0) | ((F.array_max(per) <= worst * block) & (F.size(counted) <= total * full * block)))
+    blocks = F.array_sort(F.transform(counted, lambda x: F.floor(x / block).cast("long")))
+    zero = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+
+    def step(a: Column, b: Column) -> Column:
+        n = F.when(a["b"] == b, a["n"] + 1).otherwise(1)
+        return F.struct(b.alias("b"), n.alias("n"), F.greatest(a["most"], n).alias("most"))
+
+    most = F.aggregate(blocks, zero, step)["most"]
+    return reads.filter((full == 0) | ((most <= worst * block) & (F.size(counted) <= total * full * block)))
 
 
 def translocation_reads(reads: DataFrame, least: int = 5000) -> DataFrame:
@@ -346,6 +353,10 @@ def projected_pieces(mappings: DataFrame) -> DataFrame:
 
 
 def likeliest_place(density: DataFrame, width: int) -> DataFrame:
-    """The start of the window of `width` places with the largest sum (the first of equals): id, pos, p."""
-    by = Window.partitionBy("id").orderBy("pos").rangeBetween(0, width - 1)
-    return density.withColumn("s", F.sum("p").over(by)).groupBy("id").agg(F.max_by("pos", F.struct("s", -F.col("pos"))).alias("pos"), F.max("s").alias("p"))
+    """The start of the window of `width` places with the largest sum (the first of equals): id, pos, p. Windows run over
+    stretches; a place within reach of the stretch before goes to that one too."""
+    bins = F.sequence(div(F.col("pos") - (width - 1), STRETCH), div(F.col("pos"), STRETCH))
+    rows = density.withColumn("_bin", F.explode(bins))
+    by = Window.partitionBy("id", "_bin").orderBy("pos").rangeBetween(0, width - 1)
+    sums = rows.withColumn("s", F.sum("p").over(by)).filter(F.col("_bin") == div(F.col("pos"), STRETCH))
+    return sums.groupBy("id").agg(F.max_by("pos", F.struct("s", -F.col("pos"))).alias("pos"), F.max("s").alias("p"))

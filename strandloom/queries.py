@@ -580,19 +580,23 @@ def _(read):
 # Mobile elements and contigs
 
 
-@query("element_gaps", f"""SELECT sample, type, st, st - lag(st) OVER w - lag(ed - st) OVER w AS gap FROM {IV} x WINDOW w AS (PARTITION BY sample, type ORDER BY st, ed)""")
+#: Samples that grow in number with the tables: forty for each eight chromosomes.
+_SAMPLED = "sample + 40 * CAST(floor(chrom / 8) AS BIGINT) AS sample"
+
+
+@query("element_gaps", f"""SELECT sample, type, st, st - lag(st) OVER w - lag(ed - st) OVER w AS gap FROM (SELECT type, st, ed, {_SAMPLED} FROM {IV} x) y WINDOW w AS (PARTITION BY sample, type ORDER BY st, ed)""")
 def _(read):
-    return mei.element_gaps(read("iv").withColumn("length", F.col("ed") - F.col("st"))).select("sample", "type", "st", "gap")
+    return mei.element_gaps(read("iv").selectExpr("type", "st", "ed", _SAMPLED).withColumn("length", F.col("ed") - F.col("st"))).select("sample", "type", "st", "gap")
 
 
-@query("main_annotation", f"""SELECT sample, chrom, n FROM (SELECT sample, chrom, count(*) AS n, row_number() OVER (PARTITION BY sample ORDER BY count(*) DESC, min(id)) AS k FROM {IV} x GROUP BY sample, chrom) WHERE k = 1""")
+@query("main_annotation", f"""SELECT sample, chrom, n FROM (SELECT sample, chrom, count(*) AS n, row_number() OVER (PARTITION BY sample ORDER BY count(*) DESC, min(id)) AS k FROM (SELECT id, chrom, {_SAMPLED} FROM {IV} x) y GROUP BY sample, chrom) WHERE k = 1""")
 def _(read):
-    return mei.most_frequent(read("iv"), "sample", "chrom", "id")
+    return mei.most_frequent(read("iv").selectExpr("id", "chrom", _SAMPLED), "sample", "chrom", "id")
 
 
 @query("mei_arrays")
 def _(read):
-    return mei.mei_arrays(read("iv").select((F.col("name") % 400).alias("sample"), "type", "st", "ed", (F.col("ed") - F.col("st")).alias("length")))
+    return mei.mei_arrays(read("iv").select((F.col("name") % 400 + 400 * ops.div(F.col("chrom"), 8)).alias("sample"), "type", "st", "ed", (F.col("ed") - F.col("st")).alias("length")))
 
 
 _TANDEM, _ANNOTATED = "(l_orderkey * 37 + l_linenumber * 211) % 2000", "(l_partkey * 13) % 2000"
@@ -1070,7 +1074,7 @@ def _(read):
 query("reference_places", contig_queries.REFERENCE_PLACES)(contig_queries.reference_places)
 query("mismatch_regions", contig_queries.MISMATCH_REGIONS)(contig_queries.mismatch_regions)
 query("nested_differences")(contig_queries.nested_differences)
-query("difference_classes")(contig_queries.difference_classes)
+query("difference_classes", contig_queries.DIFFERENCE_CLASSES)(contig_queries.difference_classes)
 
 
 # Genotypes in whole numbers, and places carried over by alignments
@@ -1246,3 +1250,126 @@ def _(read):
     al = read("al")
     seqs = al.select(F.col("id").alias("region"), F.col("id").alias("contig"), F.concat(text("id"), text("id")).alias("seq")).unionByName(al.select(F.col("id").alias("region"), F.col("ln").cast("long").alias("contig"), F.concat(text("ln"), text("id")).alias("seq")))
     return contigs.with_insert_strings(contigs.contig_variants(pairs, 30), seqs).select("a_contig", "type", "insert_seq", "base_seq")
+
+
+# Column functions and filters of reads
+
+_LETTERS = "translate({}, '0123456789abcdef', 'AAAACCCCGGGGTTTT')"
+_TEXT = _LETTERS.format("substring(md5(CAST(id AS VARCHAR)), 1, 12)")
+_SPARK_TEXT = _TEXT.replace("VARCHAR", "STRING")
+_OTHER = "CASE WHEN id % 2 = 0 THEN concat(substring(t, 1, 1), t) ELSE reverse(t) END"
+_COLLAPSED = "array_to_string(list_transform(list_filter(range(1, length({0}) + 1), lambda i: i = 1 OR {0}[i] <> {0}[i - 1]), lambda i: {0}[i]), '')"
+_CLIP = "concat(repeat('A', CAST(q % 25 AS INT)), repeat('C', 8), repeat('T', 9))"
+
+
+@query("sequence_checks", f"""WITH t AS (SELECT *, {_TEXT} AS t FROM {AL} x), o AS (SELECT *, {_OTHER} AS o, {_CLIP} AS c FROM t)
+    SELECT id, {_COLLAPSED.format("t")} = {_COLLAPSED.format("o")} AS equal, (len(string_split(c[1:20], 'A')) - 1 > 18 OR len(string_split(c[1:20], 'T')) - 1 > 18 OR q + ln < 20) AS poly_at, (q + mapq) / 2.0 < 0.6 * (ln * 9 + q + 11) / 2.0 AS poor FROM o""")
+def _(read):
+    rows = read("al").selectExpr("*", f"{_SPARK_TEXT} AS t").selectExpr("*", f"{_OTHER} AS o", f"{_CLIP} AS c")
+    return rows.select("id", sq.homopolymer_equal("t", "o").alias("equal"), sq.poly_at_rejects("c", F.col("q") + F.col("ln")).alias("poly_at"), sq.clip_is_poor(F.array("q", "mapq"), F.array(F.col("ln") * 9, F.col("q") + 11)).alias("poor"))
+
+
+@query("region_names", f"""SELECT id, chrom::VARCHAR AS chrom, st::INT AS st, ed::INT AS ed, chrom || ':' || st || '-' || ed AS name, CASE WHEN ed - st <= 1000 THEN ed - st WHEN (ed - st) // 10 <= 1000 THEN (ed - st) // 10 * 10 END AS size, CASE WHEN st <= 1000 THEN st WHEN st // 10 <= 1000 THEN st // 10 * 10 WHEN st // 100 <= 1000 THEN st // 100 * 100 WHEN st // 1000 <= 1000 THEN st // 1000 * 1000 WHEN st // 10000 <= 1000 THEN st // 10000 * 10000 ELSE st // 100000 * 100000 END AS rounded FROM {IV} x""")
+def _(read):
+    text = F.when(F.col("id") % 2 == 0, sq.format_region("chrom", "st", "ed")).otherwise(sq.format_region("chrom", "st", "ed", "__"))
+    rows = read("iv").select("id", sq.parse_region(text).alias("r"))
+    return rows.select("id", "r.*").select("id", "chrom", "st", "ed", sq.format_region("chrom", "st", "ed").alias("name"), sq.round_insert_size(F.col("ed") - F.col("st")).alias("size"), sq.round_insert_size("st").alias("rounded"))
+
+
+@query("phred_sums", f"""SELECT id, greatest(a, b) + CASE WHEN abs(a - b) >= 20 THEN 0 ELSE floor(10 * log10(1 + pow(10, -abs(a - b) / 10.0)) + 0.5) END::INT AS total FROM (SELECT id, -q::INT AS a, -(mapq::INT) AS b FROM {AL} x) y""")
+def _(read):
+    return read("al").select("id", sq.phred_add(-F.col("q"), -F.col("mapq")).cast("int").alias("total"))
+
+
+_KMERS = ["l_orderkey AS read", "l_linenumber * 9 + l_partkey % 9 AS i", "CASE WHEN l_suppkey % 5 = 0 THEN repeat('A', 5) ELSE concat('AC', repeat('G', 3)) END AS kmer", "l_discount * 10 AS prob"]
+
+
+@query("kmer_error_mask", f"""WITH k AS (SELECT {", ".join(_KMERS)} FROM lineitem), b AS (SELECT *, (kmer = 'AAAAA' OR prob < 0.2)::INT AS bad FROM k) SELECT read, i, kmer, CASE WHEN bad = 1 THEN 'P' WHEN max(bad) OVER (PARTITION BY read ORDER BY i RANGE BETWEEN 12 PRECEDING AND 12 FOLLOWING) = 1 THEN 'E' ELSE 'N' END AS mask FROM b""")
+def _(read):
+    return sq.error_mask(read("lineitem").selectExpr(*_KMERS), 0.2, 12).select("read", "i", "kmer", "mask")
+
+
+@query("supplementary_parts", f"""WITH r AS (SELECT id, 'c' || chrom AS chrom, pos, flag, mapq, ln * 300 AS clip, 10 + q + ln + 5 + q % 40 + 50 + ln * 300 AS n FROM {AL} x),
+    p AS (SELECT id, chrom AS a_chrom, pos AS a_pos, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS a_strand, mapq AS a_mapq, CASE WHEN flag & 16 <> 0 THEN clip ELSE 0 END AS read_st, CASE WHEN flag & 16 <> 0 THEN n ELSE n - clip END AS read_ed FROM r UNION ALL SELECT id, 'c1', pos + 6, '-', 7, 3, 8 FROM r)
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY read_st, read_ed, a_chrom, a_pos)::INT AS part FROM p""")
+def _(read):
+    al = read("al").withColumn("chrom", F.concat(F.lit("c"), F.col("chrom").cast("string"))).withColumn("cigar", cg.parse("cigar_text")).withColumn("sa", F.concat(F.lit("c1,"), (F.col("pos") + 7).cast("string"), F.lit(",-,4S5M3S,7,0;")))
+    return cg.explode_sa(al).select("id", "a_chrom", "a_pos", "a_strand", "a_mapq", "read_st", "read_ed", "part")
+
+
+_ERRORS = "l_partkey % 100"
+
+
+@query("accurate_reads", f"""WITH e AS (SELECT l_orderkey AS read, 55 + l_orderkey % 60 AS length, {_ERRORS} AS e FROM lineitem), f AS (SELECT *, length // 10 AS blocks FROM e), c AS (SELECT read, blocks, e // 10 AS b, count(*) AS n FROM f WHERE e < blocks * 10 GROUP BY ALL),
+    s AS (SELECT read, any_value(blocks) AS blocks, max(n) AS most, sum(n) AS total FROM c GROUP BY read) SELECT DISTINCT f.read FROM f LEFT JOIN s USING (read) WHERE coalesce(most, 0) <= 2 AND coalesce(total, 0) <= 0.05 * f.blocks * 10""")
+def _(read):
+    rows = read("lineitem").selectExpr("l_orderkey AS read_name", "55 + l_orderkey % 60 AS length", f"{_ERRORS} AS e").groupBy("read_name", "length").agg(F.collect_list("e").alias("errors"))
+    return reads.accurate_reads(rows, 10, 0.2, 0.05).select(F.col("read_name").alias("read"))
+
+
+@query("good_quality_reads", """WITH r AS (SELECT l_orderkey AS read, CAST(floor(l_orderkey / 1000) AS BIGINT) AS sample, sum(CAST(l_quantity AS INT)) AS q FROM lineitem GROUP BY 1, 2) SELECT read FROM (SELECT *, avg(q) OVER (PARTITION BY sample) AS m FROM r) WHERE q >= 0.8 * m""")
+def _(read):
+    rows = read("lineitem").selectExpr("l_orderkey AS read", "CAST(floor(l_orderkey / 1000) AS BIGINT) AS sample", "CAST(l_quantity AS INT) AS q").groupBy("read", "sample").agg(F.collect_list("q").alias("qual"))
+    return reads.good_quality_reads(rows).select("read")
+
+
+@query("mismatch_signals", f"""WITH m AS (SELECT *, list_sort([flag % 9, flag % 9 + 1, mapq, mapq * 2 + 20]) AS a FROM {AL} x WHERE q % 2 = 0 AND nm >= 3), e AS (SELECT *, len(list_filter(range(1, 5), lambda i: i = 1 OR a[i] - a[i - 1] > 1)) AS n FROM m)
+    SELECT id::VARCHAR AS read_name, chrom, pos - pos % 200 AS pos, least(3, mapq) AS score FROM e WHERE n >= 3""")
+def _(read):
+    al = read("al").withColumn("cigar", cg.parse(F.when(F.col("q") % 2 == 0, "50=").otherwise("9S41=")))
+    al = al.withColumn("mismatches", F.array_sort(F.array(F.col("flag") % 9, F.col("flag") % 9 + 1, "mapq", F.col("mapq") * 2 + 20)))
+    return reads.mismatch_signals(al).select("read_name", "chrom", "pos", "score")
+
+
+@query("cluster_report", """WITH c AS (SELECT DISTINCT l_orderkey AS region, l_partkey AS contig, l_partkey % 3 AS cluster FROM lineitem), a AS (SELECT DISTINCT l_orderkey AS region, l_partkey AS contig, l_returnflag AS class FROM lineitem WHERE l_suppkey % 3 > 0)
+    SELECT c.region, cluster, count(DISTINCT c.contig) AS size, string_agg(DISTINCT c.contig::VARCHAR, ',' ORDER BY c.contig::VARCHAR) AS contigs, coalesce(string_agg(DISTINCT class, ',' ORDER BY class), '') AS classes FROM c LEFT JOIN a ON a.region = c.region AND a.contig = c.contig GROUP BY c.region, cluster""")
+def _(read):
+    lines = read("lineitem")
+    held = lines.selectExpr("l_orderkey AS region", "CAST(l_partkey AS STRING) AS contig", "l_partkey % 3 AS cluster").distinct()
+    kinds = lines.filter("l_suppkey % 3 > 0").selectExpr("l_orderkey AS region", "CAST(l_partkey AS STRING) AS contig", "l_returnflag AS class")
+    out = contigs.cluster_report(held, kinds)
+    return out.select("region", "cluster", "size", F.array_join("contigs", ",").alias("contigs"), F.array_join("classes", ",").alias("classes"))
+
+
+_PIECES = """SELECT id, seq, k, v.ref, v.alt, (v.ref IS NOT NULL AND substring(seq, k * 9 + 1, length(v.ref)) = v.ref) AS fits FROM (SELECT DISTINCT l_orderkey AS id, sha256(l_orderkey::VARCHAR) AS seq FROM lineitem) r CROSS JOIN (SELECT unnest(range(0, 8)) AS k) n
+    LEFT JOIN (SELECT l_orderkey, l_linenumber, min_by(ref, o) AS ref, min_by(alt, o) AS alt FROM (SELECT *, l_partkey * 100 + l_suppkey AS o, CASE WHEN l_partkey % 5 = 0 THEN 'X' ELSE substring(sha256(l_orderkey::VARCHAR), l_linenumber * 9 + 1, 1 + l_partkey % 3) END AS ref, repeat('T', (l_suppkey % 4)::INT) AS alt FROM lineitem) GROUP BY ALL) v ON v.l_orderkey = r.id AND v.l_linenumber = k"""
+
+
+@query("applied_variants", f"""WITH p AS ({_PIECES}) SELECT id, string_agg(CASE WHEN fits THEN alt || substring(seq, k * 9 + 1 + length(ref), 9 - length(ref)) ELSE substring(seq, k * 9 + 1, 9) END, '' ORDER BY k) AS haplotype, count_if(fits AND length(alt) > length(ref))::INT AS insertions, count_if(fits AND length(alt) < length(ref))::INT AS deletions FROM p GROUP BY id""")
+def _(read):
+    lines = read("lineitem").selectExpr("l_orderkey AS id", "l_linenumber AS n", "l_partkey * 100 + l_suppkey AS o", "l_partkey AS p", "repeat('T', CAST(l_suppkey % 4 AS INT)) AS alt")
+    one = lines.groupBy("id", "n").agg(F.min_by(F.struct("p", "alt"), "o").alias("x")).select("id", "n", "x.*")
+    seq = F.sha2(F.col("id").cast("string"), 256)
+    ref = F.when(F.col("p") % 5 == 0, "X").otherwise(F.substring(seq, F.col("n") * 9 + 1, (1 + F.col("p") % 3).cast("int")))
+    changes = one.select("id", (F.col("n") * 9 + 100).cast("long").alias("pos"), ref.alias("ref"), "alt")
+    places = lines.select("id").distinct().select("id", F.lit(100).alias("st"), seq.alias("seq"))
+    return contigs.apply_variants(places, changes)
+
+
+_PAIRS = "x.l_orderkey AS region, x.l_linenumber AS t_contig, y.l_linenumber AS n_contig, (x.l_suppkey + y.l_suppkey) % 3 > 0 AS end_to_end, 60 + (x.l_partkey + y.l_partkey) % 120 AS matches"
+
+
+@query("somatic_contigs", f"""WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2), t AS (SELECT l_orderkey AS region, l_linenumber AS contig, 100 + l_partkey % 90 AS n FROM l WHERE l_suppkey % 2 = 0 AND l_partkey % 6 >= 3),
+    m AS (SELECT l_orderkey AS region, l_linenumber AS contig, 100 + l_partkey % 90 AS n FROM l WHERE l_suppkey % 2 = 1 AND l_partkey % 6 >= 2), p AS (SELECT {_PAIRS} FROM l x JOIN l y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey % 2 = 0 AND y.l_suppkey % 2 = 1),
+    s AS (SELECT DISTINCT t.region, t.contig FROM p JOIN t ON t.region = p.region AND t.contig = t_contig JOIN m ON m.region = p.region AND m.contig = n_contig WHERE greatest(t.n, m.n) - least(t.n, m.n) <= greatest(0.15 * greatest(t.n, m.n), 50.0) AND end_to_end AND matches * 1.1 >= least(t.n, m.n))
+    SELECT t.region, t.contig FROM t ANTI JOIN s ON s.region = t.region AND s.contig = t.contig WHERE t.region IN (SELECT region FROM m)""")
+def _(read):
+    lines = read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    rows = lines.selectExpr("l_orderkey AS region", "l_linenumber AS contig", "l_partkey % 6 AS support", "repeat('A', CAST(100 + l_partkey % 90 AS INT)) AS seq", "l_suppkey % 2 AS side")
+    a, b = lines.filter("l_suppkey % 2 = 0").alias("x"), lines.filter("l_suppkey % 2 = 1").alias("y")
+    pairs = a.join(b, F.col("x.l_orderkey") == F.col("y.l_orderkey")).selectExpr("x.l_orderkey AS region", "x.l_linenumber AS t_contig", "y.l_linenumber AS n_contig", "(x.l_suppkey + y.l_suppkey) % 3 > 0 AS end_to_end", "60 + (x.l_partkey + y.l_partkey) % 120 AS matches")
+    return genotype.somatic(rows.filter("side = 0"), rows.filter("side = 1"), pairs).select("region", "contig")
+
+
+@query("unmapped_distribution", f"""WITH q AS (SELECT floor(quantile_cont(ed - st, 0.01)) AS least, floor(quantile_cont(ed - st, 0.99)) AS most, count(*) AS n FROM {RG} x)
+    SELECT ed - st - 150 AS i, round(count(*) / (any_value(q.n) + 1)::DOUBLE, 8) AS p FROM {RG} y, q WHERE ed - st >= q.least AND ed - st < q.most GROUP BY 1""")
+def _(read):
+    density = reads.isize_density(read("rg").select((F.col("ed") - F.col("st")).alias("isize")))
+    return reads.unmapped_distribution(density, 150).select("i", F.round("p", 8).alias("p"))
+
+
+@query("interval_intersections", f"""SELECT a.id AS id, b.id AS other, greatest(a.st, b.st) AS st, least(a.ed, b.ed) AS ed FROM {IV} a JOIN {RG} b ON {OVERLAP}""")
+def _(read):
+    j = ops.overlap_join(read("iv"), read("rg"), 1000)
+    both = iv.intersection(*(F.col(c) for c in ("st", "ed", "r_st", "r_ed")))
+    return j.select("id", F.col("r_id").alias("other"), both["st"].alias("st"), both["ed"].alias("ed"))

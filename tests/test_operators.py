@@ -224,3 +224,23 @@ def test_read_filters(spark):
     assert reads.good_quality_reads(q).count() == 2
     g = spark.createDataFrame([("v", -1.0, -5.0)] * 6 + [("v", -5.0, -1.0)] * 6 + [("w", -1.0, -6.0)] * 9, "id string, ref_ll double, alt_ll double")
     assert {r.id: r.gt for r in genotype.bayes_genotype(g, {"0/0": 0.0, "0/1": 0.5, "1/1": 1.0}).collect()} == {"v": "0/1", "w": "0/0"}
+
+
+def test_sample_populations_and_file_lists(spark, tmp_path):
+    (tmp_path / "p.tsv").write_text("\n".join("\t".join(["s", "a", "b", "c", "d", "e", str(n)]) for n in (3, 1, 2)) + "\n\n")
+    assert [(x.sample, x.population) for x in variants.read_sample_population(spark, f"{tmp_path}/p.tsv").orderBy("sample").collect()] == [(0, 2), (1, 0), (2, 1)]
+    (tmp_path / "list.txt").write_text("a.vcf\n\n b.vcf \n")
+    assert regions.read_file_list(spark, f"{tmp_path}/list.txt") == ["a.vcf", "b.vcf"]
+
+
+def test_vcf_header_and_set_of_files(spark, tmp_path):
+    schema = "chrom string, pos int, ref string, alt string, qual int, filter string, svtype string, svlen int, gt string, gq int, lr array<int>, sr array<int>, imprecise boolean"
+    for k, chrom in enumerate("21"):
+        calls = spark.createDataFrame([(chrom, 9, "N", "A", 1, "PASS", "INS", 60, "0/1", 1, None, None, True), (chrom, 5, "N", "C", 1, "PASS", "DEL", -60, "1/1", 1, None, None, None)], schema)
+        variants.write_vcf(calls, f"{tmp_path}/{k}", spark.createDataFrame([("1", 500), ("2", 400)], "name string, length int"))
+    lines = [x.value for x in spark.read.text(f"{tmp_path}/0").collect()]
+    head = [x for x in lines if x.startswith("#")]
+    assert head[0] == "##fileformat=VCFv4.2" and head[-1] == variants.COLUMNS_LINE and head[-3:-1] == ["##contig=<ID=1,length=500>", "##contig=<ID=2,length=400>"]
+    assert {x.split("=<ID=")[0] for x in head[1:-1]} == {"##INFO", "##FORMAT", "##FILTER", "##ALT", "##contig"}
+    both = variants.concat_vcf(spark, [f"{tmp_path}/0", f"{tmp_path}/1"]).collect()
+    assert [(x.chrom, x.pos, x.svlen, "IMPRECISE" in x.info) for x in both] == [("1", 5, -60, False), ("1", 9, 60, True), ("2", 5, -60, False), ("2", 9, 60, True)]
