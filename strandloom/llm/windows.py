@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WORD, as_bytes, packed, parts, pick, pieces, scratch, split_by_ids, stored, unpacked
+from strandloom.llm.common import WORD, as_bytes, packed, packed_apart, parts, pick, pieces, scratch, split_by_ids, stored, unpacked, unpacked_apart
 
 #: Windows that a task combines before it sends them on: bounds its memory.
 CHUNK = 1_500_000
@@ -81,6 +81,33 @@ def _hits(doc: np.ndarray, at: np.ndarray, groups: int, shift: int) -> tuple[lis
     return keys, blobs
 
 
+def _starts(ranges: int) -> np.ndarray:
+    """The smallest hash of each range."""
+    return np.array([-(-(r << 32) // ranges) << 32 for r in range(ranges)], np.uint64)
+
+
+def _entries(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> bytes:
+    """Entries of one range, in order of document and place, packed: what a hash has above the range's first, steps of
+    documents, and steps of places within a document."""
+    same = np.append(False, doc[1:] == doc[:-1])
+    return packed_apart(h, np.diff(doc, prepend=0), np.where(same, np.diff(at, prepend=np.uint32(0)), at).astype(np.uint32))
+
+
+def _read(data: bytes, start: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, step, at = unpacked_apart(data, np.uint64, np.int64, np.uint32)
+    upto = np.cumsum(at.astype(np.int64))
+    head = np.flatnonzero(np.append(True, step[1:] != 0))
+    before = np.repeat((upto - at)[head], np.diff(np.append(head, len(at))))
+    return h + start, np.cumsum(step), (upto - before).astype(np.uint32)
+
+
+def _after_first(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries, sorted by hash and document, are of a larger document than the first of their hash."""
+    head = np.append(True, h[1:] != h[:-1])
+    first = np.maximum.accumulate(np.where(head, np.arange(len(h), dtype=np.int32), np.int32(0)))
+    return doc > doc[first]
+
+
 def _sent(ids: list[int], hashes: list[np.ndarray], ranges: int, groups: int) -> pa.RecordBatch:
     """What a chunk sends: entries by range of hashes, and the hits it knows of (keys from `ranges` on)."""
     order = sorted(range(len(ids)), key=ids.__getitem__)
@@ -88,17 +115,18 @@ def _sent(ids: list[int], hashes: list[np.ndarray], ranges: int, groups: int) ->
     doc = np.repeat(np.array([ids[i] for i in order], np.int64), n)
     at = np.concatenate([np.arange(k, dtype=np.uint32) for k in n])
     h = np.concatenate([hashes[i] for i in order])
-    by = np.argsort(h, kind="stable")  # by hash, document, place
-    h, doc, at = h[by], doc[by], at[by]
-    head = np.append(True, h[1:] != h[:-1])
-    least = doc[np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))]
-    known = doc > least
+    by = np.argsort(h, kind="stable").astype(np.int32)  # by hash, document, place
+    known = np.zeros(len(h), bool)
+    known[by[_after_first(h[by], doc[by])]] = True
+    del by
     keys, blobs = _hits(doc[known], at[known], groups, ranges)
-    h, doc, at = h[~known], doc[~known], at[~known]
-    which = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    for k, (x, d, p) in _grouped(which.astype(np.int64), h, doc, at):
+    h, doc, at = h[~known], doc[~known], at[~known]  # by document and place
+    which = (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+    by = np.argsort(which, kind="stable")
+    start = _starts(ranges)
+    for k, (x, d, p) in _grouped(which[by], h[by], doc[by], at[by]):
         keys.append(k)
-        blobs.append(packed(np.diff(x, prepend=np.uint64(0)), d, p))
+        blobs.append(_entries(x - start[k], d, p))
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "data"])
 
 
@@ -145,7 +173,8 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
         k, data = key[0].as_py(), table.column("data").to_pylist()
         if k >= ranges:  # hits of chunks pass through
             return pa.table({"g": pa.array([k - ranges] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
-        h, doc, at = map(np.concatenate, zip(*((np.cumsum(x, dtype=np.uint64), d, p) for x, d, p in (unpacked(v, np.uint64, np.int64, np.uint32) for v in data))))
+        start = _starts(ranges)[k]
+        h, doc, at = map(np.concatenate, zip(*(_read(v, start) for v in data)))
         by = np.argsort(h, kind="stable")
         h, doc, at = h[by], doc[by], at[by]
         heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
