@@ -67,12 +67,13 @@ def level(length: Column, width: int) -> Column:
 def dealt(rows: DataFrame, st: str, ed: str, width: int, highest: Column | int, last: int = LEVELS - 1) -> DataFrame:
     """`rows` with a row for each `_bin` on its own `_level` and on each up to `highest`; `_own` is its own level, `last` at most."""
     own = F.least(level(F.col(ed) - F.col(st), width), F.lit(last))
-    wide = lambda k: F.pow(F.lit(RATIO), k).cast("long") * width
-    on = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), highest - F.col("_own"))), lambda d: F.struct((F.col("_own") + d).alias("level"), wide(F.col("_own") + d).alias("w")))
-    each = F.flatten(F.transform(on, lambda x: F.transform(F.sequence(F.floor(F.col(st) / x["w"]), F.floor(F.col(ed) / x["w"])), lambda b: F.struct(x["level"].alias("_level"), b.cast("long").alias("_bin"), x["w"].alias("_w")))))
-    kind = "array<struct<_level: int, _bin: bigint, _w: bigint>>"
-    some = rows.withColumn("_own", own).withColumn("_at", F.explode(F.when(F.col(st) <= F.col(ed), each.cast(kind)).otherwise(F.array().cast(kind))))
-    return some.withColumn("_level", F.col("_at._level")).withColumn("_bin", F.col("_at._bin")).withColumn("_w", F.col("_at._w")).drop("_at")
+    rows = rows.withColumn("_own", own).withColumn("_level", F.explode(F.sequence(F.col("_own"), F.greatest(F.col("_own"), F.lit(highest) if isinstance(highest, int) else highest))))
+    wide = F.lit(width * RATIO ** (LEVELS - 1)).cast("long")
+    for k in range(LEVELS - 2, -1, -1):
+        wide = F.when(F.col("_level") == k, F.lit(width * RATIO**k).cast("long")).otherwise(wide)
+    rows = rows.withColumn("_w", wide)
+    touched = F.sequence(F.floor(F.col(st) / F.col("_w")).cast("long"), F.floor(F.col(ed) / F.col("_w")).cast("long"))
+    return rows.withColumn("_bin", F.explode(F.when(F.col(st) <= F.col(ed), touched).otherwise(F.array().cast("array<bigint>"))))
 
 
 def passed_on(rows: DataFrame, keys: Sequence[str], **what: Column) -> DataFrame:
