@@ -14,6 +14,7 @@ from strandloom.operators import contigs, differences
 from strandloom.tables import kept
 
 _ID = f"({views._ID})"
+_SPARK_ID = views.in_spark(_ID)
 _LENGTHS = ["30 + CAST(l_quantity AS INT)", "1 + l_linenumber % 3", "5 + CAST(l_quantity AS INT) % 40", "40 + l_partkey % 50", "1 + CAST(l_quantity AS INT) * 3 % 60", "20 + l_suppkey % 60", "1 + l_partkey % 2", "53"]
 _OPS = "MXIMDMXM"
 _STEPS = ", ".join(f"{{'k': {k}, 'op': '{op}', 'len': {n}}}" for k, (op, n) in enumerate(zip(_OPS, _LENGTHS)))
@@ -32,12 +33,12 @@ _SV = [
 
 def alignments(read) -> DataFrame:
     steps = ", ".join(f"CAST({n} AS INT), '{'=' if op == 'M' else op}'" for op, n in zip(_OPS, _LENGTHS))
-    rows = read("lineitem").selectExpr("l_orderkey AS region", f"{_ID} AS contig", f"concat({steps}) AS text")
+    rows = read("lineitem").selectExpr("l_orderkey AS region", f"{_SPARK_ID} AS contig", f"concat({steps}) AS text")
     return rows.select("region", "contig", cg.parse("text").alias("cigar"))
 
 
 def placed(read) -> DataFrame:
-    return differences.reference_places(read("lineitem").selectExpr(*_SV), alignments(read), 0)
+    return differences.reference_places(read("lineitem").selectExpr(*map(views.in_spark, _SV)), alignments(read), 0)
 
 
 REFERENCE_PLACES = f"""WITH {BASES}, v AS (SELECT {", ".join(_SV)} FROM lineitem),
@@ -85,7 +86,7 @@ def reference_places(read) -> DataFrame:
 
 
 def mismatch_regions(read) -> DataFrame:
-    points = read("lineitem").selectExpr("l_orderkey AS region", f"{_ID} AS contig", "(l_partkey * 11 + l_suppkey * 3) % 330 AS r")
+    points = read("lineitem").selectExpr("l_orderkey AS region", f"{_SPARK_ID} AS contig", "(l_partkey * 11 + l_suppkey * 3) % 330 AS r")
     out = differences.mismatch_regions(alignments(read), points)
     return out.select("contig", "r", "lo", "hi", "gaps", "mismatches", "matches", F.round("rate", 6).alias("rate"), F.col("many").cast("int").alias("many"))
 
@@ -108,11 +109,11 @@ def difference_classes(read) -> DataFrame:
     tandem = lines.selectExpr("l_orderkey AS name", "l_partkey * 5 % 330 AS st", "l_partkey * 5 % 330 + l_suppkey % 30 AS ed")
     simple = lines.selectExpr("l_orderkey AS name", "l_suppkey * 17 % 330 AS st", "l_suppkey * 17 % 330 + 9 AS ed", "IF(l_returnflag = 'R', 'Simple_repeat', 'LINE/L1') AS class")
     runs = contigs.vntr_runs(reference, simple, tandem).select(F.col("name").alias("region"), "st", "ed", "vntr")
-    rm = lines.selectExpr("l_orderkey AS region", f"{_ID} AS contig", "l_partkey % 120 AS st", "l_partkey % 120 + 30 AS ed", "CASE l_returnflag WHEN 'R' THEN 'Simple_repeat' WHEN 'A' THEN 'LINE/L1' ELSE 'SINE/Alu' END AS class")
-    trf = lines.selectExpr("l_orderkey AS region", f"{_ID} AS contig", "l_suppkey % 90 AS st", "l_suppkey % 90 + 20 + l_partkey % 90 AS ed", "3 + l_partkey % 60 AS unit", "1.5 + l_linenumber AS copies")
+    rm = lines.selectExpr("l_orderkey AS region", f"{_SPARK_ID} AS contig", "l_partkey % 120 AS st", "l_partkey % 120 + 30 AS ed", "CASE l_returnflag WHEN 'R' THEN 'Simple_repeat' WHEN 'A' THEN 'LINE/L1' ELSE 'SINE/Alu' END AS class")
+    trf = lines.selectExpr("l_orderkey AS region", f"{_SPARK_ID} AS contig", "l_suppkey % 90 AS st", "l_suppkey % 90 + 20 + l_partkey % 90 AS ed", "3 + l_partkey % 60 AS unit", "1.5 + l_linenumber AS copies")
     letters = "translate(concat({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
     motif = "repeat(substring(sha2(CAST(l_orderkey AS STRING), 256), 1, 11), 30)"
-    mixed = ", ".join(f"sha2(CAST({_ID} + {k} AS STRING), 256)" for k in range(5))
-    sequences = lines.selectExpr("l_orderkey AS region", f"{_ID} AS contig", letters.format(f"IF(l_linenumber % 2 = 0, {motif}, concat({mixed}))") + " AS seq")
+    mixed = ", ".join(f"sha2(CAST({_SPARK_ID} + {k} AS STRING), 256)" for k in range(5))
+    sequences = lines.selectExpr("l_orderkey AS region", f"{_SPARK_ID} AS contig", letters.format(f"IF(l_linenumber % 2 = 0, {motif}, concat({mixed}))") + " AS seq")
     refs = lines.select("l_orderkey").distinct().selectExpr("l_orderkey AS region", "0L AS contig", letters.format(motif) + " AS seq")
     return differences.classified(placed(read), runs, rm, trf, sequences.unionByName(refs), 0).select("id", "base_ref", "in_vntr", "run", "vntr_distance", "vntr", "length", "class")

@@ -439,3 +439,14 @@ def test_stretches_by_rows(spark, most):
     assert all(x.n <= 2 * most + 3 or x.lo == x.hi or x.lo <= 1500 <= x.hi for x in per)
     order = sorted((x.chrom, x["_bin"], x.lo, x.hi) for x in per)
     assert all(p[0] != q[0] or p[3] < q[2] for p, q in zip(order, order[1:]))
+
+
+def test_ids_of_tables_sixty_times_as_large(spark):
+    """Keys of 60 times sf0.1 pass the long range of the views' ids: they stay long, not negative and distinct; smaller ones are unchanged."""
+    from strandloom import contig_queries, views
+
+    rest = ["CAST(id % 7 AS INT) AS l_linenumber", "1199000 + id AS l_partkey", "59900 + id % 90 AS l_suppkey", "CAST(1 + id % 50 AS DOUBLE) AS l_quantity"]
+    far, near = (spark.range(500).selectExpr(f"{k} AS l_orderkey", *rest) for k in ("8999000 + id", "7000000 - id"))
+    ids = [r.i for r in far.selectExpr(f"{views.in_spark(views._ID)} AS i", f"{contig_queries._SPARK_ID} AS j").collect()]
+    assert len(set(ids)) == 500 and min(ids) >= 0
+    assert near.filter(f"{views.in_spark(views._ID)} = {views._ID}").count() == 500
