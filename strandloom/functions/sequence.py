@@ -1,7 +1,9 @@
-"""Column functions on nucleotide strings and annotation texts. All stay in the JVM."""
+"""Column functions on nucleotide strings and annotation texts. All but those that compare all k-mers of a text stay in the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,31 @@ def kmers(s: Column | str, k: Column | int, skip_n: bool = True) -> Column:
     return F.filter(every, lambda x: ~F.contains(x, F.lit("N"))) if skip_n else every
 
 
+def windows(text: str, k: int) -> np.ndarray:
+    """A number for each k-mer of a text of at least k letters, equal ones for equal k-mers.
+
+    Windows double by joining two numbers in one, which are ranked before where both don't fit; memory goes by the text.
+    """
+    x = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    x = (np.cumsum(np.bincount(x) > 0) - 1)[x]
+    w, many = 1, int(x.max()) + 1
+    while w < k:
+        if many * many >= 1 << 63:
+            x = np.unique(x, return_inverse=True)[1]
+            many = int(x.max()) + 1
+        more = min(w, k - w)
+        x, w, many = x[:-more] * many + x[more:], w + more, many * many
+    return x
+
+
+def shared_windows(a: str, b: str, k: int) -> int:
+    """How many k-mer occurrences of a are also in b."""
+    if k < 1 or min(len(a), len(b)) < k:
+        return 0
+    both = windows(a + b, k)
+    return int(np.isin(both[: len(a) - k + 1], both[len(a) :]).sum())
+
+
 def max_repeat_k(s: Column | str, k_min: int = 20, k_max: int = 180, step: int = 20, skip_n: bool = True) -> Column:
     """The largest k of the grid at which some k-mer occurs twice; 0 if none does at k_min.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as cg
-from strandloom.functions.sequence import base_count, kmers, revcomp
+from strandloom.functions.sequence import base_count, kmers, revcomp, shared_windows
 from strandloom.operators.intervals import STRETCH, div, gap_clusters, overlap_join, stretches
 from strandloom.operators.order import cumulated, quantiles
 
@@ -310,10 +311,13 @@ def kmer_census(sequences: DataFrame, k: int = 20, least: int = 3) -> DataFrame:
 
 
 def shared_kmer_counts(pairs: DataFrame, k: int = 10) -> DataFrame:
-    """`(id, n)`: how many k-mer occurrences of `a` are also in `b`, by joining k-mers, so for strings of any length."""
-    of = lambda c: pairs.select("id", F.explode(kmers(c, k, False)).alias("kmer"))
-    n = of("a").groupBy("id", "kmer").agg(F.count(F.lit(1)).alias("n")).join(of("b").distinct(), ["id", "kmer"], "left_semi").groupBy("id").agg(F.sum("n").alias("n"))
-    return pairs.select("id").join(n, "id", "left").fillna(0, ["n"])
+    """`(id, n)`: how many k-mer occurrences of `a` are also in `b`. No k-mer leaves its row: memory goes by one pair's length."""
+
+    @F.pandas_udf("long")
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([shared_windows(x, y, k) if x is not None and y is not None else 0 for x, y in zip(a, b)], dtype="int64")
+
+    return pairs.select("id", shared("a", "b").alias("n"))
 
 
 def composition_histogram(sequences: DataFrame, step: int = 16) -> DataFrame:
