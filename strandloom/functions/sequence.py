@@ -73,13 +73,51 @@ def shared_windows(a: str, b: str, k: int) -> int:
     return int(np.isin(both[: len(a) - k + 1], both[len(a) :]).sum())
 
 
+def repeated(text: str, k: int, skip_n: bool = True) -> bool:
+    """Whether some k-mer (without N, if those are skipped) occurs twice: by 64-bit hashes, a repeat being compared."""
+    if k < 1 or len(text) <= k:
+        return False
+    letters = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    x, w = letters.astype(np.uint64), 1
+    while w < k:
+        more = min(w, k - w)
+        x, w = x[:-more] * np.uint64(0x9E3779B97F4A7C15) + x[more:], w + more
+        x ^= x >> np.uint64(29)
+    at = np.arange(len(x))
+    if skip_n and "N" in text:
+        n = np.concatenate([[0], np.cumsum(letters == ord("N"))])
+        at = np.flatnonzero(n[k:] == n[:-k])
+    ordered = np.sort(x[at])
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return False
+    i, j = at[x[at] == twice[0]][:2]
+    if text[i : i + k] == text[j : j + k]:
+        return True
+    exact = np.sort(windows(text, k)[at])
+    return bool((exact[1:] == exact[:-1]).any())
+
+
 def max_repeat_k(s: Column | str, k_min: int = 20, k_max: int = 180, step: int = 20, skip_n: bool = True) -> Column:
     """The largest k of the grid at which some k-mer occurs twice; 0 if none does at k_min.
 
-    A repeat at k implies one at every smaller k, so each k of the grid is tested by itself.
+    A repeat at k implies one at every smaller k, so the grid is climbed until a k has none.
     """
-    found = [F.when(F.size(F.array_distinct(ks)) < F.size(ks), k).otherwise(0) for k in range(k_min, k_max + 1, step) for ks in [kmers(s, k, skip_n)]]
-    return F.greatest(*found) if len(found) > 1 else found[0]
+    grid = [k for k in range(k_min, k_max + 1, step) if k > 0]
+
+    @F.pandas_udf("int")
+    def largest(texts: pd.Series) -> pd.Series:
+        found = []
+        for text in texts:
+            best = 0
+            for k in grid if text is not None else ():
+                if not repeated(text, k, skip_n):
+                    break
+                best = k
+            found.append(best)
+        return pd.Series(found, dtype="int32")
+
+    return largest(_col(s))
 
 
 def shared_kmers(a: Column | str, b: Column | str, k: int = 10) -> Column:

@@ -46,5 +46,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, select = SELECTS[name]
     if name == "ev":
         return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr("event_id AS id", "user_id AS read", "event_type AS op", "value", "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) AS pos")
+    select = select.replace("[^A-Za-z]'", "[^A-Za-z]+'")  # the same letters, with one match for each gap
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return spark.sql(in_spark(select).format(t="{t}").replace("''G", "''"), t=source)
