@@ -293,13 +293,26 @@ def flanking_alignments(points: DataFrame, alignments: DataFrame, near: int = 50
     return found.filter((F.col("b.read") == F.col("e.read")) & (d < longest) & (c < longest)).select("id", reach.alias("w"), F.col("b.read").alias("read"), c.alias("before"), d.alias("behind")).filter("w is not null")
 
 
+#: Bases of a stretch whose places `pile_up` counts in one task.
+PILE = 4096
+
+
 def pile_up(reads: DataFrame) -> DataFrame:
-    """Bases by place: A, C, G, T, deleted, inserted before, and the commonest base. For bounded regions: a row per base."""
-    ops = cg.exploded(reads)
-    each = ops.filter(F.col("op").isin("M", "=", "X", "D")).select("chrom", "op", "ref", "query", "seq", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("i"))
-    base = F.when(F.col("op") == "D", "D").otherwise(F.substring("seq", F.col("query") + F.col("i") + 1, F.lit(1)))
-    rows = each.select("chrom", (F.col("ref") + F.col("i")).alias("pos"), base.alias("b")).unionByName(ops.filter("op = 'I'").select("chrom", F.col("ref").alias("pos"), F.lit("I").alias("b")))
-    counts = rows.groupBy("chrom", "pos").agg(*(F.count_if(F.col("b") == k).alias(k) for k in "ACGTDI"))
+    """Bases by place: A, C, G, T, deleted, inserted before, and the commonest base. For bounded regions: a row per base.
+
+    Pieces of reads are shuffled, cut at PILE bases; they become bases where their places are counted."""
+    ops = cg.exploded(reads).filter(F.col("op").isin("M", "=", "X", "D", "I"))
+    size = F.when(F.col("op") == "I", 1).otherwise(F.col("len"))
+    pieces = ops.select("chrom", "op", "ref", "query", "seq", size.alias("size")).filter("size > 0")
+    pieces = pieces.withColumn("_bin", F.explode(F.sequence(div(F.col("ref"), PILE), div(F.col("ref") + F.col("size") - 1, PILE))))
+    st = F.greatest(F.col("ref"), F.col("_bin") * PILE).cast(ops.schema["ref"].dataType)
+    cut = pieces.withColumn("st", st).withColumn("n", (F.least(F.col("ref") + F.col("size"), (F.col("_bin") + 1) * PILE) - F.col("st")).cast("int"))
+    text = F.when(F.col("op").isin("D", "I"), F.col("op")).otherwise(F.substring("seq", (F.col("query") + F.col("st") - F.col("ref") + 1).cast("int"), F.col("n")))
+    dealt = cut.select("chrom", "_bin", "st", "n", F.col("op").isin("D", "I").alias("gap"), text.alias("text")).repartition("chrom", "_bin")
+    each = dealt.select("chrom", "_bin", "st", "gap", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    base = F.when(F.col("gap"), F.col("text")).otherwise(F.substring("text", F.col("i") + 1, F.lit(1)))
+    rows = each.select("chrom", "_bin", (F.col("st") + F.col("i")).alias("pos"), base.alias("b"))
+    counts = rows.groupBy("chrom", "_bin", "pos").agg(*(F.count_if(F.col("b") == k).alias(k) for k in "ACGTDI")).drop("_bin")
     return counts.withColumn("major", F.array_max(F.array(*(F.struct(F.col(k).alias("n"), F.lit(k).alias("b")) for k in "ACGT")))["b"])
 
 
