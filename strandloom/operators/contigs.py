@@ -268,25 +268,41 @@ def corrected_colours(rows: DataFrame, clusters: DataFrame, gap: int = 20) -> Da
 def linked_read_scores(bases: DataFrame, least: int = 5) -> DataFrame:
     """Scores of read pairs by the SNPs (region, pos, read, alt boolean) that they share: 3 for each alternative in common,
     -4 for each difference, 1 for each reference base in common. SNPs need `least` reads of either kind."""
-    good = bases.groupBy("region", "pos").agg(F.count_if("alt").alias("a"), F.count_if(~F.col("alt")).alias("r")).filter((F.col("a") >= least) & (F.col("r") >= least)).select("region", "pos")
-    b = bases.join(good, ["region", "pos"], "left_semi")
-    x, y = b.select("region", "pos", F.col("read").alias("r1"), F.col("alt").alias("a1")), b.select("region", "pos", F.col("read").alias("r2"), F.col("alt").alias("a2"))
-    score = F.when(F.col("a1") != F.col("a2"), -4).when(F.col("a1"), 3).otherwise(1)
-    return x.join(y, ["region", "pos"]).filter("r1 < r2").groupBy("region", "r1", "r2").agg(F.sum(score).alias("score"))
+    # dealt by region once: the reads of a place, its pairs and their sums then stay where they are
+    per = bases.select("region", "pos", "read", "alt").filter("pos is not null").repartition("region").groupBy("region", "pos")
+    good = per.agg(F.count_if("alt").alias("a"), F.count_if(~F.col("alt")).alias("r"), F.sort_array(F.collect_list(F.struct("read", "alt"))).alias("all")).filter((F.col("a") >= least) & (F.col("r") >= least))
+    first = good.filter("region is not null").select("region", "all", F.posexplode("all").alias("i", "x"))
+    pairs = first.select("region", "x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y")).filter("x.read < y.read")
+    score = F.when(F.col("x.alt") != F.col("y.alt"), -4).when(F.col("x.alt"), 3).otherwise(1)
+    return pairs.groupBy("region", F.col("x.read").alias("r1"), F.col("y.read").alias("r2")).agg(F.sum(score).alias("score"))
 
 
 class _Groups:
-    """Rows (region, read, links) of a region in order, links being (place of an earlier read, score): each read's group."""
+    """Rows (region, read, links) of a region in order, links being (earlier read, score), or null for the read itself: each
+    read's group."""
 
     def __init__(self) -> None:
-        self.group: list[int] = []
+        self.group: dict = {}
         self.groups = 0
+        self.read, self.links, self.known = None, [], False
 
     def take(self, row: tuple) -> Iterable[tuple]:
         region, read, links = row
+        out = self.end() if self.read is not None and read != self.read[1] else ()
+        self.read = region, read
+        if links is None:
+            self.known = True
+        else:
+            self.links += links
+        return out
+
+    def end(self) -> Iterable[tuple]:
+        links, known, self.links, self.known = self.links, self.known, [], False
+        if not known:
+            return ()
         score: dict[int, int] = {}
-        for link in links or ():
-            g = self.group[link["place"]]
+        for link in links:
+            g = self.group.get(link["first"], -1)
             score[g] = score.get(g, 0) + link["score"]
         score.pop(-1, None)
         best = max(score.items(), key=lambda x: (x[1], -x[0]), default=(-1, 0))
@@ -297,11 +313,8 @@ class _Groups:
             self.groups += 1
         else:
             mine = -1
-        self.group.append(mine)
-        return ((region, read, mine),)
-
-    def end(self) -> Iterable[tuple]:
-        return ()
+        self.group[self.read[1]] = mine
+        return ((*self.read, mine),)
 
 
 def group_linked_reads(scores: DataFrame, reads: DataFrame) -> DataFrame:
@@ -310,13 +323,11 @@ def group_linked_reads(scores: DataFrame, reads: DataFrame) -> DataFrame:
 
     One pass in order; a task holds the group of each earlier read of the region, and the links of one read.
     """
-    place = F.row_number().over(Window.partitionBy("region").orderBy("read")) - 1
-    order = kept(reads.select("region", "read").distinct().withColumn("place", place))
     pairs = scores.select("region", F.least("r1", "r2").alias("first"), F.greatest("r1", "r2").alias("read"), "score")
-    first = order.select("region", F.col("read").alias("first"), "place")
-    links = pairs.join(first, ["region", "first"]).groupBy("region", "read").agg(F.collect_list(F.struct("place", "score")).alias("links"))
-    rows = order.join(links, ["region", "read"], "left").select("region", "read", "links")
-    schema = StructType([rows.schema["region"], rows.schema["read"], StructField("grp", IntegerType())])
+    links = pairs.groupBy("region", "read").agg(F.collect_list(F.struct("first", "score")).alias("links"))
+    own = reads.select("region", "read").distinct().withColumn("links", F.lit(None).cast(links.schema["links"].dataType))
+    rows = own.unionByName(links)
+    schema = StructType([own.schema["region"], own.schema["read"], StructField("grp", IntegerType())])
     return stream(rows, ["region"], ["read"], _Groups, schema)
 
 
