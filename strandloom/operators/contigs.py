@@ -14,8 +14,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from strandloom.functions import cigar as cg
 from strandloom.functions.sequence import collapsed_length, is_mobile, is_simple
 from strandloom.operators.folds import stream
-from strandloom.operators.intervals import gap_clusters, merge
-from strandloom.tables import drop, kept
+from strandloom.operators.intervals import gap_clusters
+from strandloom.tables import by_size, drop, kept
 
 
 def attach_annotations(contigs: DataFrame, annotation: DataFrame) -> DataFrame:
@@ -25,18 +25,28 @@ def attach_annotations(contigs: DataFrame, annotation: DataFrame) -> DataFrame:
 
 def vntr_runs(contigs: DataFrame, rm: DataFrame, trf: DataFrame, edge: int = 10) -> DataFrame:
     """Alternating runs `(name, st, ed, vntr, run)` of each contig, closed and in order: tandem repeats (longer by `edge`
-    on both sides) and simple repeats are VNTR, the rest isn't. Intervals only, no row per base."""
-    last = F.col("length") - 1
+    on both sides) and simple repeats are VNTR, the rest isn't. Intervals only, no row per base.
+
+    One shuffle and one sort: a contig goes before its repeats as one that ends before its first base, so each island of
+    repeats has the other bases behind it, and the windows of a contig all go over the same order.
+    """
     spans = trf.select("name", (F.col("st") - edge).alias("st"), (F.col("ed") + edge).alias("ed")).unionByName(rm.filter(is_simple("class")).select("name", "st", "ed"))
-    spans = spans.join(contigs.select("name", "length"), "name").select("name", F.greatest(F.lit(0), "st").alias("st"), F.least(last, F.col("ed")).alias("ed")).filter("st <= ed")
-    v = merge(spans, 1, ("name",)).select("name", "st", "ed")
+    spans = spans.select("name", F.greatest(F.lit(0), "st").alias("st"), "ed").withColumn("length", F.lit(None).cast(contigs.schema["length"].dataType)).withColumn("_known", F.lit(False))
+    first = contigs.select("name", F.lit(-1).alias("st"), F.lit(-1).alias("ed"), "length").withColumn("_known", F.lit(True))
     by = Window.partitionBy("name").orderBy("st")
-    before = v.join(contigs.select("name", "length"), "name").withColumn("_from", F.coalesce(F.lag("ed").over(by) + 1, F.lit(0))).withColumn("_next", F.lead("st").over(by))
-    gaps = before.select("name", F.col("_from").alias("st"), (F.col("st") - 1).alias("ed"))
-    tail = before.filter("_next is null").select("name", (F.col("ed") + 1).alias("st"), (F.col("length") - 1).alias("ed"))
-    none = contigs.join(v.select("name").distinct(), "name", "left_anti").select("name", F.lit(0).alias("st"), (F.col("length") - 1).alias("ed"))
-    plain = gaps.unionByName(tail).unionByName(none).filter("st <= ed").withColumn("vntr", F.lit(False))
-    return v.withColumn("vntr", F.lit(True)).unionByName(plain).withColumn("run", F.row_number().over(by) - 1)
+    before, whole = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = by_size(spans.filter("name is not null").unionByName(first), "name")
+    rows = rows.withColumn("_last", F.first("length").over(by) - 1).withColumn("_of", F.first("_known").over(by)).filter("_of")
+    rows = rows.withColumn("ed", F.when(F.col("_known"), F.col("ed")).otherwise(F.least("_last", "ed"))).filter("st <= ed")
+    rows = rows.withColumn("_far", F.max("ed").over(before)).withColumn("_most", F.max("ed").over(whole))
+    heads = rows.filter("_far is null or st - _far > 1")
+    heads = heads.select("name", "st", F.coalesce(F.lead("_far").over(by), "_most").alias("ed"), F.coalesce(F.lead("st").over(by) - 1, "_last").alias("_next"), (2 * F.row_number().over(by) - 2).alias("_run"))
+    kind = heads.select(F.coalesce("_next", "ed", "st").alias("x")).schema["x"].dataType
+    run = F.col("_run") - (F.first("ed").over(by) < 0).cast("int")  # without bases a contig's first island is no run
+    heads = heads.withColumn("_run", run)
+    parts = [(F.greatest(F.lit(0), "st"), F.col("ed"), True, F.col("_run")), (F.col("ed") + 1, F.col("_next"), False, F.col("_run") + 1)]
+    runs = F.explode(F.array(*(F.struct(st.cast(kind).alias("st"), ed.cast(kind).alias("ed"), F.lit(vntr).alias("vntr"), k.alias("run")) for st, ed, vntr, k in parts)))
+    return heads.select("name", runs.alias("_x")).select("name", "_x.*").filter("st <= ed")
 
 
 def contig_variants(pairs: DataFrame, least: int = 50) -> DataFrame:

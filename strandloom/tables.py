@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,3 +49,16 @@ def drop(*tables: DataFrame) -> None:
         for p in folders:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of input files for each task of `by_size`, and the most tasks.
+TASK_BYTES, MOST_TASKS = 8 << 20, 50_000
+
+
+def by_size(df: DataFrame, *keys: str | Column, of: DataFrame | None = None) -> DataFrame:
+    """`df` dealt by keys to a task for each TASK_BYTES of the files that `of` (else `df`) is read from, so that a task's
+    memory doesn't grow with them. Small tables take the session's partitions."""
+    leaves = (of or df)._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    n = min(sum(x for x in sizes if x < 1 << 60) // TASK_BYTES, MOST_TASKS)  # more stands for unknown
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)
