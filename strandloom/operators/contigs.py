@@ -192,9 +192,16 @@ def subregion_clusters(clusters: DataFrame, sv: DataFrame, runs: DataFrame) -> D
 
 
 def complex_runs(sv: DataFrame, runs: DataFrame) -> DataFrame:
-    """Comparisons (a, b) with two or more differences, outside VNTR, in one non-VNTR run."""
-    j = sv.join(runs.filter("not vntr"), "region").filter((F.col("st") <= F.col("pos")) & (F.col("pos") <= F.col("ed")))
-    return j.groupBy("region", "run", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("region", "run").distinct()
+    """Comparisons (a, b) with two or more differences, outside VNTR, in one non-VNTR run (a run is one interval).
+
+    Two differences of a comparison lie in a run if one and the next do: windows over sorted differences, no counts to hold.
+    """
+    by = Window.partitionBy("region", "a", "b").orderBy("pos")
+    places = by_size(sv.select("region", "a", "b", "pos").filter("region is not null and pos is not null"), "region")
+    pairs = places.select("region", F.col("pos").alias("_pos"), F.lead("pos").over(by).alias("_next")).filter("_next is not null")
+    plain = by_size(runs.filter("not vntr").select("region", "run", "st", "ed"), "region", of=sv)
+    both = plain.join(pairs.hint("merge"), (plain["region"] == pairs["region"]) & (F.col("st") <= F.col("_pos")) & (F.col("_next") <= F.col("ed")), "left_semi")
+    return both.select("region", "run").distinct()
 
 
 def colours(row: DataFrame) -> DataFrame:
