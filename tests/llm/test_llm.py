@@ -324,6 +324,19 @@ def test_suffix_dedup_of_a_header_with_many_continuations(spark):
         assert {r.doc_id: r.n_removed for r in suffix.dedup(df, hot=hot).collect()} == want
 
 
+def test_suffix_dedup_goes_by_bytes_whatever_the_number_of_words(spark):
+    rows, want = [], {}
+    for length in (399, 400, 401):
+        passage = " ".join(f"{length % 10}{i:05d}" for i in range(58))[:length]
+        assert len(passage) == length and len(passage.split()) > 50
+        for i, (a, b) in enumerate(["AB", "CD"]):
+            rows.append((length * 10 + i, prose(90, length * 10 + i) + a + passage + b))
+            want[rows[-1][0]] = length if length >= 400 else 0
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (suffix.HOT, 1):
+        assert {r.doc_id: r.n_removed for r in suffix.dedup(df, hot=hot).collect()} == want
+
+
 def test_quality_counts_equal_brute_force(docs, none):
     want = []
     for i, t in cases():
