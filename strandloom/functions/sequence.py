@@ -73,6 +73,22 @@ def shared_windows(a: str, b: str, k: int) -> int:
     return int(np.isin(both[: len(a) - k + 1], both[len(a) :]).sum())
 
 
+_COMPLEMENT = str.maketrans("ACGTacgt", "TGCATGCA")
+
+
+def counted_kmers(text: str, k: int, least: int = 1) -> list[tuple[str, int]]:
+    """The k-mers of a text and its reverse complement that occur `least` times or more in both, with their counts."""
+    if k < 1 or len(text) < k:
+        return []
+    both = text + text[::-1].translate(_COMPLEMENT)
+    x, m = windows(both, k), len(text) - k + 1
+    x = np.concatenate([x[:m], x[len(text) :]])  # without those that reach over the seam
+    _, first, n = np.unique(x, return_index=True, return_counts=True)
+    often = n >= least
+    at = np.where(first < m, first, first - m + len(text))
+    return [(both[i : i + k], c) for i, c in zip(at[often].tolist(), n[often].tolist())]
+
+
 def repeated(text: str, k: int, skip_n: bool = True) -> bool:
     """Whether some k-mer (without N, if those are skipped) occurs twice: by 64-bit hashes, a repeat being compared."""
     if k < 1 or len(text) <= k:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as cg
-from strandloom.functions.sequence import base_count, kmers, revcomp, shared_windows
+from strandloom.functions.sequence import base_count, counted_kmers, shared_windows
 from strandloom.operators.intervals import STRETCH, div, gap_clusters, overlap_join, stretches
 from strandloom.operators.order import cumulated, quantiles
 
@@ -316,10 +316,26 @@ def pile_up(reads: DataFrame) -> DataFrame:
     return counts.withColumn("major", F.array_max(F.array(*(F.struct(F.col(k).alias("n"), F.lit(k).alias("b")) for k in "ACGT")))["b"])
 
 
+#: Classes of ids by hash: those with an id of several sequences are marked, so that at most so many rows are broadcast.
+CLASSES = 1 << 16
+
+
 def kmer_census(sequences: DataFrame, k: int = 20, least: int = 3) -> DataFrame:
-    """k-mers found at least `least` times in a sequence (either strand), their counts summed over sequences."""
-    both = sequences.select("id", F.explode(F.array("s", revcomp("s"))).alias("s"))
-    per = both.select("id", F.explode(kmers("s", k, False)).alias("kmer")).groupBy("id", "kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    """k-mers found at least `least` times in a sequence (either strand), their counts summed over sequences.
+
+    A sequence is counted in its row, and only k-mers that reach `least` leave it. Sequences of one id count as one: where
+    the id's class has an id with several, all k-mers leave the rows, with their counts, and are summed by id first.
+    """
+
+    @F.pandas_udf("array<struct<kmer: string, n: long>>")
+    def counted(texts: pd.Series, low: pd.Series) -> pd.Series:
+        return pd.Series([[(w, n) for w, n in counted_kmers(x, k, m)] if x is not None else [] for x, m in zip(texts, low)], dtype=object)
+
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(CLASSES))
+    several = sequences.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(of("id").alias("_class")).distinct().withColumn("_low", F.lit(1))
+    rows = sequences.select("id", "s", of("id").alias("_class")).join(F.broadcast(several), "_class", "left")
+    per = rows.select("id", F.explode(counted("s", F.coalesce("_low", F.lit(least)))).alias("x")).select("id", "x.kmer", "x.n")
+    per = per.groupBy("id", "kmer").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return per.groupBy("kmer").agg(F.sum("n").alias("n"))
 
 
