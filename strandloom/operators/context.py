@@ -34,9 +34,12 @@ def variant_density(reads: DataFrame, regions: DataFrame, shrink: int = 0, keys:
     bases inside), and identities without and with them.
     """
     r = regions.select("id", "chrom", (F.col("st") + shrink).alias("st"), (F.col("ed") - shrink).alias("ed")).filter("st < ed")
-    ops = cg.exploded(reads).filter(F.col("op").isin("=", "X", "I", "D"))
-    ops = ops.select("read_name", "chrom", "op", "len", F.col("ref").alias("st"), (F.col("ref") + F.when(F.col("op") == "I", 0).otherwise(F.col("len") - 1)).alias("ed"))
-    j = overlap_join(r, ops, 1000)
+    # reads meet regions whole; only those that do are cut into operations, and those at the region are kept
+    spans = reads.select("read_name", "chrom", F.col("pos").cast("long").alias("st"), (F.col("pos") + cg.reference_length("cigar")).cast("long").alias("ed"), "cigar")
+    met = overlap_join(r, spans, 1000).withColumn("_o", F.explode(F.filter(cg.with_offsets("r_cigar", "r_st"), lambda x: x["op"].isin("=", "X", "I", "D"))))
+    at, n = F.col("_o.ref"), F.col("_o.len")
+    met = met.withColumn("r_op", F.col("_o.op")).withColumn("r_len", n).withColumn("r_st", at).withColumn("r_ed", at + F.when(F.col("r_op") == "I", 0).otherwise(n - 1))
+    j = met.drop("r_cigar", "_o").filter("r_st <= r_ed and st <= r_ed and r_st <= ed")
     inside = F.least(F.col("ed") - 1, F.col("r_ed")) - F.greatest("st", "r_st") + 1
     size = F.when(F.col("r_op") == "I", F.col("r_len")).otherwise(F.greatest(F.lit(0), inside))
     of = lambda op, x: F.sum(F.when(F.col("r_op") == op, x).otherwise(0))
