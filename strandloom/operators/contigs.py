@@ -366,3 +366,18 @@ def rejected_reads(groups: DataFrame, support: DataFrame) -> DataFrame:
     both = support.join(mine, ["region", "read"]).join(theirs, ["region", "supporter"])
     per = both.groupBy("region", "target", "read").agg(F.count_if(F.col("mine") == F.col("theirs")).alias("same"), F.count_if(F.col("mine") != F.col("theirs")).alias("other"))
     return per.withColumn("rejected", F.col("same") < F.col("other"))
+
+
+def rejected_backers(groups: DataFrame, backs: DataFrame) -> DataFrame:
+    """`rejected_reads` for all pairs of reads that back the same target, from backs: region, read, target. Pairs aren't made:
+    the reads of each group are counted by target. Both tables are dealt by region once."""
+    mine = groups.select("region", "read", F.lit(None).cast(backs.schema["target"].dataType).alias("target"), "grp", F.lit(True).alias("_known"))
+    theirs = backs.select("region", "read", "target", F.lit(None).cast(groups.schema["grp"].dataType).alias("grp"), F.lit(False).alias("_known")).filter("target is not null")
+    rows = mine.unionByName(theirs).filter("region is not null and read is not null").repartition("region").distinct()
+    read = Window.partitionBy("region", "read")
+    rows = rows.withColumn("grp", F.max("grp").over(read)).withColumn("_some", F.max("_known").over(read)).filter("_some and not _known")
+    target = Window.partitionBy("region", "target")
+    rows = rows.withColumn("_all", F.count(F.lit(1)).over(target)).withColumn("_grouped", F.count("grp").over(target)).withColumn("_own", F.count("grp").over(Window.partitionBy("region", "target", "grp"))).filter("_all > 1")
+    grouped = F.col("grp").isNotNull()
+    rows = rows.withColumn("same", F.when(grouped, F.col("_own") - 1).otherwise(0)).withColumn("other", F.when(grouped, F.col("_grouped") - F.col("_own")).otherwise(0))
+    return rows.select("region", "target", "read", "same", "other", (F.col("same") < F.col("other")).alias("rejected"))

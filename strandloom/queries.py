@@ -747,8 +747,8 @@ def _(read):
     """Reads that back the same line number of their region, judged by the groups that most of them are in."""
     b = _snps(read)
     groups = kept(contigs.group_linked_reads(contigs.linked_read_scores(b), b), "groups")
-    backs = read("lineitem").selectExpr("CAST(floor(l_orderkey / 40) AS BIGINT) AS region", "l_orderkey AS read", "l_linenumber AS target").distinct()
-    return contigs.rejected_reads(groups, backs.join(backs.withColumnRenamed("read", "supporter"), ["region", "target"]).filter("read <> supporter"))
+    backs = read("lineitem").selectExpr("CAST(floor(l_orderkey / 40) AS BIGINT) AS region", "l_orderkey AS read", "l_linenumber AS target")
+    return contigs.rejected_backers(groups, backs)
 
 
 def _snps(read):
