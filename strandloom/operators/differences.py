@@ -1,19 +1,24 @@
 """Differences between the contigs of a region: where they lie on the reference, what surrounds them, and their class.
 
 An alignment `(region, contig, cigar)` leads from a contig (the read) to the region's reference, from base 0 on. Places are
-looked up as of an operation: points and operations are sorted together and each point takes the last operation that begins
-at or before it, so that no point meets all operations of its contig. Windows run over the operations of one alignment.
+looked up as of an operation: alignments and their points are sorted together, each alignment as one row before its points,
+and a point takes the last operation that begins at or before it by binary search. Operations never leave their row; a task
+holds the alignments of one Arrow batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strandloom.functions.sequence import shared_kmers
 from strandloom.operators.contigs import insert_vntr_length
+from strandloom.tables import by_size
 
 KEY = ["region", "contig"]
 
@@ -48,14 +53,124 @@ def _sides(sv: DataFrame) -> DataFrame:
     return out.withColumn("insert_ed", F.col("insert_st") + F.col("length"))
 
 
-def _placed(rows: DataFrame, ops: DataFrame, contig: str, place: str, reference: Column, name: str) -> DataFrame:
-    """`rows` with the reference's place of `place` in `contig`, as struct (ref, op, len); the reference's own is itself."""
-    got = as_of(rows.withColumnsRenamed({contig: "contig", place: "q"}), ops.filter("op <> 'D'"), KEY, "q", ("k",), "_o").withColumnsRenamed({"contig": contig, "q": place})
-    o, q = F.col("_o"), F.col(place)
-    at = F.when(o["op"] == "I", o["r"]).otherwise(o["r"] + q - o["q"])
-    known = F.when(q < o["q"] + o["len"], F.struct(at.cast("long").alias("ref"), o["op"].alias("op"), F.when(o["op"] == "I", o["len"]).otherwise(0).cast("long").alias("len")))
-    own = F.struct(q.cast("long").alias("ref"), F.lit(None).cast("string").alias("op"), F.lit(0).cast("long").alias("len"))
-    return got.withColumn(name, F.when(F.col(contig) == reference, own).otherwise(known)).drop("_o")
+class _Runs:
+    """Runs of equal operations of a batch's alignments, in order: `of` is the alignment's number, op one of M, X, I, D, and
+    i, r, q where the run begins among all bases, on the reference and in the contig."""
+
+    #: Places are below it, so that alignment and place make one number.
+    FAR = 1 << 40
+
+    def __init__(self, texts: list[bytes], lengths: list[np.ndarray]) -> None:
+        n = np.array([len(x) for x in texts])
+        op, size, of = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([np.zeros(0, np.int64), *lengths]).astype(np.int64), np.repeat(np.arange(len(texts)), n)
+        new = np.ones(len(op), bool)
+        new[1:] = (op[1:] != op[:-1]) | (of[1:] != of[:-1])
+        at = np.flatnonzero(new)
+        self.op, self.of = op[at], of[at]
+        self.len = np.add.reduceat(size, at) if len(at) else size
+        #: Where each alignment's runs begin, and end.
+        self.first = np.searchsorted(self.of, np.arange(len(texts) + 1))
+        self.i, self.r, self.q = self.before("MXID"), self.before("MXD"), self.before("MXI")
+
+    def sums(self, ops: str, unit: np.ndarray | int | None = None) -> np.ndarray:
+        """Sums up to each run, and behind the last, of lengths (or units) of the given operations."""
+        x = np.where(np.isin(self.op, np.frombuffer(ops.encode(), np.uint8)), self.len if unit is None else unit, 0)
+        return np.concatenate([[0], np.cumsum(x)])
+
+    def before(self, ops: str, unit: int | None = None) -> np.ndarray:
+        """Those sums inside each run's alignment."""
+        s = self.sums(ops, unit)
+        return s[:-1] - s[self.first[self.of]]
+
+    def whole(self, ops: str, unit: int | None = None) -> np.ndarray:
+        """Sums of whole alignments, by run."""
+        s = self.sums(ops, unit)
+        return s[self.first[self.of + 1]] - s[self.first[self.of]]
+
+    def is_(self, op: str) -> np.ndarray:
+        return self.op == ord(op)
+
+    def last(self, of: np.ndarray, place: np.ndarray, begins: np.ndarray, only: np.ndarray) -> np.ndarray:
+        """The last of the `only` runs of alignment `of` that begins up to `place`; -1 if none."""
+        if not len(only):
+            return np.full(len(of), -1)
+        far = _Runs.FAR
+        k = np.searchsorted(self.of[only] * far + begins[only], of * far + np.clip(place, -1, far - 1), side="right") - 1
+        found = only[np.maximum(k, 0)]
+        return np.where((k >= 0) & (self.of[found] == of) & (place >= 0), found, -1)
+
+
+#: What `_Runs` gives for points: the numbers of their alignments, and places by column, to columns with their known ones.
+_Answer = Callable[["_Runs", np.ndarray, dict[str, np.ndarray]], dict[str, tuple[np.ndarray, np.ndarray]]]
+
+
+def _answered(places: Sequence[str], known: str, answers: Sequence[str], answer: _Answer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over rows sorted so that an alignment (with `_ops` and `_lens`) comes before its points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, lengths = b"", np.zeros(0, np.int64)
+        for b in batches:
+            column = {n: b.column(k) for k, n in enumerate(b.schema.names)}
+            own = np.asarray(column["_kind"]) == 0
+            at = np.flatnonzero(own)
+            texts, lists = column["_ops"].take(pa.array(at)).to_pylist(), column["_lens"].take(pa.array(at))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            runs = _Runs([text, *(x.encode() for x in texts)], [lengths, flat])
+            if len(at):
+                text, lengths = texts[-1].encode(), flat[ends[-2] :]
+            of = np.cumsum(own)
+            place = {n: column[n].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for n in places}
+            asked = ~own & np.asarray(column[known].to_numpy(zero_copy_only=False), bool)
+            got = answer(runs, of[asked], {n: p[asked] for n, p in place.items()})
+            for n in answers:
+                value, ok = np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+                value[asked], ok[asked] = got[n]
+                column[n] = pa.array(value, pa.int64(), mask=~ok)
+            yield pa.RecordBatch.from_arrays(list(column.values()), names=list(column))
+
+    return run
+
+
+def _with_alignments(rows: DataFrame, alignments: DataFrame, contigs: dict[str, str], places: dict[str, str]) -> DataFrame:
+    """Alignments, packed, and `rows` in one table that is dealt by region: `_row` has the rows' columns, `contigs` names the
+    columns that become keys, with `_known` of each: whether there is an alignment; sorted for the last of them."""
+    kinds = rows.schema
+    some = F.filter("cigar", lambda x: x["op"].isin("M", "=", "X", "I", "D") & (x["len"] > 0))
+    text, lengths = F.translate(F.array_join(F.transform(some, lambda x: x["op"]), ""), "=", "M"), F.transform(some, lambda x: x["len"].cast("int"))
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    a = alignments.filter("cigar is not null").select("region", F.lit(0).alias("_kind"), *(F.col("contig").cast(kinds[c].dataType).alias(k) for k, c in contigs.items()), *(F.lit(None).cast("long").alias(k) for k in places), text.alias("_ops"), lengths.alias("_lens"), F.lit(None).cast(rows.select(row.alias("x")).schema["x"].dataType).alias("_row"))
+    b = rows.select("region", F.lit(1).alias("_kind"), *(F.col(c).alias(k) for k, c in contigs.items()), *(F.col(c).cast("long").alias(k) for k, c in places.items()), F.lit(None).cast("string").alias("_ops"), F.lit(None).cast("array<int>").alias("_lens"), row.alias("_row"))
+    both = by_size(a.unionByName(b), "region", of=rows)
+    for k in contigs:
+        upto = Window.partitionBy("region", k).orderBy("_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumn(f"{k}_known", F.first("_kind").over(upto) == 0)
+    return both.sortWithinPartitions("region", list(contigs)[-1], "_kind")
+
+
+def _asked(both: DataFrame, places: Sequence[str], known: str, answers: Sequence[str], answer: _Answer) -> DataFrame:
+    schema = StructType([*both.schema.fields, *(StructField(n, LongType()) for n in answers)])
+    return both.mapInArrow(_answered(places, known, answers, answer), schema)
+
+
+def _on_reference(places: dict[str, str]) -> _Answer:
+    """For places in the contig: where they are on the reference (`<name>_ref`) and the length of the insertion that has
+    them, 0 without (`<name>_len`)."""
+
+    def answer(runs: _Runs, of: np.ndarray, place: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        out, only = {}, np.flatnonzero(~runs.is_("D"))
+        for name, column in places.items():
+            p = place[column]
+            k = runs.last(of, p, runs.q, only)
+            if not len(runs.op):
+                out |= {f"{name}_{x}": (p, k >= 0) for x in ("ref", "len")}
+                continue
+            ok, ins = (k >= 0) & (p < runs.q[k] + runs.len[k]), runs.is_("I")[k]
+            out[f"{name}_ref"] = np.where(ins, runs.r[k], runs.r[k] + p - runs.q[k]), ok
+            out[f"{name}_len"] = np.where(ins, runs.len[k], 0), ok
+        return out
+
+    return answer
 
 
 def reference_places(sv: DataFrame, alignments: DataFrame, reference: str | int = "ref") -> DataFrame:
@@ -63,17 +178,20 @@ def reference_places(sv: DataFrame, alignments: DataFrame, reference: str | int
     those of the inserted bases' ends. `base_is_insert`: the base contig has an insertion there (`event` bases).
 
     A difference whose inserted bases are the reference's own keeps their place as its base. Places behind a contig's last
-    aligned base, and all of a contig without alignment, are null.
+    aligned base, and all of a contig without alignment, are null. Both tables are dealt by region once, and sorted once for
+    each of the two contigs.
     """
-    ops, ref = operations(alignments), F.lit(reference)
-    rows = _sides(sv)
-    for contig, place, name in (("base_contig", "base_pos", "_x"), ("insert_contig", "insert_st", "_y"), ("insert_contig", "insert_ed", "_z")):
-        rows = _placed(rows, ops, contig, place, ref, name)
+    ref, rows = F.lit(reference), _sides(sv)
+    both = _with_alignments(rows, alignments, {"_c2": "insert_contig", "_c1": "base_contig"}, {"_p1": "base_pos", "_p2": "insert_st", "_p3": "insert_ed"})
+    both = _asked(both, ["_p1"], "_c1_known", ["_x_ref", "_x_len"], _on_reference({"_x": "_p1"}))
+    found = _asked(both.sortWithinPartitions("region", "_c2", "_kind"), ["_p2", "_p3"], "_c2_known", ["_y_ref", "_z_ref"], _on_reference({"_y": "_p2", "_z": "_p3"}))
+    out = found.filter("_kind = 1").select("_row.*", "_x_ref", "_x_len", "_y_ref", "_z_ref")
+    at = lambda contig, place, known: F.when(F.col(contig) == ref, F.col(place).cast("long")).otherwise(F.col(known))
     own = F.col("insert_contig") == ref
-    base = F.when(own, F.col("insert_st").cast("long")).otherwise(F.col("_x.ref"))
-    inserted = ~own & F.coalesce(F.col("_x.op") == "I", F.lit(False))
-    out = rows.withColumn("base_ref", base).withColumn("base_is_insert", inserted).withColumn("event", F.when(inserted, F.col("_x.len")).otherwise(0))
-    return out.withColumn("insert_ref", F.col("_y.ref")).withColumn("insert_ref_end", F.col("_z.ref")).drop("_x", "_y", "_z")
+    base = F.when(own, F.col("insert_st").cast("long")).otherwise(at("base_contig", "base_pos", "_x_ref"))
+    inserted = ~own & F.coalesce((F.col("_x_len") > 0) & ~F.coalesce(F.col("base_contig") == ref, F.lit(False)), F.lit(False))
+    out = out.withColumn("base_ref", base).withColumn("base_is_insert", inserted).withColumn("event", F.when(inserted, F.col("_x_len")).otherwise(0))
+    return out.withColumn("insert_ref", at("insert_contig", "insert_st", "_y_ref")).withColumn("insert_ref_end", at("insert_contig", "insert_ed", "_z_ref")).drop("_x_ref", "_x_len", "_y_ref", "_z_ref")
 
 
 def flipped(cigar: str | Column) -> Column:
@@ -82,6 +200,40 @@ def flipped(cigar: str | Column) -> Column:
     return F.transform(c, lambda x: F.struct(F.when(x["op"] == "I", "D").when(x["op"] == "D", "I").otherwise(x["op"]).alias("op"), x["len"].alias("len")))
 
 
+def _around(clean: int) -> _Answer:
+    """For places on the reference the counts between the nearest runs of more than `clean` matches on both sides."""
+
+    def answer(runs: _Runs, of: np.ndarray, place: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        p, names = place["_p"], ("_lo", "_hi", "_gaps", "_x", "_m")
+        o = runs.last(of, p, runs.r, np.arange(len(runs.op)))
+        if not len(runs.op):
+            return {n: (p, o >= 0) for n in names}
+        n, match, ins = np.arange(len(runs.op)), runs.is_("M"), runs.is_("I")
+        first, behind = np.r_[True, runs.of[1:] != runs.of[:-1]], np.r_[False, ins[:-1]]
+        behind &= ~first  # right behind an insertion
+        gaps, x, m = runs.before("ID", 1), runs.before("X"), runs.before("M")
+        long = match & (runs.len > clean)
+        left = np.r_[-1, np.maximum.accumulate(np.where(long, n, -1))[:-1]]
+        left = np.where((left >= 0) & (runs.of[left] == runs.of), left, -1)
+        right = np.r_[np.minimum.accumulate(np.where(long, n, len(n))[::-1])[::-1][1:], len(n)]
+        right = np.where((right < len(n)) & (runs.of[np.minimum(right, len(n) - 1)] == runs.of), right, -1)
+        start = np.stack([runs.r - ~behind, gaps, x, m])
+        end = np.stack([runs.whole("MXD") - ~ins[runs.first[runs.of + 1] - 1], runs.whole("ID", 1), runs.whole("X"), runs.whole("M")])
+        stop = np.stack([runs.r + runs.len, gaps, x, m + runs.len])
+        at = np.where(runs.r[o] == p, np.where(behind, runs.i - np.r_[0, runs.len[:-1]], runs.i)[o], runs.i[o] + p - runs.r[o])
+        ok = (o >= 0) & ((p < runs.r[o] + np.where(ins, 0, runs.len)[o]) | (ins[o] & (runs.r[o] == p)))
+        inside, size = at - runs.i[o], runs.len[o]
+        here = np.stack([p, gaps[o], x[o], m[o] + inside])
+        lo = np.where(match[o] & (inside > clean), here, np.where(left[o] >= 0, stop[:, left[o]], 0))
+        more = np.array([[0], [0], [0], [1]])
+        hi = np.where(right[o] >= 0, start[:, right[o]], end[:, o])
+        hi = np.where(match[o] & (inside >= 0) & (size - 1 - inside > clean), here + more, hi)
+        hi = np.where(match[o] & (inside < 0) & (size > clean), start[:, o], hi)
+        return {"_lo": (lo[0], ok), "_hi": (hi[0], ok)} | {c: (hi[k] - lo[k], ok) for k, c in enumerate(("_gaps", "_x", "_m"), 1)}
+
+    return answer
+
+
 def mismatch_regions(alignments: DataFrame, points: DataFrame, clean: int = 50, span: int = 100, rate: float = 0.1) -> DataFrame:
     """Around each point (region, contig, r: a place on the reference) the stretch between the nearest runs of more than
     `clean` matches on both sides: its first and last place, its gaps (each counts once), mismatches, matches and rate of
@@ -89,31 +241,9 @@ def mismatch_regions(alignments: DataFrame, points: DataFrame, clean: int = 50,
 
     A point's own base belongs to neither side; before an insertion the point is the insertion's first base.
     """
-    by = Window.partitionBy(*KEY).orderBy("k")
-    before, behind, whole = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy(*KEY)
-    n = lambda *ops, w=before, unit=F.col("len"): F.coalesce(F.sum(F.when(F.col("op").isin(*ops), unit).otherwise(0)).over(w), F.lit(0))
-    one = F.lit(1).cast("long")
-    ops = operations(alignments).withColumn("gaps", n("I", "D", unit=one)).withColumn("x", n("X")).withColumn("m", n("M"))
-    ops = ops.withColumn("_before", F.lag("op").over(by)).withColumn("first", F.when(F.col("_before") == "I", F.lag("i").over(by)).otherwise(F.col("i"))).withColumn("rlen", F.when(F.col("op") == "I", 0).otherwise(F.col("len")))
-    long = (F.col("op") == "M") & (F.col("len") > clean)
-    edge = lambda i, r, m: F.struct(i.alias("i"), r.alias("r"), F.col("gaps").alias("gaps"), F.col("x").alias("x"), m.alias("m"))
-    start = edge(F.col("i"), F.col("r") - F.when(F.col("_before") == "I", 0).otherwise(1), F.col("m"))
-    ops = ops.withColumn("start", F.when(long, start)).withColumn("left", F.max(F.when(long, edge(F.col("i") + F.col("len"), F.col("r") + F.col("len"), F.col("m") + F.col("len")))).over(before)).withColumn("right", F.min("start").over(behind))
-    last = F.max_by("op", "k").over(whole)
-    end = F.struct(n("M", "X", "I", "D", w=whole).alias("i"), (n("M", "X", "D", w=whole) - F.when(last == "I", 0).otherwise(1)).alias("r"), n("I", "D", w=whole, unit=one).alias("gaps"), n("X", w=whole).alias("x"), n("M", w=whole).alias("m"))
-    got = as_of(points, ops.withColumn("end", end), KEY, "r", ("k",), "_o")
-    o, p = F.col("_o"), F.col("r")
-    at = F.when(o["r"] == p, o["first"]).otherwise(o["i"] + p - o["r"])
-    found = o.isNotNull() & ((p < o["r"] + o["rlen"]) | ((o["op"] == "I") & (o["r"] == p)))
-    inside = at - o["i"]  # negative before an insertion
-    match = o["op"] == "M"
-    here = lambda more: F.struct(at.alias("i"), p.cast("long").alias("r"), o["gaps"].alias("gaps"), o["x"].alias("x"), (o["m"] + inside + more).alias("m"))
-    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("i", "r", "gaps", "x", "m")])
-    lo = F.when(match & (inside > clean), here(0)).otherwise(F.coalesce(o["left"], zero))
-    hi = F.when(match & (inside < 0) & (o["len"] > clean), o["start"]).when(match & (inside >= 0) & (o["len"] - 1 - inside > clean), here(1)).otherwise(F.coalesce(o["right"], o["end"]))
-    got = got.withColumn("_lo", F.when(found, lo)).withColumn("_hi", F.when(found, hi))
-    counts = [(F.col(f"_hi.{c}") - F.col(f"_lo.{c}")).alias(name) for c, name in (("gaps", "gaps"), ("x", "mismatches"), ("m", "matches"))]
-    out = got.select(*points.columns, F.col("_lo.r").alias("lo"), F.col("_hi.r").alias("hi"), *counts)
+    both = _with_alignments(points, alignments, {"_c": "contig"}, {"_p": "r"})
+    got = _asked(both, ["_p"], "_c_known", ["_lo", "_hi", "_gaps", "_x", "_m"], _around(clean)).filter("_kind = 1")
+    out = got.select("_row.*", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_gaps").alias("gaps"), F.col("_x").alias("mismatches"), F.col("_m").alias("matches"))
     out = out.withColumn("rate", F.coalesce(F.try_divide(F.col("gaps") + F.col("mismatches"), F.col("gaps") + F.col("mismatches") + F.col("matches")), F.when(F.col("lo").isNotNull(), 0.0)))
     return out.withColumn("many", (F.col("hi") - F.col("lo") > span) & (F.col("rate") > rate))
 
