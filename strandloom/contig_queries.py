@@ -31,10 +31,9 @@ _SV = [
 ]
 
 
-def alignments(read) -> DataFrame:
+def alignments(read, text: bool = False) -> DataFrame:
     steps = ", ".join(f"CAST({n} AS INT), '{'=' if op == 'M' else op}'" for op, n in zip(_OPS, _LENGTHS))
-    rows = read("lineitem").selectExpr("l_orderkey AS region", f"{_SPARK_ID} AS contig", f"concat({steps}) AS text")
-    return rows.select("region", "contig", cg.parse("text").alias("cigar"))
+    return read("lineitem").selectExpr("l_orderkey AS region", f"{_SPARK_ID} AS contig", f"concat({steps}) AS text").select("region", "contig", cg.parse("text").alias("cigar"), *(["text"] if text else []))
 
 
 def placed(read) -> DataFrame:
@@ -96,8 +95,9 @@ def nested_differences(read) -> DataFrame:
     own = alignments(read)
     operations = differences.operations(own).filter("op = 'I'")
     inserts = operations.selectExpr("region", "contig", "q AS insert_st", "q + len AS insert_ed", "r AS ref")
-    rows = kept(placed(read), "placed")
-    pairs = rows.select("region", "a_contig", "b_contig").distinct().join(own.withColumnRenamed("contig", "b_contig"), ["region", "b_contig"])
+    rows = kept(placed(read).filter("base_is_insert"), "placed")  # the others aren't nested
+    texts = alignments(read, True).select("region", F.col("contig").alias("b_contig"), "text")  # shorter than what is parsed from them
+    pairs = rows.select("region", "a_contig", "b_contig").distinct().join(texts, ["region", "b_contig"]).withColumn("cigar", cg.parse("text"))
     out = differences.nested_report(rows, pairs, own, inserts)
     return out.select("id", "base_ref", "event", "insert_ref", "insert_ref_end", "outer_ref", "in_pair", "in_base", "in_insert", "many")
 
@@ -111,9 +111,14 @@ def difference_classes(read) -> DataFrame:
     runs = contigs.vntr_runs(reference, simple, tandem).select(F.col("name").alias("region"), "st", "ed", "vntr")
     rm = lines.selectExpr("l_orderkey AS region", f"{_SPARK_ID} AS contig", "l_partkey % 120 AS st", "l_partkey % 120 + 30 AS ed", "CASE l_returnflag WHEN 'R' THEN 'Simple_repeat' WHEN 'A' THEN 'LINE/L1' ELSE 'SINE/Alu' END AS class")
     trf = lines.selectExpr("l_orderkey AS region", f"{_SPARK_ID} AS contig", "l_suppkey % 90 AS st", "l_suppkey % 90 + 20 + l_partkey % 90 AS ed", "3 + l_partkey % 60 AS unit", "1.5 + l_linenumber AS copies")
-    letters = "translate(concat({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
-    motif = "repeat(substring(sha2(CAST(l_orderkey AS STRING), 256), 1, 11), 30)"
-    mixed = ", ".join(f"sha2(CAST({_SPARK_ID} + {k} AS STRING), 256)" for k in range(5))
-    sequences = lines.selectExpr("l_orderkey AS region", f"{_SPARK_ID} AS contig", letters.format(f"IF(l_linenumber % 2 = 0, {motif}, concat({mixed}))") + " AS seq")
-    refs = lines.select("l_orderkey").distinct().selectExpr("l_orderkey AS region", "0L AS contig", letters.format(motif) + " AS seq")
-    return differences.classified(placed(read), runs, rm, trf, sequences.unionByName(refs), 0).select("id", "base_ref", "in_vntr", "run", "vntr_distance", "vntr", "length", "class")
+    # a contig's letters hang on its id, its region and its line, so these are joined and not the letters
+    sequences = lines.selectExpr("l_orderkey AS region", f"{_SPARK_ID} AS contig", "l_linenumber % 2 = 0 AS even")
+    refs = lines.select("l_orderkey").distinct().selectExpr("l_orderkey AS region", "0L AS contig", "true AS even")
+
+    def letters(x):
+        motif = F.repeat(F.substring(F.sha2(x["region"].cast("string"), 256), 1, 11), 30)
+        mixed = F.concat(*(F.sha2((x["contig"] + k).cast("string"), 256) for k in range(5)))
+        return F.translate(F.when(x["even"], motif).otherwise(mixed), "0123456789abcdef", "ACGTACGTACGTACGT")
+
+    rows = kept(placed(read).select("id", "region", "insert_contig", "insert_st", "insert_ed", "length", "base_ref"), "placed")
+    return differences.classified(rows, runs, rm, trf, sequences.unionByName(refs), 0, letters=letters).select("id", "base_ref", "in_vntr", "run", "vntr_distance", "vntr", "length", "class")

@@ -14,11 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from strandloom.functions.sequence import shared_kmers
 from strandloom.operators.contigs import insert_vntr_length
-from strandloom.tables import by_size
+from strandloom.tables import by_size, kept
 
 KEY = ["region", "contig"]
 
@@ -33,16 +33,28 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], place: str, or
     return both.select(*[F.col(c) if c in keys else F.col(f"_left.{c}").alias(c) for c in left.columns], name)
 
 
+def _packed() -> tuple[Column, Column]:
+    """An alignment's operations as a text of one letter for each, `_ops`, and their lengths, `_lens`."""
+    some = F.filter("cigar", lambda x: x["op"].isin("M", "=", "X", "I", "D") & (x["len"] > 0))
+    return F.translate(F.array_join(F.transform(some, lambda x: x["op"]), ""), "=", "M").alias("_ops"), F.transform(some, lambda x: x["len"].cast("int")).alias("_lens")
+
+
 def operations(alignments: DataFrame) -> DataFrame:
     """A row for each run of equal operations M (matches, also as =), X, I or D: `region, contig, k, op, len`, and where it
-    begins among all bases of the alignment (i), on the reference (r) and in the contig (q)."""
-    one = alignments.select(*KEY, F.posexplode("cigar").alias("n", "o")).select(*KEY, "n", F.when(F.col("o.op") == "=", "M").otherwise(F.col("o.op")).alias("op"), F.col("o.len").alias("len"))
-    by = Window.partitionBy(*KEY).orderBy("n")
-    new = F.coalesce(F.lag("op").over(by) != F.col("op"), F.lit(True)).cast("int")
-    runs = one.filter(F.col("op").isin("M", "X", "I", "D") & (F.col("len") > 0)).withColumn("new", new).withColumn("k", F.sum("new").over(by)).groupBy(*KEY, "k", "op").agg(F.sum("len").alias("len"))
-    before = Window.partitionBy(*KEY).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    upto = lambda *ops: F.coalesce(F.sum(F.when(F.col("op").isin(*ops), F.col("len")).otherwise(0)).over(before), F.lit(0))
-    return runs.select("*", upto("M", "X", "I", "D").alias("i"), upto("M", "X", "D").alias("r"), upto("M", "X", "I").alias("q"))
+    begins among all bases of the alignment (i), on the reference (r) and in the contig (q). Made inside rows, of one
+    alignment for each contig."""
+    packed = alignments.filter("cigar is not null").select(*KEY, *_packed())
+    kinds = packed.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = _Runs([x.encode() for x in b.column(2).to_pylist()], [b.column(3).flatten().to_numpy(zero_copy_only=False)])
+            keys = [b.column(k).take(pa.array(runs.of)) for k in (0, 1)]
+            numbers = {"k": np.arange(len(runs.op)) - runs.first[runs.of] + 1, "len": runs.len, "i": runs.i, "r": runs.r, "q": runs.q}
+            op = pa.array(list(runs.op.tobytes().decode()), pa.string())
+            yield pa.RecordBatch.from_arrays([*keys, op, *(pa.array(x, pa.int64()) for x in numbers.values())], names=[*KEY, "op", *numbers])
+
+    return packed.mapInArrow(run, StructType([kinds["region"], kinds["contig"], StructField("op", StringType()), *(StructField(c, LongType()) for c in ("k", "len", "i", "r", "q"))]))
 
 
 def _sides(sv: DataFrame) -> DataFrame:
@@ -132,14 +144,12 @@ def _answered(places: Sequence[str], known: str, answers: Sequence[str], answer:
     return run
 
 
-def _with_alignments(rows: DataFrame, alignments: DataFrame, contigs: dict[str, str], places: dict[str, str]) -> DataFrame:
-    """Alignments, packed, and `rows` in one table that is dealt by region: `_row` has the rows' columns, `contigs` names the
+def _with_alignments(rows: DataFrame, alignments: DataFrame, contigs: dict[str, str], places: dict[str, str], columns: Sequence[str] | None = None) -> DataFrame:
+    """Alignments, packed, and `rows` in one table that is dealt by region: `_row` has the rows' `columns` (all), `contigs` names the
     columns that become keys, with `_known` of each: whether there is an alignment; sorted for the last of them."""
     kinds = rows.schema
-    some = F.filter("cigar", lambda x: x["op"].isin("M", "=", "X", "I", "D") & (x["len"] > 0))
-    text, lengths = F.translate(F.array_join(F.transform(some, lambda x: x["op"]), ""), "=", "M"), F.transform(some, lambda x: x["len"].cast("int"))
-    row = F.struct(*[F.col(c) for c in rows.columns])
-    a = alignments.filter("cigar is not null").select("region", F.lit(0).alias("_kind"), *(F.col("contig").cast(kinds[c].dataType).alias(k) for k, c in contigs.items()), *(F.lit(None).cast("long").alias(k) for k in places), text.alias("_ops"), lengths.alias("_lens"), F.lit(None).cast(rows.select(row.alias("x")).schema["x"].dataType).alias("_row"))
+    row = F.struct(*[F.col(c) for c in columns or rows.columns])
+    a = alignments.filter("cigar is not null").select("region", F.lit(0).alias("_kind"), *(F.col("contig").cast(kinds[c].dataType).alias(k) for k, c in contigs.items()), *(F.lit(None).cast("long").alias(k) for k in places), *_packed(), F.lit(None).cast(rows.select(row.alias("x")).schema["x"].dataType).alias("_row"))
     b = rows.select("region", F.lit(1).alias("_kind"), *(F.col(c).alias(k) for k, c in contigs.items()), *(F.col(c).cast("long").alias(k) for k, c in places.items()), F.lit(None).cast("string").alias("_ops"), F.lit(None).cast("array<int>").alias("_lens"), row.alias("_row"))
     both = by_size(a.unionByName(b), "region", of=rows)
     for k in contigs:
@@ -182,10 +192,10 @@ def reference_places(sv: DataFrame, alignments: DataFrame, reference: str | int
     each of the two contigs.
     """
     ref, rows = F.lit(reference), _sides(sv)
-    both = _with_alignments(rows, alignments, {"_c2": "insert_contig", "_c1": "base_contig"}, {"_p1": "base_pos", "_p2": "insert_st", "_p3": "insert_ed"})
+    both = _with_alignments(rows, alignments, {"_c2": "insert_contig", "_c1": "base_contig"}, {"_p1": "base_pos", "_p2": "insert_st", "_p3": "insert_ed"}, sv.columns)
     both = _asked(both, ["_p1"], "_c1_known", ["_x_ref", "_x_len"], _on_reference({"_x": "_p1"}))
     found = _asked(both.sortWithinPartitions("region", "_c2", "_kind"), ["_p2", "_p3"], "_c2_known", ["_y_ref", "_z_ref"], _on_reference({"_y": "_p2", "_z": "_p3"}))
-    out = found.filter("_kind = 1").select("_row.*", "_x_ref", "_x_len", "_y_ref", "_z_ref")
+    out = _sides(found.filter("_kind = 1").select("_row.*", "_x_ref", "_x_len", "_y_ref", "_z_ref"))
     at = lambda contig, place, known: F.when(F.col(contig) == ref, F.col(place).cast("long")).otherwise(F.col(known))
     own = F.col("insert_contig") == ref
     base = F.when(own, F.col("insert_st").cast("long")).otherwise(at("base_contig", "base_pos", "_x_ref"))
@@ -267,18 +277,20 @@ def nested_report(placed: DataFrame, pairs: DataFrame, alignments: DataFrame, to
 
     pairs: region, a_contig, b_contig, cigar (from b to a).
     """
-    rows = outer_inserts(placed, to_reference)
+    rows = kept(outer_inserts(placed, to_reference), "nested")
     some = rows.filter("outer_ref > 0")
     pair = some.select("region", "a_contig", "b_contig", "type").distinct().join(pairs, ["region", "a_contig", "b_contig"])
     seen = pair.select("region", F.struct("a_contig", "b_contig", "type").alias("contig"), F.when(F.col("type") == "INS", F.col("cigar")).otherwise(flipped("cigar")).alias("cigar"))
-    found = {
-        "in_pair": mismatch_regions(seen, some.select("id", "region", F.struct("a_contig", "b_contig", "type").alias("contig"), F.col("base_pos").cast("long").alias("r"))),
-        "in_base": mismatch_regions(alignments, some.select("id", "region", F.col("base_contig").alias("contig"), F.col("base_ref").alias("r"))),
-        "in_insert": mismatch_regions(alignments, some.select("id", "region", F.col("insert_contig").alias("contig"), F.col("outer_ref").cast("long").alias("r"))),
-    }
-    for name, region in found.items():
-        rows = rows.join(region.select("id", F.struct("lo", "hi", "rate", "many").alias(name)), "id", "left")
-    return rows.withColumn("many", F.col("in_pair.many") | F.col("in_base.many"))
+    in_pair = mismatch_regions(seen, some.select("id", "region", F.struct("a_contig", "b_contig", "type").alias("contig"), F.col("base_pos").cast("long").alias("r")))
+    # the two on the reference go with the same alignments, so these are dealt once
+    point = lambda name, contig, r: F.struct(F.lit(name).alias("of"), F.col(contig).alias("contig"), F.col(r).cast("long").alias("r"))
+    points = some.select("id", "region", F.explode(F.array(point("in_base", "base_contig", "base_ref"), point("in_insert", "insert_contig", "outer_ref"))).alias("x")).select("id", "region", "x.*")
+    both = mismatch_regions(alignments, points)
+    found = in_pair.withColumn("of", F.lit("in_pair")).select("id", "of", "lo", "hi", "rate", "many").unionByName(both.select("id", "of", "lo", "hi", "rate", "many"))
+    names = ("in_pair", "in_base", "in_insert")
+    per = found.groupBy("id").agg(*(F.first(F.when(F.col("of") == n, F.struct("lo", "hi", "rate", "many")), ignorenulls=True).alias(n) for n in names))
+    out = rows.join(per, "id", "left")
+    return out.withColumn("many", F.col("in_pair.many") | F.col("in_base.many"))
 
 
 def with_vntr(rows: DataFrame, runs: DataFrame, place: str = "base_ref") -> DataFrame:
@@ -327,17 +339,22 @@ def difference_class(rows: DataFrame, share: float = 0.2, bases: int = 200, near
     return rows.withColumn("class", F.when(plain != 3, plain).when(F.coalesce(like, F.lit(False)), 1).when(F.coalesce(doubled, F.lit(False)), 4).otherwise(3))
 
 
-def classified(placed: DataFrame, runs: DataFrame, rm: DataFrame, trf: DataFrame, sequences: DataFrame, reference: str | int = "ref", share: float = 0.2, edge: int = 10) -> DataFrame:
+def classified(placed: DataFrame, runs: DataFrame, rm: DataFrame, trf: DataFrame, sequences: DataFrame, reference: str | int = "ref", share: float = 0.2, edge: int = 10, near_by: int = 30, letters: Callable[[Column], Column] = lambda x: x["seq"]) -> DataFrame:
     """Differences from `reference_places` (with id) to their classes, by the reference's runs and the contigs' annotation
     (rm: region, contig, st, ed, class; trf: region, contig, st, ed, unit, copies) and sequences (region, contig, seq).
-    share: 0.2 for accurate contigs, 0.6 for those of reads with many errors."""
+    share: 0.2 for accurate contigs, 0.6 for those of reads with many errors. letters: a sequence's text from its row, where
+    that has something shorter to make it from; it is made behind the joins, where a VNTR is less than `near_by` away.
+
+    `placed` is read several times: it should be stored, and have no more columns than are wanted."""
     rows = with_vntr(placed, runs).join(inserted_masks(placed, rm, trf.select("region", "contig", "st", "ed", F.col("unit").alias("motif_size"))), "id", "left")
     over = trf.select("region", F.col("contig").alias("insert_contig"), (F.col("st") - edge).alias("_st"), (F.col("ed") + edge).alias("_ed"), "unit", "copies")
     hit = placed.select("id", "region", "insert_contig", "insert_st", "insert_ed").join(over, ["region", "insert_contig"]).filter((F.col("_st") <= F.col("insert_st")) & (F.col("_ed") >= F.col("insert_ed")))
     rows = rows.join(hit.groupBy("id").agg(F.collect_set(F.struct("unit", "copies")).alias("repeats")), "id", "left")
-    inserted = sequences.select("region", F.col("contig").alias("insert_contig"), F.col("seq").alias("_seq"))
-    refs = sequences.filter(F.col("contig") == F.lit(reference)).select("region", F.col("seq").alias("_ref"))
+    inserted = sequences.select("region", F.col("contig").alias("insert_contig"), F.struct(*sequences.columns).alias("_s"))
+    refs = sequences.filter(F.col("contig") == F.lit(reference)).select("region", F.struct(*sequences.columns).alias("_r"))
     rows = rows.join(inserted, ["region", "insert_contig"], "left").join(refs, "region", "left")
+    compared = (F.col("vntr_distance") > 0) & (F.col("vntr_distance") < near_by)  # the others' letters don't count
+    rows = rows.withColumn("_seq", F.when(compared & F.col("_s").isNotNull(), letters(F.col("_s")))).withColumn("_ref", F.when(compared & F.col("_r").isNotNull(), letters(F.col("_r"))))
     near = F.col("near_vntr")
     rows = rows.withColumn("insert_seq", F.substring("_seq", F.col("insert_st") + 1, F.col("length"))).withColumn("near_seq", F.substring("_ref", near["st"] + 1, near["ed"] - near["st"] + 1))
-    return difference_class(rows, share).drop("_seq", "_ref")
+    return difference_class(rows, share, near=near_by).drop("_seq", "_ref", "_s", "_r")

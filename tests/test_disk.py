@@ -65,3 +65,23 @@ def test_reads_that_back_a_target_are_counted_by_group(spark):
     assert "Join" not in plan(got) and exchanges(got) == 1
     columns = ["region", "target", "read", "same", "other", "rejected"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_operations_are_made_in_their_rows(spark):
+    alignments = spark.createDataFrame([(1, 1, [("=", 5), ("M", 5), ("S", 2), ("D", 3), ("X", 0), ("D", 1), ("I", 4)]), (1, 2, None), (2, 1, [])], CIGARS)
+    got = diff.operations(alignments)
+    assert exchanges(got) == 0
+    assert sorted(map(tuple, got.select("k", "op", "len", "i", "r", "q").collect())) == [(1, "M", 10, 0, 0, 0), (2, "D", 4, 10, 10, 10), (3, "I", 4, 14, 14, 10)]
+
+
+def test_letters_are_made_behind_the_joins(spark):
+    from pyspark.sql import functions as F
+
+    sv = spark.createDataFrame([(1, 1, 2, 50, 5, "INS", 20, 7)], "region int, a_contig int, b_contig int, a_pos int, b_pos int, type string, length int, id int")
+    placed = diff.reference_places(sv, spark.createDataFrame([(1, 1, [("=", 100)]), (1, 2, [("=", 100)])], CIGARS), 0)
+    runs = spark.createDataFrame([(1, 0, 59, False), (1, 60, 79, True), (1, 80, 99, False)], "region int, st int, ed int, vntr boolean")
+    rm = spark.createDataFrame([(1, 2, 0, 40, "Simple_repeat")], "region int, contig int, st int, ed int, class string")
+    trf = spark.createDataFrame([], "region int, contig int, st int, ed int, unit int, copies double")
+    short = spark.createDataFrame([(1, 2, "ACGTT"), (1, 0, "ACGTT")], "region int, contig int, part string")
+    got = diff.classified(placed, runs, rm, trf, short, 0, letters=lambda x: F.repeat(x["part"], 20)).first()
+    assert (got["base_ref"], got["vntr_distance"], got["insert_seq"], got["class"]) == (50, 10, "ACGTT" * 4, 1)
