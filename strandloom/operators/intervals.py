@@ -318,18 +318,27 @@ def lift_blocks(chains: DataFrame) -> DataFrame:
     A chain's score is its number of matches and mismatches. Clipped ends of the source (S, H) count as its bases.
     """
     hard = F.transform("cigar", lambda x: F.struct(F.when(x["op"] == "H", "S").otherwise(x["op"]).alias("op"), x["len"].alias("len")))
-    ops = cg.exploded(chains.withColumn("_c", hard), "_c", "to_st").filter(F.col("op").isin("M", "=", "X"))
-    ops = ops.withColumn("score", F.sum("len").over(Window.partitionBy("chain")))
+    matched = F.aggregate(F.filter("cigar", lambda x: x["op"].isin("M", "=", "X")), F.lit(0).cast("long"), lambda a, x: a + x["len"])
+    ops = cg.exploded(chains.withColumn("_c", hard).withColumn("score", matched), "_c", "to_st").filter(F.col("op").isin("M", "=", "X"))
     forward = F.col("strand") != "-"
     st = F.when(forward, F.col("query")).otherwise(F.col("length") - F.col("query") - F.col("len"))
     return ops.select("chrom", st.cast("long").alias("st"), (st + F.col("len") - 1).cast("long").alias("ed"), "to_chrom", F.col("ref").cast("long").alias("to_st"), "strand", "chain", "score")
 
 
+def _first_alike(chains: DataFrame) -> DataFrame:
+    """Of chains with the same blocks in the source, which have the same score and the same bases of any span, the first: the
+    best chain of a point or span is never one of the others."""
+    first = chains.groupBy("chrom", "length", "strand", "cigar").agg(F.min_by(F.struct("chain", "to_chrom", "to_st"), "chain").alias("_x"))
+    return first.select("chrom", "length", "strand", "cigar", "_x.*")
+
+
 def lift_points(points: DataFrame, chains: DataFrame, key: str = "id", width: int = 10_000) -> DataFrame:
     """`points` (id, chrom, pos) with their place on the other assembly, by the best chain that has it in a block (of the
     highest score, then the first): to_chrom, to_pos, strand, chain. Without one, all are null: places that no chain covers,
     and those in a gap, which have no base there."""
-    pairs = overlap_join(points.select(key, "chrom", F.col("pos").alias("st"), F.col("pos").alias("ed")), lift_blocks(chains), width)
+    best_first = F.struct(-F.col("score"), "chain")  # of blocks at the same place, only one can be a point's best
+    blocks = lift_blocks(_first_alike(chains)).groupBy("chrom", "st", "ed").agg(F.min_by(F.struct("to_chrom", "to_st", "strand", "chain", "score"), best_first).alias("_x")).select("chrom", "st", "ed", "_x.*")
+    pairs = overlap_join(points.select(key, "chrom", F.col("pos").alias("st"), F.col("pos").alias("ed")), blocks, width)
     at = F.col("st") - F.col("r_st")
     moved = F.col("r_to_st") + F.when(F.col("r_strand") == "-", F.col("r_ed") - F.col("st")).otherwise(at)
     best = pairs.groupBy(key).agg(F.min_by(F.struct(F.col("r_to_chrom").alias("to_chrom"), moved.alias("to_pos"), F.col("r_strand").alias("strand"), F.col("r_chain").alias("chain")), F.struct(-F.col("r_score"), "r_chain")).alias("_x"))
@@ -340,7 +349,7 @@ def lift_spans(spans: DataFrame, chains: DataFrame, key: str = "id", width: int
     """`spans` (id, chrom, st, ed, closed) on the other assembly: from the first to the last base that the best chain has in
     blocks, the span clipped at block edges: to_chrom, to_st, to_ed, strand, chain, lifted (bases in blocks). The best chain has
     the most of the span's bases, then the highest score; without one all are null."""
-    pairs = overlap_join(spans.select(key, "chrom", "st", "ed"), lift_blocks(chains), width)
+    pairs = overlap_join(spans.select(key, "chrom", "st", "ed"), lift_blocks(_first_alike(chains)), width)
     st, ed = F.greatest("st", "r_st"), F.least("ed", "r_ed")
     reverse = F.col("r_strand") == "-"
     low = F.col("r_to_st") + F.when(reverse, F.col("r_ed") - ed).otherwise(st - F.col("r_st"))

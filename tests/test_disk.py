@@ -85,3 +85,15 @@ def test_letters_are_made_behind_the_joins(spark):
     short = spark.createDataFrame([(1, 2, "ACGTT"), (1, 0, "ACGTT")], "region int, contig int, part string")
     got = diff.classified(placed, runs, rm, trf, short, 0, letters=lambda x: F.repeat(x["part"], 20)).first()
     assert (got["base_ref"], got["vntr_distance"], got["insert_seq"], got["class"]) == (50, 10, "ACGTT" * 4, 1)
+
+
+def test_of_chains_alike_only_the_first_meets_points(spark):
+    from strandloom.operators import intervals as ops
+
+    same = [(k, 1, 100, "+", 2, 1000 * k, "40=2D60=") for k in (9, 3, 5)] + [(4, 1, 100, "-", 2, 7, "40=2D60="), (2, 1, 90, "+", 2, 0, "90=")]
+    chains = spark.createDataFrame(same, "chain long, chrom int, length int, strand string, to_chrom int, to_st int, t string").withColumn("cigar", cg.parse("t")).drop("t")
+    assert sorted(x.chain for x in ops._first_alike(chains).collect()) == [2, 3, 4]
+    spots = spark.createDataFrame([(1, 1, 45), (2, 1, 200)], "id int, chrom int, pos int")
+    assert sorted(map(tuple, ops.lift_points(spots, chains, width=10).select("id", "to_pos", "chain").collect()), key=str) == [(1, 3047, 3), (2, None, None)]
+    spans = spark.createDataFrame([(1, 1, 30, 49)], "id int, chrom int, st int, ed int")
+    assert [tuple(x) for x in ops.lift_spans(spans, chains, width=10).select("chain", "to_st", "to_ed", "lifted").collect()] == [(3, 3030, 3051, 20)]
