@@ -97,3 +97,13 @@ def test_of_chains_alike_only_the_first_meets_points(spark):
     assert sorted(map(tuple, ops.lift_points(spots, chains, width=10).select("id", "to_pos", "chain").collect()), key=str) == [(1, 3047, 3), (2, None, None)]
     spans = spark.createDataFrame([(1, 1, 30, 49)], "id int, chrom int, st int, ed int")
     assert [tuple(x) for x in ops.lift_spans(spans, chains, width=10).select("chain", "to_st", "to_ed", "lifted").collect()] == [(3, 3030, 3051, 20)]
+
+
+def test_calls_are_dealt_by_stretch_once(spark):
+    from strandloom.sources import variants
+
+    calls = [("1", 5, "A", "T", 9.0), ("1", 5, "A", "T", 8.0), ("1", 2_000_001, "A", None, 9.0), ("1", 2_000_001, "A", None, 7.0), ("1", 2_000_009, "A", "C", 9.0)]
+    rows = spark.createDataFrame([(*x, "PASS", "INS", 60, "0/1", 3, [1, 2, 3], [1, 2, 3]) for x in calls], "chrom string, pos int, ref string, alt string, qual double, filter string, svtype string, svlen int, gt string, gq int, lr array<int>, sr array<int>")
+    got = variants.vcf_lines(rows)
+    assert sum("Exchange hashpartitioning" in x and "REPARTITION_BY_COL" not in x and "alt" in x for x in plan(got).split("\n")) == 1  # the count of alleles only
+    assert sorted(x.line.split("\t")[2].split("_")[0] for x in got.collect()) == ["0", "1", "2"]
